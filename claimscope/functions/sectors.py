@@ -1,10 +1,11 @@
-"""Billing code → service sector, as one native Column expression.
+"""Billing code → service sector.
 
 Codes are classified by family: a letter followed by four digits (HCPCS
 Level II and dental codes) or five digits (CPT). Every rule is a numeric range
-inside one family, so the whole classifier is two anchored shape tests plus
-integer range checks – one CASE expression that stays inside whole-stage
-codegen (no UDF, no per-rule regex, no join).
+inside one family, so the rules are data – a fixed table of (family, letter,
+range, sector) rows – and classifying the distinct codes is a broadcast range
+join (no UDF, no per-rule regex). The fact is then joined with the small
+code → sector map on the raw code.
 
 The input is the code stripped of surrounding whitespace and upper-cased; the
 first matching rule wins; a code no rule matches has no sector (null).
@@ -12,7 +13,7 @@ first matching rule wins; a code no rule matches has no sector (null).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DENTAL = "Dental"
@@ -79,28 +80,70 @@ def normalize_code(col: Column) -> Column:
     return F.upper(F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", ""))
 
 
-def sector_of(code: Column | str) -> Column:
-    """Sector of a raw code column (null when unclassified or null)."""
-    if isinstance(code, str):
-        code = F.col(code)
-    c = normalize_code(code)
-    letter4 = c.rlike(r"\A[A-Z][0-9]{4}\z")
-    digits5 = c.rlike(r"\A[0-9]{5}\z")
-    letter = F.substring(c, 1, 1)
-    num4 = F.substring(c, 2, 4).try_cast("int")
-    num5 = c.try_cast("int")
+def _rule_case(kind: Column, letter: Column, num: Column) -> Column:
+    """The ordered rule chain over a code's family, first letter and number."""
     expr = None
     for sector, letters, lo, hi in LETTER_RULES:
-        cond = letter4 & letter.isin(list(letters)) & num4.between(lo, hi)
+        cond = (kind == "L") & letter.isin(list(letters)) & num.between(lo, hi)
         expr = F.when(cond, F.lit(sector)) if expr is None else expr.when(cond, F.lit(sector))
     for sector, lo, hi in NUMERIC_RULES:
-        expr = expr.when(digits5 & num5.between(lo, hi), F.lit(sector))
+        expr = expr.when((kind == "N") & num.between(lo, hi), F.lit(sector))
     return expr
 
 
-def sector_or_other(code: Column | str) -> Column:
-    """Dashboard fold: an unclassified (non-null) code counts as 'Other'."""
-    return F.coalesce(sector_of(code), F.lit(OTHER))
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The rules as a fixed dimension table, one row per (family, letter):
+    ``prio, kind, letter, lo, hi, sector``; five-digit rules use letter '#'."""
+    rows = []
+    for prio, (sector, letters, lo, hi) in enumerate(LETTER_RULES):
+        rows += [(prio, "L", x, lo, hi, sector) for x in letters]
+    base = len(LETTER_RULES)
+    rows += [(base + i, "N", "#", lo, hi, sector) for i, (sector, lo, hi) in enumerate(NUMERIC_RULES)]
+    return spark.createDataFrame(
+        rows, "prio int, kind string, letter string, lo int, hi int, sector string")
+
+
+def code_sectors(codes: DataFrame, code: str = "hcpcs") -> DataFrame:
+    """``code → sector`` for every distinct classified code of ``codes``.
+
+    The distinct codes are split into family / first letter / number and
+    range-joined with the broadcast rule table (a fixed ~30 rows); where
+    several rules match, the first in rule order wins. Unclassified codes
+    are left out. The result has one row per distinct code – small next to
+    the fact – and is what the fact is joined with (raw code as the key).
+    """
+    c = codes.select(code).where(F.col(code).isNotNull()).distinct()
+    n = normalize_code(F.col(code))
+    staged = c.select(code, n.alias("_n"))
+    n = F.col("_n")
+    kind = F.when(n.rlike(r"\A[A-Z][0-9]{4}\z"), F.lit("L")).when(
+        n.rlike(r"\A[0-9]{5}\z"), F.lit("N"))
+    staged = staged.select(code, "_n", kind.alias("_kind"))
+    staged = staged.select(
+        code, "_kind",
+        F.when(F.col("_kind") == "L", F.substring("_n", 1, 1)).otherwise(F.lit("#")).alias("_letter"),
+        F.when(F.col("_kind") == "L", F.substring("_n", 2, 4).try_cast("int"))
+         .otherwise(F.col("_n").try_cast("int")).alias("_num"))
+    rules = F.broadcast(rules_table(codes.sparkSession))
+    j = staged.join(rules, (staged["_kind"] == rules["kind"]) & (staged["_letter"] == rules["letter"])
+                    & staged["_num"].between(rules["lo"], rules["hi"]))
+    return (j.groupBy(code).agg(F.min(F.struct("prio", "sector")).alias("_m"))
+             .select(code, F.col("_m.sector").alias("sector")))
+
+
+def sector_of(code: Column | str) -> Column:
+    """Sector of a code as a single CASE expression (null when unclassified
+    or null) – for small inputs and checks. Data paths use
+    :func:`code_sectors`: a filter on a CASE this size, pushed through
+    projections, would be inlined into every branch."""
+    if isinstance(code, str):
+        code = F.col(code)
+    c = normalize_code(code)
+    kind = F.when(c.rlike(r"\A[A-Z][0-9]{4}\z"), F.lit("L")).when(
+        c.rlike(r"\A[0-9]{5}\z"), F.lit("N"))
+    num = F.when(kind == "L", F.substring(c, 2, 4).try_cast("int")).when(
+        kind == "N", c.try_cast("int"))
+    return _rule_case(kind, F.substring(c, 1, 1), num)
 
 
 def sector_sql(code_sql: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import measure_sums, money, paid_bucket, zero_if_null
 from claimscope.functions.filters import DASHBOARD_SCOPE, NO_FILTER, Filter
-from claimscope.functions.sectors import sector_or_other
+from claimscope.functions.sectors import OTHER, code_sectors
 from claimscope.operators.topk import top_k
 from claimscope.sources.joins import with_names
 
@@ -109,10 +109,12 @@ def top_providers(a1: DataFrame, lookup: DataFrame, key: str, k: int = TOP_N) ->
 def top_sectors(a1: DataFrame, k: int = TOP_N) -> DataFrame:
     """Fold the per-code groups into sectors (unclassified codes → Other).
 
-    Runs over the code groups only – one row per distinct code – so the
-    classifier is evaluated once per code, not once per fact row."""
+    Runs over the code groups only – one row per distinct code – so codes
+    are classified once each, not once per fact row."""
     codes = _group_slice(a1, "hcpcs")
-    by_sector = (codes.groupBy(sector_or_other("key").alias("key"))
+    sect = code_sectors(codes, "key")
+    codes = codes.join(sect, "key", "left")
+    by_sector = (codes.groupBy(F.coalesce(F.col("sector"), F.lit(OTHER)).alias("key"))
                       .agg(F.sum("paid").alias("paid"), F.sum("patients").alias("patients"),
                            F.sum("claim_lines").alias("claim_lines")))
     t = top_k(by_sector, k, "paid", "key")
@@ -150,11 +152,17 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
     """The whole dashboard as one DataFrame (one job, one scan of the fact):
     ``section, rank, key, name, paid, patients, claim_lines, n``.
 
-    The eight sections read the same aggregate; Spark reuses its shuffle
-    (ReusedExchange) instead of re-scanning. ``summary`` carries the totals
-    (rows in ``n``) and ``distinct`` the three distinct-key counts in ``n``.
+    The grouping-set aggregate is checkpointed (written to the shared
+    checkpoint folder) before it is sliced. Without that cut, Catalyst pushes
+    each section's ``gid`` filter below the aggregate into the Expand, the
+    ten branches of the union become ten different aggregates, and the fact
+    would be scanned ten times. The checkpoint holds one row per group (not
+    per fact row) and survives the loss of an executor.
+
+    ``summary`` carries the totals (rows in ``n``) and ``distinct`` the three
+    distinct-key counts in ``n``.
     """
-    a1 = grouping_sets(fact, flt)
+    a1 = grouping_sets(fact, flt).checkpoint(eager=True)
     s = summary(a1)
     null_s = F.lit(None).cast("string")
     null_l = F.lit(None).cast("long")

@@ -49,6 +49,13 @@ class Inputs:
             return self._get("lookup", lambda: self.spark.read.parquet(f"{self.built}/npi_lookup"))
         return self._get("lookup", lambda: fixture.npi_lookup(self.spark, self.sf_dir))
 
+    def sectors(self) -> DataFrame:
+        """hcpcs, sector (classified codes only)."""
+        if self.built:
+            return self._get("sectors", lambda: self.spark.read.parquet(f"{self.built}/sector_map"))
+        from claimscope.functions.sectors import code_sectors
+        return self._get("sectors", lambda: code_sectors(self.fact(), "hcpcs"))
+
     def descs(self) -> DataFrame:
         """hcpcs, name."""
         if self.built:

@@ -25,6 +25,7 @@ EXTREME = Filter.exclude_extreme()
 BILLING = Filter(billing_npi=" 1000000007 ")
 SERVICING = Filter(servicing_npi="2000000001")
 COMBINED = Filter(month_from="1995-01", month_to="1998-12", state="ny", paid_min="1000")
+PEER_SCOPE = Filter(month_from="1995-01", month_to="1998-12", paid_min="1000", hcpcs="D1110")
 NO = Filter()
 
 QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {}
@@ -77,3 +78,121 @@ for _n, _f in (("month_range", MONTHS), ("codes", CODES), ("state", STATE), ("pa
                ("billing_npi", BILLING), ("servicing_npi", SERVICING), ("combined", COMBINED)):
     register(f"dash_filter_{_n}", _long(_f), O.dashboard_long(_f))
 register("dash_exclude_extreme", _long(EXTREME), O.dashboard_long(EXTREME))
+
+
+# ---------------------------------------------------------------- leaders
+from claimscope.operators import leaders as L  # noqa: E402
+
+register("sector_leaders", lambda i: L.sector_leaders(i.fact(), i.lookup(), i.sectors()),
+         O.sector_leaders(NO))
+register("sector_leaders_filtered",
+         lambda i: L.sector_leaders(i.fact(), i.lookup(), i.sectors(), COMBINED), O.sector_leaders(COMBINED))
+register("sector_leaders_codes",
+         lambda i: L.sector_leaders(i.fact(), i.lookup(), i.sectors(), CODES), O.sector_leaders(CODES))
+for _role in ("billing", "servicing"):
+    register(f"top_providers_state_{_role}",
+             (lambda r: lambda i: L.top_providers_by_state(i.fact(), i.lookup(), r))(_role),
+             O.top_providers_by_state(_role))
+    register(f"top_providers_code_{_role}",
+             (lambda r: lambda i: L.top_providers_by_code(i.fact(), i.lookup(), r))(_role),
+             O.top_providers_by_code(_role))
+
+# ---------------------------------------------------------------- providers
+from claimscope.operators import providers as P  # noqa: E402
+
+SUBJECT = "1000000007"
+register("find_provider", lambda i: P.find_provider(i.fact(), i.lookup(), "supplier#00000001"),
+         O.find_provider("supplier#00000001"))
+register("find_provider_broad", lambda i: P.find_provider(i.fact(), i.lookup(), " SUPPLIER# "),
+         O.find_provider(" SUPPLIER# "))
+register("find_provider_none", lambda i: P.find_provider(i.fact(), i.lookup(), "no such name"),
+         O.find_provider("no such name"))
+register("peer_codes", lambda i: P.peer_codes(i.fact(), i.descs(), SUBJECT),
+         O.peer_codes(NO, SUBJECT))
+register("peers", lambda i: P.peers(i.fact(), i.lookup(), SUBJECT), O.peers(NO, SUBJECT))
+register("peer_codes_filtered", lambda i: P.peer_codes(i.fact(), i.descs(), SUBJECT, PEER_SCOPE),
+         O.peer_codes(PEER_SCOPE, SUBJECT))
+register("peers_filtered", lambda i: P.peers(i.fact(), i.lookup(), SUBJECT, PEER_SCOPE),
+         O.peers(PEER_SCOPE, SUBJECT))
+register("peers_unknown_npi", lambda i: P.peers(i.fact(), i.lookup(), "999"),
+         O.peers(NO, "999"))
+register("peer_subject", lambda i: P.peer_subject(i.lookup(), SUBJECT), O.peer_subject(SUBJECT))
+
+
+def _index(i: Inputs) -> DataFrame:
+    from pyspark.sql import functions as F
+    df = P.provider_index(i.fact(), i.lookup())
+    return df.withColumn("codes", F.concat_ws(",", "codes"))
+
+
+register("provider_index", _index, O.provider_index())
+
+# ---------------------------------------------------------------- rows
+from claimscope.operators import rows as R  # noqa: E402
+
+register("rows_page", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 50, 100),
+         O.rows_page(NO, "paid", "desc", 50, 100))
+register("rows_page_bogus_sort", lambda i: R.rows_page(i.fact(), NO, "bogus", "desc", 50, 0),
+         O.rows_page(NO, "bogus", "desc", 50, 0))
+register("rows_page_month_asc", lambda i: R.rows_page(i.fact(), STATE, "month", "ASC", 9999, 0),
+         O.rows_page(STATE, "month", "ASC", 9999, 0))
+register("rows_page_filtered", lambda i: R.rows_page(i.fact(), COMBINED, "hcpcs", "asc", 50, 20),
+         O.rows_page(COMBINED, "hcpcs", "asc", 50, 20))
+register("top_rows", lambda i: R.top_rows(i.fact()), O.top_rows())
+
+# ---------------------------------------------------------------- cubes
+from claimscope.operators import cubes as C  # noqa: E402
+from claimscope.operators import stats as S  # noqa: E402
+
+register("cube_month_code", lambda i: C.out(C.cube_month_code(i.fact())), O.cube("month_code"))
+register("cube_code_bucket", lambda i: C.out(C.cube_code_bucket(i.fact())), O.cube("code_bucket"))
+register("cube_month_state", lambda i: C.out(C.cube_month_state(i.fact())), O.cube("month_state"))
+register("cube_state_code", lambda i: C.out(C.cube_state_code(i.fact())), O.cube("state_code"))
+
+
+def _indexed(i: Inputs) -> DataFrame:
+    f = i.fact()
+    c = C.cube_month_code(f)
+    c = C.with_index(c, "month", S.distinct_values(f, "month"), "month_idx")
+    c = C.with_index(c, "hcpcs", S.distinct_values(f, "hcpcs"), "code_idx")
+    return C.out(c)
+
+
+register("cube_month_code_indexed", _indexed, O.cube_month_code_indexed())
+
+CUBE_ARGS = {"month_from": "1997-01", "month_to": "1998-12", "hcpcs": "t1019, T2042 , ,D1110"}
+register("cubes_summary", lambda i: C.cubes_summary(C.cube_month_code(i.fact()), **CUBE_ARGS),
+         O.cubes_summary(**CUBE_ARGS))
+register("cubes_monthly", lambda i: C.cubes_monthly(C.cube_month_code(i.fact()), **CUBE_ARGS),
+         O.cubes_monthly(**CUBE_ARGS))
+register("cubes_monthly_all", lambda i: C.cubes_monthly(C.cube_month_code(i.fact())),
+         O.cubes_monthly())
+register("cubes_top_codes",
+         lambda i: C.cubes_top_codes(C.cube_month_code(i.fact()), month_from="1997-01",
+                                     month_to="1998-12"),
+         O.cubes_top_codes(month_from="1997-01", month_to="1998-12"))
+register("cubes_hist", lambda i: C.cubes_hist(C.cube_code_bucket(i.fact()), CUBE_ARGS["hcpcs"]),
+         O.cubes_hist(CUBE_ARGS["hcpcs"]))
+
+# ---------------------------------------------------------------- stats
+register("dataset_stats", lambda i: S.dataset_stats(i.fact()), O.dataset_stats())
+register("meta", lambda i: S.meta(i.fact()), O.meta())
+register("distinct_months", lambda i: S.distinct_values(i.fact(), "month"),
+         O.distinct_values("month"))
+register("distinct_codes", lambda i: S.distinct_values(i.fact(), "hcpcs"),
+         O.distinct_values("hcpcs"))
+register("distinct_states", lambda i: S.distinct_values(i.fact(), "billing_state"),
+         O.distinct_values("billing_state"))
+register("state_coverage", lambda i: S.state_coverage(i.fact()), O.state_coverage())
+register("sector_map", lambda i: S.sector_map(i.fact()), O.sector_map())
+register("sector_code_counts", lambda i: S.sector_code_counts(i.fact()), O.sector_code_counts())
+
+
+def _fact_view(i: Inputs) -> DataFrame:
+    from pyspark.sql import functions as F
+    return i.fact().select("billing_npi", "servicing_npi", "hcpcs", "month", "patients",
+                           "claim_lines", F.col("paid").cast("double").alias("paid"),
+                           "billing_state")
+
+
+register("fact_view", _fact_view, O.fact_view())

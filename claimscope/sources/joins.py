@@ -11,7 +11,7 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
 
     Rows whose ``billing_npi`` is null can never match, but in a shuffled join
     they would all hash to one reducer. They get a join key spread by a hash of
-    the row instead, and the join condition still requires a non-null npi, so
+    a few other columns of the row instead, and the join condition still requires a non-null npi, so
     no null row ever matches. A hot non-null provider is split by AQE's skew
     join (the preserved left side may be split); when the lookup is small at
     runtime AQE turns the join into a broadcast.
@@ -21,7 +21,8 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     fact = fact.drop("billing_state")
     cols = fact.columns
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in cols]).cast("string"))
+    spread_by = [c for c in ("servicing_npi", "month", "claim_lines") if c in cols] or cols
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in spread_by]).cast("string"))
     left = fact.withColumn("_jk", F.coalesce(F.col("billing_npi"), spread))
     right = lookup.select(F.col("npi").alias("_rk"), F.col("state").alias("billing_state"))
     joined = left.join(right, (left["_jk"] == right["_rk"]) & left["billing_npi"].isNotNull(), "left")
