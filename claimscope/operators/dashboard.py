@@ -106,13 +106,17 @@ def top_providers(a1: DataFrame, lookup: DataFrame, key: str, k: int = TOP_N) ->
     return with_names(top_groups(a1, key, k), lookup, key="key", bounded=True)
 
 
-def top_sectors(a1: DataFrame, k: int = TOP_N) -> DataFrame:
+def top_sectors(a1: DataFrame, k: int = TOP_N, sectors: DataFrame | None = None) -> DataFrame:
     """Fold the per-code groups into sectors (unclassified codes → Other).
 
     Runs over the code groups only – one row per distinct code – so codes
-    are classified once each, not once per fact row."""
+    are classified once each, not once per fact row. ``sectors`` is a stored
+    code → sector map; without it the codes are classified here."""
     codes = _group_slice(a1, "hcpcs")
-    sect = code_sectors(codes, "key")
+    if sectors is None:
+        sect = code_sectors(codes, "key")
+    else:
+        sect = sectors.select(F.col("hcpcs").alias("key"), "sector")
     codes = codes.join(sect, "key", "left")
     by_sector = (codes.groupBy(F.coalesce(F.col("sector"), F.lit(OTHER)).alias("key"))
                       .agg(F.sum("paid").alias("paid"), F.sum("patients").alias("patients"),
@@ -146,68 +150,101 @@ def dashboard(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
 
 LONG_COLUMNS = ["section", "rank", "key", "name", "paid", "patients", "claim_lines", "n"]
 
+# section name → (grouping id, grouping column) of the ranked sections
+_TOP_SECTIONS = {"top_hcpcs": (GID["hcpcs"], "hcpcs"),
+                 "top_billing": (GID["billing_npi"], "billing_npi"),
+                 "top_servicing": (GID["servicing_npi"], "servicing_npi"),
+                 "top_states": (GID["billing_state"], "billing_state")}
+
+
+def _section_of(pairs) -> F.Column:
+    expr = None
+    for section, (gid, _) in pairs:
+        c = F.col("gid") == gid
+        expr = F.when(c, F.lit(section)) if expr is None else expr.when(c, F.lit(section))
+    return expr
+
+
+def _key_of(pairs) -> F.Column:
+    expr = None
+    for _, (gid, col) in pairs:
+        c = F.col("gid") == gid
+        v = F.col(col).cast("string")
+        expr = F.when(c, v) if expr is None else expr.when(c, v)
+    return expr
+
 
 def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
-                   flt: Filter = NO_FILTER, k: int = TOP_N) -> DataFrame:
-    """The whole dashboard as one DataFrame (one job, one scan of the fact):
+                   flt: Filter = NO_FILTER, k: int = TOP_N,
+                   sectors: DataFrame | None = None) -> DataFrame:
+    """The whole dashboard as one DataFrame (one scan of the fact):
     ``section, rank, key, name, paid, patients, claim_lines, n``.
 
     The grouping-set aggregate is checkpointed (written to the shared
     checkpoint folder) before it is sliced. Without that cut, Catalyst pushes
-    each section's ``gid`` filter below the aggregate into the Expand, the
-    ten branches of the union become ten different aggregates, and the fact
-    would be scanned ten times. The checkpoint holds one row per group (not
-    per fact row) and survives the loss of an executor.
-
-    ``summary`` carries the totals (rows in ``n``) and ``distinct`` the three
-    distinct-key counts in ``n``.
+    each section's ``gid`` filter below the aggregate into the Expand and the
+    fact would be scanned once per section. The checkpoint holds one row per
+    group (not per fact row) and survives the loss of an executor.
+
+    The slices are then few small plans over the checkpoint: the four top-k
+    sections share one ``row_number`` window partitioned by section with a
+    ``rank <= k`` cut (a partial WindowGroupLimit before the shuffle, so each
+    task ships at most k rows per section); monthly and histogram share one
+    positional window (their domains – months, log-10 buckets – are small);
+    the totals and distinct counts are one aggregate unpivoted with ``stack``.
+    Names are attached to at most 3·k ranked keys.
+
+    ``summary`` carries the totals (rows in ``n``); ``distinct`` the three
+    distinct-key counts in ``n``. ``sectors`` is an optional stored code →
+    sector map; without it the codes are classified on the fly.
     """
     a1 = grouping_sets(fact, flt).checkpoint(eager=True)
     s = summary(a1)
-    null_s = F.lit(None).cast("string")
-    null_l = F.lit(None).cast("long")
-    parts = [
-        s.select(F.lit("summary").alias("section"), F.lit(1).cast("long").alias("rank"),
-                 null_s.alias("key"), null_s.alias("name"), "paid", "patients",
-                 "claim_lines", F.col("rows").alias("n")),
-    ]
-    for i, (label, c) in enumerate((("hcpcs", "hcpcs_n"), ("billing", "billing_n"),
-                                    ("servicing", "servicing_n"))):
-        parts.append(s.select(F.lit("distinct").alias("section"),
-                              F.lit(i + 1).cast("long").alias("rank"),
-                              F.lit(label).alias("key"), null_s.alias("name"),
-                              F.lit(None).cast("double").alias("paid"), null_l.alias("patients"),
-                              null_l.alias("claim_lines"), F.col(c).alias("n")))
-    parts.append(_positional(monthly(a1), "month", "monthly"))
-    parts.append(_positional(hist(a1), "bucket", "hist"))
-    ts = top_sectors(a1, k)
-    parts.append(ts.select(F.lit("top_sectors").alias("section"), "rank", "key",
-                           null_s.alias("name"), "paid", "patients", "claim_lines",
-                           null_l.alias("n")))
-    parts.append(_named(top_codes(a1, descs, k), "top_hcpcs"))
-    parts.append(_named(top_providers(a1, lookup, "billing_npi", k), "top_billing"))
-    parts.append(_named(top_providers(a1, lookup, "servicing_npi", k), "top_servicing"))
-    st = top_groups(a1, "billing_state", k)
-    parts.append(st.select(F.lit("top_states").alias("section"), "rank", "key",
-                           null_s.alias("name"), "paid", "patients", "claim_lines", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _named(t: DataFrame, section: str) -> DataFrame:
-    return t.select(F.lit(section).alias("section"), "rank", "key", "name", "paid",
-                    "patients", "claim_lines", "n")
-
-
-def _positional(df: DataFrame, key: str, section: str) -> DataFrame:
-    """Rank = 1-based position in ascending key order. The section holds one
-    row per month / bucket – a domain of a few dozen values – so a
-    single-partition window over it is bounded."""
-    w = Window.orderBy(F.col(key).asc())
-    return df.select(F.lit(section).alias("section"),
-                     F.row_number().over(w).cast("long").alias("rank"),
-                     F.col(key).cast("string").alias("key"),
-                     F.lit(None).cast("string").alias("name"),
-                     "paid", "patients", "claim_lines", "n")
+    totals = s.select(F.expr(
+        "stack(4, 'summary', 1L, cast(null as string), paid, patients, claim_lines, rows,"
+        " 'distinct', 1L, 'hcpcs', cast(null as double), cast(null as bigint), cast(null as bigint),"
+        " hcpcs_n,"
+        " 'distinct', 2L, 'billing', cast(null as double), cast(null as bigint), cast(null as bigint),"
+        " billing_n,"
+        " 'distinct', 3L, 'servicing', cast(null as double), cast(null as bigint),"
+        " cast(null as bigint), servicing_n)"
+        " as (section, rank, key, paid, patients, claim_lines, n)"))
+    totals = totals.select("section", "rank", "key", F.lit(None).cast("string").alias("name"),
+                           "paid", "patients", "claim_lines", "n")
+
+    # monthly + histogram: every row, ranked by position
+    pos_pairs = [("monthly", (GID["month"], "month")), ("hist", (GID["bucket"], "bucket"))]
+    pos = (a1.where(F.col("gid").isin(GID["month"], GID["bucket"]))
+             .select(_section_of(pos_pairs).alias("section"), "month", "bucket",
+                     _key_of(pos_pairs).alias("key"), *_rec())
+             .where(F.col("key").isNotNull()))
+    w = Window.partitionBy("section").orderBy(F.col("bucket").asc(), F.col("month").asc())
+    pos = pos.select("section", F.row_number().over(w).cast("long").alias("rank"), "key",
+                     F.lit(None).cast("string").alias("name"), money("paid").alias("paid"),
+                     "patients", "claim_lines", "n")
+
+    # the four top-k sections in one ranked window
+    top_pairs = list(_TOP_SECTIONS.items())
+    tops = (a1.where(F.col("gid").isin(*[g for g, _ in _TOP_SECTIONS.values()]))
+              .select(_section_of(top_pairs).alias("section"), _key_of(top_pairs).alias("key"),
+                      *_rec())
+              .where(F.col("key").isNotNull()))
+    w = Window.partitionBy("section").orderBy(F.col("paid").desc(), F.col("key").asc())
+    tops = (tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("section", F.col("rank").cast("long").alias("rank"), "key",
+                        money("paid").alias("paid"), "patients", "claim_lines", "n"))
+    names = (lookup.select(F.lit("npi").alias("_kind"), F.col("npi").alias("_nk"), "name")
+                   .unionByName(descs.select(F.lit("code").alias("_kind"),
+                                             F.col("hcpcs").alias("_nk"), "name")))
+    tops = tops.withColumn("_kind", F.when(F.col("section") == "top_hcpcs", F.lit("code"))
+                                     .when(F.col("section") != "top_states", F.lit("npi")))
+    named = names.join(F.broadcast(tops), (names["_kind"] == tops["_kind"])
+                       & (names["_nk"] == tops["key"]), "right")
+    tops = named.select("section", "rank", "key", names["name"], "paid", "patients",
+                        "claim_lines", "n")
+
+    ts = top_sectors(a1, k, sectors)
+    ts = ts.select(F.lit("top_sectors").alias("section"), "rank", "key",
+                   F.lit(None).cast("string").alias("name"), "paid", "patients", "claim_lines",
+                   F.lit(None).cast("long").alias("n"))
+    return totals.unionByName(pos).unionByName(ts).unionByName(tops)

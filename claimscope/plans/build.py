@@ -74,8 +74,9 @@ def bake(spark: SparkSession, root: str) -> dict:
         "provider_index": providers.provider_index(fact, lookup),
         "meta": stats.meta(fact),
         "state_coverage": stats.state_coverage(fact),
-        "dash_default": dashboard.dashboard_long(fact, lookup, descs),
-        "dash_outliers": dashboard.dashboard_long(fact, lookup, descs, Filter.exclude_extreme()),
+        "dash_default": dashboard.dashboard_long(fact, lookup, descs, sectors=sectors),
+        "dash_outliers": dashboard.dashboard_long(fact, lookup, descs, Filter.exclude_extreme(),
+                                                  sectors=sectors),
     }
     timings = {}
     for name, df in out.items():

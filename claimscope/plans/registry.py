@@ -70,7 +70,8 @@ for _s in ("summary", "monthly", "hist", "top_sectors", "top_hcpcs", "top_billin
 
 
 def _long(flt):
-    return lambda i: dash.dashboard_long(i.fact(), i.lookup(), i.descs(), flt)
+    return lambda i: dash.dashboard_long(i.fact(), i.lookup(), i.descs(), flt,
+                                         sectors=i.sectors() if i.built else None)
 
 
 register("dashboard_long", _long(NO), O.dashboard_long(NO))
