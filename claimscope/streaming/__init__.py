@@ -1,0 +1,9 @@
+"""Structured Streaming: the fact-table ingest as an incremental file stream.
+
+The analytic queries themselves are batch (the original tool has no streams,
+watermarks or stateful operators); only the ingest is streamed.
+"""
+
+from claimscope.streaming.ingest import claims_stream, read_stream_fact, start_ingest
+
+__all__ = ["claims_stream", "start_ingest", "read_stream_fact"]
