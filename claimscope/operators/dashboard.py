@@ -20,7 +20,7 @@ from claimscope.functions.expressions import measure_sums, money, paid_bucket, z
 from claimscope.functions.filters import DASHBOARD_SCOPE, NO_FILTER, Filter
 from claimscope.functions.sectors import OTHER, code_sectors
 from claimscope.operators.topk import top_k
-from claimscope.sources.joins import with_names
+from claimscope.sources.joins import attach, with_names
 
 TOP_N = 12
 
@@ -96,10 +96,7 @@ def top_groups(a1: DataFrame, key: str, k: int = TOP_N) -> DataFrame:
 
 
 def top_codes(a1: DataFrame, descs: DataFrame, k: int = TOP_N) -> DataFrame:
-    t = top_groups(a1, "hcpcs", k)
-    d = descs.select(F.col("hcpcs").alias("_dk"), F.col("name"))
-    j = d.join(F.broadcast(t), d["_dk"] == t["key"], "right")
-    return j.select(*[t[c] for c in t.columns], d["name"])
+    return attach(top_groups(a1, "hcpcs", k), descs, [("key", "hcpcs")], ["name"])
 
 
 def top_providers(a1: DataFrame, lookup: DataFrame, key: str, k: int = TOP_N) -> DataFrame:
@@ -238,10 +235,8 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
                                              F.col("hcpcs").alias("_nk"), "name")))
     tops = tops.withColumn("_kind", F.when(F.col("section") == "top_hcpcs", F.lit("code"))
                                      .when(F.col("section") != "top_states", F.lit("npi")))
-    named = names.join(F.broadcast(tops), (names["_kind"] == tops["_kind"])
-                       & (names["_nk"] == tops["key"]), "right")
-    tops = named.select("section", "rank", "key", names["name"], "paid", "patients",
-                        "claim_lines", "n")
+    tops = attach(tops, names, [("_kind", "_kind"), ("key", "_nk")], ["name"])
+    tops = tops.select("section", "rank", "key", "name", "paid", "patients", "claim_lines", "n")
 
     ts = top_sectors(a1, k, sectors)
     ts = ts.select(F.lit("top_sectors").alias("section"), "rank", "key",

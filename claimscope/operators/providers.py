@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.functions.expressions import money, round2
 from claimscope.functions.filters import NO_FILTER, PEERS_SCOPE, Filter
 from claimscope.operators.topk import top_k_per_group
-from claimscope.sources.joins import with_names
+from claimscope.sources.joins import attach, with_names
 
 
 def find_provider(fact: DataFrame, lookup: DataFrame, name: str, cap: int = 400,
@@ -53,8 +53,8 @@ def peer_codes(fact: DataFrame, descs: DataFrame, npi: str, flt: Filter = NO_FIL
     top = (g.orderBy(F.col("paid").desc_nulls_last(), F.col("hcpcs").asc()).limit(k)
              .withColumn("rank", F.row_number().over(
                  Window.orderBy(F.col("paid").desc_nulls_last(), F.col("hcpcs").asc())).cast("long")))
-    d = descs.select(F.col("hcpcs").alias("_dk"), F.col("name").alias("description"))
-    j = d.join(F.broadcast(top), d["_dk"] == top["hcpcs"], "right")
+    d = descs.select("hcpcs", F.col("name").alias("description"))
+    j = attach(top, d, [("hcpcs", "hcpcs")], ["description"])
     return j.select("rank", F.col("hcpcs").alias("code"), "description", money("paid").alias("paid"))
 
 

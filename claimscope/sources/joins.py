@@ -29,16 +29,42 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     return joined.select(*cols, "billing_state")
 
 
+def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: list[str],
+           ) -> DataFrame:
+    """Left-join ``cols`` of a large dimension onto a small frame of proven size.
+
+    In an outer join the preserved side cannot be the broadcast (build) side,
+    so ``small LEFT JOIN dim`` would broadcast or shuffle the dimension. This
+    instead streams the dimension once through an *inner* join against the
+    broadcast keys of ``small``, then left-joins the few hits back onto
+    ``small`` (both sides tiny). ``on`` pairs (small column, dim column).
+    """
+    kcols = [f"_ak{i}" for i in range(len(on))]
+    keys = small.select(*[F.col(s).alias(k) for (s, _), k in zip(on, kcols)]).distinct()
+    cond = None
+    for (_, d), k in zip(on, kcols):
+        c = dim[d] == keys[k]
+        cond = c if cond is None else cond & c
+    hits = dim.join(F.broadcast(keys), cond).select(*kcols, *[dim[c] for c in cols])
+    cond = None
+    for (s, _), k in zip(on, kcols):
+        c = small[s] == hits[k]
+        cond = c if cond is None else cond & c
+    out = small.join(F.broadcast(hits), cond, "left")
+    return out.select(*[small[c] for c in small.columns], *[hits[c] for c in cols])
+
+
 def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
                bounded: bool = False) -> DataFrame:
     """Attach the registered name of each provider in ``ranked[key]``.
 
-    Written as ``lookup RIGHT JOIN ranked`` so the ranked (small) side can be
-    the broadcast build side while the lookup is only scanned. ``bounded``
-    says the ranked side has a proven small size (a global top-k) and forces
-    the broadcast; otherwise AQE chooses from the runtime size.
+    ``bounded`` says the ranked side has a proven small size (a global
+    top-k): the registry is then only streamed past the broadcast keys
+    (:func:`attach`). Otherwise a plain left join, which AQE turns into a
+    broadcast of the registry when that is small at runtime.
     """
+    if bounded:
+        return attach(ranked, lookup, [(key, "npi")], ["name"])
     names = lookup.select(F.col("npi").alias("_nk"), F.col("name"))
-    side = F.broadcast(ranked) if bounded else ranked
-    joined = names.join(side, names["_nk"] == side[key], "right")
-    return joined.select(*[side[c] for c in ranked.columns], names["name"])
+    joined = ranked.join(names, ranked[key] == names["_nk"], "left")
+    return joined.select(*[ranked[c] for c in ranked.columns], names["name"])
