@@ -133,10 +133,28 @@ def write_versioned(spark: SparkSession, root: str, write) -> str:
     return path
 
 
+def read_json_map(spark: SparkSession, path: str, key: str = "hcpcs",
+                  value: str = "sector") -> DataFrame:
+    """A JSON object file ``{"code": "value", ...}`` → ``key, value`` rows.
+
+    Such a file is one JSON value, so each file is parsed by one task; it is
+    meant for the small code maps (sector names, code descriptions), which
+    are then broadcast by size. Many files are read in parallel."""
+    text = spark.read.text(path, wholetext=True)
+    m = F.from_json(F.col("value"), "map<string,string>")
+    return text.select(F.explode(m).alias(key, value))
+
+
+def write_json_map(df: DataFrame, path: str, key: str = "hcpcs", value: str = "sector") -> None:
+    """Inverse of :func:`read_json_map` for a small map (one file)."""
+    (df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value"))
+       .write.mode("overwrite").text(path))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-__all__ = ["read_claims_csv", "read_registry_csv", "amount_precision_report", "dedupe_lookup",
-           "write_fact", "read_fact", "write_versioned", "latest_version", "write_table",
+__all__ = ["read_json_map", "write_json_map", "read_claims_csv", "read_registry_csv",
+           "amount_precision_report", "dedupe_lookup", "write_fact", "read_fact", "write_versioned", "latest_version", "write_table",
            "NPI_LOOKUP"]

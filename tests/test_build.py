@@ -137,3 +137,27 @@ def test_plan_rows_page_single_take_ordered(spark, built):
     df = rows.rows_page(i.fact(), Filter(), "paid", "desc", 50, 100)
     df.collect()
     assert "TakeOrderedAndProject" in _plan(df)
+
+
+def test_registry_csv(spark):
+    from claimscope.sources.tables import REGISTRY_NAME, REGISTRY_STATE, read_registry_csv
+    lk = fixture.npi_lookup(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="claimscope-test-reg-", dir="/tmp") + "/registry"
+    rows_ = lk.select(F.col("npi").alias("NPI"), F.col("name").alias(REGISTRY_NAME),
+                      F.concat(F.lit(" "), F.lower("state"), F.lit(" ")).alias(REGISTRY_STATE),
+                      F.lit("x").alias("Other Column"))
+    no_npi = spark.createDataFrame([(None, "no npi", "ny", "x")],
+                                   "a string, b string, c string, d string")
+    rows_.union(no_npi).write.option("header", True).csv(path)
+    back = read_registry_csv(spark, path)
+    assert back.exceptAll(lk).count() == 0 and lk.exceptAll(back).count() == 0
+
+
+def test_json_map_round_trip(spark):
+    from claimscope.functions.sectors import code_sectors
+    from claimscope.sources.tables import read_json_map, write_json_map
+    m = code_sectors(fixture.spending_raw(spark, SF_SMALL))
+    path = tempfile.mkdtemp(prefix="claimscope-test-json-", dir="/tmp") + "/sectors"
+    write_json_map(m, path)
+    back = read_json_map(spark, path)
+    assert back.exceptAll(m).count() == 0 and m.exceptAll(back).count() == 0
