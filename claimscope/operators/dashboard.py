@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from claimscope.functions.expressions import measure_sums, money, paid_bucket, zero_if_null
 from claimscope.functions.filters import DASHBOARD_SCOPE, NO_FILTER, Filter
 from claimscope.functions.sectors import OTHER, code_sectors
+from claimscope.session import checkpoint_dir
 from claimscope.operators.topk import top_k
 from claimscope.sources.joins import attach, with_names
 
@@ -122,21 +123,27 @@ def top_sectors(a1: DataFrame, k: int = TOP_N, sectors: DataFrame | None = None)
     return t.select("rank", "key", money("paid").alias("paid"), "patients", "claim_lines")
 
 
+def _materialised(a1: DataFrame) -> DataFrame:
+    """Checkpoint the aggregate into the shared checkpoint folder (set from
+    the session's ``spark.checkpoint.dir``, or a scratch folder when unset)."""
+    checkpoint_dir(a1.sparkSession)
+    return a1.checkpoint(eager=True)
+
+
 def dashboard(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
-              flt: Filter = NO_FILTER, k: int = TOP_N, persist: bool = True) -> dict:
+              flt: Filter = NO_FILTER, k: int = TOP_N,
+              sectors: DataFrame | None = None) -> dict:
     """All eight sections as DataFrames sharing one grouping-set aggregate.
 
-    With ``persist`` the aggregate (one row per group – never the fact rows)
-    is cached on the executors, so the eight small jobs scan the fact once.
-    A lost executor only means its cached blocks are recomputed.
+    The aggregate (one row per group – never the fact rows) is computed once
+    and checkpointed, so the eight small jobs scan the fact once; a lost
+    executor does not lose it.
     """
-    a1 = grouping_sets(fact, flt)
-    if persist:
-        a1 = a1.persist()
+    a1 = _materialised(grouping_sets(fact, flt))
     return {
         "summary": summary(a1),
         "monthly": monthly(a1),
-        "top_sectors": top_sectors(a1, k),
+        "top_sectors": top_sectors(a1, k, sectors),
         "top_hcpcs": top_codes(a1, descs, k),
         "top_billing": top_providers(a1, lookup, "billing_npi", k),
         "top_servicing": top_providers(a1, lookup, "servicing_npi", k),
@@ -195,7 +202,7 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
     distinct-key counts in ``n``. ``sectors`` is an optional stored code →
     sector map; without it the codes are classified on the fly.
     """
-    a1 = grouping_sets(fact, flt).checkpoint(eager=True)
+    a1 = _materialised(grouping_sets(fact, flt))
     s = summary(a1)
     totals = s.select(F.expr(
         "stack(4, 'summary', 1L, cast(null as string), paid, patients, claim_lines, rows,"

@@ -22,17 +22,40 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for a large cluster (on the order of 1000 executors, 100 TB of
+# Parquet): ~256 MB scan splits, an initial shuffle width that AQE coalesces
+# down to ~256 MB partitions, skew splitting above 512 MB, runtime broadcast
+# only below 64 MB, and executor decommissioning that migrates shuffle
+# blocks so a lost executor costs as little recomputation as possible.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.task.maxFailures": "8",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "claimscope", extra: dict | None = None) -> SparkSession:
+              app: str = "claimscope", extra: dict | None = None,
+              profile: str = "local") -> SparkSession:
     """Return (or create) a session with claimscope's defaults.
 
     ``master`` and ``shuffle_partitions`` are only applied when given, so on a
-    cluster the launcher's settings win.
+    cluster the launcher's settings win. ``profile="cluster"`` adds
+    :data:`CLUSTER_CONF`.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):

@@ -162,3 +162,14 @@ def test_dashboard_long_is_consistent(micro, micro_lookup, micro_descs):
     for sec in ("top_hcpcs", "top_billing", "top_servicing", "top_states", "top_sectors"):
         p = [r.paid for r in long.where(F.col("section") == sec).orderBy("rank").collect()]
         assert p == sorted(p, reverse=True)
+
+
+def test_dashboard_dict_matches_long(micro, micro_lookup, micro_descs):
+    parts = dashboard.dashboard(micro, micro_lookup, micro_descs)
+    long = dashboard.dashboard_long(micro, micro_lookup, micro_descs)
+    assert parts["summary"].collect()[0].rows == long.where("section = 'summary'").collect()[0].n
+    a = rows_of(parts["top_billing"].orderBy("rank"), "key", "name", "paid")
+    b = rows_of(long.where("section = 'top_billing'").orderBy("rank"), "key", "name", "paid")
+    assert a == b
+    assert rows_of(parts["hist"], "bucket", "n") == [
+        (int(r.key), r.n) for r in long.where("section = 'hist'").orderBy("rank").collect()]
