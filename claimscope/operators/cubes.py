@@ -53,7 +53,7 @@ def out(cube: DataFrame) -> DataFrame:
 def with_index(cube: DataFrame, key: str, index: DataFrame, index_col: str) -> DataFrame:
     """Replace ``key`` by its dense index (``index`` has ``key, idx``)."""
     idx = index.select(F.col(key).alias("_ik"), F.col("idx").alias(index_col))
-    j = cube.join(idx, cube[key] == idx["_ik"])
+    j = cube.join(idx, F.col(key) == F.col("_ik"))
     return j.drop("_ik", key)
 
 

@@ -27,10 +27,13 @@ def find_provider(fact: DataFrame, lookup: DataFrame, name: str, cap: int = 400,
     hits = (lookup.where(F.col("name").ilike(f"%{v}%"))
                   .orderBy(F.col("npi").asc_nulls_last(), F.col("name").asc_nulls_last(),
                            F.col("state").asc_nulls_last())
-                  .limit(cap))
+                  .limit(cap)
+                  .select(F.col("npi").alias("_hn"), F.col("name").alias("_hname"),
+                          F.col("state").alias("_hstate")))
     rows = fact.select("billing_npi", "paid").join(
-        F.broadcast(hits), F.col("billing_npi") == hits["npi"])
-    g = rows.groupBy(hits["npi"], hits["name"], hits["state"]).agg(round2(F.sum("paid")).alias("paid"))
+        F.broadcast(hits), F.col("billing_npi") == F.col("_hn"))
+    g = rows.groupBy(F.col("_hn").alias("npi"), F.col("_hname").alias("name"),
+                     F.col("_hstate").alias("state")).agg(round2(F.sum("paid")).alias("paid"))
     return (g.orderBy(F.col("paid").desc_nulls_last(), F.col("npi").asc())
              .limit(k).select("npi", "name", "state", money("paid").alias("paid")))
 
@@ -116,7 +119,9 @@ def provider_index(fact: DataFrame, lookup: DataFrame, min_total: str = "1000000
     per = per.select("npi", money(round2("_total")).alias("total"),
                      F.transform("_codes", lambda x: x["hcpcs"]).alias("codes"),
                      money(round2("_poc")).alias("paid_on_codes"))
-    names = lookup.select(F.col("npi").alias("_nk"), "name", "state")
-    j = per.join(names, per["npi"] == names["_nk"], "left")
-    return (j.select("npi", "name", "state", "total", "codes", "paid_on_codes")
+    names = lookup.select(F.col("npi").alias("_nk"), F.col("name").alias("_nm"),
+                          F.col("state").alias("_ns"))
+    j = per.join(names, F.col("npi") == F.col("_nk"), "left")
+    return (j.select("npi", F.col("_nm").alias("name"), F.col("_ns").alias("state"), "total",
+                     "codes", "paid_on_codes")
              .orderBy(F.col("total").desc(), F.col("npi").asc()))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,10 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     spread_by = [c for c in ("servicing_npi", "month", "claim_lines") if c in cols] or cols
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in spread_by]).cast("string"))
     left = fact.withColumn("_jk", F.coalesce(F.col("billing_npi"), spread))
-    right = lookup.select(F.col("npi").alias("_rk"), F.col("state").alias("billing_state"))
-    joined = left.join(right, (left["_jk"] == right["_rk"]) & left["billing_npi"].isNotNull(), "left")
-    return joined.select(*cols, "billing_state")
+    right = lookup.select(F.col("npi").alias("_rk"), F.col("state").alias("_rstate"))
+    joined = left.join(right, (F.col("_jk") == F.col("_rk")) & F.col("billing_npi").isNotNull(),
+                       "left")
+    return joined.select(*cols, F.col("_rstate").alias("billing_state"))
 
 
 def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: list[str],
@@ -38,20 +42,20 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
     instead streams the dimension once through an *inner* join against the
     broadcast keys of ``small``, then left-joins the few hits back onto
     ``small`` (both sides tiny). ``on`` pairs (small column, dim column).
+    Every column is renamed before joining, so ``small`` may itself derive
+    from ``dim`` (no ambiguous self-join).
     """
     kcols = [f"_ak{i}" for i in range(len(on))]
+    dcols = [f"_ad{i}" for i in range(len(on))]
+    vcols = [f"_av{i}" for i in range(len(cols))]
     keys = small.select(*[F.col(s).alias(k) for (s, _), k in zip(on, kcols)]).distinct()
-    cond = None
-    for (_, d), k in zip(on, kcols):
-        c = dim[d] == keys[k]
-        cond = c if cond is None else cond & c
-    hits = dim.join(F.broadcast(keys), cond).select(*kcols, *[dim[c] for c in cols])
-    cond = None
-    for (s, _), k in zip(on, kcols):
-        c = small[s] == hits[k]
-        cond = c if cond is None else cond & c
+    d = dim.select(*[F.col(dc).alias(a) for (_, dc), a in zip(on, dcols)],
+                   *[F.col(c).alias(v) for c, v in zip(cols, vcols)])
+    cond = functools.reduce(operator.and_, [F.col(a) == F.col(k) for a, k in zip(dcols, kcols)])
+    hits = d.join(F.broadcast(keys), cond).select(*kcols, *vcols)
+    cond = functools.reduce(operator.and_, [F.col(s) == F.col(k) for (s, _), k in zip(on, kcols)])
     out = small.join(F.broadcast(hits), cond, "left")
-    return out.select(*[small[c] for c in small.columns], *[hits[c] for c in cols])
+    return out.select(*small.columns, *[F.col(v).alias(c) for c, v in zip(cols, vcols)])
 
 
 def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
@@ -65,6 +69,6 @@ def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
     """
     if bounded:
         return attach(ranked, lookup, [(key, "npi")], ["name"])
-    names = lookup.select(F.col("npi").alias("_nk"), F.col("name"))
-    joined = ranked.join(names, ranked[key] == names["_nk"], "left")
-    return joined.select(*[ranked[c] for c in ranked.columns], names["name"])
+    names = lookup.select(F.col("npi").alias("_nk"), F.col("name").alias("_nm"))
+    joined = ranked.join(names, F.col(key) == F.col("_nk"), "left")
+    return joined.select(*ranked.columns, F.col("_nm").alias("name"))
