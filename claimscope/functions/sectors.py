@@ -91,44 +91,74 @@ def _rule_case(kind: Column, letter: Column, num: Column) -> Column:
     return expr
 
 
+def rule_segments() -> list[tuple[str, str, int, int, str]]:
+    """The ordered rules as disjoint ``(kind, letter, lo, hi, sector)``
+    segments: within one family and letter the number line is cut at every
+    rule boundary and each piece takes the sector of the first rule covering
+    it; adjacent pieces of the same sector are merged. Five-digit codes use
+    kind ``N`` and letter ``#``. A code then matches at most one segment."""
+    by_letter: dict[tuple[str, str], list[tuple[int, int, str]]] = {}
+    for sector, letters, lo, hi in LETTER_RULES:
+        for x in letters:
+            by_letter.setdefault(("L", x), []).append((lo, hi, sector))
+    for sector, lo, hi in NUMERIC_RULES:
+        by_letter.setdefault(("N", "#"), []).append((lo, hi, sector))
+    out: list[tuple[str, str, int, int, str]] = []
+    for (kind, letter), rules in by_letter.items():
+        cuts = sorted({lo for lo, _, _ in rules} | {hi + 1 for _, hi, _ in rules})
+        for a, b in zip(cuts, cuts[1:]):
+            sector = next((sec for lo, hi, sec in rules if lo <= a and b - 1 <= hi), None)
+            if sector is None:
+                continue
+            if out and out[-1][:2] == (kind, letter) and out[-1][3] == a - 1 \
+                    and out[-1][4] == sector:
+                out[-1] = (kind, letter, out[-1][2], b - 1, sector)
+            else:
+                out.append((kind, letter, a, b - 1, sector))
+    return out
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
-    """The rules as a fixed dimension table, one row per (family, letter):
-    ``prio, kind, letter, lo, hi, sector``; five-digit rules use letter '#'."""
-    rows = []
-    for prio, (sector, letters, lo, hi) in enumerate(LETTER_RULES):
-        rows += [(prio, "L", x, lo, hi, sector) for x in letters]
-    base = len(LETTER_RULES)
-    rows += [(base + i, "N", "#", lo, hi, sector) for i, (sector, lo, hi) in enumerate(NUMERIC_RULES)]
-    return spark.createDataFrame(
-        rows, "prio int, kind string, letter string, lo int, hi int, sector string")
+    """:func:`rule_segments` as a small fixed DataFrame (tens of rows)."""
+    return spark.createDataFrame(rule_segments(),
+                                 "kind string, letter string, lo int, hi int, sector string")
 
 
-def code_sectors(codes: DataFrame, code: str = "hcpcs") -> DataFrame:
-    """``code → sector`` for every distinct classified code of ``codes``.
+def classify(df: DataFrame, code: str = "hcpcs", out: str = "sector") -> DataFrame:
+    """Add the sector of ``df[code]`` as column ``out`` (null = unclassified).
 
-    The distinct codes are split into family / first letter / number and
-    range-joined with the broadcast rule table (a fixed ~30 rows); where
-    several rules match, the first in rule order wins. Unclassified codes
-    are left out. The result has one row per distinct code – small next to
-    the fact – and is what the fact is joined with (raw code as the key).
+    The code is normalised and split into family / first letter / number in
+    projections of its own; the broadcast segment table is then probed on
+    (family, letter) with a range check on the number – a streaming
+    broadcast hash join, no shuffle, at most one match per row.
     """
-    c = codes.select(code).where(F.col(code).isNotNull()).distinct()
     n = normalize_code(F.col(code))
-    staged = c.select(code, n.alias("_n"))
-    n = F.col("_n")
+    staged = df.withColumn("_sc_n", n)
+    n = F.col("_sc_n")
     kind = F.when(n.rlike(r"\A[A-Z][0-9]{4}\z"), F.lit("L")).when(
         n.rlike(r"\A[0-9]{5}\z"), F.lit("N"))
-    staged = staged.select(code, "_n", kind.alias("_kind"))
+    staged = staged.withColumn("_sc_kind", kind)
+    is_l = F.col("_sc_kind") == "L"
     staged = staged.select(
-        code, "_kind",
-        F.when(F.col("_kind") == "L", F.substring("_n", 1, 1)).otherwise(F.lit("#")).alias("_letter"),
-        F.when(F.col("_kind") == "L", F.substring("_n", 2, 4).try_cast("int"))
-         .otherwise(F.col("_n").try_cast("int")).alias("_num"))
-    rules = F.broadcast(rules_table(codes.sparkSession))
-    j = staged.join(rules, (staged["_kind"] == rules["kind"]) & (staged["_letter"] == rules["letter"])
-                    & staged["_num"].between(rules["lo"], rules["hi"]))
-    return (j.groupBy(code).agg(F.min(F.struct("prio", "sector")).alias("_m"))
-             .select(code, F.col("_m.sector").alias("sector")))
+        *df.columns, "_sc_kind",
+        F.when(is_l, F.substring("_sc_n", 1, 1)).otherwise(F.lit("#")).alias("_sc_letter"),
+        F.when(is_l, F.substring("_sc_n", 2, 4).try_cast("int"))
+         .otherwise(F.col("_sc_n").try_cast("int")).alias("_sc_num"))
+    seg = rules_table(df.sparkSession).select(
+        F.col("kind").alias("_rk"), F.col("letter").alias("_rl"), F.col("lo").alias("_rlo"),
+        F.col("hi").alias("_rhi"), F.col("sector").alias("_rs"))
+    j = staged.join(F.broadcast(seg), (F.col("_sc_kind") == F.col("_rk"))
+                    & (F.col("_sc_letter") == F.col("_rl"))
+                    & F.col("_sc_num").between(F.col("_rlo"), F.col("_rhi")), "left")
+    return j.select(*df.columns, F.col("_rs").alias(out))
+
+
+def code_sectors(codes: DataFrame, code: str = "hcpcs") -> DataFrame:
+    """``code → sector`` for every distinct classified code of ``codes``
+    (raw code as key; unclassified codes left out). One row per distinct
+    code – small next to the fact, which is joined with it on the raw code."""
+    c = codes.select(code).where(F.col(code).isNotNull()).distinct()
+    return classify(c, code, "sector").where(F.col("sector").isNotNull())
 
 
 def sector_of(code: Column | str) -> Column:

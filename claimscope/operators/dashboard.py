@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import measure_sums, money, paid_bucket, zero_if_null
 from claimscope.functions.filters import DASHBOARD_SCOPE, NO_FILTER, Filter
-from claimscope.functions.sectors import OTHER, code_sectors
+from claimscope.functions.sectors import OTHER, classify
 from claimscope.session import checkpoint_dir
 from claimscope.operators.topk import top_k
 from claimscope.sources.joins import attach, with_names
@@ -112,10 +112,9 @@ def top_sectors(a1: DataFrame, k: int = TOP_N, sectors: DataFrame | None = None)
     code → sector map; without it the codes are classified here."""
     codes = _group_slice(a1, "hcpcs")
     if sectors is None:
-        sect = code_sectors(codes, "key")
+        codes = classify(codes, "key", "sector")
     else:
-        sect = sectors.select(F.col("hcpcs").alias("key"), "sector")
-    codes = codes.join(sect, "key", "left")
+        codes = codes.join(sectors.select(F.col("hcpcs").alias("key"), "sector"), "key", "left")
     by_sector = (codes.groupBy(F.coalesce(F.col("sector"), F.lit(OTHER)).alias("key"))
                       .agg(F.sum("paid").alias("paid"), F.sum("patients").alias("patients"),
                            F.sum("claim_lines").alias("claim_lines")))

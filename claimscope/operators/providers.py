@@ -91,8 +91,10 @@ def peers(fact: DataFrame, lookup: DataFrame, npi: str, flt: Filter = NO_FILTER,
 def peer_subject(lookup: DataFrame, npi: str) -> DataFrame:
     """``npi, name`` of the subject (name null when not registered)."""
     subject = _subject(npi)
-    one = lookup.sparkSession.range(1).select(F.lit(subject).alias("npi"))
-    return with_names(one, lookup, key="npi", bounded=True)
+    # a global aggregate always yields exactly one row; the npi filter is
+    # pushed into the registry scan
+    return lookup.where(F.col("npi") == subject).agg(
+        F.lit(subject).alias("npi"), F.max("name").alias("name"))
 
 
 def provider_index(fact: DataFrame, lookup: DataFrame, min_total: str = "1000000",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money, valid_state
-from claimscope.functions.sectors import code_sectors
+from claimscope.functions.sectors import classify, code_sectors
 from claimscope.operators.topk import dense_index
 
 
@@ -46,7 +46,7 @@ def sector_map(fact: DataFrame) -> DataFrame:
 def sector_code_counts(fact: DataFrame) -> DataFrame:
     """Distinct codes per sector (null sector = unclassified)."""
     codes = fact.select("hcpcs").where(F.col("hcpcs").isNotNull()).distinct()
-    return (codes.join(code_sectors(codes, "hcpcs"), "hcpcs", "left")
+    return (classify(codes, "hcpcs", "sector")
                  .groupBy("sector").agg(F.count(F.lit(1)).alias("codes")))
 
 
