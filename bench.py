@@ -3,9 +3,9 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 The build (registry + fact table, like the one-time conversion of the
-original tool) is timed once as ``etl_build``. Each query then runs against
-the built Parquet tables: one warm-up, then ``BENCH_RUNS`` timed runs (median
-reported). Queries execute fully via the ``noop`` sink, so result size does
+original tool) is timed once as ``etl_build``. The queries then run against
+the built Parquet tables: one untimed warm-up round over all of them, then
+``BENCH_RUNS`` timed rounds (median per query reported). Queries execute fully via the ``noop`` sink, so result size does
 not go through the driver. Prints one JSON line.
 """
 
@@ -62,16 +62,16 @@ def main() -> None:
     etl = time.time() - t0
 
     inputs = Inputs.from_build(spark, root)
-    times = {}
-    for name in HEADLINE:
-        build = QUERIES[name][0]
-        samples = []
-        for i in range(runs + 1):
+    samples = {name: [] for name in HEADLINE}
+    # round 0 warms the JVM over every query; rounds 1..runs are timed,
+    # interleaved so no query is favoured by its position
+    for rnd in range(runs + 1):
+        for name in HEADLINE:
             t0 = time.time()
-            build(inputs).write.format("noop").mode("overwrite").save()
-            if i:
-                samples.append(time.time() - t0)
-        times[name] = round(statistics.median(samples), 3)
+            QUERIES[name][0](inputs).write.format("noop").mode("overwrite").save()
+            if rnd:
+                samples[name].append(time.time() - t0)
+    times = {name: round(statistics.median(v), 3) for name, v in samples.items()}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total",
