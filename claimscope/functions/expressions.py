@@ -37,11 +37,6 @@ def valid_state(c: Column | str = "billing_state") -> Column:
     return x.isNotNull() & (F.length(x) == 2)
 
 
-def pct_covered(c: Column | str) -> Column:
-    """Share of rows (in %, one decimal) where ``c`` is not null."""
-    return F.round(F.lit(100.0) * F.count(col(c)) / F.count(F.lit(1)), 1)
-
-
 def measure_sums(paid: str = "paid") -> list[Column]:
     """sum(paid), sum(patients), sum(claim_lines), count(*) – kept exact."""
     return [F.sum(paid).alias("paid"), F.sum("patients").alias("patients"),

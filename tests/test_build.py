@@ -161,3 +161,22 @@ def test_json_map_round_trip(spark):
     write_json_map(m, path)
     back = read_json_map(spark, path)
     assert back.exceptAll(m).count() == 0 and m.exceptAll(back).count() == 0
+
+
+def test_amount_precision_report(spark):
+    from claimscope.sources.tables import amount_precision_report
+    path = tempfile.mkdtemp(prefix="claimscope-test-amt-", dir="/tmp") + "/claims.csv"
+    rows_ = ["BILLING_PROVIDER_NPI_NUM,SERVICING_PROVIDER_NPI_NUM,HCPCS_CODE,CLAIM_FROM_MONTH,"
+             "TOTAL_PATIENTS,TOTAL_CLAIM_LINES,TOTAL_PAID",
+             "1,2,T1019,2018-01,3,4,10.50", "1,2,T1019,2018-02,3,4,1.005", "1,2,T1019,2018-03,3,4,7"]
+    with open(path, "w") as f:
+        f.write("\n".join(rows_) + "\n")
+    r = amount_precision_report(spark, path).collect()[0]
+    assert (r.rounded_rows, r.rows) == (1, 3)
+    back = read_claims_csv(spark, path).orderBy("month").collect()
+    assert [str(x.paid) for x in back] == ["10.50", "1.01", "7.00"]
+
+
+def test_filter_from_query_params():
+    f = Filter.from_params({"month_from": ["2018-01"], "hcpcs": ["a, b"], "sort": ["paid"]})
+    assert f == Filter(month_from="2018-01", hcpcs="a, b")
