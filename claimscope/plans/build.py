@@ -58,13 +58,13 @@ def bake(spark: SparkSession, root: str) -> dict:
     descs = spark.read.parquet(f"{root}/code_desc")
     sectors = spark.read.parquet(f"{root}/sector_map")
     out = {
+        "months": stats.distinct_values(fact, "month"),
+        "codes": stats.distinct_values(fact, "hcpcs"),
+        "states": stats.distinct_values(fact, "billing_state"),
         "cube_month_code": cubes.cube_month_code(fact),
         "cube_code_bucket": cubes.cube_code_bucket(fact),
         "cube_month_state": cubes.cube_month_state(fact),
         "cube_state_code": cubes.cube_state_code(fact),
-        "months": stats.distinct_values(fact, "month"),
-        "codes": stats.distinct_values(fact, "hcpcs"),
-        "states": stats.distinct_values(fact, "billing_state"),
         "top_providers_state_billing": leaders.top_providers_by_state(fact, lookup, "billing"),
         "top_providers_state_servicing": leaders.top_providers_by_state(fact, lookup, "servicing"),
         "top_providers_code_billing": leaders.top_providers_by_code(fact, lookup, "billing"),
@@ -83,6 +83,20 @@ def bake(spark: SparkSession, root: str) -> dict:
         t0 = time.time()
         write_table(df, f"{root}/{name}")
         timings[name] = time.time() - t0
+    # the cubes keyed by the dense indexes just written (read back, so the
+    # index computation is not repeated)
+    idx = {k: spark.read.parquet(f"{root}/{t}") for k, t in
+           (("month", "months"), ("hcpcs", "codes"), ("billing_state", "states"))}
+    names = {"month": "month_idx", "hcpcs": "code_idx", "billing_state": "state_idx"}
+    for cube, keys in (("cube_month_code", ("month", "hcpcs")), ("cube_code_bucket", ("hcpcs",)),
+                       ("cube_month_state", ("month", "billing_state")),
+                       ("cube_state_code", ("billing_state", "hcpcs"))):
+        t0 = time.time()
+        c = spark.read.parquet(f"{root}/{cube}")
+        for k in keys:
+            c = cubes.with_index(c, k, idx[k], names[k])
+        write_table(c, f"{root}/{cube}_indexed")
+        timings[f"{cube}_indexed"] = time.time() - t0
     return timings
 
 

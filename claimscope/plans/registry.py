@@ -161,6 +161,30 @@ def _indexed(i: Inputs) -> DataFrame:
 
 register("cube_month_code_indexed", _indexed, O.cube_month_code_indexed())
 
+
+def _indexed_cube(kind: str):
+    def build(i: Inputs) -> DataFrame:
+        f = i.fact()
+        if kind == "code_bucket":
+            c = C.with_index(C.cube_code_bucket(f), "hcpcs", S.distinct_values(f, "hcpcs"),
+                             "code_idx")
+            return C.out(c.select("code_idx", "bucket", "paid", "n"))
+        if kind == "month_state":
+            c = C.with_index(C.cube_month_state(f), "month", S.distinct_values(f, "month"),
+                             "month_idx")
+            c = C.with_index(c, "billing_state", S.distinct_values(f, "billing_state"),
+                             "state_idx")
+        else:
+            c = C.with_index(C.cube_state_code(f), "billing_state",
+                             S.distinct_values(f, "billing_state"), "state_idx")
+            c = C.with_index(c, "hcpcs", S.distinct_values(f, "hcpcs"), "code_idx")
+        return C.out(c)
+    return build
+
+
+for _k in ("code_bucket", "month_state", "state_code"):
+    register(f"cube_{_k}_indexed", _indexed_cube(_k), O.cube_indexed(_k))
+
 CUBE_ARGS = {"month_from": "1997-01", "month_to": "1998-12", "hcpcs": "t1019, T2042 , ,D1110"}
 register("cubes_summary", lambda i: C.cubes_summary(C.cube_month_code(i.fact()), **CUBE_ARGS),
          O.cubes_summary(**CUBE_ARGS))
