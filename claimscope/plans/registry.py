@@ -221,3 +221,16 @@ def _fact_view(i: Inputs) -> DataFrame:
 
 
 register("fact_view", _fact_view, O.fact_view())
+
+register("dash_from_cubes",
+         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+                                          i.descs(), **CUBE_ARGS),
+         O.cubes_dashboard_long(**CUBE_ARGS))
+register("dash_from_cubes_codes",
+         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+                                          i.descs(), hcpcs=CUBE_ARGS["hcpcs"]),
+         O.cubes_dashboard_long(hcpcs=CUBE_ARGS["hcpcs"]))
+register("dash_from_cubes_all",
+         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+                                          i.descs()),
+         O.cubes_dashboard_long())
