@@ -8,7 +8,8 @@ forces a recompute back to the raw input):
 2. ``fact/v=N``    – payment rows ⟕ registry state, clustered by (month,
    code), written as a new version (the version being read is never
    overwritten).
-3. ``code_desc``, ``sector_map`` – code dimensions.
+3. ``codes`` (distinct codes with their dense index), then ``code_desc`` and
+   ``sector_map`` derived from it.
 4. cubes, top lists, leaders, largest rows, provider index, dataset
    statistics and the two precomputed dashboards.
 """
@@ -41,12 +42,14 @@ def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str
     timings["fact"] = time.time() - t0
     fact = read_fact(spark, root)
     t0 = time.time()
-    descs = (fact.select("hcpcs")
-                 .where(F.col("hcpcs").isNotNull() & F.substring("hcpcs", 1, 1).between("A", "Z"))
-                 .distinct()
-                 .select("hcpcs", F.concat(F.lit("Service "), F.col("hcpcs")).alias("name")))
+    # one pass over the fact for the distinct codes (with their dense index);
+    # the code dimensions are derived from that small table
+    write_table(stats.distinct_values(fact, "hcpcs"), f"{root}/codes")
+    codes = spark.read.parquet(f"{root}/codes")
+    descs = (codes.where(F.substring("hcpcs", 1, 1).between("A", "Z"))
+                  .select("hcpcs", F.concat(F.lit("Service "), F.col("hcpcs")).alias("name")))
     write_table(descs, f"{root}/code_desc")
-    write_table(stats.sector_map(fact), f"{root}/sector_map")
+    write_table(stats.sector_map(codes), f"{root}/sector_map")
     timings["code_tables"] = time.time() - t0
     return timings
 
@@ -59,7 +62,6 @@ def bake(spark: SparkSession, root: str) -> dict:
     sectors = spark.read.parquet(f"{root}/sector_map")
     out = {
         "months": stats.distinct_values(fact, "month"),
-        "codes": stats.distinct_values(fact, "hcpcs"),
         "states": stats.distinct_values(fact, "billing_state"),
         "cube_month_code": cubes.cube_month_code(fact),
         "cube_code_bucket": cubes.cube_code_bucket(fact),
