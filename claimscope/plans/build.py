@@ -54,8 +54,12 @@ def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str
     return timings
 
 
-def bake(spark: SparkSession, root: str) -> dict:
-    """Step 4: the materialised aggregates, from the built fact table."""
+CUBES = ("cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code")
+
+
+def bake(spark: SparkSession, root: str, only=None) -> dict:
+    """Step 4: the materialised aggregates, from the built fact table
+    (``only``: a subset of table names)."""
     fact = read_fact(spark, root)
     lookup = spark.read.parquet(f"{root}/npi_lookup")
     descs = spark.read.parquet(f"{root}/code_desc")
@@ -80,6 +84,8 @@ def bake(spark: SparkSession, root: str) -> dict:
         "dash_outliers": dashboard.dashboard_long(fact, lookup, descs, Filter.exclude_extreme(),
                                                   sectors=sectors),
     }
+    if only is not None:
+        out = {k: v for k, v in out.items() if k in only}
     timings = {}
     for name, df in out.items():
         t0 = time.time()
@@ -87,6 +93,8 @@ def bake(spark: SparkSession, root: str) -> dict:
         timings[name] = time.time() - t0
     # the cubes keyed by the dense indexes just written (read back, so the
     # index computation is not repeated)
+    if only is not None:
+        return timings
     idx = {k: spark.read.parquet(f"{root}/{t}") for k, t in
            (("month", "months"), ("hcpcs", "codes"), ("billing_state", "states"))}
     names = {"month": "month_idx", "hcpcs": "code_idx", "billing_state": "state_idx"}

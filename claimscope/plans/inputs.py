@@ -56,6 +56,16 @@ class Inputs:
         from claimscope.functions.sectors import code_sectors
         return self._get("sectors", lambda: code_sectors(self.fact(), "hcpcs"))
 
+    def cube(self, name: str, make) -> DataFrame:
+        """A materialised aggregate: the baked table when the build has one,
+        else ``make(fact)`` computed on the fly."""
+        if self.built:
+            from claimscope.sources.tables import table_exists
+            path = f"{self.built}/{name}"
+            if table_exists(self.spark, path):
+                return self._get(name, lambda: self.spark.read.parquet(path))
+        return self._get(name, lambda: make(self.fact()))
+
     def descs(self) -> DataFrame:
         """hcpcs, name."""
         if self.built:

@@ -145,10 +145,21 @@ register("top_rows", lambda i: R.top_rows(i.fact()), O.top_rows())
 from claimscope.operators import cubes as C  # noqa: E402
 from claimscope.operators import stats as S  # noqa: E402
 
-register("cube_month_code", lambda i: C.out(C.cube_month_code(i.fact())), O.cube("month_code"))
-register("cube_code_bucket", lambda i: C.out(C.cube_code_bucket(i.fact())), O.cube("code_bucket"))
-register("cube_month_state", lambda i: C.out(C.cube_month_state(i.fact())), O.cube("month_state"))
-register("cube_state_code", lambda i: C.out(C.cube_state_code(i.fact())), O.cube("state_code"))
+
+def _mc(i: Inputs) -> DataFrame:
+    return i.cube("cube_month_code", C.cube_month_code)
+
+
+def _cb(i: Inputs) -> DataFrame:
+    return i.cube("cube_code_bucket", C.cube_code_bucket)
+
+
+register("cube_month_code", lambda i: C.out(_mc(i)), O.cube("month_code"))
+register("cube_code_bucket", lambda i: C.out(_cb(i)), O.cube("code_bucket"))
+register("cube_month_state", lambda i: C.out(i.cube("cube_month_state", C.cube_month_state)),
+         O.cube("month_state"))
+register("cube_state_code", lambda i: C.out(i.cube("cube_state_code", C.cube_state_code)),
+         O.cube("state_code"))
 
 
 def _indexed(i: Inputs) -> DataFrame:
@@ -186,17 +197,17 @@ for _k in ("code_bucket", "month_state", "state_code"):
     register(f"cube_{_k}_indexed", _indexed_cube(_k), O.cube_indexed(_k))
 
 CUBE_ARGS = {"month_from": "1997-01", "month_to": "1998-12", "hcpcs": "t1019, T2042 , ,D1110"}
-register("cubes_summary", lambda i: C.cubes_summary(C.cube_month_code(i.fact()), **CUBE_ARGS),
+register("cubes_summary", lambda i: C.cubes_summary(_mc(i), **CUBE_ARGS),
          O.cubes_summary(**CUBE_ARGS))
-register("cubes_monthly", lambda i: C.cubes_monthly(C.cube_month_code(i.fact()), **CUBE_ARGS),
+register("cubes_monthly", lambda i: C.cubes_monthly(_mc(i), **CUBE_ARGS),
          O.cubes_monthly(**CUBE_ARGS))
-register("cubes_monthly_all", lambda i: C.cubes_monthly(C.cube_month_code(i.fact())),
+register("cubes_monthly_all", lambda i: C.cubes_monthly(_mc(i)),
          O.cubes_monthly())
 register("cubes_top_codes",
-         lambda i: C.cubes_top_codes(C.cube_month_code(i.fact()), month_from="1997-01",
+         lambda i: C.cubes_top_codes(_mc(i), month_from="1997-01",
                                      month_to="1998-12"),
          O.cubes_top_codes(month_from="1997-01", month_to="1998-12"))
-register("cubes_hist", lambda i: C.cubes_hist(C.cube_code_bucket(i.fact()), CUBE_ARGS["hcpcs"]),
+register("cubes_hist", lambda i: C.cubes_hist(_cb(i), CUBE_ARGS["hcpcs"]),
          O.cubes_hist(CUBE_ARGS["hcpcs"]))
 
 # ---------------------------------------------------------------- stats
@@ -223,14 +234,14 @@ def _fact_view(i: Inputs) -> DataFrame:
 register("fact_view", _fact_view, O.fact_view())
 
 register("dash_from_cubes",
-         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
                                           i.descs(), **CUBE_ARGS),
          O.cubes_dashboard_long(**CUBE_ARGS))
 register("dash_from_cubes_codes",
-         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
                                           i.descs(), hcpcs=CUBE_ARGS["hcpcs"]),
          O.cubes_dashboard_long(hcpcs=CUBE_ARGS["hcpcs"]))
 register("dash_from_cubes_all",
-         lambda i: C.cubes_dashboard_long(C.cube_month_code(i.fact()), C.cube_code_bucket(i.fact()),
+         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
                                           i.descs()),
          O.cubes_dashboard_long())

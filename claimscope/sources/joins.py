@@ -34,7 +34,7 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: list[str],
-           bounded: bool = True) -> DataFrame:
+           ) -> DataFrame:
     """Left-join ``cols`` of a large dimension onto a small frame of proven size.
 
     In an outer join the preserved side cannot be the broadcast (build) side,
@@ -44,13 +44,7 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
     ``small`` (both sides tiny). ``on`` pairs (small column, dim column).
     Every column is renamed before joining, so ``small`` may itself derive
     from ``dim`` (no ambiguous self-join).
-
-    ``bounded=False`` drops the broadcast hints for a ``small`` side without
-    a proven size bound (e.g. k rows per group): AQE then broadcasts the keys
-    or the hits when their runtime size allows, and falls back to a shuffled
-    join otherwise.
     """
-    hint = F.broadcast if bounded else (lambda df: df)
     kcols = [f"_ak{i}" for i in range(len(on))]
     dcols = [f"_ad{i}" for i in range(len(on))]
     vcols = [f"_av{i}" for i in range(len(cols))]
@@ -58,9 +52,9 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
     d = dim.select(*[F.col(dc).alias(a) for (_, dc), a in zip(on, dcols)],
                    *[F.col(c).alias(v) for c, v in zip(cols, vcols)])
     cond = functools.reduce(operator.and_, [F.col(a) == F.col(k) for a, k in zip(dcols, kcols)])
-    hits = d.join(hint(keys), cond).select(*kcols, *vcols)
+    hits = d.join(F.broadcast(keys), cond).select(*kcols, *vcols)
     cond = functools.reduce(operator.and_, [F.col(s) == F.col(k) for (s, _), k in zip(on, kcols)])
-    out = small.join(hint(hits), cond, "left")
+    out = small.join(F.broadcast(hits), cond, "left")
     return out.select(*small.columns, *[F.col(v).alias(c) for c, v in zip(cols, vcols)])
 
 
@@ -68,9 +62,15 @@ def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
                bounded: bool = False) -> DataFrame:
     """Attach the registered name of each provider in ``ranked[key]``.
 
-    The registry is streamed past the ranked keys (:func:`attach`);
     ``bounded`` says the ranked side has a proven small size (a global
-    top-k), so the keys are broadcast by hint; otherwise AQE decides from
-    the runtime size.
+    top-k): the registry is then only streamed past the broadcast keys
+    (:func:`attach`). Otherwise (k rows per group, no fixed bound) a plain
+    left join: AQE broadcasts the registry when it is small at runtime and
+    otherwise shuffles both sides – measured faster than :func:`attach`
+    without hints, and the registry shuffle is small next to the fact.
     """
-    return attach(ranked, lookup, [(key, "npi")], ["name"], bounded=bounded)
+    if bounded:
+        return attach(ranked, lookup, [(key, "npi")], ["name"])
+    names = lookup.select(F.col("npi").alias("_nk"), F.col("name").alias("_nm"))
+    joined = ranked.join(names, F.col(key) == F.col("_nk"), "left")
+    return joined.select(*ranked.columns, F.col("_nm").alias("name"))

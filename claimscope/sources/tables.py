@@ -119,6 +119,12 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """A finished table (``_SUCCESS`` written) at ``path``."""
+    fs, p = _fs(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+
+
 def latest_version(spark: SparkSession, root: str) -> str:
     v = _versions(spark, root)
     if not v:
