@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.ansi.enabled": "true",
+    # each dashboard checkpoints its (small) grouping-set aggregate; delete
+    # those files once the checkpointed data is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
