@@ -144,7 +144,7 @@ def cubes_dashboard_long(cube_mc: DataFrame, cube_cb: DataFrame, descs: DataFram
                           "n"))
     codes = _roll(c, ["hcpcs"]).withColumn("paid", F.coalesce("paid", F.lit(0)))
     t = top_k(codes, k, "paid", "hcpcs")
-    t = attach(t, descs, [("hcpcs", "hcpcs")], ["name"])
+    t = attach(t, descs, [("hcpcs", "hcpcs")], ["name"], materialise=False)  # cube: cheap
     parts.append(t.select(F.lit("top_hcpcs").alias("section"), "rank",
                           F.col("hcpcs").alias("key"), "name",
                           F.col("paid").cast("double").alias("paid"), "patients", "claim_lines",

@@ -96,12 +96,18 @@ def top_groups(a1: DataFrame, key: str, k: int = TOP_N) -> DataFrame:
     return t.select("rank", "key", money("paid").alias("paid"), "patients", "claim_lines", "n")
 
 
-def top_codes(a1: DataFrame, descs: DataFrame, k: int = TOP_N) -> DataFrame:
-    return attach(top_groups(a1, "hcpcs", k), descs, [("key", "hcpcs")], ["name"])
+def top_codes(a1: DataFrame, descs: DataFrame, k: int = TOP_N,
+              materialised: bool = False) -> DataFrame:
+    """Top codes with their description (``materialised``: ``a1`` is
+    already checkpointed, so the top-k need not be)."""
+    return attach(top_groups(a1, "hcpcs", k), descs, [("key", "hcpcs")], ["name"],
+                  materialise=not materialised)
 
 
-def top_providers(a1: DataFrame, lookup: DataFrame, key: str, k: int = TOP_N) -> DataFrame:
-    return with_names(top_groups(a1, key, k), lookup, key="key", bounded=True)
+def top_providers(a1: DataFrame, lookup: DataFrame, key: str, k: int = TOP_N,
+                  materialised: bool = False) -> DataFrame:
+    return with_names(top_groups(a1, key, k), lookup, key="key", bounded=True,
+                      materialise=not materialised)
 
 
 def top_sectors(a1: DataFrame, k: int = TOP_N, sectors: DataFrame | None = None) -> DataFrame:
@@ -143,9 +149,9 @@ def dashboard(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
         "summary": summary(a1),
         "monthly": monthly(a1),
         "top_sectors": top_sectors(a1, k, sectors),
-        "top_hcpcs": top_codes(a1, descs, k),
-        "top_billing": top_providers(a1, lookup, "billing_npi", k),
-        "top_servicing": top_providers(a1, lookup, "servicing_npi", k),
+        "top_hcpcs": top_codes(a1, descs, k, materialised=True),
+        "top_billing": top_providers(a1, lookup, "billing_npi", k, materialised=True),
+        "top_servicing": top_providers(a1, lookup, "servicing_npi", k, materialised=True),
         "top_states": top_groups(a1, "billing_state", k),
         "hist": hist(a1),
     }
@@ -241,7 +247,7 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
                                              F.col("hcpcs").alias("_nk"), "name")))
     tops = tops.withColumn("_kind", F.when(F.col("section") == "top_hcpcs", F.lit("code"))
                                      .when(F.col("section") != "top_states", F.lit("npi")))
-    tops = attach(tops, names, [("_kind", "_kind"), ("key", "_nk")], ["name"])
+    tops = attach(tops, names, [("_kind", "_kind"), ("key", "_nk")], ["name"], materialise=False)
     tops = tops.select("section", "rank", "key", "name", "paid", "patients", "claim_lines", "n")
 
     ts = top_sectors(a1, k, sectors)

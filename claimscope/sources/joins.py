@@ -34,7 +34,7 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: list[str],
-           ) -> DataFrame:
+           materialise: bool = True) -> DataFrame:
     """Left-join ``cols`` of a large dimension onto a small frame of proven size.
 
     In an outer join the preserved side cannot be the broadcast (build) side,
@@ -44,7 +44,18 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
     ``small`` (both sides tiny). ``on`` pairs (small column, dim column).
     Every column is renamed before joining, so ``small`` may itself derive
     from ``dim`` (no ambiguous self-join).
+
+    ``small`` is used twice (its keys, then its rows). Its two uses are
+    pruned to different columns, so Spark would not reuse their exchanges and
+    everything below ``small`` – typically an aggregate over the fact – would
+    run twice. With ``materialise`` the (proven small) frame is therefore
+    checkpointed once into the shared checkpoint folder; pass False when it
+    already reads a materialised input.
     """
+    if materialise:
+        from claimscope.session import checkpoint_dir
+        checkpoint_dir(small.sparkSession)
+        small = small.checkpoint(eager=True)
     kcols = [f"_ak{i}" for i in range(len(on))]
     dcols = [f"_ad{i}" for i in range(len(on))]
     vcols = [f"_av{i}" for i in range(len(cols))]
@@ -59,7 +70,7 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
 
 
 def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
-               bounded: bool = False) -> DataFrame:
+               bounded: bool = False, materialise: bool = True) -> DataFrame:
     """Attach the registered name of each provider in ``ranked[key]``.
 
     ``bounded`` says the ranked side has a proven small size (a global
@@ -70,7 +81,7 @@ def with_names(ranked: DataFrame, lookup: DataFrame, key: str = "npi",
     without hints, and the registry shuffle is small next to the fact.
     """
     if bounded:
-        return attach(ranked, lookup, [(key, "npi")], ["name"])
+        return attach(ranked, lookup, [(key, "npi")], ["name"], materialise)
     names = lookup.select(F.col("npi").alias("_nk"), F.col("name").alias("_nm"))
     joined = ranked.join(names, F.col(key) == F.col("_nk"), "left")
     return joined.select(*ranked.columns, F.col("_nm").alias("name"))
