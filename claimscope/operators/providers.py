@@ -70,6 +70,17 @@ def peers(fact: DataFrame, lookup: DataFrame, npi: str, flt: Filter = NO_FILTER,
     between the two scans. The subject is ranked like anyone else and may be
     absent. Returns ``rank, npi, name, paid, patients, claim_lines, codes``.
     """
+    g = peer_totals(fact, npi, flt, codes)
+    order = [F.col("paid").desc_nulls_last(), F.col("npi").asc()]
+    top = g.orderBy(*order).limit(k).withColumn(
+        "rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    top = top.select("rank", "npi", money("paid").alias("paid"), "patients", "claim_lines", "codes")
+    return with_names(top, lookup, key="npi", bounded=True)
+
+
+def peer_totals(fact: DataFrame, npi: str, flt: Filter = NO_FILTER, codes: int = 8) -> DataFrame:
+    """Every billing provider's totals on the subject's top codes (before the
+    top-k cut): ``npi, paid, patients, claim_lines, codes``."""
     subject = _subject(npi)
     scoped = flt.scoped(*PEERS_SCOPE).apply(fact)
     top_codes = (scoped.where((F.col("billing_npi") == subject) & F.col("hcpcs").isNotNull())
@@ -78,14 +89,9 @@ def peers(fact: DataFrame, lookup: DataFrame, npi: str, flt: Filter = NO_FILTER,
                        .limit(codes).select("hcpcs"))
     rows = (scoped.where(F.col("billing_npi").isNotNull())
                   .join(F.broadcast(top_codes), "hcpcs", "left_semi"))
-    g = rows.groupBy(F.col("billing_npi").alias("npi")).agg(
+    return rows.groupBy(F.col("billing_npi").alias("npi")).agg(
         round2(F.sum("paid")).alias("paid"), F.sum("patients").alias("patients"),
         F.sum("claim_lines").alias("claim_lines"), F.countDistinct("hcpcs").alias("codes"))
-    order = [F.col("paid").desc_nulls_last(), F.col("npi").asc()]
-    top = g.orderBy(*order).limit(k).withColumn(
-        "rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    top = top.select("rank", "npi", money("paid").alias("paid"), "patients", "claim_lines", "codes")
-    return with_names(top, lookup, key="npi", bounded=True)
 
 
 def peer_subject(lookup: DataFrame, npi: str) -> DataFrame:

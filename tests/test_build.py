@@ -126,7 +126,7 @@ def test_plan_top_k_per_group_is_limited_before_shuffle(spark, built):
 
 def test_plan_peers_semi_join_is_broadcast(spark, built):
     i = Inputs.from_build(spark, built)
-    df = providers.peers(i.fact(), i.lookup(), "1000000007")
+    df = providers.peer_totals(i.fact(), "1000000007")
     df.collect()
     plan = _plan(df)
     assert "LeftSemi" in plan and "Broadcast" in plan
