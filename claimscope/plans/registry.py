@@ -12,7 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from claimscope.functions.filters import Filter
+from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
+from claimscope.operators import leaders as L
+from claimscope.operators import providers as P
+from claimscope.operators import rows as R
+from claimscope.operators import stats as S
 from claimscope.plans import oracle_sql as O
 from claimscope.plans.inputs import Inputs
 
@@ -82,7 +87,6 @@ register("dash_exclude_extreme", _long(EXTREME), O.dashboard_long(EXTREME))
 
 
 # ---------------------------------------------------------------- leaders
-from claimscope.operators import leaders as L  # noqa: E402
 
 register("sector_leaders", lambda i: L.sector_leaders(i.fact(), i.lookup(), i.sectors()),
          O.sector_leaders(NO))
@@ -99,7 +103,6 @@ for _role in ("billing", "servicing"):
              O.top_providers_by_code(_role))
 
 # ---------------------------------------------------------------- providers
-from claimscope.operators import providers as P  # noqa: E402
 
 SUBJECT = "1000000007"
 register("find_provider", lambda i: P.find_provider(i.fact(), i.lookup(), "supplier#00000001"),
@@ -129,7 +132,6 @@ def _index(i: Inputs) -> DataFrame:
 register("provider_index", _index, O.provider_index())
 
 # ---------------------------------------------------------------- rows
-from claimscope.operators import rows as R  # noqa: E402
 
 register("rows_page", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 50, 100),
          O.rows_page(NO, "paid", "desc", 50, 100))
@@ -142,8 +144,6 @@ register("rows_page_filtered", lambda i: R.rows_page(i.fact(), COMBINED, "hcpcs"
 register("top_rows", lambda i: R.top_rows(i.fact()), O.top_rows())
 
 # ---------------------------------------------------------------- cubes
-from claimscope.operators import cubes as C  # noqa: E402
-from claimscope.operators import stats as S  # noqa: E402
 
 
 def _mc(i: Inputs) -> DataFrame:
