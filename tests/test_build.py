@@ -180,3 +180,27 @@ def test_amount_precision_report(spark):
 def test_filter_from_query_params():
     f = Filter.from_params({"month_from": ["2018-01"], "hcpcs": ["a, b"], "sort": ["paid"]})
     assert f == Filter(month_from="2018-01", hcpcs="a, b")
+
+
+def test_dense_index_across_partitions(spark):
+    from claimscope.operators.topk import dense_index
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        keys = spark.range(5000).select(F.format_string("k%05d", (F.col("id") * 7919) % 5000)
+                                        .alias("k"))
+        got = dense_index(keys.union(keys), "k").orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [r.idx for r in got] == list(range(5000))
+    assert [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_unfinished_version_is_ignored(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="claimscope-test-ver2-", dir="/tmp")
+    p1 = write_versioned(spark, root, lambda p: spark.range(3).write.parquet(p))
+    os.makedirs(f"{root}/v=2")          # a writer that died before _SUCCESS
+    assert latest_version(spark, root) == p1
+    p3 = write_versioned(spark, root, lambda p: spark.range(4).write.parquet(p))
+    assert p3.endswith("v=3") and latest_version(spark, root) == p3
