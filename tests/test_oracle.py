@@ -36,3 +36,13 @@ def test_matches_oracle(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert frame_hash(got)[0] == frame_hash(want)[0]
+
+
+def test_no_cross_or_nested_loop_joins(spark):
+    bad = {}
+    for name, fn in QUERIES.items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        found = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+        if found:
+            bad[name] = found
+    assert bad == {}
