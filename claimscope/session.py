@@ -75,8 +75,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage and to stage written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local runs and tests) a fresh scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
+    go without: it gets a fresh scratch folder. On a cluster a folder of one
+    machine would be invisible to the others, so an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +86,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share "
+                             f"(master {sc.master})")
         configured = tempfile.mkdtemp(prefix="claimscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
