@@ -26,6 +26,22 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0)
 from w left join hit using (doc_id) left join its using (doc_id)
 """
 
+NGRAM_JOIN = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as words from documents),
+sh as (
+  select distinct doc_id, case when len(words) < 5 then words else words[i:i+4] end as s
+  from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join links l on r.b = l.a),
+top as (select a as doc_id, min(b) as c from reach group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(top.c, w.doc_id) as component_id
+from w left join n using (doc_id) left join top using (doc_id)
+"""
+
 EXACT_SEARCH = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import (chat, decontamination, exact_search, line_dedup, mixing, sharding, warc)
+from claimscope.llm import (chat, decontamination, exact_search, language_id, line_dedup, mixing, ngram_join,
+                            pii, sharding, warc)
 from claimscope.llm import oracle_sql as O
 
 
@@ -36,6 +37,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    held_out = F.coalesce(rest == 2, F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -46,6 +60,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS],
+                        F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"),
@@ -65,8 +88,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": (op1_chat_format, O.CHAT_FORMAT),
     "op2_decontamination": (op2_decontamination, O.DECONTAMINATION),
+    "op3_language_id": (op3_language_id, None),
+    "op4_ngram_join": (op4_ngram_join, O.NGRAM_JOIN),
     "op5_exact_search": (op5_exact_search, O.EXACT_SEARCH),
     "op6_mixing": (op6_mixing, None),
+    "op7_pii": (op7_pii, None),
     "op8_warc": (op8_warc, O.WARC),
     "op9_sharding": (op9_sharding, O.SHARDING),
     "op10_line_dedup": (op10_line_dedup, O.LINE_DEDUP),
