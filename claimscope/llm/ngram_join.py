@@ -521,4 +521,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                   .select("sig", "sig2", "n", F.coalesce("top", "rep").alias("component")))
     out = rows.join(label, ["sig", "sig2", "n"], "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "doc_id").alias("component_id"))
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -184,7 +184,8 @@ def _reader(payload: bool):
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
     """``archive, file`` of the written archives, listed by Spark."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives")
-    return files.select(F.col("archive").cast("int").alias("archive"), F.col("path").alias("file"))
+    number = F.regexp_extract("path", r"/archive=(\d+)/", 1)
+    return files.select(number.cast("int").alias("archive"), F.col("path").alias("file"))
 
 
 def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFrame:
