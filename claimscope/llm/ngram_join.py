@@ -409,7 +409,7 @@ def _join_groups(classes, similarity):
 
         def links():
             rows = list({(r["doc_id"], r["sig"], r["probe"]): r for r in held}.values())
-            if len(rows) < 2:
+            if len(rows) < 2 or not any(r["store"] for r in rows) or not any(r["probe"] for r in rows):
                 return []
             sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
             return group_links([r["doc_id"] for r in rows], [r["connected"] for r in rows], sets,
