@@ -1,130 +1,157 @@
 """WARC archives: index first, then coalesced byte-range reads.
 
-Before a record is written its offset and length are known: records are dealt
-to archives by hash, ordered by id in each, and their byte lengths are summed
-up. The index (archive, offset, length, URL, digest) is written as a table of its
-own; the archives are written by Spark's text sink, whose line separator is the
-WARC record separator. Reading selects records from the index, sorts the byte
-ranges of each archive, coalesces neighbours and reads each coalesced range once.
+Each task writes the pages of its partition to archives of its own (``.warc.gz``, a
+gzip member per record, a new archive after ``archive_bytes``) and returns the index
+rows of its records: archive, offset, length, URL, digest. The index is a table that
+Spark commits; archives of failed or repeated attempts are named by no index row.
+Reading selects records from the index, sorts the byte ranges of each archive,
+coalesces neighbours and reads each coalesced range once.
 
 Of records with the same payload the one with the smallest id is a response and
 the others are revisits without payload. They are found by the smallest id per
-digest, aggregated before the shuffle, so a payload shared by a third of all
-records is no hot group.
+digest, aggregated before the shuffle; only digests with several pages are kept,
+and they are joined by broadcast when their written size is under Spark's
+threshold and by a shuffle beyond. Otherwise no payload is shuffled.
+
+Archives are written and read through ``pyarrow.fs``, in the shared folder.
 
 Defined cases: null html is empty; a null id comes after all others and is
 written as an empty id; null or odd URLs are percent-encoded in the header and
 kept in the index; rows that repeat the smallest id of a payload are all
-responses; an empty table gives empty archives and an empty result.
+responses; an empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.staging import stage_path
+from claimscope.llm.staging import stage_path, staged
 
-#: The alphabet of base 32, the end of a record and of a header.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORD_END = "\r\n\r\n"
-HEADER_END = "\r\n\r\n"
+#: The ends of a record and of a header.
+RECORD_END = b"\r\n\r\n"
+HEADER_END = b"\r\n\r\n"
 #: Bytes of an archive, of the largest coalesced read and of a gap read over.
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 GAP_BYTES = 16 << 10
+#: Fast compression; payloads are read once.
+LEVEL = 1
+
+INDEX = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()),
+                      T.StructField("length", T.LongType()), T.StructField("page_id", T.LongType()),
+                      T.StructField("url", T.StringType()), T.StructField("digest", T.StringType()),
+                      T.StructField("payload_bytes", T.LongType()), T.StructField("type", T.StringType())])
+
+
+def typed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+          least_bytes: int = 0) -> DataFrame:
+    """A row per page: ``id, url, html, sha1`` (hex) and ``refers``, the id that a
+    revisit refers to."""
+    p = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"),
+                     F.coalesce(F.col(html), F.lit("")).alias("html"))
+    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    large = F.octet_length("html") >= least_bytes
+    first = staged(p.where(large).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("sha1", "first"), "warc-copies")
+    p = p.join(first, "sha1", "left")
+    other = large & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return p.select("id", "url", "html", "sha1", F.when(other, F.col("first")).alias("refers"))
+
+
+def render_record(ident, url: str | None, body: bytes, digest: str, refers) -> bytes:
+    """A record; a revisit has no body but states its payload's length."""
+    from urllib.parse import quote
+
+    kind = "response" if refers is None else "revisit"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if ident is None else ident}>",
+             f"WARC-Target-URI: {quote(url or '', safe=_PLAIN)}", f"WARC-Payload-Digest: sha1:{digest}",
+             f"X-Payload-Length: {len(body)}"]
+    if refers is not None:
+        lines.append(f"WARC-Refers-To: <urn:page:{refers}>")
+        body = b""
+    lines.append(f"Content-Length: {len(body)}")
+    return "\r\n".join(lines).encode() + HEADER_END + body + RECORD_END
+
+
+# printable ASCII stays as it is in a header
+_PLAIN = "".join(map(chr, range(33, 127)))
+
+
+def _writer(root: str, archive_bytes: int):
+    """mapInArrow function: pages → index rows, writing archives."""
+    def run(batches):
+        import base64
+        import uuid
+        import zlib
 
+        import pyarrow as pa
+        from pyarrow import fs
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base-32 SHA-1."""
-    digest = F.sha1(data)
-    out = []
-    for part in range(4):  # 10 hex digits are 40 bits are 8 letters
-        bits = F.conv(F.substring(digest, 10 * part + 1, 10), 16, 10).cast("long")
-        out += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-                for s in range(35, -1, -5)]
-    return F.concat(*out)
-
-
-def _record(kind: Column, url: Column) -> Column:
-    """The record's text without its end; ``_id, _digest, _refers, _bytes, _html``."""
-    plain = F.coalesce(url, F.lit(""))
-    clean = F.when(plain.rlike(r"[\x00-\x20\x7F]"), F.url_encode(plain)).otherwise(plain)
-    body = F.when(kind == "response", F.col("_html")).otherwise(F.lit(""))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    ident = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    return F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), ident, F.lit(">"))),
-        line("WARC-Target-URI", clean), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
-        line("X-Payload-Length", F.col("_bytes").cast("string")),
-        F.when(kind == "revisit", line("WARC-Refers-To", F.concat(
-            F.lit("<urn:page:"), F.col("_refers").cast("string"), F.lit(">")))).otherwise(F.lit("")),
-        F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(HEADER_END), body)
-
-
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-            least_bytes: int = 0) -> DataFrame:
-    """A row per page: ``_id, _url, _digest, _bytes, _type, _refers, _record``."""
-    p = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_url"),
-                     F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    p = (p.withColumn("_digest", base32_sha1(F.col("_html").cast("binary")))
-          .withColumn("_bytes", F.octet_length("_html").cast("long")))
-    first = (p.where(F.col("_bytes") >= least_bytes).groupBy("_digest")
-              .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-              .where("_copies > 1").select("_digest", "_first"))
-    p = p.join(first, "_digest", "left")
-    revisit = (F.col("_first").isNotNull() & (F.col("_bytes") >= least_bytes)
-               & ~F.col("_id").eqNullSafe(F.col("_first")))
-    p = (p.withColumn("_refers", F.when(revisit, F.col("_first")))
-          .withColumn("_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))))
-    return p.select("_id", "_url", "_digest", "_bytes", "_type", "_refers",
-                    _record(F.col("_type"), F.col("_url")).alias("_record"))
+        store, folder = fs.FileSystem.from_uri(root)
+        out, name, at = None, None, 0
+        try:
+            for b in batches:
+                rows = []
+                for ident, url, html, sha1, refers in zip(*(b.column(c).to_pylist() for c in
+                                                            ("id", "url", "html", "sha1", "refers"))):
+                    if out is None:
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    body = html.encode()
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    pack = zlib.compressobj(LEVEL, wbits=31)
+                    data = pack.compress(render_record(ident, url, body, digest, refers)) + pack.flush()
+                    out.write(data)
+                    rows.append((f"{root}/{name}", at, len(data), ident, url, digest, len(body),
+                                 "response" if refers is None else "revisit"))
+                    at += len(data)
+                    if at >= archive_bytes:
+                        out.close()
+                        out = None
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(c), pa.string() if f.dataType == T.StringType() else pa.int64())
+                         for c, f in zip(zip(*rows), INDEX.fields)], names=INDEX.fieldNames())
+        finally:
+            if out is not None:
+                out.close()
+    return run
+
+
+def _make_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> None:
-    """Write ``path/index`` (Parquet) and ``path/archives/archive=N/``.
-
-    Columns of the index: ``archive, offset, length, page_id, url, digest,
-    payload_bytes, type``. The number of archives follows from the bytes."""
-    recs = records(pages, **columns)
-    total = pages.agg(F.sum(F.octet_length(F.col(columns.get("html", "html"))))).first()[0] or 0
-    n = max(1, math.ceil(total / archive_bytes))
-    recs = recs.withColumn("archive", F.pmod(F.xxhash64("_id", "_digest"), F.lit(n)).cast("int"))
-    order = ["_id", "_digest", "_type", "_url"]
-    recs = recs.withColumn("length", (F.octet_length("_record") + len(RECORD_END)).cast("long"))
-    upto = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # the narrow rows of the index come first
-    index = recs.select("archive", F.coalesce(F.sum("length").over(upto), F.lit(0)).cast("long").alias("offset"),
-                        "length", F.col("_id").alias("page_id"), F.col("_url").alias("url"),
-                        F.col("_digest").alias("digest"), F.col("_bytes").alias("payload_bytes"),
-                        F.col("_type").alias("type"))
-    index.write.parquet(f"{path}/index")
-    (recs.repartition(n, "archive").sortWithinPartitions("archive", *order)
-         .select("archive", F.col("_record").alias("value"))
-         .write.partitionBy("archive").option("lineSep", RECORD_END).text(f"{path}/archives"))
+    """Write ``path/archives/*.warc.gz`` and ``path/index`` (Parquet)."""
+    root = f"{path}/archives"
+    _make_folder(pages.sparkSession, root)
+    (typed(pages, **columns).select("id", "url", "html", "sha1", "refers")
+     .mapInArrow(_writer(root, archive_bytes), INDEX).write.parquet(f"{path}/index"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def coalesced(selected: DataFrame, read_bytes: int = READ_BYTES, gap: int = GAP_BYTES) -> DataFrame:
-    """Index rows → byte ranges ``archive, start, stop, parts`` to read at once;
+    """Index rows → byte ranges ``file, start, stop, parts`` to read at once;
     ``parts`` are the records in it (offset, length).
 
     A record joins the range before it if the gap is small and both start in
     the same stretch of ``read_bytes``; ranges are at most that and a record."""
-    w = Window.partitionBy("archive").orderBy("offset")
+    w = Window.partitionBy("file").orderBy("offset")
     prior = F.lag(F.col("offset") + F.col("length")).over(w)
     stretch = F.floor(F.col("offset") / read_bytes)
     new = (prior.isNull() | (F.col("offset") - prior > gap)
            | (stretch != F.floor(F.lag("offset").over(w) / read_bytes)))
     rows = selected.withColumn("_new", new.cast("int")).withColumn("_range", F.sum("_new").over(w))
-    return (rows.groupBy("archive", "_range")
+    return (rows.groupBy("file", "_range")
                 .agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"),
                      F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("parts"))
                 .drop("_range"))
@@ -137,14 +164,15 @@ RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ty
 
 
 def parse_record(data: bytes) -> tuple:
-    """A record's fields; the digest and length of a response are those of its
+    """A compressed record's fields; the digest and length of a response are those of its
     payload as read, and must agree with the header."""
     import base64
     import hashlib
+    import zlib
 
-    head, _, rest = data.partition(HEADER_END.encode())
+    head, _, rest = zlib.decompress(data, 31).partition(HEADER_END)
     lines = head.decode().split("\r\n")
-    if lines[0] != "WARC/1.1" or not rest.endswith(RECORD_END.encode()):
+    if lines[0] != "WARC/1.1" or not rest.endswith(RECORD_END):
         raise ValueError(f"no WARC record at this offset: {data[:40]!r}")
     fields = dict(x.split(": ", 1) for x in lines[1:])
     body = rest[:-len(RECORD_END)]
@@ -162,10 +190,12 @@ def parse_record(data: bytes) -> tuple:
 
 
 def _reader(payload: bool):
+    """mapInArrow function: ranges → records, a read per range."""
     def run(batches):
         import pyarrow as pa
         from pyarrow import fs
 
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for r in batch.to_pylist():
                 store, name = fs.FileSystem.from_uri(r["file"])
@@ -175,25 +205,17 @@ def _reader(payload: bool):
                 cols = list(zip(*rows))
                 if not payload:
                     cols[-1] = [None] * len(rows)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
                                                  names=RECORD.fieldNames())
     return run
 
 
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, file`` of the written archives, listed by Spark."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives")
-    number = F.regexp_extract("path", r"/archive=(\d+)/", 1)
-    return files.select(number.cast("int").alias("archive"), F.col("path").alias("file"))
-
-
-def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFrame:
+def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
     """The records that rows of the index select, read in coalesced ranges."""
-    spark = selected.sparkSession
-    ranges = coalesced(selected.select("archive", "offset", "length"))
-    ranges = ranges.join(archive_files(spark, path), "archive").select("file", "start", "stop", "parts")
-    return ranges.repartition(F.col("file"), F.col("start")).mapInArrow(_reader(payload), RECORD)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / READ_BYTES))
+    ranges = coalesced(selected.select("file", "offset", "length"))
+    return ranges.repartition(tasks, "file", "start").mapInArrow(_reader(payload), RECORD)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -201,4 +223,4 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
     spark = pages.sparkSession
     path = stage_path(spark, "warc")
     write_archives(pages, path, archive_bytes)
-    return read_records(read_index(spark, path), path, payload=False)
+    return read_records(read_index(spark, path), payload=False)
