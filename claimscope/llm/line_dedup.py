@@ -1,7 +1,7 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 :class:`LineRuns` is a log-structured store in the shared folder. A run is a
-table of ``k`` (128-bit line hash, hex) and ``n`` (documents that have the line,
+table of ``k`` (128-bit line hash) and ``n`` (documents that have the line,
 counted up to a threshold), hash-bucketed and sorted by ``k``; all runs have the
 same buckets, so they merge without a shuffle. Each new batch of documents is
 merge-anti-joined with the runs - keys that already reached the threshold need
@@ -24,28 +24,61 @@ an empty result.
 from __future__ import annotations
 
 import uuid
+from hashlib import md5
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm.staging import ascii_lower, stage_path, staged
-
-#: The characters stripped from both ends of a line.
-BLANKS = " \t\n\x0b\f\r"
-
-
-def line_array(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
-
-
-def key_hash(line: Column, least_chars: int = 1) -> Column:
-    """The hash of a line's key; null for keys of fewer code points."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= least_chars, F.md5(key.cast("binary")))
+from claimscope.llm.staging import stage_path, staged, utf8_buffer
+
+#: The bytes stripped from both ends of a line.
+BLANKS = b" \t\n\x0b\f\r"
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def line_hashes(text: bytes, least_chars: int = 1) -> list[bytes | None]:
+    """The hash of each line's key; None for keys of fewer code points."""
+    keys = [x.strip(BLANKS) for x in text.translate(_LOWER).split(b"\n")]
+    return [md5(x).digest() if x and (least_chars <= 1 or len(x.decode()) >= least_chars) else None for x in keys]
+
+
+def _document_keys(least_chars: int):
+    """mapInArrow function: ``batch, text`` → ``batch, k``, a row per document and key."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw, off = utf8_buffer(b.column("text"))
+            keys, n = [], []
+            for i in range(b.num_rows):
+                own = set(line_hashes(raw[off[i]:off[i + 1]].tobytes(), least_chars)) - {None}
+                keys += own
+                n.append(len(own))
+            at = np.repeat(b.column("batch").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["batch", "k"])
+    return run
+
+
+def _numbered_keys(least_chars: int):
+    """mapInArrow function: ``id, h, text`` → ``id, h, i, k``, a row per line with a key."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw, off = utf8_buffer(b.column("text"))
+            rows, lines, keys = [], [], []
+            for r in range(b.num_rows):
+                for i, k in enumerate(line_hashes(raw[off[r]:off[r + 1]].tobytes(), least_chars)):
+                    if k is not None:
+                        rows.append(r)
+                        lines.append(i)
+                        keys.append(k)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(at), b.column("h").take(at), pa.array(lines, pa.int32()), pa.array(keys, pa.binary())],
+                names=["id", "h", "i", "k"])
+    return run
 
 
 class LineRuns:
@@ -118,11 +151,10 @@ def frequent_keys(docs: DataFrame, text: str = "text", least_docs: int = 10, bat
                   least_chars: int = 1) -> DataFrame:
     """The keys ``k`` found in at least ``least_docs`` documents, staged."""
     spark = docs.sparkSession
-    keys = F.array_compact(F.array_distinct(F.transform(
-        line_array(F.col(text)), lambda x: key_hash(x, least_chars))))
     # counted per batch of documents; the batch is a hash of the text
     batch = F.pmod(F.xxhash64(F.col(text)), F.lit(batches)).cast("int")
-    per_doc = docs.select(batch.alias("batch"), F.explode(keys).alias("k"))
+    per_doc = docs.select(batch.alias("batch"), F.col(text).alias("text")).mapInArrow(
+        _document_keys(least_chars), "batch int, k binary")
     counted = staged(per_doc.groupBy("batch", "k").agg(F.count(F.lit(1)).alias("n")), "line-batches", "batch")
     runs = LineRuns(spark, least_docs)
     for b in range(batches):
@@ -139,13 +171,14 @@ def drop_lines(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text: str
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
     d = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     d = d.withColumn("_h", F.xxhash64("_text"))
-    lines = (d.select(F.col(key).alias("_id"), "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_i", "_line"))
-              .select("_id", "_h", "_i", key_hash(F.col("_line"), least_chars).alias("k")))
-    gone = lines.where(F.col("k").isNotNull()).join(keys, "k", "left_semi")
+    lines = d.select(F.col(key).alias("id"), F.col("_h").alias("h"), F.col("_text").alias("text"))
+    id_type = docs.schema[key].dataType.simpleString()
+    lines = lines.mapInArrow(_numbered_keys(least_chars), f"id {id_type}, h long, i int, k binary")
+    gone = lines.join(keys, "k", "left_semi")
     # sorted line numbers of a document's dropped lines; equal rows have equal ones
-    dropped = gone.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("_i")).alias("_drop"))
-    dropped = dropped.withColumnRenamed("_id", "_id2").withColumnRenamed("_h", "_h2")
-    joined = d.join(dropped, F.col(key).eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
+    dropped = gone.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h2")).agg(
+        F.array_sort(F.collect_set("i")).alias("_drop"))
+    joined = d.join(dropped, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
     return joined.select(*rest, *kept_text(F.col("_text"), F.col("_drop"), text))
 
 
