@@ -61,7 +61,8 @@ def main() -> None:
     root = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex[:8]}"
 
     t0 = time.time()
-    build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir), root)
+    build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir), root,
+               fixture.code_desc(spark, sf_dir))
     etl = time.time() - t0
     t0 = time.time()
     bake(spark, root, only=CUBES)

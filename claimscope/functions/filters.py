@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import operator
 from dataclasses import dataclass, fields, replace
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,34 +30,57 @@ PEERS_SCOPE = ("month_from", "month_to", "state", "paid_min", "paid_max")
 
 
 def parse_codes(text: str | None) -> list[str]:
-    """Comma list of codes: items stripped and upper-cased, blanks dropped."""
-    if not text:
-        return []
-    return [c.strip().upper() for c in text.split(",") if c.strip()]
+    """The billing codes of a comma list, normalised; blank items are skipped."""
+    return list(filter(None, map(str.strip, (text or "").upper().split(","))))
 
 
-def _amount(text) -> float:
-    # A non-numeric amount is an error, as in the original tool.
-    return float(text)
+def _amount_literal(text, rounding: str) -> Column:
+    """An amount bound as a literal that is exact and pushable.
 
-
-def _amount_literal(text) -> Column:
-    """An amount as a literal that keeps the comparison exact and pushable.
-
-    Amounts with at most two decimals become DECIMAL(18,2) literals (same type
-    as ``paid``, so Parquet can use the filter); anything else is compared as
-    an exact wider decimal, or as a double for inf.
+    ``paid`` has two decimals, so a bound may be rounded to two decimals inwards
+    (a minimum up, a maximum down) without changing the answer; it then has the
+    type of ``paid`` and Parquet can use it. Bounds beyond the type's range are
+    compared as doubles. A non-numeric amount is an error.
     """
-    value = _amount(text)
+    value = float(text)
     try:
         d = Decimal(str(text).strip())
     except InvalidOperation:
-        d = None
-    if d is None or not d.is_finite():
+        d = Decimal(value)
+    if not d.is_finite() or abs(d) >= Decimal(10) ** 16 - 1:
         return F.lit(value)
-    if d == d.quantize(Decimal("0.01")) and abs(d) < Decimal(10) ** 16:
-        return F.lit(d.quantize(Decimal("0.01"))).cast("decimal(18,2)")
-    return F.lit(d)
+    return F.lit(d.quantize(Decimal("0.01"), rounding=rounding)).cast("decimal(18,2)")
+
+
+def _code_column(columns) -> Column:
+    # a stored hcpcs_norm prunes row groups; upper(hcpcs) cannot
+    stored = columns is not None and "hcpcs_norm" in columns
+    return F.col("hcpcs_norm") if stored else F.upper(F.col("hcpcs"))
+
+
+def _code_clause(value, columns) -> Column | None:
+    codes = parse_codes(value)
+    return _code_column(columns).isin(codes) if codes else None
+
+
+def _equals(column: str, normalise=str.strip):
+    def clause(value, _) -> Column | None:
+        v = normalise(value)
+        return F.col(column) == F.lit(v) if v else None
+    return clause
+
+
+# How each parameter restricts the rows: (value, column names) → clause.
+CLAUSES = {
+    "month_from": lambda v, _: F.col("month") >= F.lit(v),
+    "month_to": lambda v, _: F.col("month") <= F.lit(v),
+    "hcpcs": _code_clause,
+    "billing_npi": _equals("billing_npi"),
+    "servicing_npi": _equals("servicing_npi"),
+    "state": _equals("billing_state", lambda v: v.strip().upper()),
+    "paid_min": lambda v, _: F.col("paid") >= _amount_literal(v, ROUND_CEILING),
+    "paid_max": lambda v, _: F.col("paid") <= _amount_literal(v, ROUND_FLOOR),
+}
 
 
 @dataclass(frozen=True)
@@ -93,27 +116,10 @@ class Filter:
         """One Column per active clause. ``columns`` (the frame's column
         names) lets the code filter use a stored ``hcpcs_norm`` column, which
         Parquet can prune on, instead of ``upper(hcpcs)``, which it cannot."""
-        out: list[Column] = []
-        if self.month_from:
-            out.append(F.col("month") >= F.lit(self.month_from))
-        if self.month_to:
-            out.append(F.col("month") <= F.lit(self.month_to))
-        codes = parse_codes(self.hcpcs)
-        if codes:
-            norm = (F.col("hcpcs_norm") if columns is not None and "hcpcs_norm" in columns
-                    else F.upper(F.col("hcpcs")))
-            out.append(norm.isin(codes))
-        for value, col, upper in ((self.billing_npi, "billing_npi", False),
-                                  (self.servicing_npi, "servicing_npi", False),
-                                  (self.state, "billing_state", True)):
-            v = (value or "").strip()
-            if v:
-                out.append(F.col(col) == F.lit(v.upper() if upper else v))
-        if self.paid_min not in (None, ""):
-            out.append(F.col("paid") >= _amount_literal(self.paid_min))
-        if self.paid_max not in (None, ""):
-            out.append(F.col("paid") <= _amount_literal(self.paid_max))
-        return out
+        given = {f.name: getattr(self, f.name) for f in fields(self)}
+        made = [build(given[name], columns) for name, build in CLAUSES.items()
+                if given[name] not in (None, "")]
+        return [c for c in made if c is not None]
 
     def predicate(self, columns=None) -> Column | None:
         cl = self.clauses(columns)

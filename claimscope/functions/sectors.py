@@ -80,17 +80,6 @@ def normalize_code(col: Column) -> Column:
     return F.upper(F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", ""))
 
 
-def _rule_case(kind: Column, letter: Column, num: Column) -> Column:
-    """The ordered rule chain over a code's family, first letter and number."""
-    expr = None
-    for sector, letters, lo, hi in LETTER_RULES:
-        cond = (kind == "L") & letter.isin(list(letters)) & num.between(lo, hi)
-        expr = F.when(cond, F.lit(sector)) if expr is None else expr.when(cond, F.lit(sector))
-    for sector, lo, hi in NUMERIC_RULES:
-        expr = expr.when((kind == "N") & num.between(lo, hi), F.lit(sector))
-    return expr
-
-
 def rule_segments() -> list[tuple[str, str, int, int, str]]:
     """The ordered rules as disjoint ``(kind, letter, lo, hi, sector)``
     segments: within one family and letter the number line is cut at every
@@ -159,37 +148,3 @@ def code_sectors(codes: DataFrame, code: str = "hcpcs") -> DataFrame:
     code – small next to the fact, which is joined with it on the raw code."""
     c = codes.select(code).where(F.col(code).isNotNull()).distinct()
     return classify(c, code, "sector").where(F.col("sector").isNotNull())
-
-
-def sector_of(code: Column | str) -> Column:
-    """Sector of a code as a single CASE expression (null when unclassified
-    or null) – for small inputs and checks. Data paths use
-    :func:`code_sectors`: a filter on a CASE this size, pushed through
-    projections, would be inlined into every branch."""
-    if isinstance(code, str):
-        code = F.col(code)
-    c = normalize_code(code)
-    kind = F.when(c.rlike(r"\A[A-Z][0-9]{4}\z"), F.lit("L")).when(
-        c.rlike(r"\A[0-9]{5}\z"), F.lit("N"))
-    num = F.when(kind == "L", F.substring(c, 2, 4).try_cast("int")).when(
-        kind == "N", c.try_cast("int"))
-    return _rule_case(kind, F.substring(c, 1, 1), num)
-
-
-def sector_sql(code_sql: str) -> str:
-    """The same classifier as DuckDB SQL text (used by the SQL oracle)."""
-    ws = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-    c = f"upper(regexp_replace({code_sql}, '^{ws}+|{ws}+$', '', 'g'))"
-    letter4 = f"regexp_full_match({c}, '[A-Z][0-9]{{4}}')"
-    digits5 = f"regexp_full_match({c}, '[0-9]{{5}}')"
-    num4 = f"try_cast(substr({c}, 2, 4) as integer)"
-    num5 = f"try_cast({c} as integer)"
-    parts = ["case"]
-    for sector, letters, lo, hi in LETTER_RULES:
-        inlist = ", ".join(f"'{x}'" for x in letters)
-        parts.append(f" when {letter4} and substr({c}, 1, 1) in ({inlist}) "
-                     f"and {num4} between {lo} and {hi} then '{sector}'")
-    for sector, lo, hi in NUMERIC_RULES:
-        parts.append(f" when {digits5} and {num5} between {lo} and {hi} then '{sector}'")
-    parts.append(" end")
-    return "".join(parts)

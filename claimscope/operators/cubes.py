@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import paid_bucket, valid_state
-from claimscope.functions.filters import parse_codes
+from claimscope.functions.filters import Filter, parse_codes
 from claimscope.operators.topk import top_k
 
+CUBE_KEYS = ["month", "hcpcs", "billing_state", "bucket"]
 CUBE_MEASURES = ["paid", "patients", "claim_lines", "n"]
 
 
@@ -45,6 +46,14 @@ def cube_state_code(fact: DataFrame) -> DataFrame:
                 .groupBy("billing_state", "hcpcs").agg(*_sums()))
 
 
+def cube_dashboard(fact: DataFrame) -> DataFrame:
+    """Per month, code, state and paid bucket, null groups included, so that
+    sums over it equal sums over the fact. A group without any amount keeps a
+    null sum."""
+    return (fact.groupBy("month", "hcpcs", "billing_state", paid_bucket("paid").alias("bucket"))
+                .agg(*_sums()))
+
+
 def out(cube: DataFrame) -> DataFrame:
     """Output types: money as double."""
     return cube.withColumn("paid", F.col("paid").cast("double"))
@@ -107,65 +116,23 @@ def cubes_hist(cube_cb: DataFrame, hcpcs=None) -> DataFrame:
     return out(c).orderBy("bucket")
 
 
-def cubes_dashboard_long(cube_mc: DataFrame, cube_cb: DataFrame, descs: DataFrame,
-                         month_from=None, month_to=None, hcpcs=None, k: int = 12) -> DataFrame:
-    """The dashboard sections a month range / code filter can be answered
-    with from the cubes alone – no fact scan. Same long layout as
-    ``dashboard_long``: summary (totals), distinct (codes only), monthly,
-    top_hcpcs, top_sectors, and hist when no month bound is given (the
-    code × bucket cube has no month). The cubes hold no rows without a month
-    or a code, so neither do these answers.
+def cubes_dashboard_long(cube: DataFrame, descs: DataFrame, month_from=None, month_to=None,
+                         hcpcs=None, k: int = 12, sectors: DataFrame | None = None) -> DataFrame:
+    """The dashboard from :func:`cube_dashboard` alone - no fact scan: all
+    sections of ``dashboard_long`` but those of billing and servicing
+    providers, which the cube does not hold. Same layout and, for the same
+    filter, the same rows. One grouping-set pass over the filtered cube.
     """
-    from claimscope.functions.sectors import OTHER, classify
-    from claimscope.sources.joins import attach
-    null_s = F.lit(None).cast("string")
-    null_l = F.lit(None).cast("long")
-    c = _filter_cube(cube_mc, month_from, month_to, hcpcs)
-    tot = c.agg(F.coalesce(F.sum("paid"), F.lit(0)).cast("double").alias("paid"),
-                F.coalesce(F.sum("patients"), F.lit(0)).cast("long").alias("patients"),
-                F.coalesce(F.sum("claim_lines"), F.lit(0)).cast("long").alias("claim_lines"),
-                F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"),
-                F.countDistinct("hcpcs").alias("codes"))
-    parts = [
-        tot.select(F.lit("summary").alias("section"), F.lit(1).cast("long").alias("rank"),
-                   null_s.alias("key"), null_s.alias("name"), "paid", "patients",
-                   "claim_lines", "n"),
-        tot.select(F.lit("distinct").alias("section"), F.lit(1).cast("long").alias("rank"),
-                   F.lit("hcpcs").alias("key"), null_s.alias("name"),
-                   F.lit(None).cast("double").alias("paid"), null_l.alias("patients"),
-                   null_l.alias("claim_lines"), F.col("codes").alias("n")),
-    ]
-    from pyspark.sql import Window
-    m = _roll(c, ["month"])
-    parts.append(m.select(F.lit("monthly").alias("section"),
-                          F.row_number().over(Window.orderBy("month")).cast("long").alias("rank"),
-                          F.col("month").alias("key"), null_s.alias("name"),
-                          F.col("paid").cast("double").alias("paid"), "patients", "claim_lines",
-                          "n"))
-    codes = _roll(c, ["hcpcs"]).withColumn("paid", F.coalesce("paid", F.lit(0)))
-    t = top_k(codes, k, "paid", "hcpcs")
-    t = attach(t, descs, [("hcpcs", "hcpcs")], ["name"], materialise=False)  # cube: cheap
-    parts.append(t.select(F.lit("top_hcpcs").alias("section"), "rank",
-                          F.col("hcpcs").alias("key"), "name",
-                          F.col("paid").cast("double").alias("paid"), "patients", "claim_lines",
-                          "n"))
-    sect = (classify(codes, "hcpcs", "sector")
-            .groupBy(F.coalesce(F.col("sector"), F.lit(OTHER)).alias("key"))
-            .agg(F.sum("paid").alias("paid"), F.sum("patients").alias("patients"),
-                 F.sum("claim_lines").alias("claim_lines")))
-    ts = top_k(sect, k, "paid", "key")
-    parts.append(ts.select(F.lit("top_sectors").alias("section"), "rank", "key",
-                           null_s.alias("name"), F.col("paid").cast("double").alias("paid"),
-                           "patients", "claim_lines", null_l.alias("n")))
-    if not month_from and not month_to:
-        h = _roll(_filter_cube(cube_cb, hcpcs=hcpcs), ["bucket"], paid_only=True)
-        parts.append(h.select(F.lit("hist").alias("section"),
-                              F.row_number().over(Window.orderBy("bucket")).cast("long")
-                               .alias("rank"),
-                              F.col("bucket").cast("string").alias("key"), null_s.alias("name"),
-                              F.col("paid").cast("double").alias("paid"), null_l.alias("patients"),
-                              null_l.alias("claim_lines"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from claimscope.operators import dashboard as dash
+    flt = Filter(month_from=month_from, month_to=month_to, hcpcs=hcpcs)
+    rows = flt.apply(cube)
+    a1 = (rows.groupingSets([[]] + [[c] for c in CUBE_KEYS], *CUBE_KEYS)
+              .agg(F.grouping_id(*CUBE_KEYS).alias("_g"), F.sum("paid").alias("paid"),
+                   F.sum("patients").alias("patients"), F.sum("claim_lines").alias("claim_lines"),
+                   F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    names = {15: "total", 7: "month", 11: "hcpcs", 13: "billing_state", 14: "bucket"}
+    gid = F.coalesce(*[F.when(F.col("_g") == g, F.lit(dash.GID[name])) for g, name in names.items()])
+    absent = F.lit(None).cast("string")
+    a1 = a1.select("month", "hcpcs", absent.alias("billing_npi"), absent.alias("servicing_npi"),
+                   "billing_state", "bucket", gid.alias("gid"), "paid", "patients", "claim_lines", "n")
+    return dash.sections_long(a1, descs, k, sectors, providers=None)

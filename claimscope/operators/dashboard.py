@@ -207,7 +207,15 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
     distinct-key counts in ``n``. ``sectors`` is an optional stored code →
     sector map; without it the codes are classified on the fly.
     """
-    a1 = _materialised(grouping_sets(fact, flt))
+    return sections_long(grouping_sets(fact, flt), descs, k, sectors, providers=lookup)
+
+
+def sections_long(a1: DataFrame, descs: DataFrame, k: int = TOP_N, sectors: DataFrame | None = None,
+                  providers: DataFrame | None = None) -> DataFrame:
+    """The long layout of a grouping-set aggregate, which is checkpointed here.
+    Without ``providers`` (the registry) the sections and counts of billing and
+    servicing providers are left out."""
+    a1 = _materialised(a1)
     s = summary(a1)
     totals = s.select(F.expr(
         "stack(4, 'summary', 1L, cast(null as string), paid, patients, claim_lines, rows,"
@@ -218,6 +226,8 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
         " 'distinct', 3L, 'servicing', cast(null as double), cast(null as bigint),"
         " cast(null as bigint), servicing_n)"
         " as (section, rank, key, paid, patients, claim_lines, n)"))
+    if providers is None:
+        totals = totals.where((F.col("section") == "summary") | (F.col("key") == "hcpcs"))
     totals = totals.select("section", "rank", "key", F.lit(None).cast("string").alias("name"),
                            "paid", "patients", "claim_lines", "n")
 
@@ -233,8 +243,9 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
                      "patients", "claim_lines", "n")
 
     # the four top-k sections in one ranked window
-    top_pairs = list(_TOP_SECTIONS.items())
-    tops = (a1.where(F.col("gid").isin(*[g for g, _ in _TOP_SECTIONS.values()]))
+    by_provider = ("top_billing", "top_servicing")
+    top_pairs = [(name, v) for name, v in _TOP_SECTIONS.items() if providers is not None or name not in by_provider]
+    tops = (a1.where(F.col("gid").isin(*[g for _, (g, _) in top_pairs]))
               .select(_section_of(top_pairs).alias("section"), _key_of(top_pairs).alias("key"),
                       *_rec())
               .where(F.col("key").isNotNull()))
@@ -242,12 +253,12 @@ def dashboard_long(fact: DataFrame, lookup: DataFrame, descs: DataFrame,
     tops = (tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("section", F.col("rank").cast("long").alias("rank"), "key",
                         money("paid").alias("paid"), "patients", "claim_lines", "n"))
-    names = (lookup.select(F.lit("npi").alias("_kind"), F.col("npi").alias("_nk"), "name")
-                   .unionByName(descs.select(F.lit("code").alias("_kind"),
-                                             F.col("hcpcs").alias("_nk"), "name")))
+    names = descs.select(F.lit("code").alias("_kind"), F.col("hcpcs").alias("_nk"), "name")
+    if providers is not None:
+        names = names.unionByName(providers.select(F.lit("npi").alias("_kind"), F.col("npi").alias("_nk"), "name"))
     tops = tops.withColumn("_kind", F.when(F.col("section") == "top_hcpcs", F.lit("code"))
                                      .when(F.col("section") != "top_states", F.lit("npi")))
-    tops = attach(tops, names, [("_kind", "_kind"), ("key", "_nk")], ["name"], materialise=False)
+    tops = attach(tops, names, [("_kind", "_kind"), ("key", "_nk")], ["name"])
     tops = tops.select("section", "rank", "key", "name", "paid", "patients", "claim_lines", "n")
 
     ts = top_sectors(a1, k, sectors)

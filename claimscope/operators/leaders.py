@@ -35,13 +35,18 @@ def sector_leaders(fact: DataFrame, lookup: DataFrame, sectors: DataFrame,
     """Top billing providers of every sector under the filter.
 
     ``sectors`` is the code → sector map (one row per classified code, see
-    ``code_sectors``). The inner join on the raw code drops rows of
-    unclassified codes; rows need a billing provider. AQE broadcasts the map
-    when its runtime size is small (it has one row per distinct code).
+    ``code_sectors``). The fact is first aggregated by (code, provider); that
+    meets the map and folds to (sector, provider), so the plan is right
+    whatever size the map has. The inner join on the raw code drops
+    unclassified codes; rows need a billing provider.
     """
     df = flt.scoped(*LEADERS_SCOPE).apply(fact)
-    df = df.where(F.col("billing_npi").isNotNull()).join(sectors.select("hcpcs", "sector"), "hcpcs")
-    out = top_providers_per_group(df, "sector", "billing_npi", k, lookup)
+    by_code = (df.where(F.col("billing_npi").isNotNull() & F.col("hcpcs").isNotNull())
+                 .groupBy("hcpcs", "billing_npi")
+                 .agg(F.sum("paid").alias("paid"), F.sum("patients").alias("patients"),
+                      F.sum("claim_lines").alias("claim_lines")))
+    named = by_code.join(sectors.select("hcpcs", "sector"), "hcpcs")
+    out = top_providers_per_group(named, "sector", "billing_npi", k, lookup)
     return out.orderBy("sector", F.col("paid").desc_nulls_last(), "rk")
 
 

@@ -11,31 +11,25 @@ from claimscope.operators.topk import top_k_per_group
 from claimscope.sources.joins import attach, with_names
 
 
-def find_provider(fact: DataFrame, lookup: DataFrame, name: str, cap: int = 400,
-                  k: int = 10) -> DataFrame:
+def find_provider(fact: DataFrame, lookup: DataFrame, name: str, k: int = 10) -> DataFrame:
     """Registered providers whose name contains ``name`` (case-insensitive;
-    ``%`` and ``_`` act as wildcards), with their billed totals.
+    ``%`` and ``_`` act as wildcards, a backslash stands for itself), with
+    their billed totals: the top ``k`` by paid of all that match.
 
-    The hits are capped at ``cap`` – taken in npi order so the cap is
-    repeatable – which bounds the broadcast side; the fact is then only
-    probed, never shuffled, for those providers. Hits that bill nothing drop
-    out. Returns ``npi, name, state, paid`` – the top ``k`` by paid.
+    The fact is aggregated to one row per billing provider first, so the join
+    with the matches is small on both sides whatever their number. Matches that
+    bill nothing drop out. Returns ``npi, name, state, paid``.
     """
-    v = (name or "").strip()
-    if len(v) < 3:
+    wanted = (name or "").strip()
+    if len(wanted) < 3:
         raise ValueError("need at least 3 characters")
-    hits = (lookup.where(F.col("name").ilike(f"%{v}%"))
-                  .orderBy(F.col("npi").asc_nulls_last(), F.col("name").asc_nulls_last(),
-                           F.col("state").asc_nulls_last())
-                  .limit(cap)
-                  .select(F.col("npi").alias("_hn"), F.col("name").alias("_hname"),
-                          F.col("state").alias("_hstate")))
-    rows = fact.select("billing_npi", "paid").join(
-        F.broadcast(hits), F.col("billing_npi") == F.col("_hn"))
-    g = rows.groupBy(F.col("_hn").alias("npi"), F.col("_hname").alias("name"),
-                     F.col("_hstate").alias("state")).agg(round2(F.sum("paid")).alias("paid"))
-    return (g.orderBy(F.col("paid").desc_nulls_last(), F.col("npi").asc())
-             .limit(k).select("npi", "name", "state", money("paid").alias("paid")))
+    pattern = wanted.replace("\\", "\\\\")
+    matches = lookup.where(F.col("name").ilike(f"%{pattern}%")).select("npi", "name", "state")
+    totals = (fact.where(F.col("billing_npi").isNotNull())
+                  .groupBy(F.col("billing_npi").alias("_billed")).agg(round2(F.sum("paid")).alias("paid")))
+    found = matches.join(totals, F.col("npi") == F.col("_billed"))
+    return (found.orderBy(F.col("paid").desc_nulls_last(), F.col("npi").asc())
+                 .limit(k).select("npi", "name", "state", money("paid").alias("paid")))
 
 
 def _subject(npi: str) -> str:
@@ -65,10 +59,10 @@ def peers(fact: DataFrame, lookup: DataFrame, npi: str, flt: Filter = NO_FILTER,
           codes: int = 8, k: int = 12) -> DataFrame:
     """Billing providers of the subject's top codes, ranked by paid on them.
 
-    One lazy plan: the subject's top codes (at most ``codes`` rows) are a
-    broadcast ``left_semi`` filter on the scope-filtered fact – no collect
-    between the two scans. The subject is ranked like anyone else and may be
-    absent. Returns ``rank, npi, name, paid, patients, claim_lines, codes``.
+    Eager in part: the subject's top codes (at most ``codes`` values) are
+    looked up first, so the second scan gets them as literals and prunes. The
+    subject is ranked like anyone else and may be absent. Returns ``rank, npi,
+    name, paid, patients, claim_lines, codes``.
     """
     g = peer_totals(fact, npi, flt, codes)
     order = [F.col("paid").desc_nulls_last(), F.col("npi").asc()]
@@ -87,8 +81,10 @@ def peer_totals(fact: DataFrame, npi: str, flt: Filter = NO_FILTER, codes: int =
                        .groupBy("hcpcs").agg(round2(F.sum("paid")).alias("_p"))
                        .orderBy(F.col("_p").desc_nulls_last(), F.col("hcpcs").asc())
                        .limit(codes).select("hcpcs"))
-    rows = (scoped.where(F.col("billing_npi").isNotNull())
-                  .join(F.broadcast(top_codes), "hcpcs", "left_semi"))
+    named = [r.hcpcs for r in top_codes.collect()]
+    rows = scoped.where(F.col("billing_npi").isNotNull() & F.col("hcpcs").isin(named))
+    if "hcpcs_norm" in scoped.columns:  # the column the table is clustered by
+        rows = rows.where(F.col("hcpcs_norm").isin(sorted({c.upper() for c in named})))
     return rows.groupBy(F.col("billing_npi").alias("npi")).agg(
         round2(F.sum("paid")).alias("paid"), F.sum("patients").alias("patients"),
         F.sum("claim_lines").alias("claim_lines"), F.countDistinct("hcpcs").alias("codes"))

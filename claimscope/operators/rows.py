@@ -1,46 +1,75 @@
-"""Raw-row listings: ordered paging and the largest rows."""
+"""Raw-row listings: ordered pages, the page after a row, and the largest rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money
 from claimscope.functions.filters import NO_FILTER, ROWS_SCOPE, Filter
+from claimscope.operators.topk import merged_top
 from claimscope.schema import ROW_COLUMNS
 
-SORTABLE = set(ROW_COLUMNS)
-MAX_LIMIT = 500
-MAX_OFFSET = 100000
+DEFAULT_SORT = "paid"
+
+
+def _sort_keys(sort: str, direction: str | None) -> list[tuple[str, bool]]:
+    """``(column, ascending)`` of a total order: the sort column (one that is
+    unknown falls back to the amount), then all others, so pages never overlap."""
+    first = sort if sort in ROW_COLUMNS else DEFAULT_SORT
+    return [(first, (direction or "").lower() == "asc")] + [(c, True) for c in ROW_COLUMNS if c != first]
+
+
+def _order(keys: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys]
 
 
-def _row_order(sort: str, ascending: bool) -> list:
-    first = F.col(sort).asc_nulls_last() if ascending else F.col(sort).desc_nulls_last()
-    # the remaining columns make the order total, so pages never overlap
-    return [first] + [F.col(c).asc_nulls_last() for c in ROW_COLUMNS if c != sort]
+def _listed(fact: DataFrame, flt: Filter) -> DataFrame:
+    return flt.scoped(*ROWS_SCOPE).apply(fact).select(*ROW_COLUMNS)
 
 
-def rows_page(fact: DataFrame, flt: Filter = NO_FILTER, sort: str = "paid",
+def _count(name: str, value) -> int:
+    n = int(value)
+    if n < 0:
+        raise ValueError(f"{name} must not be negative")
+    return n
+
+
+def rows_page(fact: DataFrame, flt: Filter = NO_FILTER, sort: str = DEFAULT_SORT,
               direction: str = "desc", limit=50, offset=0) -> DataFrame:
-    """One page of filtered rows in a total order.
+    """One page of filtered rows in a total order; nulls come last.
 
-    An unknown sort column falls back to ``paid``; the direction is
-    ascending only for ``asc``; nulls come last either way. ``limit`` is
-    capped at 500 and ``offset`` at 100,000, so the plan is one
-    ``TakeOrderedAndProject`` keeping at most offset + limit rows per task.
+    ``limit`` and ``offset`` are taken as they are. The work of a page grows
+    with its offset; :func:`rows_after` continues from a row instead.
     """
-    sort = sort if sort in SORTABLE else "paid"
-    ascending = (direction or "desc").lower() == "asc"
-    limit = min(int(limit), MAX_LIMIT)
-    offset = min(int(offset), MAX_OFFSET)
-    if limit < 0 or offset < 0:
-        raise ValueError("limit and offset must not be negative")
-    df = flt.scoped(*ROWS_SCOPE).apply(fact).select(*ROW_COLUMNS)
-    page = df.orderBy(*_row_order(sort, ascending)).limit(offset + limit).offset(offset)
+    limit, offset = _count("limit", limit), _count("offset", offset)
+    order = _order(_sort_keys(sort, direction))
+    page = merged_top(_listed(fact, flt), order, offset + limit).offset(offset)
+    return page.withColumn("paid", money("paid"))
+
+
+def rows_after(fact: DataFrame, last: dict, flt: Filter = NO_FILTER, sort: str = DEFAULT_SORT,
+               direction: str = "desc", limit=50) -> DataFrame:
+    """The page that follows the row ``last`` (its eight columns, as a page
+    returned them), however deep: the rows up to it are filtered out."""
+    keys = _sort_keys(sort, direction)
+    types = dict(fact.dtypes)
+    later, same = [], []
+    for c, up in keys:
+        v = F.lit(last[c]).cast(types[c])
+        if last[c] is not None:
+            beyond = F.col(c) > v if up else F.col(c) < v
+            later.append(functools.reduce(operator.and_, same + [beyond | F.col(c).isNull()]))
+        same = same + [F.col(c).eqNullSafe(v)]
+    rest = functools.reduce(operator.or_, later) if later else F.lit(False)
+    page = merged_top(_listed(fact, flt).where(rest), _order(keys), _count("limit", limit))
     return page.withColumn("paid", money("paid"))
 
 
 def top_rows(fact: DataFrame, k: int = 2000) -> DataFrame:
     """The ``k`` largest rows by paid."""
-    df = fact.select(*ROW_COLUMNS).orderBy(*_row_order("paid", False)).limit(k)
-    return df.withColumn("paid", money("paid"))
+    rows = merged_top(fact.select(*ROW_COLUMNS), _order(_sort_keys("paid", "desc")), k)
+    return rows.withColumn("paid", money("paid"))

@@ -6,9 +6,13 @@ key (ascending), so equal totals always come out in the same order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.session import checkpoint_dir
+
 
 def _order(measure: str, key: str | list[str]) -> list[Column]:
     keys = [key] if isinstance(key, str) else list(key)
@@ -24,6 +28,23 @@ def top_k(df: DataFrame, k: int, measure: str, key: str | list[str],
     return head.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def merged_top(df: DataFrame, order: list[Column], n: int, fan: int | None = None) -> DataFrame:
+    """The first ``n`` rows of a total order, merged in two steps.
+
+    ``TakeOrderedAndProject`` alone sends every task's ``n`` rows to one task.
+    Here each task's ``n`` rows (a partial WindowGroupLimit) go to one of ``fan``
+    middle partitions, which keep ``n`` each, so the last merge reads
+    ``fan * n`` rows however many tasks scanned. Which middle partition a row
+    takes does not matter for the answer.
+    """
+    if fan is None:
+        fan = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    w = Window.partitionBy("_middle").orderBy(*order)
+    kept = (df.withColumn("_middle", F.spark_partition_id() % fan)
+              .withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n))
+    return kept.drop("_middle", "_place").orderBy(*order).limit(n)
+
+
 def top_k_per_group(df: DataFrame, group: str | list[str], k: int, measure: str,
                     key: str | list[str], rank_col: str = "rk") -> DataFrame:
     """Top-k rows of every group.
@@ -46,7 +67,9 @@ def dense_index(values: DataFrame, key: str, index_col: str = "idx") -> DataFram
     Distributed: the keys are range-partitioned and sorted, each row gets its
     position inside its partition, and the per-partition counts (one row per
     partition, so bounded) give every partition its starting offset. No
-    single-partition window over the keys themselves.
+    single-partition window over the keys themselves. Eager: the partitioned
+    keys are checkpointed, because counts and positions must come from one and
+    the same evaluation of the range partitioning.
     """
     ordered = (values.select(key).where(F.col(key).isNotNull()).distinct()
                .repartitionByRange(F.col(key)).sortWithinPartitions(key)
@@ -54,6 +77,8 @@ def dense_index(values: DataFrame, key: str, index_col: str = "idx") -> DataFram
                .withColumn("_pos", F.monotonically_increasing_id()))
     # position inside the partition: the id's low 33 bits
     ordered = ordered.withColumn("_pos", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1)))
+    checkpoint_dir(values.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(

@@ -1,17 +1,16 @@
 """The batch build: raw inputs → clustered fact table → aggregate tables.
 
-Steps (each writes Parquet under ``root``; each later step reads what the
-earlier one wrote, which also cuts the lineage, so a lost executor never
-forces a recompute back to the raw input):
-
-1. ``npi_lookup``  – provider registry, one row per NPI.
-2. ``fact/v=N``    – payment rows ⟕ registry state, clustered by (month,
-   code), written as a new version (the version being read is never
-   overwritten).
-3. ``codes`` (distinct codes with their dense index), then ``code_desc`` and
-   ``sector_map`` derived from it.
+Every build is a new version folder under ``root`` (``v=N``); its marker is
+written last and readers use the newest marked one. Each step writes Parquet and
+later steps read what earlier ones wrote, which also cuts the lineage:
+
+1. ``npi_lookup`` – provider registry, one row per NPI.
+2. ``fact``       – payment rows ⟕ registry state, clustered by (month, code).
+3. ``codes`` (distinct codes with their dense index), ``code_desc`` (as given;
+   empty without descriptions) and ``sector_map`` (as given, or by the rules).
 4. cubes, top lists, leaders, largest rows, provider index, dataset
-   statistics and the two precomputed dashboards.
+   statistics and the two precomputed dashboards (:func:`bake`; they go into
+   the build whose fact they were computed from).
 """
 
 from __future__ import annotations
@@ -19,48 +18,62 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimscope.functions.filters import Filter
 from claimscope.operators import cubes, dashboard, leaders, providers, rows, stats
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
-from claimscope.sources.tables import (dedupe_lookup, read_fact, write_fact, write_table,
-                                       write_versioned)
+from claimscope.sources.tables import (complete_build, dedupe_lookup, fact_at, latest_build, new_build,
+                                       read_claims_csv, read_json_map, read_registry_csv, write_fact,
+                                       write_table)
 
 
-def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str) -> dict:
-    """Steps 1–3. ``raw`` has the seven fact columns; ``lookup`` npi/name/state."""
-    timings = {}
-    t0 = time.time()
-    write_table(dedupe_lookup(lookup), f"{root}/npi_lookup")
-    timings["npi_lookup"] = time.time() - t0
-    lk = spark.read.parquet(f"{root}/npi_lookup")
-    t0 = time.time()
-    write_versioned(spark, f"{root}/fact",
-                    lambda path: write_fact(add_billing_state(raw, lk), path))
-    timings["fact"] = time.time() - t0
-    fact = read_fact(spark, root)
-    t0 = time.time()
-    # one pass over the fact for the distinct codes (with their dense index);
-    # the code dimensions are derived from that small table
-    write_table(stats.distinct_values(fact, "hcpcs"), f"{root}/codes")
-    codes = spark.read.parquet(f"{root}/codes")
-    descs = (codes.where(F.substring("hcpcs", 1, 1).between("A", "Z"))
-                  .select("hcpcs", F.concat(F.lit("Service "), F.col("hcpcs")).alias("name")))
-    write_table(descs, f"{root}/code_desc")
-    write_table(stats.sector_map(codes), f"{root}/sector_map")
-    timings["code_tables"] = time.time() - t0
+def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str,
+               descs: DataFrame | None = None, sectors: DataFrame | None = None) -> dict:
+    """Steps 1–3 as a new complete build. ``raw`` has the seven fact columns;
+    ``lookup`` npi/name/state; ``descs`` hcpcs/name; ``sectors`` hcpcs/sector.
+    Returns the seconds of each step."""
+    build, timings = new_build(spark, root), {}
+
+    def timed(name, work):
+        t0 = time.time()
+        work()
+        timings[name] = time.time() - t0
+
+    def code_tables():
+        write_table(stats.distinct_values(fact_at(spark, build), "hcpcs"), f"{build}/codes")
+        codes = spark.read.parquet(f"{build}/codes")
+        known = spark.createDataFrame([], "hcpcs string, name string") if descs is None else descs
+        write_table(known.select("hcpcs", "name"), f"{build}/code_desc")
+        write_table(stats.sector_map(codes) if sectors is None else sectors.select("hcpcs", "sector"),
+                    f"{build}/sector_map")
+
+    timed("npi_lookup", lambda: write_table(dedupe_lookup(lookup), f"{build}/npi_lookup"))
+    registry = spark.read.parquet(f"{build}/npi_lookup")
+    timed("fact", lambda: write_fact(add_billing_state(raw, registry), f"{build}/fact"))
+    timed("code_tables", code_tables)
+    complete_build(spark, build)
     return timings
 
 
-CUBES = ("cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code")
+def build_from_files(spark: SparkSession, claims: str, registry: str, root: str,
+                     descriptions: str | None = None, sectors: str | None = None,
+                     rounding: str = "fail") -> dict:
+    """Steps 1–3 from the raw files: claims CSV, registry CSV, and optional
+    JSON objects of code descriptions and code sectors."""
+    return build_fact(spark, read_claims_csv(spark, claims, rounding), read_registry_csv(spark, registry), root,
+                      read_json_map(spark, descriptions, "hcpcs", "name") if descriptions else None,
+                      read_json_map(spark, sectors, "hcpcs", "sector") if sectors else None)
+
+
+CUBES = ("cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code", "cube_dashboard")
 
 
 def bake(spark: SparkSession, root: str, only=None) -> dict:
     """Step 4: the materialised aggregates, from the built fact table
-    (``only``: a subset of table names)."""
-    fact = read_fact(spark, root)
+    (``only``: a subset of table names), of the latest build."""
+    root = latest_build(spark, root)
+    fact = fact_at(spark, root)
     lookup = spark.read.parquet(f"{root}/npi_lookup")
     descs = spark.read.parquet(f"{root}/code_desc")
     sectors = spark.read.parquet(f"{root}/sector_map")
@@ -71,6 +84,7 @@ def bake(spark: SparkSession, root: str, only=None) -> dict:
         "cube_code_bucket": cubes.cube_code_bucket(fact),
         "cube_month_state": cubes.cube_month_state(fact),
         "cube_state_code": cubes.cube_state_code(fact),
+        "cube_dashboard": cubes.cube_dashboard(fact),
         "top_providers_state_billing": leaders.top_providers_by_state(fact, lookup, "billing"),
         "top_providers_state_servicing": leaders.top_providers_by_state(fact, lookup, "servicing"),
         "top_providers_code_billing": leaders.top_providers_by_code(fact, lookup, "billing"),
@@ -114,7 +128,7 @@ def build_from_fixture(spark: SparkSession, sf_dir: str, root: str, with_bake: b
     """The whole build with the driver's tables standing in for the raw
     inputs (the fixture views of :mod:`claimscope.sources.fixture`)."""
     t = build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir),
-                   root)
+                   root, fixture.code_desc(spark, sf_dir))
     if with_bake:
         t.update(bake(spark, root))
     return t

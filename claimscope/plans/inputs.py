@@ -25,7 +25,9 @@ class Inputs:
 
     @classmethod
     def from_build(cls, spark: SparkSession, root: str) -> "Inputs":
-        return cls(spark, sf_dir="", built=root)
+        """The tables of the latest complete build under ``root``."""
+        from claimscope.sources.tables import latest_build
+        return cls(spark, sf_dir="", built=latest_build(spark, root))
 
     def _get(self, name, make):
         if name not in self._cache:
@@ -36,8 +38,8 @@ class Inputs:
         """billing_npi, servicing_npi, hcpcs, month, patients, claim_lines,
         paid DECIMAL(18,2), billing_state (+ hcpcs_norm when built)."""
         if self.built:
-            from claimscope.sources.tables import read_fact
-            return self._get("fact", lambda: read_fact(self.spark, self.built))
+            from claimscope.sources.tables import fact_at
+            return self._get("fact", lambda: fact_at(self.spark, self.built))
         return self._get("fact", lambda: fixture.spending(self.spark, self.sf_dir))
 
     def raw(self) -> DataFrame:
@@ -57,8 +59,8 @@ class Inputs:
         return self._get("sectors", lambda: code_sectors(self.fact(), "hcpcs"))
 
     def cube(self, name: str, make) -> DataFrame:
-        """A materialised aggregate: the baked table when the build has one,
-        else ``make(fact)`` computed on the fly."""
+        """A materialised aggregate: the table baked from this build's fact if
+        there is one, else ``make(fact)`` computed on the fly."""
         if self.built:
             from claimscope.sources.tables import table_exists
             path = f"{self.built}/{name}"

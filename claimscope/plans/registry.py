@@ -7,9 +7,11 @@ no SQL is given). Parameters are the fixed test parameters of the fixture.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from claimscope.functions.filters import Filter
 from claimscope.operators import cubes as C
@@ -19,7 +21,10 @@ from claimscope.operators import providers as P
 from claimscope.operators import rows as R
 from claimscope.operators import stats as S
 from claimscope.plans import oracle_sql as O
+from claimscope.plans.build import bake, build_from_files
 from claimscope.plans.inputs import Inputs
+from claimscope.session import checkpoint_dir
+from claimscope.sources import tables as T
 
 # --- Fixed test parameters ---
 MONTHS = Filter(month_from="1997-01", month_to="1998-12")
@@ -29,8 +34,8 @@ PAID = Filter(paid_min="10000", paid_max="50000")
 EXTREME = Filter.exclude_extreme()
 BILLING = Filter(billing_npi=" 1000000007 ")
 SERVICING = Filter(servicing_npi="2000000001")
-COMBINED = Filter(month_from="1995-01", month_to="1998-12", state="ny", paid_min="1000")
-PEER_SCOPE = Filter(month_from="1995-01", month_to="1998-12", paid_min="1000", hcpcs="D1110")
+COMBINED = Filter(month_from="1997-03", month_to="1999-12", state="ny", paid_min="1000")
+PEER_SCOPE = Filter(month_from="1997-03", month_to="1999-12", paid_min="1000", hcpcs="D1110")
 NO = Filter()
 
 QUERIES: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {}
@@ -124,7 +129,6 @@ register("peer_subject", lambda i: P.peer_subject(i.lookup(), SUBJECT), O.peer_s
 
 
 def _index(i: Inputs) -> DataFrame:
-    from pyspark.sql import functions as F
     df = P.provider_index(i.fact(), i.lookup())
     return df.withColumn("codes", F.concat_ws(",", "codes"))
 
@@ -141,6 +145,10 @@ register("rows_page_month_asc", lambda i: R.rows_page(i.fact(), STATE, "month",
          O.rows_page(STATE, "month", "ASC", 9999, 0))
 register("rows_page_filtered", lambda i: R.rows_page(i.fact(), COMBINED, "hcpcs", "asc", 50, 20),
          O.rows_page(COMBINED, "hcpcs", "asc", 50, 20))
+register("rows_page_deep", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 700, 59500),
+         O.rows_page(NO, "paid", "desc", 700, 59500))
+register("rows_page_middle", lambda i: R.rows_page(i.fact(), NO, "paid", "asc", 700, 30000),
+         O.rows_page(NO, "paid", "asc", 700, 30000))
 register("top_rows", lambda i: R.top_rows(i.fact()), O.top_rows())
 
 # ---------------------------------------------------------------- cubes
@@ -225,7 +233,6 @@ register("sector_code_counts", lambda i: S.sector_code_counts(i.fact()), O.secto
 
 
 def _fact_view(i: Inputs) -> DataFrame:
-    from pyspark.sql import functions as F
     return i.fact().select("billing_npi", "servicing_npi", "hcpcs", "month", "patients",
                            "claim_lines", F.col("paid").cast("double").alias("paid"),
                            "billing_state")
@@ -233,15 +240,73 @@ def _fact_view(i: Inputs) -> DataFrame:
 
 register("fact_view", _fact_view, O.fact_view())
 
-register("dash_from_cubes",
-         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
-                                          i.descs(), **CUBE_ARGS),
-         O.cubes_dashboard_long(**CUBE_ARGS))
-register("dash_from_cubes_codes",
-         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
-                                          i.descs(), hcpcs=CUBE_ARGS["hcpcs"]),
+def _from_cube(**given):
+    return lambda i: C.cubes_dashboard_long(i.cube("cube_dashboard", C.cube_dashboard), i.descs(),
+                                            sectors=i.sectors() if i.built else None, **given)
+
+
+register("cube_dashboard", lambda i: C.out(i.cube("cube_dashboard", C.cube_dashboard)), O.cube("dashboard"))
+register("dash_from_cubes", _from_cube(**CUBE_ARGS), O.cubes_dashboard_long(**CUBE_ARGS))
+register("dash_from_cubes_codes", _from_cube(hcpcs=CUBE_ARGS["hcpcs"]),
          O.cubes_dashboard_long(hcpcs=CUBE_ARGS["hcpcs"]))
-register("dash_from_cubes_all",
-         lambda i: C.cubes_dashboard_long(_mc(i), _cb(i),
-                                          i.descs()),
-         O.cubes_dashboard_long())
+register("dash_from_cubes_all", _from_cube(), O.cubes_dashboard_long())
+
+# ---------------------------------------------------------------- sources and builds
+
+
+def _written(i: Inputs, name: str) -> str:
+    return f"{checkpoint_dir(i.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _money_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("paid", F.col("paid").cast("double"))
+
+
+def _ingest_spending(i: Inputs) -> DataFrame:
+    path = _written(i, "claims-csv")
+    T.write_claims_csv(i.raw(), path)
+    return _money_out(T.read_claims_csv(i.spark, path))
+
+
+def _registry_csv(i: Inputs) -> str:
+    path = _written(i, "registry-csv")
+    wide = i.lookup().select(F.lit("x").alias("Entity Type Code"), F.col("name").alias(T.REGISTRY_NAME),
+                             F.concat(F.lit(" "), F.lower("state"), F.lit("  ")).alias(T.REGISTRY_STATE),
+                             F.col("npi").alias(T.REGISTRY_NPI))
+    wide.write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _ingest_lookup(i: Inputs) -> DataFrame:
+    twice = T.read_registry_csv(i.spark, _registry_csv(i))
+    return T.dedupe_lookup(twice.unionByName(twice.withColumn("state", F.lit(None).cast("string"))))
+
+
+def _json(i: Inputs, df: DataFrame, value: str) -> str:
+    path = _written(i, f"{value}-json")
+    T.write_json_map(df, path, "hcpcs", value)
+    return path
+
+
+def _from_files(i: Inputs) -> Inputs:
+    """A whole build from files, of the fixture's rows."""
+    claims, root = _written(i, "claims-csv"), _written(i, "build")
+    T.write_claims_csv(i.raw(), claims)
+    build_from_files(i.spark, claims, _registry_csv(i), root, _json(i, i.descs(), "name"),
+                     _json(i, i.sectors(), "sector"))
+    bake(i.spark, root, only=("cube_month_code", "cube_dashboard"))
+    return Inputs.from_build(i.spark, root)
+
+
+register("ingest_spending", _ingest_spending, O.raw_view())
+register("ingest_npi_lookup", _ingest_lookup, O.lookup_view())
+register("load_code_desc", lambda i: T.read_json_map(i.spark, _json(i, i.descs(), "name"), "hcpcs", "name"),
+         O.desc_view())
+register("load_sector_map",
+         lambda i: T.read_json_map(i.spark, _json(i, i.sectors(), "sector"), "hcpcs", "sector"), O.sector_map())
+register("built_fact", lambda i: _fact_view(_from_files(i)), O.fact_view())
+register("built_cube_month_code",
+         lambda i: C.out(_from_files(i).cube("cube_month_code", C.cube_month_code)), O.cube("month_code"))
+register("built_dashboard_long", lambda i: _long(NO)(_from_files(i)), O.dashboard_long(NO))
+register("built_peers", lambda i: P.peers((b := _from_files(i)).fact(), b.lookup(), SUBJECT), O.peers(NO, SUBJECT))

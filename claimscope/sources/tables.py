@@ -1,15 +1,15 @@
 """Raw-file readers and the Parquet tables of the batch build.
 
 * ``read_claims_csv`` / ``read_registry_csv`` – the raw inputs, read with an
-  explicit all-text schema and cast with ANSI semantics (a bad number fails
+  header names as text and cast with ANSI semantics (a bad number fails
   the job instead of becoming null).
 * ``write_fact`` – the clustered fact table: range-partitioned and sorted by
   (month, normalised code), one directory per month, ZSTD. Month filters
   prune whole directories; code filters prune row groups by min/max;
   provider equality filters prune row groups by bloom filter.
-* ``write_versioned`` / ``latest_version`` – a table is replaced by writing a
-  new version next to the old one and switching readers to it; the version
-  being read is never overwritten.
+* ``new_build`` / ``complete_build`` / ``latest_build`` – all tables of a build
+  live in one version folder; readers switch when its marker is written.
+* ``write_versioned`` / ``latest_version`` – the same for a single table.
 """
 
 from __future__ import annotations
@@ -17,30 +17,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.schema import MONEY, NPI_LOOKUP, SOURCE_COLUMNS, SOURCE_SCHEMA, SPENDING
+from claimscope.schema import MONEY, NPI_LOOKUP, SOURCE_COLUMNS, SPENDING
 
 FACT_SCHEMA_DDL = ", ".join(
     [f"{f.name} {f.dataType.simpleString()}" for f in SPENDING.fields] + ["hcpcs_norm string"])
 
 
-def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The claims-summary CSV (with header) → the seven typed fact columns.
+def read_csv_by_name(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with header as text columns named by its header. Every file must
+    have that header; a row with too few or too many fields fails the job; a
+    doubled quote inside quotes is a quote."""
+    return (spark.read.option("header", True).option("inferSchema", False)
+                 .option("enforceSchema", False).option("mode", "FAILFAST")
+                 .option("columnPruning", False).option("escape", '"').csv(path))
 
-    The three identifier columns stay text; counts become BIGINT and the
-    amount DECIMAL(18,2)."""
-    raw = spark.read.schema(SOURCE_SCHEMA).option("header", True).csv(path)
-    types = {"patients": "bigint", "claim_lines": "bigint", "paid": MONEY.simpleString()}
-    return raw.select(*[F.col(src).cast(types.get(dst, "string")).alias(dst)
-                        for src, dst in SOURCE_COLUMNS])
+
+def typed_claims(raw: DataFrame, rounding: str = "fail") -> DataFrame:
+    """Source columns (by name, text) → the seven typed fact columns. An
+    amount with more than two decimals fails the job, or is rounded when
+    ``rounding`` is ``"round"``; a value that is no number fails it always."""
+    if rounding not in ("fail", "round"):
+        raise ValueError("rounding is fail or round")
+    amount = F.col("TOTAL_PAID").cast(MONEY)
+    if rounding == "fail":
+        exact = F.col("TOTAL_PAID").cast("decimal(38,10)") == amount
+        amount = F.when(F.col("TOTAL_PAID").isNull() | exact, amount).otherwise(F.raise_error(F.concat(
+            F.lit("amount with more than two decimals: "), F.col("TOTAL_PAID"))).cast(MONEY))
+    made = {"patients": F.col("TOTAL_PATIENTS").cast("bigint"),
+            "claim_lines": F.col("TOTAL_CLAIM_LINES").cast("bigint"), "paid": amount}
+    return raw.select(*[made.get(dst, F.col(src)).alias(dst) for src, dst in SOURCE_COLUMNS])
+
+
+def read_claims_csv(spark: SparkSession, path: str, rounding: str = "fail") -> DataFrame:
+    """The claims-summary CSV → the seven typed fact columns."""
+    return typed_claims(read_csv_by_name(spark, path), rounding)
+
+
+def write_claims_csv(raw: DataFrame, path: str) -> None:
+    """Fact columns back to the source CSV layout."""
+    (raw.select(*[F.col(dst).cast("string").alias(src) for src, dst in SOURCE_COLUMNS])
+        .write.option("header", True).option("escape", '"').csv(path))
 
 
 def amount_precision_report(spark: SparkSession, path: str) -> DataFrame:
-    """Rows whose amount has more than two decimals (they would be rounded
-    by the DECIMAL(18,2) cast) – counted, so ingestion can report them."""
-    raw = spark.read.schema(SOURCE_SCHEMA).option("header", True).csv(path)
+    """Rows whose amount has more than two decimals, counted (for a look at a
+    file before it is ingested with ``rounding="round"``)."""
     wide = F.col("TOTAL_PAID").cast("decimal(38,10)")
-    return raw.agg(F.count(F.when(wide != wide.cast(MONEY), 1)).alias("rounded_rows"),
-                   F.count(F.lit(1)).alias("rows"))
+    return read_csv_by_name(spark, path).agg(
+        F.count(F.when(wide != wide.cast(MONEY), 1)).alias("rounded_rows"),
+        F.count(F.lit(1)).alias("rows"))
 
 
 # The two registry columns used.
@@ -52,7 +77,7 @@ REGISTRY_NAME = "Provider Organization Name (Legal Business Name)"
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
     """Provider registry CSV (all text) → ``npi, name, state``: state trimmed
     and upper-cased, rows without an NPI dropped."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = read_csv_by_name(spark, path)
     name = F.col(f"`{REGISTRY_NAME}`") if REGISTRY_NAME in raw.columns else F.lit(None)
     return (raw.select(F.col(REGISTRY_NPI).cast("string").alias("npi"),
                        name.cast("string").alias("name"),
@@ -62,17 +87,20 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def dedupe_lookup(lookup: DataFrame) -> DataFrame:
     """One row per NPI (a duplicate would multiply fact rows in the state
-    join); deterministic: the smallest (state, name) wins."""
-    return (lookup.groupBy("npi")
-                  .agg(F.min(F.struct("state", "name")).alias("_v"))
+    join). The smallest state that is not null wins, then the smallest name
+    that is not null."""
+    best = F.struct(F.col("state").isNull(), "state", F.col("name").isNull(), "name")
+    return (lookup.groupBy("npi").agg(F.min(best).alias("_v"))
                   .select("npi", F.col("_v.name").alias("name"), F.col("_v.state").alias("state")))
 
 
 def clustered(fact: DataFrame) -> DataFrame:
-    """Add ``hcpcs_norm`` and lay the rows out by (month, hcpcs_norm)."""
+    """Add ``hcpcs_norm`` and lay the rows out by (month, hcpcs_norm). The
+    provider columns are part of the range key, so the rows of one busy month
+    and code are spread over several partitions."""
     fact = fact.withColumn("hcpcs_norm", F.upper("hcpcs"))
-    return (fact.repartitionByRange("month", "hcpcs_norm")
-                .sortWithinPartitions("month", "hcpcs_norm", "hcpcs"))
+    key = ["month", "hcpcs_norm", "billing_npi", "servicing_npi"]
+    return fact.repartitionByRange(*key).sortWithinPartitions(*key)
 
 
 def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
@@ -92,9 +120,14 @@ def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 5_000_000
 
 
 def read_fact(spark: SparkSession, root: str) -> DataFrame:
-    """The latest version of the built fact table (explicit schema, so the
-    month directories are read back as text)."""
-    path = latest_version(spark, f"{root}/fact")
+    """The fact table of the latest complete build under ``root``."""
+    return fact_at(spark, latest_build(spark, root))
+
+
+def fact_at(spark: SparkSession, build: str) -> DataFrame:
+    """The fact table of one build (explicit schema, so the month directories
+    are read back as text)."""
+    path = f"{build}/fact"
     return (spark.read.schema(FACT_SCHEMA_DDL)
                  .option("basePath", path).parquet(path)
                  .select(*[f.name for f in SPENDING.fields], "hcpcs_norm"))
@@ -148,6 +181,37 @@ def write_versioned(spark: SparkSession, root: str, write) -> str:
     return path
 
 
+# ---------------------------------------------------------------- builds
+# All tables of a build share one version folder. Its marker is written last, so
+# readers never see half a build and never mix tables of two.
+MARKER = "_BUILD_COMPLETE"
+
+
+def _numbered(spark: SparkSession, root: str) -> dict[int, str]:
+    fs, p = _fs(spark, root)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return {int(n[2:]): f"{root}/{n}" for n in names if n.startswith("v=") and n[2:].isdigit()}
+
+
+def new_build(spark: SparkSession, root: str) -> str:
+    """The path of a version that does not exist yet."""
+    return f"{root}/v={max(_numbered(spark, root), default=0) + 1}"
+
+
+def complete_build(spark: SparkSession, build: str) -> None:
+    fs, p = _fs(spark, f"{build}/{MARKER}")
+    fs.create(p).close()
+
+
+def latest_build(spark: SparkSession, root: str) -> str:
+    """The newest version whose marker is there."""
+    for _, path in sorted(_numbered(spark, root).items(), reverse=True):
+        fs, p = _fs(spark, f"{path}/{MARKER}")
+        if fs.exists(p):
+            return path
+    raise FileNotFoundError(f"no complete build under {root}")
+
+
 def read_json_map(spark: SparkSession, path: str, key: str = "hcpcs",
                   value: str = "sector") -> DataFrame:
     """A JSON object file ``{"code": "value", ...}`` → ``key, value`` rows.
@@ -167,9 +231,11 @@ def write_json_map(df: DataFrame, path: str, key: str = "hcpcs", value: str = "s
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write a new table; an existing one is never overwritten."""
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-__all__ = ["read_json_map", "write_json_map", "read_claims_csv", "read_registry_csv",
-           "amount_precision_report", "dedupe_lookup", "write_fact", "read_fact", "write_versioned", "latest_version", "write_table",
-           "NPI_LOOKUP"]
+__all__ = ["read_json_map", "write_json_map", "read_csv_by_name", "read_claims_csv", "read_registry_csv",
+           "typed_claims", "write_claims_csv", "amount_precision_report", "dedupe_lookup", "write_fact",
+           "read_fact", "fact_at", "write_versioned", "latest_version", "write_table", "new_build",
+           "complete_build", "latest_build", "NPI_LOOKUP"]

@@ -5,47 +5,48 @@ source changes. Here the same conversion (typed read → billing-state join →
 clustered Parquet) runs as a Structured Streaming query over a landing
 folder, so new files are picked up without rebuilding the table:
 
-* the source is ``readStream.csv`` with the explicit all-text schema, cast
-  with ANSI semantics as in the batch reader;
+* the source is ``readStream.csv`` by header names, cast with ANSI semantics
+  as in the batch reader;
 * each micro-batch is joined with the registry, clustered by (month, code)
   and written by ``foreachBatch`` into its own ``batch=<id>`` folder with
   ``overwrite`` – a retried batch rewrites exactly its own folder, so the
   table is exactly-once even though ``foreachBatch`` itself is at-least-once;
-* progress lives in the streaming checkpoint, under the shared checkpoint
-  folder unless given, so a restarted query resumes where it stopped.
+* progress lives in the streaming checkpoint, which the caller names, so a
+  restarted query resumes where it stopped.
 
 Readers take the whole ``fact`` folder (all batches) with :func:`read_stream_fact`.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from claimscope.schema import MONEY, SOURCE_COLUMNS, SOURCE_SCHEMA, SPENDING
-from claimscope.session import checkpoint_dir
+from claimscope.schema import SPENDING
 from claimscope.sources.joins import add_billing_state
-from claimscope.sources.tables import FACT_SCHEMA_DDL, clustered
+from claimscope.sources.tables import FACT_SCHEMA_DDL, clustered, read_csv_by_name, typed_claims
 
 
 def claims_stream(spark: SparkSession, landing: str, max_files: int = 100) -> DataFrame:
-    raw = (spark.readStream.schema(SOURCE_SCHEMA).option("header", True)
+    """The landing folder as a stream. The columns are those of the header of
+    what has landed (by name, in file order); each file must have that header."""
+    found = read_csv_by_name(spark, landing).schema
+    raw = (spark.readStream.schema(found).option("header", True).option("enforceSchema", False)
+                .option("mode", "FAILFAST").option("columnPruning", False).option("escape", '"')
                 .option("maxFilesPerTrigger", max_files).csv(landing))
-    types = {"patients": "bigint", "claim_lines": "bigint", "paid": MONEY.simpleString()}
-    return raw.select(*[F.col(src).cast(types.get(dst, "string")).alias(dst)
-                        for src, dst in SOURCE_COLUMNS])
+    return typed_claims(raw)
 
 
 def start_ingest(spark: SparkSession, landing: str, lookup_path: str, out: str,
-                 checkpoint: str | None = None, available_now: bool = True):
+                 checkpoint: str, available_now: bool = True):
     """Start the ingest query; returns the ``StreamingQuery``.
 
-    ``available_now`` processes what has landed and stops (a scheduled
-    incremental build); otherwise the query keeps running."""
-    tag = hashlib.sha1(out.encode()).hexdigest()[:12]
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{tag}"
+    ``checkpoint`` holds the progress and must outlive the process: with a new
+    one every file is ingested again. ``available_now`` processes what has
+    landed and stops (a scheduled incremental build); otherwise the query keeps
+    running."""
+    if not checkpoint:
+        raise ValueError("the ingest needs a lasting checkpoint folder")
+    ckpt = checkpoint
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         lookup = batch.sparkSession.read.parquet(lookup_path)

@@ -41,7 +41,8 @@ def main(argv):
 
     spark = get_spark("local[8]", 8)
     root = f"{checkpoint_dir(spark).rstrip('/')}/plans-{uuid.uuid4().hex[:8]}"
-    build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir), root)
+    build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir), root,
+               fixture.code_desc(spark, sf_dir))
     bake(spark, root, only=CUBES)
     inputs = Inputs.from_build(spark, root)
     out = ["# Physical plans of the headline queries", "",

@@ -11,7 +11,7 @@ from claimscope.plans.build import build_fact, bake
 from claimscope.plans.inputs import Inputs
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
-from claimscope.sources.tables import (latest_version, read_claims_csv, read_fact,
+from claimscope.sources.tables import (latest_build, latest_version, read_claims_csv, read_fact,
                                        write_versioned)
 from conftest import SF_SMALL
 
@@ -20,7 +20,7 @@ from conftest import SF_SMALL
 def built(spark):
     root = tempfile.mkdtemp(prefix="claimscope-test-build-", dir="/tmp")
     build_fact(spark, fixture.spending_raw(spark, SF_SMALL), fixture.npi_lookup(spark, SF_SMALL),
-               root)
+               root, fixture.code_desc(spark, SF_SMALL))
     return root
 
 
@@ -75,7 +75,7 @@ def test_queries_on_built_equal_queries_on_view(spark, built):
         lambda i: dashboard.dashboard_long(i.fact(), i.lookup(), i.descs(), Filter(hcpcs="T2042")),
         lambda i: leaders.top_providers_by_state(i.fact(), i.lookup()),
         lambda i: providers.peers(i.fact(), i.lookup(), "1000000007"),
-        lambda i: rows.rows_page(i.fact(), Filter(month_from="1995-01"), "month", "asc", 40, 10),
+        lambda i: rows.rows_page(i.fact(), Filter(month_from="1998-01"), "month", "asc", 40, 10),
     ):
         x, y = make(a), make(b)
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
@@ -84,7 +84,7 @@ def test_queries_on_built_equal_queries_on_view(spark, built):
 def test_bake_writes_tables(spark, built):
     times = bake(spark, built)
     assert {"cube_month_code", "dash_default", "provider_index", "sector_leaders"} <= set(times)
-    d = spark.read.parquet(f"{built}/dash_default")
+    d = spark.read.parquet(f"{latest_build(spark, built)}/dash_default")
     assert d.where("section = 'summary'").collect()[0].n == read_fact(spark, built).count()
 
 
@@ -124,19 +124,29 @@ def test_plan_top_k_per_group_is_limited_before_shuffle(spark, built):
     assert "WindowGroupLimit" in plan
 
 
-def test_plan_peers_semi_join_is_broadcast(spark, built):
+def test_plan_peers_prunes_by_code(spark, built):
     i = Inputs.from_build(spark, built)
-    df = providers.peer_totals(i.fact(), "1000000007")
-    df.collect()
-    plan = _plan(df)
-    assert "LeftSemi" in plan and "Broadcast" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        df = providers.peer_totals(i.fact(), "1000000007")
+        df.collect()
+        plan = _plan(df)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [x for x in plan.split("PushedFilters")[1:] if "In(hcpcs_norm" in x]
+    assert pushed and "LeftSemi" not in plan
 
 
-def test_plan_rows_page_single_take_ordered(spark, built):
+def test_plan_rows_page_merges_in_two_steps(spark, built):
     i = Inputs.from_build(spark, built)
     df = rows.rows_page(i.fact(), Filter(), "paid", "desc", 50, 100)
     df.collect()
-    assert "TakeOrderedAndProject" in _plan(df)
+    plan = _plan(df)
+    # tasks send their own best rows to a few middle partitions; the last
+    # merge reads those, however many tasks scanned
+    assert "TakeOrderedAndProject" in plan
+    above = plan[:plan.index("Exchange hashpartitioning(_middle")]
+    assert "WindowGroupLimit" in plan[len(above):] and "Exchange" not in above.split("TakeOrderedAndProject")[1]
 
 
 def test_registry_csv(spark):
@@ -173,7 +183,9 @@ def test_amount_precision_report(spark):
         f.write("\n".join(rows_) + "\n")
     r = amount_precision_report(spark, path).collect()[0]
     assert (r.rounded_rows, r.rows) == (1, 3)
-    back = read_claims_csv(spark, path).orderBy("month").collect()
+    with pytest.raises(Exception, match="more than two decimals"):
+        read_claims_csv(spark, path).collect()
+    back = read_claims_csv(spark, path, rounding="round").orderBy("month").collect()
     assert [str(x.paid) for x in back] == ["10.50", "1.01", "7.00"]
 
 
@@ -204,3 +216,158 @@ def test_unfinished_version_is_ignored(spark):
     assert latest_version(spark, root) == p1
     p3 = write_versioned(spark, root, lambda p: spark.range(4).write.parquet(p))
     assert p3.endswith("v=3") and latest_version(spark, root) == p3
+
+
+def test_rebuild_shows_no_stale_table(spark):
+    root = tempfile.mkdtemp(prefix="claimscope-test-rebuild-", dir="/tmp")
+    raw, lookup = fixture.spending_raw(spark, SF_SMALL), fixture.npi_lookup(spark, SF_SMALL)
+    from claimscope.operators import cubes
+    build_fact(spark, raw.limit(0), lookup, root)
+    bake(spark, root, only=("cube_month_code",))
+    old = Inputs.from_build(spark, root)
+    assert old.cube("cube_month_code", cubes.cube_month_code).count() == 0
+    build_fact(spark, raw, lookup, root)
+    new = Inputs.from_build(spark, root)
+    assert new.built != old.built
+    want = cubes.cube_month_code(new.fact())
+    assert new.cube("cube_month_code", cubes.cube_month_code).exceptAll(want).count() == 0 and want.count() > 0
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        bake(spark, root, only=("cube_month_code",))
+        bake(spark, root, only=("cube_month_code",))
+
+
+def test_unmarked_build_is_ignored(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="claimscope-test-mark-", dir="/tmp")
+    build_fact(spark, fixture.spending_raw(spark, SF_SMALL).limit(5), fixture.npi_lookup(spark, SF_SMALL), root)
+    os.makedirs(f"{root}/v=2/fact")
+    assert latest_build(spark, root) == f"{root}/v=1"
+
+
+def test_hot_month_and_code_is_spread(spark):
+    from claimscope.sources.tables import clustered
+    raw = fixture.spending(spark, SF_SMALL)
+    hot = raw.withColumn("month", F.lit("1997-05")).withColumn("hcpcs", F.lit("T1019"))
+    laid = clustered(raw.unionByName(hot)).withColumn("p", F.spark_partition_id())
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        n = [r["count"] for r in laid.where("month = '1997-05' and hcpcs = 'T1019'").groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(n) >= 3 and max(n) < 0.6 * sum(n)
+
+
+CSV_HEAD = ("BILLING_PROVIDER_NPI_NUM,SERVICING_PROVIDER_NPI_NUM,HCPCS_CODE,CLAIM_FROM_MONTH,"
+            "TOTAL_PATIENTS,TOTAL_CLAIM_LINES,TOTAL_PAID")
+
+
+def _csv(name, *lines):
+    path = tempfile.mkdtemp(prefix="claimscope-test-csv-", dir="/tmp") + f"/{name}.csv"
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    return path
+
+
+def test_csv_binds_by_name(spark):
+    path = _csv("claims", ",".join(CSV_HEAD.split(",")[::-1]), "10.50,4,3,2018-01,T1019,2,1")
+    r = read_claims_csv(spark, path).first()
+    assert (r.billing_npi, r.servicing_npi, r.hcpcs, r.month, r.patients, r.claim_lines, str(r.paid)) == (
+        "1", "2", "T1019", "2018-01", 3, 4, "10.50")
+
+
+def test_csv_short_row_fails(spark):
+    path = _csv("claims", CSV_HEAD, "1,2,T1019,2018-01,3,4,10.50", "1,2,T1019,2018-01")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        read_claims_csv(spark, path).collect()
+
+
+def test_registry_doubled_quotes(spark):
+    from claimscope.sources.tables import REGISTRY_NAME, REGISTRY_STATE, read_registry_csv
+    path = _csv("registry", f'NPI,"{REGISTRY_NAME}","{REGISTRY_STATE}"', '"1","ACME ""BEST"", LLC","ny"')
+    assert tuple(read_registry_csv(spark, path).first()) == ("1", 'ACME "BEST", LLC', "NY")
+
+
+def test_lookup_prefers_a_state(spark):
+    from claimscope.sources.tables import dedupe_lookup
+    df = spark.createDataFrame([("1", "A", "NY"), ("1", "A", None), ("2", None, None), ("2", "B", None)],
+                               "npi string, name string, state string")
+    assert sorted(map(tuple, dedupe_lookup(df).collect())) == [("1", "A", "NY"), ("2", "B", None)]
+
+
+@pytest.mark.parametrize("n,parts", [(12263, 8), (12263, 200), (1_000_000, 8)])
+def test_dense_index_survives_persist(spark, n, parts):
+    from claimscope.operators.topk import dense_index
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        keys = spark.range(n).select(F.format_string("k%07d", (F.col("id") * 7919) % n).alias("k"))
+        got = dense_index(keys, "k").persist()
+        wrong = got.where(F.substring("k", 2, 7).cast("long") != F.col("idx")).count()
+        assert (got.count(), wrong) == (n, 0)
+        got.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_amounts_out_of_range_and_between_cents(spark, micro):
+    n = lambda **kw: Filter(**kw).apply(micro).count()
+    known = micro.where("paid is not null").count()
+    assert n(paid_max="1e27") == known and n(paid_min="1e27") == 0 and n(paid_min="-inf") == known
+    assert n(paid_min="75.251") == micro.where("paid >= 75.26").count()
+    assert n(paid_max="75.259") == micro.where("paid <= 75.25").count()
+
+
+def test_backslash_in_a_name(spark, micro, micro_lookup):
+    more = micro_lookup.unionByName(spark.createDataFrame([("B9", "Back\\slash 100% Co", "NY")], micro_lookup.schema))
+    fact = micro.unionByName(micro.where("billing_npi = 'B1'").withColumn("billing_npi", F.lit("B9")))
+    assert [r.npi for r in providers.find_provider(fact, more, "ck\\sl").collect()] == ["B9"]
+    assert [r.npi for r in providers.find_provider(fact, more, "b_ck%co").collect()] == ["B9"]
+
+
+def test_search_totals_every_match(spark):
+    i = Inputs(spark, "/root/testdata/sf0.1")
+    got = providers.find_provider(i.fact(), i.lookup(), "supplier#").collect()
+    every = (i.fact().join(i.lookup().where("name ilike '%supplier#%'"), F.col("billing_npi") == F.col("npi"))
+             .groupBy("npi").agg(F.sum("paid").alias("p")))
+    assert every.count() > 400
+    want = every.orderBy(F.col("p").desc(), "npi").limit(10).collect()
+    assert [(r.npi, r.paid) for r in got] == [(r.npi, float(r.p)) for r in want]
+
+
+def test_pages_go_on_beyond_any_offset(spark):
+    fact = Inputs(spark, "/root/testdata/sf0.1").fact()
+    a = rows.rows_page(fact, limit=5, offset=100_000).collect()
+    b = rows.rows_page(fact, limit=5, offset=100_005).collect()
+    assert a != b and rows.rows_page(fact, limit=700).count() == 700
+    with pytest.raises(ValueError):
+        rows.rows_page(fact, limit=-1)
+
+
+@pytest.mark.parametrize("sort,direction", [("paid", "desc"), ("hcpcs", "asc"), ("billing_state", "desc"), ("month", "asc")])
+def test_page_after_a_row(spark, micro, sort, direction):
+    every = rows.rows_page(micro, sort=sort, direction=direction, limit=100).collect()
+    for cut in range(0, len(every), 3):
+        last = every[cut].asDict()
+        got = rows.rows_after(micro, last, sort=sort, direction=direction, limit=4).collect()
+        assert got == every[cut + 1:cut + 5]
+
+
+def test_non_local_master_needs_a_checkpoint_folder():
+    from claimscope import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+    assert session.is_local("local[*]") and not session.is_local("local-cluster[2,1,1024]")

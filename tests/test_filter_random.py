@@ -12,7 +12,7 @@ from claimscope.plans import oracle_sql as O
 from claimscope.plans.inputs import Inputs
 from conftest import SF_SMALL
 
-MONTHS = ["", "1992-03", "1995-01", "1996-07", "1998-12"]
+MONTHS = ["", "1996-03", "1997-07", "1998-12", "2000-02"]
 CODES = ["", "t1019", " T2042 ,d1110", "99213, ,", "A0425,S0215,G0299", "nosuch"]
 STATES = ["", " ny", "CA ", "scx", "zz"]
 AMOUNTS = ["", "0", "1000", "10.005", "-5", "50000", "100000000"]

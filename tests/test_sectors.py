@@ -1,7 +1,5 @@
-"""Sector rules: Spark (range join and CASE) and the SQL text against a
-plain-Python statement of the rules, over every letter+4-digit and 5-digit code."""
-
-import re
+"""Sector rules: the Spark range join and the oracle's patterns against a literal
+table of codes at every boundary, and against each other over all codes."""
 
 import duckdb
 import pandas as pd
@@ -9,59 +7,32 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimscope.functions import sectors as S
-
-
-def python_sector(code):
-    """The rules written out directly, rule by rule, first match wins."""
-    if code is None:
-        return None
-    c = code.strip().upper()
-    m4 = re.fullmatch(r"([A-Z])(\d{4})", c)
-    if m4:
-        l, n = m4.group(1), int(m4.group(2))
-        if l == "D":
-            return S.DENTAL
-        if (l == "T" and 2042 <= n <= 2046) or (l == "Q" and 5003 <= n <= 5010):
-            return S.HOSPICE
-        if l == "T" and (1000 <= n <= 1005 or 1019 <= n <= 1022 or n in (1030, 1031)):
-            return S.HOME
-        if l == "G" and (151 <= n <= 162 or n in (299, 300)):
-            return S.HOME
-        if (l == "T" and (2001 <= n <= 2005 or n == 2049)) or (l == "A" and n <= 999) \
-                or (l == "S" and n == 215):
-            return S.TRANSPORT
-        if l == "A" and n >= 4000:
-            return S.SUPPLIES
-        if l in "EKL":
-            return S.DME
-        if l == "J":
-            return S.DRUGS
-        if l == "H":
-            return S.BEHAVIORAL
-        if l == "V":
-            return S.VISION
-        if l == "S" and (5000 <= n <= 5999 or 9100 <= n <= 9199):
-            return S.HOME
-        if l in "ST":
-            return S.STATE_PLAN
-        if l == "G":
-            return S.PHYSICIAN
-        return None
-    if re.fullmatch(r"\d{5}", c):
-        n = int(c)
-        for lo, hi, sec in ((100, 1999, S.PHYSICIAN), (10004, 69990, S.PHYSICIAN),
-                            (70010, 89398, S.LAB), (90785, 90899, S.BEHAVIORAL),
-                            (90281, 99499, S.PHYSICIAN), (99500, 99602, S.HOME),
-                            (99605, 99607, S.PHYSICIAN)):
-            if lo <= n <= hi:
-                return sec
-    return None
-
-
-ODD = ["t1019", " T1019 ", "T1019\n", "\tD0120", "20", "A123", "A12345", "ZZZZZ", "", " ",
-       "G0151", "G0299", "S0215", "S9123", "S5100", "A0425", "A4000", "A3999", "T2049", "Q5011",
-       "90785", "90899", "90281", "99605", "99608", "00100", "01999", "69991", "D1110",
-       "W1793", "T201", "1234", "T1019X", "T-101"]
+from claimscope.plans.oracle_sql import sector_sql
+
+# Codes on both sides of each rule's boundaries.
+EXPECTED = {
+    "Dental": "D0000 D0120 D1110 D9999",
+    "Hospice": "T2042 T2046 Q5003 Q5009 Q5010",
+    "Home health & personal care": "T1000 T1005 T1019 T1022 T1030 T1031 G0151 G0159 G0160 G0162 G0299 G0300 "
+                                   "S5000 S5100 S5999 S9100 S9123 S9199 99500 99599 99600 99602",
+    "Transportation (NEMT & ambulance)": "T2001 T2005 T2049 A0000 A0425 A0999 S0215",
+    "Medical supplies": "A4000 A9999",
+    "DME, prosthetics & orthotics": "E0000 E9999 K0001 L9999",
+    "Drugs (provider-administered)": "J0000 J9999",
+    "Behavioral health & community services": "H0000 H2019 H9999 90785 90789 90790 90799 90800 90899",
+    "Vision & hearing": "V0000 V9999",
+    "State plan & waiver services": "T0999 T1006 T1018 T1023 T1029 T1032 T2000 T2006 T2041 T2047 T2048 T2050 "
+                                    "S0000 S0214 S0216 S4999 S6000 S9099 S9200 T9999",
+    "Physician & clinical services": "G0000 G0150 G0163 G0298 G0301 G9999 00100 00199 00200 00999 01000 01999 10004 "
+                                     "10009 10010 10099 10100 10999 11000 19999 20000 69000 69899 69900 69989 69990 "
+                                     "90281 90289 90290 90299 90300 90784 90900 91000 98999 99000 99499 99605 99607",
+    "Lab & imaging": "70010 70099 70100 70999 71000 79999 80000 88999 89000 89299 89300 89389 89390 89398",
+    None: "A1000 A3999 Q0000 Q5002 Q5011 B0000 C1000 M0001 P9999 R0000 W1793 Z9999 N0001 00000 00099 02000 10003 "
+          "69991 70009 89399 90280 99603 99604 99608 99999 20 A123 A12345 ZZZZZ T201 1234 T1019X T-101 DD120",
+}
+SPACED = {" T1019 ": "T1019", "T1019\n": "T1019", "\tD0120": "D0120", "t1019": "T1019", "g0151": "G0151", "": "20", " ": "20"}
+CODES = {c: s for s, codes in EXPECTED.items() for c in codes.split()}
+ODD = {k: CODES[v] for k, v in SPACED.items()}
 
 
 @pytest.fixture(scope="module")
@@ -70,36 +41,26 @@ def all_codes(spark):
         F.concat(F.expr("char(65 + cast(id div 10000 as int))"),
                  F.lpad((F.col("id") % 10000).cast("string"), 4, "0")).alias("hcpcs"))
     digits = spark.range(100000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("hcpcs"))
-    odd = spark.createDataFrame([(c,) for c in ODD], "hcpcs string")
+    odd = spark.createDataFrame([(c,) for c in [*ODD, *CODES]], "hcpcs string")
     return letters.unionByName(digits).unionByName(odd)
 
 
-def test_range_join_matches_python(all_codes):
-    got = {r.hcpcs: r.sector for r in S.code_sectors(all_codes).collect()}
-    codes = [r.hcpcs for r in all_codes.collect()]
-    bad = [(c, got.get(c), python_sector(c)) for c in codes if got.get(c) != python_sector(c)]
-    assert bad == []
-    # 5-digit codes in no rule: the gaps between the ranges
-    unclassified5 = sum(1 for n in range(100000) if python_sector(f"{n:05d}") is None)
-    assert unclassified5 == 100 + 8004 + 19 + 882 + 2 + 392
+@pytest.fixture(scope="module")
+def by_join(all_codes):
+    return {r.hcpcs: r.sector for r in S.code_sectors(all_codes).collect()}
 
 
-def test_case_expression_matches_python(all_codes):
-    got = all_codes.select("hcpcs", S.sector_of("hcpcs").alias("s")).collect()
-    assert [(r.hcpcs, r.s) for r in got if r.s != python_sector(r.hcpcs)] == []
+def test_range_join_at_the_boundaries(by_join):
+    want = CODES | ODD
+    assert {c: by_join.get(c) for c in want} == want
+    # five-digit codes in no rule: the gaps between the ranges
+    assert sum(f"{n:05d}" not in by_join for n in range(100000)) == 100 + 8004 + 19 + 882 + 2 + 392
+    assert set(S.SECTORS) == set(by_join.values())
 
 
-def test_sql_text_matches_python():
-    codes = ODD + [f"{x}{n:04d}" for x in "ADEGHJKLQSTVW" for n in range(0, 10000, 7)] + \
-        [f"{n:05d}" for n in range(0, 100000, 3)]
+def test_oracle_patterns_equal_range_join_on_every_code(all_codes, by_join):
+    codes = sorted({r.hcpcs for r in all_codes.collect()})
     con = duckdb.connect()
     con.register("c", pd.DataFrame({"hcpcs": codes}))
-    got = con.execute(f"select hcpcs, {S.sector_sql('hcpcs')} as s from c").fetchall()
-    assert [(c, s) for c, s in got if s != python_sector(c)] == []
-
-
-def test_every_sector_reachable():
-    seen = {python_sector(c) for c in
-            [f"{x}{n:04d}" for x in "ADEGHJKLQSTV" for n in range(10000)]
-            + [f"{n:05d}" for n in range(100000)]}
-    assert set(S.SECTORS) <= seen
+    got = dict(con.execute(f"select hcpcs, {sector_sql('hcpcs')} as s from c").fetchall())
+    assert {c: s for c, s in got.items() if s != by_join.get(c)} == {}
