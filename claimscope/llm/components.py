@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.staging import staged
+from claimscope.llm.staging import discard, staged
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     size = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
     before = size(e)
     while before[0]:
-        e = staged(_small_star(_large_star(e)), "links")
+        last, e = e, staged(_small_star(_large_star(e)), "links")
+        discard(last)
         now = size(e)
         if now == before:
             break

@@ -10,16 +10,21 @@ within the first ``n - ceil(t n) + 1`` of both.
 2. Each class sends the shingles of its prefix; the smallest class that has a
    shingle is the shingle's home. Classes that share a shingle meet at its home.
    Minima are aggregated before the shuffle.
-3. Each home stores the sets it meets in a radix trie, frequent shingles first.
-   A probe descends once, sharing the overlap of common paths; a subtree is cut
-   off when its shortest and longest sets can no longer reach the threshold with
-   what is left. Sets already connected are not looked at again: the output
-   is links that connect, not all pairs.
-4. A home with more sets than a task may hold is cut into blocks. First it alone
-   probes the blocks; what it links is connected. Only sets that it does not link
-   then probe all blocks, block by block. So a family of near copies of any size
-   takes work in proportion, and no task holds more than two blocks.
-5. Links connect classes into components.
+3. What meets at a home is mostly unlike. Each class is there with a parity bitmap
+   of its set, a few bits per shingle: bits that differ bound the overlap from above.
+   Pairs that the bound lets through connect classes into clusters, so that
+   each set has to be sent only once, to its cluster.
+4. Each cluster stores its sets in a radix trie, frequent shingles first. A probe
+   descends once, sharing the overlap of common paths; a subtree is cut off when
+   its shortest and longest sets can no longer reach the threshold with what is
+   left. Sets already connected are not looked at again: the output is links that
+   connect, not all pairs.
+5. A home or cluster with more members than a task may hold is cut into blocks.
+   First its smallest member alone probes the blocks; what it links is connected.
+   Only members that it does not link then probe all blocks, block by block. So a
+   family of near copies takes work in proportion, and no task holds more than two
+   blocks.
+6. Links connect classes into components.
 
 Texts are never shuffled. Shingles are recomputed where they are needed, which is
 cheaper than keeping them. The driver sees the sketch and a bit table, both of fixed
@@ -40,15 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.llm.components import components
-from claimscope.llm.staging import row_chunks, staged, utf8_buffer
+from claimscope.llm.staging import discard, row_chunks, staged, utf8_buffer
 
 #: Words in a shingle; similarity as a fraction.
 WORDS = 5
 SIMILARITY = (75, 100)
-#: Counters of the sketch, bits of the table of participants, sets in a block.
+#: Counters of the sketch, bits of the table of clustered ids, sets and bitmaps in a block.
 SKETCH = 1 << 17
 TABLE_BITS = 1 << 25
 BLOCK = 256
+MAP_BLOCK = 1024
 CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -146,7 +152,19 @@ def ordered(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ passes over texts
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
                     T.StructField("sig", T.LongType()), T.StructField("sig2", T.LongType()),
-                    T.StructField("sketch", T.BinaryType())])
+                    T.StructField("bits", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+
+
+def _signature(s: np.ndarray) -> int:
+    return int(_mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+
+
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles per slot, packed: two to four slots a shingle,
+    a power of two, at least 64. Halves folded by XOR are the next smaller map."""
+    slots = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (_mix(s + _MULT) & np.uint64(slots - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=slots).astype(np.uint8) & 1)
 
 
 def _signatures(words: int):
@@ -158,10 +176,11 @@ def _signatures(words: int):
         sketch = np.zeros(SKETCH, np.int64)
         for b in batches:
             raw, off = utf8_buffer(b.column("text"))
-            n, sig, sig2, held = [], [], [], []
+            n, sig, sig2, bits, held = [], [], [], [], []
             for s in shingle_sets(raw, off, words):
                 n.append(len(s))
-                sig.append(int(_mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)))
+                sig.append(_signature(s))
+                bits.append(parity_bits(s).tobytes() if len(s) else None)
                 sig2.append(int(np.bitwise_xor.reduce(_mix(s ^ _MULT), initial=np.uint64(0)).astype(np.int64)))
                 held.append(s)
                 if len(held) >= 512:
@@ -171,8 +190,8 @@ def _signatures(words: int):
                 sketch += np.bincount(_slot(np.concatenate(held)), minlength=SKETCH)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, sig, sig2)],
-                 pa.nulls(b.num_rows, pa.binary())], names=DOC.fieldNames())
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4,
+                 pa.array(bits, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=DOC.fieldNames())
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
                                           pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())],
                                          names=DOC.fieldNames())
     return run
@@ -216,7 +235,7 @@ def _prefixes(classes, words: int, similarity):
             for s in shingle_sets(raw, off, words):
                 if not len(s):
                     continue
-                node = int(_mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+                node = _signature(s)
                 if node in seen:
                     continue
                 if len(seen) >= 200_000:
@@ -237,12 +256,14 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return (_mix(ids.astype(np.int64).view(np.uint64) * _MULT) >> np.uint64(64 - int(math.log2(TABLE_BITS)))).astype(np.int64)
 
 
-def _participants(bits, words: int):
-    """``doc_id, sig, n, tokens`` (sorted hashes) of rows in the bit table."""
+def _sets(bits, words: int):
+    """``doc_id, sig, n, payload`` (sorted hashes) of rows in the bit table; a
+    repeated row is sent once per task."""
     def run(batches):
         import pyarrow as pa
 
         table = np.frombuffer(bits.value, np.uint8)
+        seen: set = set()
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             at = _bit(ids)
@@ -250,10 +271,14 @@ def _participants(bits, words: int):
             if not len(rows):
                 continue
             raw, off = utf8_buffer(b.column("text").take(pa.array(rows)))
-            out = [(int(i), int(_mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)),
-                    len(s), s.tobytes()) for i, s in zip(ids[rows], shingle_sets(raw, off, words))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(
-                zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "n", "tokens"])
+            out = []
+            for i, s in zip(ids[rows].tolist(), shingle_sets(raw, off, words)):
+                if len(s) and (i, sig := _signature(s)) not in seen:
+                    seen.add((i, sig))
+                    out.append((i, sig, len(s), s.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(
+                    zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "n", "payload"])
     return run
 
 
@@ -365,10 +390,30 @@ def _find(root: list[int], i: int) -> int:
     return i
 
 
-def group_links(ids, groups, sets, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect the sets of a group. ``sets`` are hash arrays,
-    ``groups`` what each set is already connected to; ``probe`` and ``store`` say
-    which are probes and which are in the trie."""
+class Connected:
+    """What the members of a group are connected to."""
+
+    def __init__(self, groups):
+        known: dict[int, int] = {}
+        self.root = [known.setdefault(g, i) for i, g in enumerate(groups)]
+        self.links: list[tuple[int, int]] = []
+
+    def others(self, p: int, members) -> np.ndarray:
+        mine = _find(self.root, p)
+        return np.array([_find(self.root, i) != mine for i in members], bool)
+
+    def link(self, p: int, i: int) -> None:
+        a, b = _find(self.root, p), _find(self.root, i)
+        if a != b:
+            self.root[a] = b
+            self.links.append((p, i))
+
+
+def trie_links(groups, lengths, payloads, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect the sets of a group. ``payloads`` are hash arrays as
+    bytes, ``groups`` what each set is already connected to; ``probe`` and
+    ``store`` say which are probes and which are in the trie."""
+    sets = [np.frombuffer(x, np.uint64) for x in payloads]
     every = np.unique(np.concatenate(sets))
     # frequent first: paths are shared near the root
     rank = np.empty(len(every), np.int64)
@@ -376,31 +421,58 @@ def group_links(ids, groups, sets, probe, store, classes, similarity=SIMILARITY)
     local = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
     inside = np.flatnonzero(store)
     trie = Trie([local[i] for i in inside])
-    member_of = inside[trie.order]
-    known: dict[int, int] = {}
-    root = [known.setdefault(g, i) for i, g in enumerate(groups)]
-    links = []
+    members = inside[trie.order]
+    state = Connected(groups)
     mark = np.zeros(len(every), bool)
     for p in np.flatnonzero(probe):
-        mine = _find(root, p)
-        wanted = np.array([_find(root, i) != mine for i in member_of])
-        if not wanted.any():
-            continue
-        mark[local[p]] = True
-        for at in trie.linked(local[p], mark, wanted, similarity):
-            i = member_of[at]
-            a, b = _find(root, p), _find(root, i)
-            if a != b:
-                root[a] = b
-                links.append((int(ids[p]), int(ids[i])))
-        mark[local[p]] = False
-    return links
+        wanted = state.others(p, members)
+        if wanted.any():
+            mark[local[p]] = True
+            for at in trie.linked(local[p], mark, wanted, similarity):
+                state.link(p, members[at])
+            mark[local[p]] = False
+    return state.links
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    while maps.shape[-1] > width:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def bitmap_links(groups, lengths, payloads, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect the members of a group whose parity bitmaps do not
+    rule out the similarity."""
+    num, den = similarity
+    lengths = np.array(lengths, np.int64)
+    maps = [np.frombuffer(x, np.uint8) for x in payloads]
+    inside = np.flatnonzero(store)
+    by_width: dict[int, np.ndarray] = {}
+    for width in sorted({len(maps[i]) for i in inside}):
+        by_width[width] = np.array([i for i in inside if len(maps[i]) == width])
+    stacked = {width: np.stack([maps[i] for i in rows]) for width, rows in by_width.items()}
+    state = Connected(groups)
+    for p in np.flatnonzero(probe):
+        n, own = int(lengths[p]), maps[p]
+        for width, rows in by_width.items():
+            m = lengths[rows]
+            near = np.flatnonzero((den * m >= num * n) & (den * n >= num * m))
+            near = near[state.others(p, rows[near])]
+            if not len(near):
+                continue
+            common = min(width, len(own))
+            apart = np.bitwise_count(_folded(stacked[width][near], common) ^ _folded(own, common)).sum(1, dtype=np.int64)
+            most = (n + m[near] - apart) // 2
+            for k in near[den * most >= num * (n + m[near] - most)]:
+                state.link(p, rows[k])
+    return state.links
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _join_groups(classes, similarity):
+def _join_groups(kernel, classes, similarity):
     """mapInArrow function over rows sorted by ``home, i, j``."""
     def run(batches):
         import pyarrow as pa
@@ -411,19 +483,17 @@ def _join_groups(classes, similarity):
             rows = list({(r["doc_id"], r["sig"], r["probe"]): r for r in held}.values())
             if len(rows) < 2 or not any(r["store"] for r in rows) or not any(r["probe"] for r in rows):
                 return []
-            sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-            return group_links([r["doc_id"] for r in rows], [r["connected"] for r in rows], sets,
-                               np.array([r["probe"] for r in rows]), np.array([r["store"] for r in rows]),
-                               classes.value, similarity)
+            col = lambda name: [r[name] for r in rows]
+            ids = col("doc_id")
+            return [(ids[p], ids[i]) for p, i in kernel(col("connected"), col("n"), col("payload"), np.array(col("probe")),
+                                                        np.array(col("store")), classes.value, similarity)]
 
         def batch(found):
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
 
         for b in batches:
             found = []
-            cols = {name: b.column(name) for name in b.schema.names}
-            for n in range(b.num_rows):
-                r = {name: c[n].as_py() for name, c in cols.items()}
+            for r in b.to_pylist():
                 now = r["home"], r["i"], r["j"]
                 if now != key:
                     found += links()
@@ -436,36 +506,32 @@ def _join_groups(classes, similarity):
     return run
 
 
-def _run(rows: DataFrame, classes, similarity) -> DataFrame:
-    cols = ["home", "i", "j", "doc_id", "sig", "connected", "probe", "store", "tokens"]
-    return (rows.select(*cols).repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
-                .mapInArrow(_join_groups(classes, similarity), LINK))
+def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, similarity=SIMILARITY) -> DataFrame:
+    """Links that ``kernel`` finds among the classes that ``meet`` (``home,
+    doc_id, sig``), given their ``payload`` (``doc_id, sig, n, payload``)."""
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    part = lambda n: F.pmod(F.xxhash64("doc_id", "sig"), n).cast("int")
 
+    def run(rows: DataFrame) -> DataFrame:
+        cols = ["home", "i", "j", "doc_id", "sig", "connected", "probe", "store", "n", "payload"]
+        return (rows.join(payload, ["doc_id", "sig"]).select(*cols).repartition("home", "i", "j")
+                    .sortWithinPartitions("home", "i", "j").mapInArrow(_join_groups(kernel, classes, similarity), LINK))
 
-def links(docs: DataFrame, classes, meet: DataFrame, sets: DataFrame, similarity=SIMILARITY,
-          block: int = BLOCK) -> list[DataFrame]:
-    """Links among the classes that ``meet`` (``home, doc_id, sig``)."""
-    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k"))
+    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     meet = meet.join(size, "home")
-    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
-    part = lambda n: F.pmod(F.xxhash64("doc_id", "sig"), n).cast("int")
-    blocks = F.ceil(F.col("k") / block).cast("int")
     small = meet.where(F.col("k") <= block).select(
         "home", zero.alias("i"), zero.alias("j"), "doc_id", "sig", F.col("doc_id").alias("connected"),
         yes.alias("probe"), yes.alias("store"))
-    big = staged(meet.where(F.col("k") > block).withColumn("g", blocks), "ngram-hot")
-    with_sets = lambda rows: rows.join(sets.select("doc_id", "sig", "tokens"), ["doc_id", "sig"])
-    out = [_run(with_sets(small), classes, similarity)]
+    big = staged(meet.where(F.col("k") > block).withColumn("g", F.ceil(F.col("k") / block).cast("int")), "ngram-hot")
     if not big.limit(1).count():
-        return out
+        return run(small)
     home = F.col("doc_id") == F.col("home")
     every = F.explode(F.sequence(zero, F.col("g") - 1))
     star = (big.where(~home).select("home", zero.alias("i"), part(F.col("g")).alias("j"), "doc_id", "sig",
                                     F.col("doc_id").alias("connected"), no.alias("probe"), yes.alias("store"))
             .unionByName(big.where(home).select("home", zero.alias("i"), every.alias("j"), "doc_id", "sig",
                                                 F.col("doc_id").alias("connected"), yes.alias("probe"), no.alias("store"))))
-    first = staged(_run(with_sets(star), classes, similarity), "ngram-star")
-    out.append(first)
+    first = staged(run(star), "ngram-star")
     linked = first.select(F.col("a").alias("home"), F.col("b").alias("doc_id")).distinct().withColumn("l", yes)
     state = staged(big.where(~home).join(linked, ["home", "doc_id"], "left")
                    .withColumn("l", F.coalesce("l", no)), "ngram-state")
@@ -478,8 +544,7 @@ def links(docs: DataFrame, classes, meet: DataFrame, sets: DataFrame, similarity
             .unionByName(state.where(~F.col("l")).select(
                 "home", other.alias("i"), every.alias("j"), "doc_id", "sig", F.col("doc_id").alias("connected"),
                 yes.alias("probe"), no.alias("store"))))
-    out.append(_run(with_sets(rest), classes, similarity))
-    return out
+    return run(small).unionByName(first).unionByName(run(rest))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -503,19 +568,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     homes = staged(homes, "ngram-tokens")
     met = staged(prefix.join(homes, "token").select("home", "node").distinct(), "ngram-meet")
     reps = group.select(F.col("sig").alias("node"), "rep")
+    discard(homes)
     meet = (met.join(reps, "node").select("home", F.col("node").alias("sig"), F.col("rep").alias("doc_id"))
                .join(reps.select(F.col("node").alias("home"), F.col("rep").alias("home_id")), "home")
                .select(F.col("home_id").alias("home"), "doc_id", "sig"))
+    maps = (first.where(F.col("bits").isNotNull() & F.col("doc_id").isNotNull())
+                 .select("doc_id", "sig", "n", F.col("bits").alias("payload")))
     meet = staged(meet, "ngram-homes")
-    bits = spark.sparkContext.broadcast(_bit_table(meet.select("doc_id")))
-    sets = known.mapInArrow(_participants(bits, words), "doc_id long, sig long, n long, tokens binary")
-    sets = staged(sets.join(meet.select("doc_id", "sig").distinct(), ["doc_id", "sig"], "left_semi")
-                  .dropDuplicates(["doc_id", "sig"]), "ngram-sets")
-    found = links(docs, classes, meet, sets, similarity, block)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    joined = components(every)
+    discard(met)
+    near = components(links(meet, maps, bitmap_links, MAP_BLOCK if block == BLOCK else block,
+                            classes, similarity))
+    clusters = near.select(F.col("b").alias("home"), F.col("a").alias("doc_id")).unionByName(
+        near.select(F.col("b").alias("home"), F.col("b").alias("doc_id")).distinct())
+    discard(meet)
+    clusters = staged(clusters.join(reps.select(F.col("node").alias("sig"), F.col("rep").alias("doc_id")), "doc_id"),
+                      "ngram-clusters")
+    bits = spark.sparkContext.broadcast(_bit_table(clusters.select("doc_id")))
+    sets = staged(known.mapInArrow(_sets(bits, words), "doc_id long, sig long, n long, payload binary"), "ngram-sets")
+    joined = components(links(clusters, sets, trie_links, block, classes, similarity))
+    discard(sets, clusters, near)
 
     label = (group.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("top")), "rep", "left")
                   .select("sig", "sig2", "n", F.coalesce("top", "rep").alias("component")))

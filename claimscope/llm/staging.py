@@ -21,8 +21,17 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has run."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
