@@ -6,3 +6,11 @@ registered queries. Every operator takes a DataFrame, reads only the columns it
 is told to, and gives nulls, empty texts, repeated rows and empty tables the
 result its docstring states.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

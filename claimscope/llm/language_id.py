@@ -25,7 +25,7 @@ ties go to the smaller language name; without training rows every text is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -225,7 +225,7 @@ def _predict(model, text: str, keep: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        m = model.value
+        m = Model(*model.value) if model.value else None
         for b in batches:
             raw, off = utf8_buffer(b.column(text))
             letters = np.array(b.column("_letters").to_pylist(), bool)
@@ -247,7 +247,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text",
     the share of the language's likelihood among all. Columns of these names
     are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = None if model is None else tuple(getattr(model, f.name) for f in fields(model))
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("_text"),
                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))

@@ -38,6 +38,7 @@ equal ids are one vertex; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,7 +56,9 @@ SKETCH = 1 << 17
 TABLE_BITS = 1 << 25
 BLOCK = 256
 MAP_BLOCK = 1024
-CHUNK_BYTES = 1 << 20
+#: Bytes of text, rows of an Arrow batch that are looked at together.
+CHUNK_BYTES = 1 << 19
+ROWS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -183,7 +186,7 @@ def _signatures(words: int):
                 bits.append(parity_bits(s).tobytes() if len(s) else None)
                 sig2.append(int(np.bitwise_xor.reduce(_mix(s ^ _MULT), initial=np.uint64(0)).astype(np.int64)))
                 held.append(s)
-                if len(held) >= 512:
+                if len(held) >= 128:
                     sketch += np.bincount(_slot(np.concatenate(held)), minlength=SKETCH)
                     held = []
             if held:
@@ -409,10 +412,9 @@ class Connected:
             self.links.append((p, i))
 
 
-def trie_links(groups, lengths, payloads, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect the sets of a group. ``payloads`` are hash arrays as
-    bytes, ``groups`` what each set is already connected to; ``probe`` and
-    ``store`` say which are probes and which are in the trie."""
+def _group_trie(payloads, store, classes):
+    """A group's sets as local numbers, the trie of the stored ones, their
+    positions in the trie's order, and an empty mark of all numbers."""
     sets = [np.frombuffer(x, np.uint64) for x in payloads]
     every = np.unique(np.concatenate(sets))
     # frequent first: paths are shared near the root
@@ -422,8 +424,15 @@ def trie_links(groups, lengths, payloads, probe, store, classes, similarity=SIMI
     inside = np.flatnonzero(store)
     trie = Trie([local[i] for i in inside])
     members = inside[trie.order]
+    return local, trie, members, np.zeros(len(every), bool)
+
+
+def trie_links(groups, lengths, payloads, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect the sets of a group. ``payloads`` are hash arrays as
+    bytes, ``groups`` what each set is already connected to; ``probe`` and
+    ``store`` say which are probes and which are in the trie."""
+    local, trie, members, mark = _group_trie(payloads, store, classes)
     state = Connected(groups)
-    mark = np.zeros(len(every), bool)
     for p in np.flatnonzero(probe):
         wanted = state.others(p, members)
         if wanted.any():
@@ -434,6 +443,22 @@ def trie_links(groups, lengths, payloads, probe, store, classes, similarity=SIMI
     return state.links
 
 
+def trie_pairs(groups, lengths, payloads, probe, store, classes, similarity=SIMILARITY) -> list[tuple[int, int]]:
+    """All links between probes and stored sets, a pair of sets that are both
+    only once. Parameters as for :func:`trie_links`."""
+    local, trie, members, mark = _group_trie(payloads, store, classes)
+    links = []
+    for p in np.flatnonzero(probe):
+        wanted = (members > p) | ~np.asarray(probe)[members]
+        if store[p]:
+            wanted &= members != p
+        if wanted.any():
+            mark[local[p]] = True
+            links += [(p, int(members[at])) for at in trie.linked(local[p], mark, wanted, similarity)]
+            mark[local[p]] = False
+    return links
+
+
 def _folded(maps: np.ndarray, width: int) -> np.ndarray:
     while maps.shape[-1] > width:
         half = maps.shape[-1] // 2
@@ -493,12 +518,13 @@ def _join_groups(kernel, classes, similarity):
 
         for b in batches:
             found = []
-            for r in b.to_pylist():
-                now = r["home"], r["i"], r["j"]
-                if now != key:
-                    found += links()
-                    key, held = now, []
-                held.append(r)
+            for at in range(0, b.num_rows, ROWS):
+                for r in b.slice(at, ROWS).to_pylist():
+                    now = r["home"], r["i"], r["j"]
+                    if now != key:
+                        found += links()
+                        key, held = now, []
+                    held.append(r)
             if found:
                 yield batch(found)
         if found := links():
@@ -517,12 +543,14 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
         return (rows.join(payload, ["doc_id", "sig"]).select(*cols).repartition("home", "i", "j")
                     .sortWithinPartitions("home", "i", "j").mapInArrow(_join_groups(kernel, classes, similarity), LINK))
 
-    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    meet = meet.join(size, "home")
-    small = meet.where(F.col("k") <= block).select(
+    # homes above a block: a small table that a skewed home cannot unbalance
+    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+    heavy = staged(size.select("home", F.ceil(F.col("k") / block).cast("int").alias("g")), "ngram-heavy")
+    meet = meet.join(heavy, "home", "left")
+    small = meet.where(F.col("g").isNull()).select(
         "home", zero.alias("i"), zero.alias("j"), "doc_id", "sig", F.col("doc_id").alias("connected"),
         yes.alias("probe"), yes.alias("store"))
-    big = staged(meet.where(F.col("k") > block).withColumn("g", F.ceil(F.col("k") / block).cast("int")), "ngram-hot")
+    big = staged(meet.where(F.col("g").isNotNull()), "ngram-hot")
     if not big.limit(1).count():
         return run(small)
     home = F.col("doc_id") == F.col("home")
@@ -535,8 +563,9 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
     linked = first.select(F.col("a").alias("home"), F.col("b").alias("doc_id")).distinct().withColumn("l", yes)
     state = staged(big.where(~home).join(linked, ["home", "doc_id"], "left")
                    .withColumn("l", F.coalesce("l", no)), "ngram-state")
-    loose = state.where(~F.col("l")).groupBy("home").agg(F.count(F.lit(1)).alias("u"))
-    state = state.join(loose, "home").withColumn("h", F.ceil(F.col("u") / block).cast("int"))
+    loose = staged(state.where(~F.col("l")).groupBy("home").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("h")), "ngram-loose")
+    state = state.join(loose, "home")
     other = F.pmod(F.xxhash64("sig", "doc_id"), F.col("h")).cast("int")
     rest = (state.select("home", F.explode(F.sequence(zero, F.col("h") - 1)).alias("i"), part(F.col("g")).alias("j"),
                          "doc_id", "sig", F.when(F.col("l"), F.col("home")).otherwise(F.col("doc_id")).alias("connected"),
@@ -547,10 +576,34 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
     return run(small).unionByName(first).unionByName(run(rest))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                    similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row: rows are in a component if
-    links of at least the similarity connect them; its id is its smallest key."""
+def every_link(meet: DataFrame, payload: DataFrame, block: int, classes, similarity=SIMILARITY) -> DataFrame:
+    """All links within the groups of ``meet``: blocks of a group meet pairwise,
+    each pair of blocks in a task of its own."""
+    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+    heavy = staged(size.select("home", F.ceil(F.col("k") / block).cast("int").alias("g")), "ngram-heavy")
+    parts = meet.join(heavy, "home", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    parts = parts.withColumn("p", F.pmod(F.xxhash64("doc_id", "sig"), F.col("g")).cast("int"))
+    parts = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = parts.select("home", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "doc_id", "sig",
+                        F.col("doc_id").alias("connected"), (F.col("p") <= F.col("o")).alias("probe"),
+                        (F.col("p") >= F.col("o")).alias("store"))
+    cols = ["home", "i", "j", "doc_id", "sig", "connected", "probe", "store", "n", "payload"]
+    return (rows.join(payload, ["doc_id", "sig"]).select(*cols).repartition("home", "i", "j")
+                .sortWithinPartitions("home", "i", "j").mapInArrow(_join_groups(trie_pairs, classes, similarity), LINK))
+
+
+@dataclass
+class Prepared:
+    """What both forms of the join start from."""
+
+    rows: DataFrame      # doc_id, n, sig, sig2 of every row
+    group: DataFrame     # sig, sig2, n, rep: classes of equal sets
+    clusters: DataFrame  # home, doc_id, sig: classes that may be linked
+    sets: DataFrame      # doc_id, sig, n, payload of (at least) those
+    classes: object      # broadcast order classes
+
+
+def _prepare(docs: DataFrame, key: str, text: str, words: int, similarity, block: int) -> Prepared:
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = staged(texts.mapInArrow(_signatures(words), DOC), "ngram-docs")
@@ -585,11 +638,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                       "ngram-clusters")
     bits = spark.sparkContext.broadcast(_bit_table(clusters.select("doc_id")))
     sets = staged(known.mapInArrow(_sets(bits, words), "doc_id long, sig long, n long, payload binary"), "ngram-sets")
-    joined = components(links(clusters, sets, trie_links, block, classes, similarity))
-    discard(sets, clusters, near)
+    discard(near)
+    return Prepared(rows, group, clusters, sets, classes)
+
 
-    label = (group.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("top")), "rep", "left")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+                    similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``key, n_shingles, component_id`` of every row: rows are in a component if
+    links of at least the similarity connect them; its id is its smallest key."""
+    p = _prepare(docs, key, text, words, similarity, block)
+    joined = components(links(p.clusters, p.sets, trie_links, block, p.classes, similarity))
+    discard(p.sets, p.clusters)
+    label = (p.group.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("top")), "rep", "left")
                   .select("sig", "sig2", "n", F.coalesce("top", "rep").alias("component")))
-    out = rows.join(label, ["sig", "sig2", "n"], "left")
+    out = p.rows.join(label, ["sig", "sig2", "n"], "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+                  similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The join itself: ``a, b`` (a < b), every pair of classes of equal sets that
+    reaches the similarity, by their smallest keys; and the members, ``key,
+    class_id`` of every row with words and a key. Equal sets are not expanded into
+    pairs. The pairs of a family grow with the square of its classes."""
+    p = _prepare(docs, key, text, words, similarity, block)
+    found = every_link(p.clusters, p.sets, block, p.classes, similarity)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    members = (p.rows.where(F.col("doc_id").isNotNull()).join(p.group, ["sig", "sig2", "n"])
+                     .select(F.col("doc_id").alias(key), F.col("rep").alias("class_id")))
+    return pairs, members

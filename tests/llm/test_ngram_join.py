@@ -70,6 +70,23 @@ def test_components_equal_brute_force(spark, block):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_every_pair_equals_brute_force(spark, block):
+    rows = corpus(9) + [(None, "same words all over again and again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs, members = N.similar_pairs(df, block=block)
+    sets = {i: frozenset(shingles(t)) for i, t in rows if i is not None}
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(sets[i], i)
+    assert dict(map(tuple, members.collect())) == {i: rep[s] for i, s in sets.items() if s}
+    reps = sorted(i for s, i in rep.items() if s)
+    want = {(a, b) for a in reps for b in reps if a < b
+            and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = list(map(tuple, pairs.collect()))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_hot_family_through_star_and_rest(spark):
     """A family far above the block size: some linked with its home, some not."""
     r = random.Random(8)
