@@ -1,6 +1,18 @@
 """DuckDB SQL of the registered queries, written from their stated results."""
 
-CHAT_FORMAT = None
+CHAT_FORMAT = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<\\*\|'))
+    + length('<|im_start|><|im_sep|><|im_end|>') + 1) as bigint) as formatted_chars
+from c group by conv_id
+"""
 
 # windows as blank-joined words, found as substrings of the blank-joined document
 DECONTAMINATION = r"""

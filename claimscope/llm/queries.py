@@ -24,7 +24,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                 F.lit(said).alias("text"))
-    return chat.digests(chat.format_conversations(rows.unionByName(odd)))
+    found = chat.digests(chat.format_conversations(rows.unionByName(odd)))
+    return found.drop("n_tokens", "n_loss_tokens")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
