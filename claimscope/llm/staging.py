@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.session import checkpoint_dir
 
+#: While a stage is written, Arrow batches have at most so many rows: with long
+#: texts the usual 10,000 are a large part of a Python worker's memory.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -20,7 +25,12 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     before it."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    rows = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(BATCH, str(rows))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
