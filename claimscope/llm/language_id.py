@@ -16,7 +16,7 @@ how a text is cut up.
 Training counts byte windows on the executors and adds them up in Spark; the
 driver sees a bounded number of windows per language. It is fitted on a sample
 of at most about ``sample_docs`` labelled documents a language, chosen by the
-hash of their text. Prediction covers whole texts and reads nothing but them.
+hash of key and text. Prediction covers whole texts and reads nothing but them.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0;
 ties go to the smaller language name; without training rows every text is
@@ -201,18 +201,21 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = L
     return Model(langs, symbol, size, second, third, np.array(costs))
 
 
-def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang",
+def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
           sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model of the rows where ``training`` holds; None if there are none."""
+    """A model of the rows where ``training`` holds; None if there are none.
+
+    ``key`` only serves to draw the sample, so that copies of a text are drawn
+    one by one and a text that a third of all rows share cannot swell it."""
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"))
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("draw"))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return None
     part = F.create_map(*[F.lit(x) for k, v in sorted(totals.items())
                           for x in (k, min(1.0, sample_docs / v))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)
-    counts = (rows.where(drawn).mapInArrow(_count, "lang string, win long, n long")
+    drawn = F.pmod(F.col("draw"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)
+    counts = (rows.where(drawn).select("lang", "text").mapInArrow(_count, "lang string, win long, n long")
               .groupBy("lang", "win").agg(F.sum("n").alias("n")))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "win")
     top = (counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= MOST_WINDOWS)

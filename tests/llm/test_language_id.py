@@ -89,7 +89,7 @@ def test_predicts_held_out_texts(spark):
         lang = sorted(TEXT)[i % 3]
         rows.append((i, " ".join(rng.choice(TEXT[lang].split(), 12)), lang, "src"))
     rows += [(900, None, "en", "x"), (901, "", "en", "x"), (902, "12 34 !?", "en", "x"), (903, "der hund", None, None),
-             (904, "the dog " * 50_000, "en", "x"), (0, rows[0][1], "en", "x")]
+             (904, "the dog " * 50_000, "en", "x"), (0, rows[0][1], rows[0][2], "x")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, source string, score double")
     held = F.col("doc_id") % 4 == 2
     model = L.train(df, ~held)
