@@ -1,7 +1,6 @@
 """Invariants of the recorded dashboards, checked on the fixture data."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from claimscope.functions.filters import Filter
 from claimscope.functions.sectors import OTHER
