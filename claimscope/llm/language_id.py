@@ -43,7 +43,8 @@ LEAST_CONTEXT = 24
 MOST_CONTEXTS = 16_000
 #: Costs are in this part of a bit.
 UNIT = 256
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+ROWS = 1000
 ORDER = 3
 
 # A-Z count as a-z
@@ -229,7 +230,7 @@ def _predict(model, text: str, keep: list[str]):
         import pyarrow as pa
 
         m = Model(*model.value) if model.value else None
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             raw, off = utf8_buffer(b.column(text))
             letters = np.array(b.column("_letters").to_pylist(), bool)
             preds, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
