@@ -46,7 +46,9 @@ def normalised(text: bytes) -> str:
 
 
 def item_windows(text: str | None, window: int) -> list[str]:
-    words = normalised((text or "").encode()).split()
+    # one blank between words and one on either side; str.split() would also split at
+    # the bytes 85 and A0 inside a letter
+    words = normalised((text or "").encode()).split(" ")[1:-1]
     if not words:
         return []
     spans = [words] if len(words) < window else [words[i:i + window] for i in range(len(words) - window + 1)]

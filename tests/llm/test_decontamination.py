@@ -50,6 +50,25 @@ def test_against_brute_force(spark, block_chars):
         assert all(any(a == x for _, a, _ in ws) and any(b == y for _, _, b in ws) for x, y in spans)
 
 
+# letters with a byte 85 or A0 in UTF-8, which are blanks to str.split() as Latin-1
+LETTERS = "à х Р Π م 者 가 \u0145 \u00a0 \u0085".split(" ")
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 60])
+def test_letters_with_bytes_that_look_like_blanks(spark, block_chars):
+    words = [f"{c}{k}{c}w{c}" for k, c in enumerate(LETTERS)]
+    items = [(1, " ".join(words)), (2, f"{LETTERS[0]}"), (3, " ".join(["voil" + LETTERS[0]] * 3)),
+             (4, " ".join(words[::-1]) + " and one more"), (5, " ".join(f"p{k}" for k in range(9)) + f" {LETTERS[1]} q r")]
+    texts = [f"pad {t}, pad" for _, t in items] + ["voil voil voil", "p0 p1 p2", " ".join(words[1:]), "w0 w1", "A\u00a0b", *LETTERS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = D.mark(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, n_hit, found, _, _ = brute(r.text, items)
+        assert (r.hits.n_words, r.hits.n_hit, r.hits["items"]) == (n, n_hit, found), r.text
+        assert r.doc_id >= len(items) or str(items[r.doc_id][0]) in found
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
