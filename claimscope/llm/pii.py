@@ -1,25 +1,26 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Base patterns find e-mail and IP addresses, card and phone numbers. Each value
-found is a protected entity. A term next to an entity may reveal it: with
-document frequencies over the whole corpus, the term discloses the share
+found is a protected entity. A term in the same document, anywhere outside the
+values found, may reveal it: with document frequencies over the whole corpus, the
+term discloses the share
 
     PMI(entity; term) / IC(entity)
       = log(N df(e,t) / (df(e) df(t))) / log(N / df(e))
 
 of the entity's information (1: whoever reads the term knows the entity). Terms
-next to an entity in at least ``support`` different texts that disclose at least
-``threshold`` are found as well: from ``removal`` on they are removed, below that
-generalised.
+with an entity in at least ``support`` different texts that disclose at least
+``threshold`` are found as well, at every occurrence in the documents that hold the
+entity: from ``removal`` on they are removed, below that generalised.
 
 All of it is DataFrame expressions. Matches are located by cutting the text at
 the pattern: the pieces between matches give their offsets by a running sum. The
 patterns are written so that they neither recurse nor start in the middle of a
 run, so very long runs of digits or letters take linear time.
 
-Contexts are a bounded number of characters on either side of a match, on its
-line, so work and rows grow with the matches. Counts are aggregated before each
-shuffle; only short rows, never texts, are shuffled.
+Counts are of distinct terms and texts, aggregated before each shuffle, and only of
+pairs that can reach the threshold by their document frequencies. Only short rows
+are shuffled, but for the texts with a match: they are joined with the terms to mark.
 
 Defined cases: null text is empty; repeated rows have equal spans each, and equal
 texts count once in the statistics; an empty table gives an empty result.
@@ -48,9 +49,11 @@ NEEDS = {
     "phone": lambda t: F.instr(t, "+") > 0,
 }
 KINDS = [*PATTERNS, "term"]
-TERM = r"\p{L}{3,}"
-#: Characters of context, least number of texts, shares of disclosure.
-CONTEXT, SUPPORT, THRESHOLD, REMOVAL = 48, 2, 0.5, 0.9
+TERM = r"\p{L}+"
+#: Least number of texts, shares of disclosure.
+SUPPORT, THRESHOLD, REMOVAL = 2, 0.5, 0.9
+#: Terms that are broadcast to leave them out early, because they are too frequent.
+COMMON = 20_000
 
 
 def _digits(c: Column) -> Column:
@@ -72,22 +75,36 @@ def _found(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m"),
-                        F.slice(pieces, F.lit(2), F.size(matches)).alias("q"))
+    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
     found = F.transform(rows, lambda z: F.struct(
-        F.lit(kind).alias("kind"), z["m"].alias("m"), F.length(z["p"]).alias("skip"),
-        F.right(z["p"], F.lit(CONTEXT)).alias("before"), F.left(z["q"], F.lit(CONTEXT)).alias("after")))
-    empty = F.array().cast("array<struct<kind:string,m:string,skip:int,before:string,after:string>>")
+        F.lit(kind).alias("kind"), z["m"].alias("m"), F.length(z["p"]).alias("skip")))
+    empty = F.array().cast("array<struct<kind:string,m:string,skip:int>>")
     return F.when(NEEDS[kind](text), found).otherwise(empty)
 
 
+def _blanked(text: Column) -> Column:
+    """The text with a blank for each character of an e-mail address. The other
+    kinds hold no letters, so this leaves the terms outside base values."""
+    p = PATTERNS["email"]
+    rows = F.arrays_zip(F.split(text, p, -1).alias("p"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"))
+    return F.when(NEEDS["email"](text), F.array_join(F.transform(rows, lambda z: F.concat(
+        z["p"], F.repeat(F.lit(" "), F.coalesce(F.length(z["m"]), F.lit(0))))), "")).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms outside base values, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_blanked(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
 def located(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as ``_row, key, _text`` (a hash), and their base spans:
-    ``_row, _text, kind, value, start, end, before, after``."""
+    """All rows as ``_row, key, _text`` (a hash) and ``_blanked`` (the blanked text
+    if there is a match, else null), and their base spans: ``_row, _text, kind,
+    value, start, end``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key),
-                              F.xxhash64(t).alias("_text"),
-                              *[_found(t, k).alias(f"_{k}") for k in PATTERNS]), "pii-found")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.xxhash64(t).alias("_text"),
+                       t.alias("_t"), *[_found(t, k).alias(f"_{k}") for k in PATTERNS])
+    held = F.greatest(*[F.size(f"_{k}") for k in PATTERNS]) > 0
+    rows = staged(rows.withColumn("_blanked", F.when(held, _blanked(F.col("_t")))).drop("_t"), "pii-found")
     each = [rows.where(F.size(f"_{k}") > 0).select("_row", "_text", F.posexplode(f"_{k}").alias("i", "f"))
             for k in PATTERNS]
     found = each[0]
@@ -96,64 +113,71 @@ def located(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     w = Window.partitionBy("_row", "f.kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("f.skip") + F.length("f.m")).over(w).cast("long")
     spans = found.select("_row", "_text", "f.kind", F.col("f.m").alias("value"),
-                         (end - F.length("f.m")).alias("start"), end.alias("end"), "f.before", "f.after")
-    return rows.select("_row", key, "_text"), spans.where(_valid(F.col("kind"), F.col("value")))
-
-
-def _terms(context: str) -> Column:
-    """The terms of a (short) context with their offsets in it."""
-    return F.expr(f"""aggregate(
-        arrays_zip(slice(split({context}, '{_SQL_TERM}', -1), 1, size(regexp_extract_all({context}, '{_SQL_TERM}', 0))),
-                   regexp_extract_all({context}, '{_SQL_TERM}', 0)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<a:int,w:string>>)),
-        (s, z) -> named_struct('at', s.at + length(z.`0`) + length(z.`1`),
-                               'out', concat(s.out, array(named_struct('a', s.at + length(z.`0`), 'w', z.`1`)))),
-        s -> s.out)""")
-
-
-_SQL_TERM = TERM.replace("\\", "\\\\")
+                         (end - F.length("f.m")).alias("start"), end.alias("end"))
+    return rows.select("_row", key, "_text", "_blanked"), spans.where(_valid(F.col("kind"), F.col("value")))
 
 
 def neighbours(spans: DataFrame) -> DataFrame:
-    """Terms next to base spans, on their line and cut off by no border:
-    ``_row, _text, kind, value, term, start, end``."""
-    whole = spans.select(
-        "_row", "_text", "kind", "value", "start", "end",
-        F.substring_index("before", "\n", -1).alias("before"), F.substring_index("after", "\n", 1).alias("after"))
-    # a term that the border of the context may have cut has no separator before (after) it
-    b = F.when(F.length("before") == CONTEXT, F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    a = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
-    whole = whole.withColumn("b", b).withColumn("a", a)
-    sides = []
-    for name, offset in (("b", F.col("start") - F.length("b")), ("a", F.col("end"))):
-        sides.append(whole.withColumn("_at", offset).select(
-            "_row", "_text", "kind", "value", "_at", F.explode(_terms(name)).alias("t")))
-    both = sides[0].unionByName(sides[1])
-    start = F.col("_at") + F.col("t.a")
-    return both.select("_row", "_text", "kind", "value", F.lower("t.w").alias("term"), start.alias("start"),
-                       (start + F.length("t.w")).alias("end"))
+    """The texts that hold an entity, once each: ``_text, kind, value, n`` (rows with
+    that text). Every term of such a text is next to the entity."""
+    rows = spans.select("_text", "kind", "value", "_row").distinct()
+    return rows.groupBy("_text", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def disclosing(docs: DataFrame, text: str, spans: DataFrame, near: DataFrame, support: int = SUPPORT,
                threshold: float = THRESHOLD) -> DataFrame:
-    """``kind, value, term, share``: terms that disclose an entity."""
-    def counted(rows: DataFrame, *by: str) -> DataFrame:
-        """Documents and different texts of a group."""
-        return (rows.select(*by, "_text", "_row").distinct().groupBy(*by, "_text").agg(F.count(F.lit(1)).alias("n"))
-                    .groupBy(*by).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts")))
-
-    joint = (counted(near, "kind", "value", "term").where(F.col("n_texts") >= support)
-             .withColumnRenamed("n_docs", "n_both").drop("n_texts"))
-    entity = counted(spans, "kind", "value").withColumnRenamed("n_docs", "n_entity").drop("n_texts")
+    """``kind, value, term, share``: terms that disclose an entity. ``near`` are the
+    ``neighbours`` of ``spans``.
+
+    A pair cannot share more documents than either has, so its share reaches the
+    threshold only if the term is in at most ``N (df(e) / N) ** threshold``
+    documents; pairs beyond that are not counted."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = (joint.join(entity, ["kind", "value"]).join(term, "term").crossJoin(F.broadcast(total)))
-    chance = F.log2(F.col("n_docs") / F.col("n_entity"))
+    near = staged(near, "pii-near")
+    entity = near.groupBy("kind", "value").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("_texts"))
+    entity = staged(entity.where(F.col("_texts") >= support).drop("_texts"), "pii-entities")
+    total = docs.count()
+    most = entity.agg(F.max("n_entity")).first()[0] or 0
+    # a little above, for the rounding of the power
+    bound = lambda e: F.lit(float(total)) * F.pow(e / F.lit(float(max(total, 1))), F.lit(float(threshold))) * (1 + 1e-9)
+    limit = bound(F.lit(float(most)))
+    each = docs.select(F.xxhash64(t).alias("_text"), t.alias("_t"))
+    term = staged(each.select(F.explode(_words(F.col("_t"))).alias("term")).groupBy("term")
+                      .agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support), "pii-terms")
+    # the most frequent terms beyond the bound go before anything is shuffled
+    common = term.where(F.col("n_term") > limit).orderBy(F.col("n_term").desc(), "term").limit(COMMON).select("term")
+    held = F.lit(False)
+    for k in PATTERNS:
+        held = held | F.exists(_found(F.col("_t"), k), lambda f: _valid(f["kind"], f["m"]))
+    words = (each.where(held).select("_text", F.explode(_words(F.col("_t"))).alias("term"))
+                 .join(F.broadcast(common), "term", "left_anti").distinct()
+                 .join(term.where(F.col("n_term") <= limit), "term"))
+    pairs = near.join(entity, ["kind", "value"]).join(words, "_text").where(F.col("n_term") <= bound(F.col("n_entity")))
+    joint = (pairs.groupBy("kind", "value", "term", "n_entity", "n_term")
+                  .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") >= support))
+    chance = F.log2(F.lit(total) / F.col("n_entity"))
     share = F.when(chance > 0, F.log2(
-        F.col("n_docs") * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / chance)
-    return stats.withColumn("share", share).where(F.col("share") >= threshold).select("kind", "value", "term", "share")
+        F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / chance)
+    return joint.withColumn("share", share).where(F.col("share") >= threshold).select("kind", "value", "term", "share")
+
+
+def occurrences(rows: DataFrame, base: DataFrame, told: DataFrame) -> DataFrame:
+    """``_row, start, end, share``: every occurrence, outside base values, of a term
+    in a row that holds an entity it discloses; the largest share."""
+    said = (base.select("_row", "kind", "value").distinct().join(told, ["kind", "value"])
+                .groupBy("_row", "term").agg(F.max("share").alias("share")))
+    said = said.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_said"))
+    matches = F.regexp_extract_all(F.col("_blanked"), F.lit(TERM), F.lit(0))
+    pieces = F.slice(F.split("_blanked", TERM, -1), F.lit(1), F.size(matches))
+    each = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda z: F.struct(
+        F.length(z["p"]).alias("skip"), F.length(z["m"]).alias("size"),
+        F.element_at("_said", F.lower(z["m"])).alias("share")))
+    found = (rows.where(F.col("_blanked").isNotNull()).select("_row", "_blanked").join(said, "_row")
+                 .select("_row", F.posexplode(each).alias("i", "f")))
+    w = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("f.skip") + F.col("f.size")).over(w).cast("long")
+    return (found.select("_row", (end - F.col("f.size")).alias("start"), end.alias("end"), F.col("f.share").alias("share"))
+                 .where(F.col("share").isNotNull()))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = SUPPORT,
@@ -165,8 +189,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", support: int
     base = staged(base, "pii-base")
     near = neighbours(base)
     told = staged(disclosing(docs, text, base, near, support, threshold), "pii-disclosing")
-    terms = (near.join(told, ["kind", "value", "term"]).groupBy("_row", "start", "end")
-                 .agg((F.max("share") >= removal).alias("remove")))
+    terms = occurrences(rows, base, told).withColumn("remove", F.col("share") >= removal)
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     every = (base.select("_row", "kind", "start", "end", F.lit(False).alias("remove"))
                  .unionByName(terms.select("_row", F.lit("term").alias("kind"), "start", "end", "remove")))

@@ -68,6 +68,70 @@ def test_disclosing_terms(spark):
     assert share["smithson"] == pytest.approx(math.log2(67 * 5 / (5 * 6)) / math.log2(67 / 5))
 
 
+def brute_terms(texts, support=2, threshold=0.5):
+    """The term spans of each text, plainly: shares over whole documents."""
+    import math
+    from collections import defaultdict
+
+    said, held = [], []
+    for t in texts:
+        base = brute(t)
+        plain = list(t or "")
+        for kind, a, b in base:
+            plain[a:b] = " " * (b - a)
+        said.append([(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", "".join(plain))])
+        held.append({(k, t[a:b]) for k, a, b in base})
+    e, w, both, seen = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(set)
+    for t, s, h in zip(texts, said, held):
+        terms = {x for x, _, _ in s}
+        for x in terms:
+            w[x] += 1
+        for v in h:
+            e[v] += 1
+            for x in terms:
+                both[v, x] += 1
+                seen[v, x].add(t)
+    n = len(texts)
+    told = {(v, x) for (v, x), b in both.items() if len(seen[v, x]) >= support and e[v] < n
+            and math.log2(n * b / (e[v] * w[x])) / math.log2(n / e[v]) >= threshold}
+    return [[(a, b) for x, a, b in s if any((v, x) in told for v in h)] for s, h in zip(said, held)]
+
+
+def test_terms_anywhere_in_the_document(spark):
+    common = [f"the letter goes to nobody number {i}" for i in range(60)]
+    far = [f"Wu Zebulon, line {i}\n{'so it goes on and on ' * 20}\nthe mail is zw@corp.example\nand zebulon again; Wu" for i in range(4)]
+    apart = [f"a@b.example c@d.example near {i} Quill" for i in range(3)]
+    texts = common + far + apart + ["Zebulon alone, no mail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find(df).collect()}
+    said = lambda i: [texts[i][a:b] for a, b in got[i]]
+    for i in range(60, 64):
+        assert [x for x in said(i) if x in ("Wu", "Zebulon", "zebulon")] == ["Wu", "Zebulon", "zebulon", "Wu"]
+        assert "the" not in said(i)
+    assert all("Quill" in said(i) for i in range(64, 67)) and not got[67]
+    assert [got[i] for i in range(len(texts))] == brute_terms(texts)
+
+
+def test_terms_against_brute_force(spark):
+    r = random.Random(5)
+    names = ["Li", "é", "Ümit", "漢字", "o", "Smithson", "smithson", "Ann", *[f"w{chr(97 + k)}" for k in range(20)]]
+    values = [f"p{k}@x.example" for k in range(28)] + ["1.2.3.4", "999.1.1.1", "+49 30 1234567", "4111 1111 1111 1111", "éa@b.c"]
+    texts = []
+    for _ in range(150):
+        k = r.randint(0, 27)
+        bits = [values[k], names[k]] * r.randint(0, 2) + [r.choice(names) for _ in range(r.randint(0, 3))]
+        bits += [r.choice(values)] * r.randint(0, 1) + ["so " * r.choice([0, 0, 40]) + "\n"]
+        r.shuffle(bits)
+        texts.append(" ".join(bits))
+    texts += texts[:20] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for support, threshold in ((2, 0.5), (3, 0.2), (1, 0.7)):
+        got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "term"]
+               for x in pii.find(df, support=support, threshold=threshold).collect()}
+        want = brute_terms(texts, support, threshold)
+        assert [got[i] for i in range(len(texts))] == want and any(want)
+
+
 def test_sanitised(spark):
     df = spark.createDataFrame([(1, "é ask me@x.yz or +49 30 1234567 now", 0), (2, None, 0), (3, "plain", 0)], "doc_id long, text string, n int")
     out = {r.doc_id: r.t for r in pii.find(df).join(df, "doc_id").select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t")).collect()}
