@@ -65,3 +65,16 @@ def test_empty_table(spark, steps):
     for _, f in P.STAGES:
         docs = f(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_columns_of_the_operators_names_pass_unchanged(spark):
+    names = ["hits", "copies", "score", "lang_pred", "size", "source_size", "target", "component_id", "n_shingles",
+             "_row", "_src", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, f in P.STAGES[:-1]:
+        out, plain = f(spark, own, SF), f(spark, docs, SF)
+        assert out.columns == own.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n} {r.doc_id}" for r in got for n in names), name
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in plain.collect()), name
