@@ -78,3 +78,14 @@ def test_columns_of_the_operators_names_pass_unchanged(spark):
         got = out.collect()
         assert got and all(r[n] == f"{n} {r.doc_id}" for r in got for n in names), name
         assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in plain.collect()), name
+
+
+def test_rows_with_equal_or_no_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c + " more"), (None, d), (None, d), (9, d), (5, "x y"), (5, "x y"),
+            (6, ""), (6, ""), (8, ""), (6, None), (None, " "), (None, " "), (2, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in P.near_duplicates(spark, docs, SF).collect()]
+    assert got.count((None, c)) + got.count((None, c + " more")) == 1
+    want = [(3, a), (7, b), (9, d), (5, "x y"), (6, ""), (8, ""), (6, None), (None, " "), (2, " ")]
+    assert sorted(map(str, (r for r in got if not (r[1] or "").startswith("c")))) == sorted(map(str, want))
