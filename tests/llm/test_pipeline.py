@@ -89,3 +89,9 @@ def test_rows_with_equal_or_no_ids(spark):
     assert got.count((None, c)) + got.count((None, c + " more")) == 1
     want = [(3, a), (7, b), (9, d), (5, "x y"), (6, ""), (8, ""), (6, None), (None, " "), (2, " ")]
     assert sorted(map(str, (r for r in got if not (r[1] or "").startswith("c")))) == sorted(map(str, want))
+
+
+def test_without_labels_no_text_with_a_letter_goes(spark):
+    rows = [(1, "some words", None), (2, "é", None), (3, "12 !", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.language(spark, docs, SF).collect()} == {1, 2}
