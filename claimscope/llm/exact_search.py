@@ -73,9 +73,12 @@ def pivot_search(ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, q_
     norm, q_norm = (vectors * vectors).sum(1), (queries * queries).sum(1)
     out, evaluated = [], 0
     for i in range(len(queries)):
-        lower = np.abs(to_pivots - q_to_pivots[i]).max(1) if to_pivots.shape[1] else np.zeros(len(ids))
-        # a little above, for the rounding of the square roots
-        upper = (q_norm[i] + norm - lower * lower) / 2 * (1 + 1e-9) + 1
+        some = to_pivots.shape[1] > 0
+        lower = np.abs(to_pivots - q_to_pivots[i]).max(1) if some else np.zeros(len(ids))
+        far = (to_pivots + q_to_pivots[i]).max(1) if some else lower
+        upper = (q_norm[i] + norm - lower * lower) / 2
+        # a little above, for the rounding of the square roots and their difference
+        upper = upper + np.abs(upper) * 1e-9 + (far * far + q_norm[i] + norm) * 1e-12 + 1
         left = np.flatnonzero((upper >= floor[i]) & (ids != q_ids[i]))
         left = left[np.argsort(-upper[left], kind="stable")]
         got, scores, at, worst = [], np.zeros(0, np.int64), 0, floor[i]

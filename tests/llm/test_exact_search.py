@@ -53,3 +53,15 @@ def test_empty_and_few(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (1, [0.5], 0), (2, [0.5], 0)], SCHEMA)
     assert [tuple(r) for r in S.top_k(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [
         (0, 1, 1, 512 * 1024), (0, 2, 2, 512 * 1024)]
+
+
+def test_tight_negative_bounds_are_kept():
+    import numpy as np
+    from claimscope.llm import exact_search as E
+    q = np.full((1, 8), 1 << 26, np.int64)
+    rows = np.array([[-(1 << 26) + 1000 * i] * 8 for i in range(10)], np.int64)
+    ids = np.arange(10)
+    scores = (rows @ q.T)[:, 0]
+    found, _ = E.pivot_search(ids, rows, E._distances(rows, rows), np.array([-1]), q, E._distances(q, rows),
+                              np.array([scores.min()]), 10)
+    assert found[0][1].tolist() == ids[::-1].tolist() and found[0][2].tolist() == scores[::-1].tolist()
