@@ -107,3 +107,72 @@ select doc_id, count(*) as n_lines, count(o.k) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where o.k is null), '')) as kept_sha256
 from l left join often o on l.k = o.k group by doc_id
 """
+
+# every node as the hash of its turns; subtree sums by a join of nodes with their ancestors
+PREFIX_TRIE = r"""
+with t as (
+  select conv_id, id, words, row_number() over (partition by conv_id order by turn nulls first, id) as p
+  from (select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+        from conversations where conv_id is not null)),
+l as (select conv_id, list({'id': id, 'w': words} order by p) as turns from t group by conv_id),
+bits as (select conv_id, list_reduce(list_prepend(4294967295, list_transform(range(len(b) // 2),
+           lambda i: cast('0x' || substr(b, 2 * i + 1, 2) as bigint))), lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)),
+           lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc
+         from (select conv_id, hex(cast(conv_id as varchar)) as b from l)),
+r as (
+  select l.conv_id, list_concat(coalesce(f.turns[1:h], []), l.turns[h + 1:]) as turns
+  from (select l.*, xor(bits.crc, 4294967295) % 4 as h from l join bits using (conv_id)) l
+  left join l f on f.conv_id = l.conv_id - l.conv_id % 20),
+paths as (
+  select conv_id, len(turns) as length, turns, unnest(generate_series(0, len(turns))) as depth from r),
+steps as (
+  select conv_id, length, depth, md5(array_to_string(list_transform(turns[1:depth], lambda x: x.id), '')) as node,
+    case when depth > 0 then md5(array_to_string(list_transform(turns[1:depth - 1], lambda x: x.id), '')) end as parent,
+    case when depth > 0 then turns[depth].w else 0 end as words
+  from paths),
+nodes as (
+  select depth, node, any_value(parent) as parent, any_value(words) as words, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where length = depth), '')) as ends
+  from steps group by depth, node),
+kids as (select depth - 1 as depth, parent as node, count(*) as n from nodes where depth > 0 group by all),
+own as (select n.*, coalesce(k.n, 0) as n_children from nodes n left join kids k using (depth, node)),
+lines as (select distinct a.depth, a.node, b.depth as below_depth, b.node as below
+          from steps a join steps b on a.conv_id = b.conv_id and b.depth >= a.depth),
+sums as (select s.depth, s.node, sum(case when o.n_children = 0 then 1 else 0 end) as n_leaves, sum((o.n_convs - 1) * o.words) as saved
+         from lines s join own o on o.depth = s.below_depth and o.node = s.below group by all)
+select o.conv_id, o.depth, p.conv_id as parent_conv_id, o.n_convs, o.n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved as bigint) as saved_tokens, o.ends as ends_sha256
+from own o join sums using (depth, node) left join nodes p on p.depth = o.depth - 1 and p.node = o.parent
+"""
+
+
+def _centroids(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    near = """a{r} as materialized (
+  select n, v, d.d, d.c from (
+    select x.n, x.v, min({{'d': list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c.c}}) as d
+    from vecs x cross join c{r} c group by x.n, x.v)),"""
+    move = """m{r} as (
+  select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(generate_series(1, {dim})) as i from a{r}) group by c, i),
+c{s} as materialized (
+  select c.c, coalesce(m.v, c.v) as v from c{r} c left join (
+    select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from m{r} group by c) m using (c)),"""
+    steps = "\n".join(near.format(r=r) + "\n" + move.format(r=r, s=r + 1, dim=dim) for r in range(rounds))
+    return f"""
+with vecs as materialized (
+  select vec_id, row_number() over () as n, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(embedding) = {dim}
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v from vecs
+  order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v limit {k}),
+{steps}
+{near.format(r=rounds)}
+sums as (select c, sum(d) as d from a{rounds} group by c)
+select x.vec_id, cast(a.c as integer) as cluster, cast(a.d as bigint) as distance, cast(s.d as bigint) as cluster_inertia,
+  cast((select sum(d) from sums) as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from vecs x join a{rounds} a using (n) join sums s on s.c = a.c join c{rounds} c on c.c = a.c
+"""
+
+
+CENTROIDS = _centroids()

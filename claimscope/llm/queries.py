@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import (chat, decontamination, exact_search, language_id, line_dedup, mixing, ngram_join,
-                            pii, sharding, warc)
+from claimscope.llm import (centroids, chat, decontamination, exact_search, language_id, line_dedup, mixing, ngram_join,
+                            pii, prefix_trie, secrets, sharding, warc)
 from claimscope.llm import oracle_sql as O
 
 
@@ -86,6 +86,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.PATTERNS))
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.PATTERNS],
+                        F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, O.CHAT_FORMAT),
     "op2_decontamination": (op2_decontamination, O.DECONTAMINATION),
@@ -97,4 +114,7 @@ QUERIES = {
     "op8_warc": (op8_warc, O.WARC),
     "op9_sharding": (op9_sharding, O.SHARDING),
     "op10_line_dedup": (op10_line_dedup, O.LINE_DEDUP),
+    "op11_prefix_trie": (op11_prefix_trie, O.PREFIX_TRIE),
+    "op12_secret_scan": (op12_secret_scan, None),
+    "op13_centroids": (op13_centroids, O.CENTROIDS),
 }
