@@ -5,32 +5,33 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money
 from claimscope.functions.filters import NO_FILTER, ROWS_SCOPE, Filter
-from claimscope.operators.topk import merged_top
-from claimscope.schema import ROW_COLUMNS
+from claimscope.operators import order
+from claimscope.operators.order import Key
+from claimscope.schema import ROW_COLUMNS, SPENDING
 
 DEFAULT_SORT = "paid"
 
 
-def _sort_keys(sort: str, direction: str | None) -> list[tuple[str, bool]]:
-    """``(column, ascending)`` of a total order: the sort column (one that is
-    unknown falls back to the amount), then all others, so pages never overlap."""
+def sort_keys(sort: str = DEFAULT_SORT, direction: str | None = "desc") -> list[Key]:
+    """A total order: the sort column (one that is unknown falls back to the amount),
+    then all others ascending, so pages never overlap."""
     first = sort if sort in ROW_COLUMNS else DEFAULT_SORT
-    return [(first, (direction or "").lower() == "asc")] + [(c, True) for c in ROW_COLUMNS if c != first]
-
-
-def _order(keys: list[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys]
+    return [Key(first, (direction or "").lower() == "asc"), *[Key(c) for c in ROW_COLUMNS if c != first]]
 
 
 def _listed(fact: DataFrame, flt: Filter) -> DataFrame:
     return flt.scoped(*ROWS_SCOPE).apply(fact).select(*ROW_COLUMNS)
 
 
+def _out(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("paid", money("paid"))
+
+
 def _count(name: str, value) -> int:
     n = int(value)
     if n < 0:
@@ -39,37 +40,57 @@ def _count(name: str, value) -> int:
 
 
 def rows_page(fact: DataFrame, flt: Filter = NO_FILTER, sort: str = DEFAULT_SORT,
-              direction: str = "desc", limit=50, offset=0) -> DataFrame:
+              direction: str = "desc", limit=50, offset=0, counts: DataFrame | None = None) -> DataFrame:
     """One page of filtered rows in a total order; nulls come last.
 
-    ``limit`` and ``offset`` are taken as they are. The work of a page grows
-    with its offset; :func:`rows_after` continues from a row instead.
-    """
+    ``limit`` and ``offset`` are taken as they are. Eager in part: where the page
+    begins and ends is counted first (:mod:`claimscope.operators.order`), so that
+    only about ``limit`` rows are sorted, at any offset. ``counts`` are the stored
+    counts of the sort column, for an unfiltered page."""
     limit, offset = _count("limit", limit), _count("offset", offset)
-    order = _order(_sort_keys(sort, direction))
-    page = merged_top(_listed(fact, flt), order, offset + limit).offset(offset)
-    return page.withColumn("paid", money("paid"))
+    if not flt.scoped(*ROWS_SCOPE).is_empty():
+        counts = None
+    return _out(order.page(_listed(fact, flt), sort_keys(sort, direction), offset, limit, counts))
 
 
-def rows_after(fact: DataFrame, last: dict, flt: Filter = NO_FILTER, sort: str = DEFAULT_SORT,
+def rows_after(fact: DataFrame, last: dict, seen: int = 1, flt: Filter = NO_FILTER, sort: str = DEFAULT_SORT,
                direction: str = "desc", limit=50) -> DataFrame:
-    """The page that follows the row ``last`` (its eight columns, as a page
-    returned them), however deep: the rows up to it are filtered out."""
-    keys = _sort_keys(sort, direction)
-    types = dict(fact.dtypes)
-    later, same = [], []
-    for c, up in keys:
-        v = F.lit(last[c]).cast(types[c])
-        if last[c] is not None:
-            beyond = F.col(c) > v if up else F.col(c) < v
-            later.append(functools.reduce(operator.and_, same + [beyond | F.col(c).isNull()]))
-        same = same + [F.col(c).eqNullSafe(v)]
-    rest = functools.reduce(operator.or_, later) if later else F.lit(False)
-    page = merged_top(_listed(fact, flt).where(rest), _order(keys), _count("limit", limit))
-    return page.withColumn("paid", money("paid"))
-
-
-def top_rows(fact: DataFrame, k: int = 2000) -> DataFrame:
+    """The page that follows the row ``last`` (its eight columns, as a page returned
+    them), however deep. Equal rows have no order among them: ``seen`` is how many
+    rows equal to ``last`` have been listed so far."""
+    listed = _listed(fact, flt)
+    return _out(order.after(listed, sort_keys(sort, direction), order.typed(last, listed.schema),
+                            _count("seen", seen), _count("limit", limit)))
+
+
+def next_place(page: DataFrame, sort: str = DEFAULT_SORT, direction: str = "desc", last: dict | None = None,
+               seen: int = 0) -> tuple[dict, int] | None:
+    """``last`` and ``seen`` for the page after ``page`` (one that is stored or
+    cached); ``last`` and ``seen`` are those ``page`` was asked with. None if it
+    has no rows."""
+    end = page.orderBy(*[k.reverse() for k in sort_keys(sort, direction)]).first()
+    if end is None:
+        return None
+    end = end.asDict()
+    equal = page.where(functools.reduce(operator.and_, [F.col(c).eqNullSafe(v) for c, v in end.items()])).count()
+    return end, equal + (seen if last == end else 0)
+
+
+def write_ordered_rows(fact: DataFrame, path: str, sort: str = DEFAULT_SORT, direction: str = "desc",
+                       rows_per_range: int = 1_000_000) -> None:
+    """Store all rows in the order of the pages of ``sort``."""
+    order.write_ordered(fact.select(*ROW_COLUMNS), sort_keys(sort, direction), path, rows_per_range)
+
+
+def ordered_rows_page(spark: SparkSession, path: str, sort: str = DEFAULT_SORT, direction: str = "desc",
+                      limit=50, offset=0) -> DataFrame:
+    """An unfiltered page from the table written by :func:`write_ordered_rows` with
+    the same order: the one or two ranges it lies in are read."""
+    schema = type(SPENDING)([SPENDING[c] for c in ROW_COLUMNS])
+    return _out(order.ordered_page(spark, path, schema, sort_keys(sort, direction), _count("offset", offset),
+                                   _count("limit", limit)))
+
+
+def top_rows(fact: DataFrame, k: int = 2000, counts: DataFrame | None = None) -> DataFrame:
     """The ``k`` largest rows by paid."""
-    rows = merged_top(fact.select(*ROW_COLUMNS), _order(_sort_keys("paid", "desc")), k)
-    return rows.withColumn("paid", money("paid"))
+    return rows_page(fact, limit=k, counts=counts)

@@ -6,8 +6,6 @@ key (ascending), so equal totals always come out in the same order.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +26,6 @@ def top_k(df: DataFrame, k: int, measure: str, key: str | list[str],
     return head.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def merged_top(df: DataFrame, order: list[Column], n: int, fan: int | None = None) -> DataFrame:
-    """The first ``n`` rows of a total order, merged in two steps.
-
-    ``TakeOrderedAndProject`` alone sends every task's ``n`` rows to one task.
-    Here each task's ``n`` rows (a partial WindowGroupLimit) go to one of ``fan``
-    middle partitions, which keep ``n`` each, so the last merge reads
-    ``fan * n`` rows however many tasks scanned. Which middle partition a row
-    takes does not matter for the answer.
-    """
-    if fan is None:
-        fan = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    w = Window.partitionBy("_middle").orderBy(*order)
-    kept = (df.withColumn("_middle", F.spark_partition_id() % fan)
-              .withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n))
-    return kept.drop("_middle", "_place").orderBy(*order).limit(n)
-
-
 def top_k_per_group(df: DataFrame, group: str | list[str], k: int, measure: str,
                     key: str | list[str], rank_col: str = "rk") -> DataFrame:
     """Top-k rows of every group.

@@ -61,12 +61,18 @@ class Inputs:
     def cube(self, name: str, make) -> DataFrame:
         """A materialised aggregate: the table baked from this build's fact if
         there is one, else ``make(fact)`` computed on the fly."""
-        if self.built:
-            from claimscope.sources.tables import table_exists
-            path = f"{self.built}/{name}"
-            if table_exists(self.spark, path):
-                return self._get(name, lambda: self.spark.read.parquet(path))
-        return self._get(name, lambda: make(self.fact()))
+        baked = self.stored(name)
+        return self._get(name, lambda: make(self.fact())) if baked is None else baked
+
+    def stored(self, name: str) -> DataFrame | None:
+        """A table baked with this build, if it is there."""
+        if not self.built:
+            return None
+        from claimscope.sources.tables import table_exists
+        path = f"{self.built}/{name}"
+        if not table_exists(self.spark, path):
+            return None
+        return self._get(name, lambda: self.spark.read.parquet(path))
 
     def descs(self) -> DataFrame:
         """hcpcs, name."""

@@ -137,7 +137,7 @@ register("provider_index", _index, O.provider_index())
 
 # ---------------------------------------------------------------- rows
 
-register("rows_page", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 50, 100),
+register("rows_page", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 50, 100, i.stored("order_paid")),
          O.rows_page(NO, "paid", "desc", 50, 100))
 register("rows_page_bogus_sort", lambda i: R.rows_page(i.fact(), NO, "bogus", "desc", 50, 0),
          O.rows_page(NO, "bogus", "desc", 50, 0))
@@ -149,7 +149,31 @@ register("rows_page_deep", lambda i: R.rows_page(i.fact(), NO, "paid", "desc", 7
          O.rows_page(NO, "paid", "desc", 700, 59500))
 register("rows_page_middle", lambda i: R.rows_page(i.fact(), NO, "paid", "asc", 700, 30000),
          O.rows_page(NO, "paid", "asc", 700, 30000))
-register("top_rows", lambda i: R.top_rows(i.fact()), O.top_rows())
+register("top_rows", lambda i: R.top_rows(i.fact(), counts=i.stored("order_paid")), O.top_rows())
+
+
+def _walked(i: Inputs, limit: int = 20_000) -> DataFrame:
+    """All rows, a page after the other, each from where the last one ended."""
+    path, fact, last, seen, n = _written(i, "rows-walk"), i.fact(), None, 0, 0
+    page = R.rows_page(fact, limit=limit)
+    while True:
+        page.write.parquet(f"{path}/page={n}")
+        page = i.spark.read.schema(page.schema).parquet(f"{path}/page={n}")
+        place = R.next_place(page, last=last, seen=seen)
+        if place is None:
+            return i.spark.read.option("basePath", path).parquet(path).drop("page")
+        (last, seen), n = place, n + 1
+        page = R.rows_after(fact, last, seen, limit=limit)
+
+
+def _ordered_page(i: Inputs) -> DataFrame:
+    path = _written(i, "rows-ordered")
+    R.write_ordered_rows(i.fact(), path, rows_per_range=10_000)
+    return R.ordered_rows_page(i.spark, path, limit=700, offset=30_000)
+
+
+register("rows_walk", _walked, O.all_rows())
+register("rows_page_ordered", _ordered_page, O.rows_page(NO, "paid", "desc", 700, 30_000))
 
 # ---------------------------------------------------------------- cubes
 

@@ -137,18 +137,6 @@ def test_plan_peers_prunes_by_code(spark, built):
     assert pushed and "LeftSemi" not in plan
 
 
-def test_plan_rows_page_merges_in_two_steps(spark, built):
-    i = Inputs.from_build(spark, built)
-    df = rows.rows_page(i.fact(), Filter(), "paid", "desc", 50, 100)
-    df.collect()
-    plan = _plan(df)
-    # tasks send their own best rows to a few middle partitions; the last
-    # merge reads those, however many tasks scanned
-    assert "TakeOrderedAndProject" in plan
-    above = plan[:plan.index("Exchange hashpartitioning(_middle")]
-    assert "WindowGroupLimit" in plan[len(above):] and "Exchange" not in above.split("TakeOrderedAndProject")[1]
-
-
 def test_registry_csv(spark):
     from claimscope.sources.tables import REGISTRY_NAME, REGISTRY_STATE, read_registry_csv
     lk = fixture.npi_lookup(spark, SF_SMALL)
@@ -344,15 +332,6 @@ def test_pages_go_on_beyond_any_offset(spark):
         rows.rows_page(fact, limit=-1)
 
 
-@pytest.mark.parametrize("sort,direction", [("paid", "desc"), ("hcpcs", "asc"), ("billing_state", "desc"), ("month", "asc")])
-def test_page_after_a_row(spark, micro, sort, direction):
-    every = rows.rows_page(micro, sort=sort, direction=direction, limit=100).collect()
-    for cut in range(0, len(every), 3):
-        last = every[cut].asDict()
-        got = rows.rows_after(micro, last, sort=sort, direction=direction, limit=4).collect()
-        assert got == every[cut + 1:cut + 5]
-
-
 def test_non_local_master_needs_a_checkpoint_folder():
     from claimscope import session
 
