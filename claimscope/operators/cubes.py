@@ -54,6 +54,31 @@ def cube_dashboard(fact: DataFrame) -> DataFrame:
                 .agg(*_sums()))
 
 
+#: Each cube: its keys, the cells of ``cube_dashboard`` it adds up, its sums.
+ROLLED = {
+    "cube_month_code": (["month", "hcpcs"], "month is not null and hcpcs is not null", False),
+    "cube_code_bucket": (["hcpcs", "bucket"], "hcpcs is not null and bucket is not null", True),
+    "cube_month_state": (["month", "billing_state"], "month is not null and length(billing_state) = 2", False),
+    "cube_state_code": (["billing_state", "hcpcs"], "hcpcs is not null and length(billing_state) = 2", False),
+    "cube_dashboard": (CUBE_KEYS, "true", False),
+}
+SUM_TYPE = "decimal(28,2)"
+
+
+def rolled(name: str, dashboard: DataFrame) -> DataFrame:
+    """The cube ``name`` from :func:`cube_dashboard`, or from parts of it (one per
+    batch of rows, in any split): cells with the same keys are added up. The result
+    is that of the cube's own function on all the rows."""
+    keys, cells, paid_only = ROLLED[name]
+    return _roll(dashboard.where(cells), keys, paid_only).withColumn("paid", F.col("paid").cast(SUM_TYPE))
+
+
+def merged(name: str, parts: DataFrame) -> DataFrame:
+    """Parts of the cube ``name`` itself, of several batches of rows, as one."""
+    keys, _, paid_only = ROLLED[name]
+    return _roll(parts, keys, paid_only).withColumn("paid", F.col("paid").cast(SUM_TYPE))
+
+
 def out(cube: DataFrame) -> DataFrame:
     """Output types: money as double."""
     return cube.withColumn("paid", F.col("paid").cast("double"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money, round2
 from claimscope.functions.filters import NO_FILTER, PEERS_SCOPE, Filter
+from claimscope.operators.search import matches, ranked, wanted
 from claimscope.operators.topk import top_k_per_group
 from claimscope.sources.joins import attach, with_names
 
@@ -17,19 +18,14 @@ def find_provider(fact: DataFrame, lookup: DataFrame, name: str, k: int = 10) ->
     their billed totals: the top ``k`` by paid of all that match.
 
     The fact is aggregated to one row per billing provider first, so the join
-    with the matches is small on both sides whatever their number. Matches that
-    bill nothing drop out. Returns ``npi, name, state, paid``.
+    with the matches is small on both sides whatever their number;
+    :func:`claimscope.operators.search.find_stored` does without the fact. Matches
+    that bill nothing drop out. Returns ``npi, name, state, paid``.
     """
-    wanted = (name or "").strip()
-    if len(wanted) < 3:
-        raise ValueError("need at least 3 characters")
-    pattern = wanted.replace("\\", "\\\\")
-    matches = lookup.where(F.col("name").ilike(f"%{pattern}%")).select("npi", "name", "state")
+    found = matches(lookup.select("npi", "name", "state"), wanted(name))
     totals = (fact.where(F.col("billing_npi").isNotNull())
-                  .groupBy(F.col("billing_npi").alias("_billed")).agg(round2(F.sum("paid")).alias("paid")))
-    found = matches.join(totals, F.col("npi") == F.col("_billed"))
-    return (found.orderBy(F.col("paid").desc_nulls_last(), F.col("npi").asc())
-                 .limit(k).select("npi", "name", "state", money("paid").alias("paid")))
+                  .groupBy(F.col("billing_npi").alias("_billed")).agg(F.sum("paid").alias("paid")))
+    return ranked(found.join(totals, F.col("npi") == F.col("_billed")), k)
 
 
 def _subject(npi: str) -> str:

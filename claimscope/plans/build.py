@@ -9,8 +9,8 @@ later steps read what earlier ones wrote, which also cuts the lineage:
 3. ``codes`` (distinct codes with their dense index), ``code_desc`` (as given;
    empty without descriptions) and ``sector_map`` (as given, or by the rules).
 4. cubes, top lists, leaders, largest rows, provider index, dataset
-   statistics and the two precomputed dashboards (:func:`bake`; they go into
-   the build whose fact they were computed from).
+   statistics, search tables and the two precomputed dashboards (:func:`bake`;
+   they go into the build whose fact they were computed from).
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.functions.filters import Filter
-from claimscope.operators import cubes, dashboard, leaders, providers, rows, stats
+from claimscope.operators import cubes, dashboard, leaders, order, providers, rows, search, stats
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
-from claimscope.sources.tables import (complete_build, dedupe_lookup, fact_at, latest_build, new_build,
-                                       read_claims_csv, read_json_map, read_registry_csv, write_fact,
-                                       write_table)
+from claimscope.sources.tables import (BAKED, complete_build, dedupe_lookup, fact_at, finish_table, latest_build, mark,
+                                       new_build, read_claims_csv, read_json_map, read_registry_csv, table_exists,
+                                       write_fact, write_table)
 
 
 def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str,
-               descs: DataFrame | None = None, sectors: DataFrame | None = None) -> dict:
-    """Steps 1–3 as a new complete build. ``raw`` has the seven fact columns;
-    ``lookup`` npi/name/state; ``descs`` hcpcs/name; ``sectors`` hcpcs/sector.
-    Returns the seconds of each step."""
+               descs: DataFrame | None = None, sectors: DataFrame | None = None, with_bake: bool = False) -> dict:
+    """Steps 1–3, and 4 if ``with_bake``, as a new complete build: readers go on with
+    the last one until the marker is written, after the last table. ``raw`` has the
+    seven fact columns; ``lookup`` npi/name/state; ``descs`` hcpcs/name; ``sectors``
+    hcpcs/sector. Returns the seconds of each step."""
     build, timings = new_build(spark, root), {}
 
     def timed(name, work):
@@ -52,83 +53,98 @@ def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str
     registry = spark.read.parquet(f"{build}/npi_lookup")
     timed("fact", lambda: write_fact(add_billing_state(raw, registry), f"{build}/fact"))
     timed("code_tables", code_tables)
+    if with_bake:
+        timings.update(bake_at(spark, build))
     complete_build(spark, build)
     return timings
 
 
 def build_from_files(spark: SparkSession, claims: str, registry: str, root: str,
                      descriptions: str | None = None, sectors: str | None = None,
-                     rounding: str = "fail") -> dict:
-    """Steps 1–3 from the raw files: claims CSV, registry CSV, and optional
+                     rounding: str = "fail", with_bake: bool = False) -> dict:
+    """A build from the raw files: claims CSV, registry CSV, and optional
     JSON objects of code descriptions and code sectors."""
     return build_fact(spark, read_claims_csv(spark, claims, rounding), read_registry_csv(spark, registry), root,
                       read_json_map(spark, descriptions, "hcpcs", "name") if descriptions else None,
-                      read_json_map(spark, sectors, "hcpcs", "sector") if sectors else None)
+                      read_json_map(spark, sectors, "hcpcs", "sector") if sectors else None, with_bake)
 
 
-CUBES = ("cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code", "cube_dashboard")
+CUBES = ("cube_dashboard", "cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code")
+#: What searches and pages read instead of the fact.
+SEARCH = ("provider_totals", "name_grams", "order_paid")
 
 
 def bake(spark: SparkSession, root: str, only=None) -> dict:
     """Step 4: the materialised aggregates, from the built fact table
-    (``only``: a subset of table names), of the latest build."""
-    root = latest_build(spark, root)
-    fact = fact_at(spark, root)
-    lookup = spark.read.parquet(f"{root}/npi_lookup")
-    descs = spark.read.parquet(f"{root}/code_desc")
-    sectors = spark.read.parquet(f"{root}/sector_map")
-    out = {
-        "months": stats.distinct_values(fact, "month"),
-        "states": stats.distinct_values(fact, "billing_state"),
-        "cube_month_code": cubes.cube_month_code(fact),
-        "cube_code_bucket": cubes.cube_code_bucket(fact),
-        "cube_month_state": cubes.cube_month_state(fact),
-        "cube_state_code": cubes.cube_state_code(fact),
-        "cube_dashboard": cubes.cube_dashboard(fact),
-        "top_providers_state_billing": leaders.top_providers_by_state(fact, lookup, "billing"),
-        "top_providers_state_servicing": leaders.top_providers_by_state(fact, lookup, "servicing"),
-        "top_providers_code_billing": leaders.top_providers_by_code(fact, lookup, "billing"),
-        "top_providers_code_servicing": leaders.top_providers_by_code(fact, lookup, "servicing"),
-        "top_rows": rows.top_rows(fact),
-        "sector_leaders": leaders.sector_leaders(fact, lookup, sectors),
-        "provider_index": providers.provider_index(fact, lookup),
-        "meta": stats.meta(fact),
-        "state_coverage": stats.state_coverage(fact),
-        "dash_default": dashboard.dashboard_long(fact, lookup, descs, sectors=sectors),
-        "dash_outliers": dashboard.dashboard_long(fact, lookup, descs, Filter.exclude_extreme(),
-                                                  sectors=sectors),
+    (``only``: a subset of table names), of the latest build.
+
+    Can be repeated: a finished table stays as it is (the fact of a build never
+    changes), one that a failed run has left is written again, and the marker of a
+    whole bake is written after the last table. The cubes are added up from
+    ``cube_dashboard``, so that the fact is read once for all five. Returns the
+    seconds of each table written."""
+    return bake_at(spark, latest_build(spark, root), only)
+
+
+def bake_at(spark: SparkSession, build: str, only=None) -> dict:
+    """:func:`bake` into the version folder ``build``, which need not be complete."""
+    fact = fact_at(spark, build)
+    read = lambda name: spark.read.parquet(f"{build}/{name}")
+    lookup, descs, sectors = read("npi_lookup"), read("code_desc"), read("sector_map")
+
+    def rolled(name):
+        return lambda: cubes.rolled(name, read("cube_dashboard"))
+
+    def indexed(name, **by):
+        def make():
+            cube = read(name)
+            for key, table in by.items():
+                cube = cubes.with_index(cube, key, read(table), {"hcpcs": "code_idx", "month": "month_idx",
+                                                                "billing_state": "state_idx"}[key])
+            return cube
+        return make
+
+    # in this order: some read what is written before them
+    tables = {
+        "months": lambda: stats.distinct_values(fact, "month"),
+        "states": lambda: stats.distinct_values(fact, "billing_state"),
+        "cube_dashboard": lambda: cubes.cube_dashboard(fact),
+        **{name: rolled(name) for name in CUBES if name != "cube_dashboard"},
+        "top_providers_state_billing": lambda: leaders.top_providers_by_state(fact, lookup, "billing"),
+        "top_providers_state_servicing": lambda: leaders.top_providers_by_state(fact, lookup, "servicing"),
+        "top_providers_code_billing": lambda: leaders.top_providers_by_code(fact, lookup, "billing"),
+        "top_providers_code_servicing": lambda: leaders.top_providers_by_code(fact, lookup, "servicing"),
+        "order_paid": lambda: order.counted(fact, order.Key("paid", False)),
+        "top_rows": lambda: rows.top_rows(fact, counts=read("order_paid")),
+        "provider_totals": lambda: search.provider_totals(fact, lookup),
+        "name_grams": lambda: search.name_grams(read("provider_totals")),
+        "sector_leaders": lambda: leaders.sector_leaders(fact, lookup, sectors),
+        "provider_index": lambda: providers.provider_index(fact, lookup),
+        "meta": lambda: stats.meta(fact),
+        "state_coverage": lambda: stats.state_coverage(fact),
+        "dash_default": lambda: dashboard.dashboard_long(fact, lookup, descs, sectors=sectors),
+        "dash_outliers": lambda: dashboard.dashboard_long(fact, lookup, descs, Filter.exclude_extreme(), sectors=sectors),
+        "cube_month_code_indexed": indexed("cube_month_code", month="months", hcpcs="codes"),
+        "cube_code_bucket_indexed": indexed("cube_code_bucket", hcpcs="codes"),
+        "cube_month_state_indexed": indexed("cube_month_state", month="months", billing_state="states"),
+        "cube_state_code_indexed": indexed("cube_state_code", billing_state="states", hcpcs="codes"),
     }
-    if only is not None:
-        out = {k: v for k, v in out.items() if k in only}
+    needs = {**{name: ("cube_dashboard",) for name in CUBES if name != "cube_dashboard"},
+             "name_grams": ("provider_totals",), "top_rows": ("order_paid",)}
+    chosen = set(tables) if only is None else {*only, *[n for t in only for n in needs.get(t, ())]}
     timings = {}
-    for name, df in out.items():
-        t0 = time.time()
-        write_table(df, f"{root}/{name}")
-        timings[name] = time.time() - t0
-    # the cubes keyed by the dense indexes just written (read back, so the
-    # index computation is not repeated)
-    if only is not None:
-        return timings
-    idx = {k: spark.read.parquet(f"{root}/{t}") for k, t in
-           (("month", "months"), ("hcpcs", "codes"), ("billing_state", "states"))}
-    names = {"month": "month_idx", "hcpcs": "code_idx", "billing_state": "state_idx"}
-    for cube, keys in (("cube_month_code", ("month", "hcpcs")), ("cube_code_bucket", ("hcpcs",)),
-                       ("cube_month_state", ("month", "billing_state")),
-                       ("cube_state_code", ("billing_state", "hcpcs"))):
-        t0 = time.time()
-        c = spark.read.parquet(f"{root}/{cube}")
-        for k in keys:
-            c = cubes.with_index(c, k, idx[k], names[k])
-        write_table(c, f"{root}/{cube}_indexed")
-        timings[f"{cube}_indexed"] = time.time() - t0
+    for name, make in tables.items():
+        if name in chosen and not table_exists(spark, f"{build}/{name}"):
+            t0 = time.time()
+            finish_table(make(), f"{build}/{name}")
+            timings[name] = time.time() - t0
+    if only is None:
+        mark(spark, f"{build}/{BAKED}")
     return timings
 
 
 def build_from_fixture(spark: SparkSession, sf_dir: str, root: str, with_bake: bool = True) -> dict:
     """The whole build with the driver's tables standing in for the raw
     inputs (the fixture views of :mod:`claimscope.sources.fixture`)."""
-    t = build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir),
-                   root, fixture.code_desc(spark, sf_dir))
-    if with_bake:
-        t.update(bake(spark, root))
-    return t
+    return build_fact(spark, fixture.spending_raw(spark, sf_dir), fixture.npi_lookup(spark, sf_dir),
+                      root, fixture.code_desc(spark, sf_dir), with_bake=with_bake)

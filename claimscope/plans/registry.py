@@ -21,7 +21,8 @@ from claimscope.operators import providers as P
 from claimscope.operators import rows as R
 from claimscope.operators import stats as S
 from claimscope.plans import oracle_sql as O
-from claimscope.plans.build import bake, build_from_files
+from claimscope.plans import serve as V
+from claimscope.plans.build import build_from_files
 from claimscope.plans.inputs import Inputs
 from claimscope.session import checkpoint_dir
 from claimscope.sources import tables as T
@@ -110,11 +111,11 @@ for _role in ("billing", "servicing"):
 # ---------------------------------------------------------------- providers
 
 SUBJECT = "1000000007"
-register("find_provider", lambda i: P.find_provider(i.fact(), i.lookup(), "supplier#00000001"),
+register("find_provider", lambda i: V.find_provider(i, "supplier#00000001"),
          O.find_provider("supplier#00000001"))
-register("find_provider_broad", lambda i: P.find_provider(i.fact(), i.lookup(), " SUPPLIER# "),
+register("find_provider_broad", lambda i: V.find_provider(i, " SUPPLIER# "),
          O.find_provider(" SUPPLIER# "))
-register("find_provider_none", lambda i: P.find_provider(i.fact(), i.lookup(), "no such name"),
+register("find_provider_none", lambda i: V.find_provider(i, "no such name"),
          O.find_provider("no such name"))
 register("peer_codes", lambda i: P.peer_codes(i.fact(), i.descs(), SUBJECT),
          O.peer_codes(NO, SUBJECT))
@@ -313,14 +314,23 @@ def _json(i: Inputs, df: DataFrame, value: str) -> str:
     return path
 
 
+_BUILDS: dict[tuple[str, str], str] = {}
+
+
 def _from_files(i: Inputs) -> Inputs:
-    """A whole build from files, of the fixture's rows."""
-    claims, root = _written(i, "claims-csv"), _written(i, "build")
-    T.write_claims_csv(i.raw(), claims)
-    build_from_files(i.spark, claims, _registry_csv(i), root, _json(i, i.descs(), "name"),
-                     _json(i, i.sectors(), "sector"))
-    bake(i.spark, root, only=("cube_month_code", "cube_dashboard"))
-    return Inputs.from_build(i.spark, root)
+    """A whole build from files, of the fixture's rows; one for each session and folder."""
+    at = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if at not in _BUILDS:
+        claims, root = _written(i, "claims-csv"), _written(i, "build")
+        T.write_claims_csv(i.raw(), claims)
+        build_from_files(i.spark, claims, _registry_csv(i), root, _json(i, i.descs(), "name"),
+                         _json(i, i.sectors(), "sector"), with_bake=True)
+        _BUILDS[at] = root
+    return Inputs.from_build(i.spark, _BUILDS[at])
+
+
+def _built(answer):
+    return lambda i: answer(_from_files(i))
 
 
 register("ingest_spending", _ingest_spending, O.raw_view())
@@ -334,3 +344,20 @@ register("built_cube_month_code",
          lambda i: C.out(_from_files(i).cube("cube_month_code", C.cube_month_code)), O.cube("month_code"))
 register("built_dashboard_long", lambda i: _long(NO)(_from_files(i)), O.dashboard_long(NO))
 register("built_peers", lambda i: P.peers((b := _from_files(i)).fact(), b.lookup(), SUBJECT), O.peers(NO, SUBJECT))
+register("built_dash_default", _built(V.dashboard), O.dashboard_long(NO))
+register("built_dash_outliers", _built(lambda b: V.dashboard(b, EXTREME)), O.dashboard_long(EXTREME))
+register("built_sector_leaders", _built(V.sector_leaders), O.sector_leaders(NO))
+register("built_provider_index",
+         _built(lambda b: V.provider_index(b).withColumn("codes", F.concat_ws(",", "codes"))), O.provider_index())
+register("built_top_rows", _built(V.top_rows), O.top_rows())
+for _role in ("billing", "servicing"):
+    register(f"built_top_providers_state_{_role}", _built((lambda r: lambda b: V.top_providers(b, "state", r))(_role)),
+             O.top_providers_by_state(_role))
+    register(f"built_top_providers_code_{_role}", _built((lambda r: lambda b: V.top_providers(b, "code", r))(_role)),
+             O.top_providers_by_code(_role))
+for _n, _text in (("", "supplier#00000001"), ("_broad", " SUPPLIER# "), ("_wildcard", "S_pp%er#%7"), ("_no_gram", "s%e%7")):
+    register(f"built_find_provider{_n}", _built((lambda t: lambda b: V.find_provider(b, t))(_text)), O.find_provider(_text))
+for _k in ("code_bucket", "month_state", "state_code", "dashboard"):
+    register(f"built_cube_{_k}", _built((lambda k: lambda b: C.out(b.stored(f"cube_{k}")))(_k)), O.cube(_k))
+register("built_rows_page_deep", _built(lambda b: R.rows_page(b.fact(), NO, "paid", "desc", 700, 59500, b.stored("order_paid"))),
+         O.rows_page(NO, "paid", "desc", 700, 59500))

@@ -9,7 +9,8 @@
   provider equality filters prune row groups by bloom filter.
 * ``new_build`` / ``complete_build`` / ``latest_build`` – all tables of a build
   live in one version folder; readers switch when its marker is written.
-* ``write_versioned`` / ``latest_version`` – the same for a single table.
+* ``finish_table`` – a step that can be repeated: finished tables stay, unfinished
+  ones are written again.
 """
 
 from __future__ import annotations
@@ -139,58 +140,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(
-                spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     """A finished table (``_SUCCESS`` written) at ``path``."""
     fs, p = _fs(spark, path)
     return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
 
 
-def latest_version(spark: SparkSession, root: str) -> str:
-    v = _versions(spark, root)
-    if not v:
-        raise FileNotFoundError(f"no complete version under {root}")
-    return f"{root}/v={v[-1]}"
-
-
-def write_versioned(spark: SparkSession, root: str, write) -> str:
-    """Write a new version of a table with ``write(path)`` and return its
-    path. Readers use the newest version that finished (has ``_SUCCESS``),
-    so a failed write leaves the previous version in use."""
-    fs, p = _fs(spark, root)
-    existing = []
-    if fs.exists(p):
-        for st in fs.listStatus(p):
-            n = st.getPath().getName()
-            if n.startswith("v=") and n[2:].isdigit():
-                existing.append(int(n[2:]))
-    path = f"{root}/v={max(existing, default=0) + 1}"
-    write(path)
-    return path
-
-
 # ---------------------------------------------------------------- builds
 # All tables of a build share one version folder. Its marker is written last, so
-# readers never see half a build and never mix tables of two.
-MARKER = "_BUILD_COMPLETE"
+# readers never see half a build and never mix tables of two. Aggregates that are
+# added to a build later have a marker of their own.
+MARKER, BAKED = "_BUILD_COMPLETE", "_BAKE_COMPLETE"
 
 
 def _numbered(spark: SparkSession, root: str) -> dict[int, str]:
-    fs, p = _fs(spark, root)
-    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
-    return {int(n[2:]): f"{root}/{n}" for n in names if n.startswith("v=") and n[2:].isdigit()}
+    return {int(n[2:]): f"{root}/{n}" for n in names_in(spark, root) if n.startswith("v=") and n[2:].isdigit()}
 
 
 def new_build(spark: SparkSession, root: str) -> str:
@@ -198,20 +162,45 @@ def new_build(spark: SparkSession, root: str) -> str:
     return f"{root}/v={max(_numbered(spark, root), default=0) + 1}"
 
 
-def complete_build(spark: SparkSession, build: str) -> None:
-    fs, p = _fs(spark, f"{build}/{MARKER}")
+def mark(spark: SparkSession, path: str) -> None:
+    """Write an empty marker file."""
+    fs, p = _fs(spark, path)
     fs.create(p).close()
 
 
+def unmark(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, False)
+
+
+def marked(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    fs, p = _fs(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def complete_build(spark: SparkSession, build: str) -> None:
+    mark(spark, f"{build}/{MARKER}")
+
+
 def latest_build(spark: SparkSession, root: str) -> str:
     """The newest version whose marker is there."""
     for _, path in sorted(_numbered(spark, root).items(), reverse=True):
-        fs, p = _fs(spark, f"{path}/{MARKER}")
-        if fs.exists(p):
+        if marked(spark, f"{path}/{MARKER}"):
             return path
     raise FileNotFoundError(f"no complete build under {root}")
 
 
+def is_baked(spark: SparkSession, build: str) -> bool:
+    """All aggregates of a build are written."""
+    return marked(spark, f"{build}/{BAKED}")
+
+
 def read_json_map(spark: SparkSession, path: str, key: str = "hcpcs",
                   value: str = "sector") -> DataFrame:
     """A JSON object file ``{"code": "value", ...}`` → ``key, value`` rows.
@@ -235,7 +224,16 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
+def finish_table(df: DataFrame, path: str) -> bool:
+    """Write a table unless it is finished; what a writer that died has left is
+    overwritten. Returns whether it was written."""
+    if table_exists(df.sparkSession, path):
+        return False
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return True
+
+
 __all__ = ["read_json_map", "write_json_map", "read_csv_by_name", "read_claims_csv", "read_registry_csv",
            "typed_claims", "write_claims_csv", "amount_precision_report", "dedupe_lookup", "write_fact",
-           "read_fact", "fact_at", "write_versioned", "latest_version", "write_table", "new_build",
-           "complete_build", "latest_build", "NPI_LOOKUP"]
+           "read_fact", "fact_at", "write_table", "finish_table", "new_build", "complete_build", "latest_build",
+           "is_baked", "mark", "unmark", "marked", "names_in", "NPI_LOOKUP"]
