@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from claimscope.schema import SOURCE_COLUMNS
 from claimscope.sources import fixture
 from claimscope.sources.tables import dedupe_lookup, write_table
-from claimscope.streaming import read_stream_fact, start_ingest
+from claimscope.operators import cubes
+from claimscope.streaming import (compact_cubes, finished_batches, read_stream_cube, read_stream_fact, start_ingest,
+                                  write_batch)
 from conftest import SF_SMALL
 
 
 def test_two_drops_then_restart(spark):
     base = tempfile.mkdtemp(prefix="claimscope-test-stream-", dir="/tmp")
     landing, out, ckpt = f"{base}/landing", f"{base}/fact", f"{base}/ckpt"
-    write_table(dedupe_lookup(fixture.npi_lookup(spark, SF_SMALL)), f"{base}/lookup")
+    once = fixture.npi_lookup(spark, SF_SMALL)
+    write_table(once.unionByName(once), f"{base}/lookup")          # the registry lists each provider twice
     raw = fixture.spending_raw(spark, SF_SMALL)
     as_csv = raw.select(*[F.col(dst).cast("string").alias(src) for src, dst in SOURCE_COLUMNS])
     early, late = as_csv.where("CLAIM_FROM_MONTH < '1998-01'"), as_csv.where(
@@ -25,6 +28,7 @@ def test_two_drops_then_restart(spark):
     q.awaitTermination(300)
     first = read_stream_fact(spark, out).count()
     assert first == early.count() > 0
+    same_cubes(spark, out)
 
     late.coalesce(2).write.option("header", True).csv(f"{landing}/drop2")
     q = start_ingest(spark, f"{landing}/*", f"{base}/lookup", out, ckpt)  # resumes
@@ -33,6 +37,43 @@ def test_two_drops_then_restart(spark):
     want = fixture.spending(spark, SF_SMALL)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(got.columns)).count() == 0
+    same_cubes(spark, out)
+    assert compact_cubes(spark, out) == finished_batches(spark, out)[-1]
+    same_cubes(spark, out)
+
+
+def same_cubes(spark, out):
+    """The maintained cubes equal those of the whole fact, which they do not read."""
+    fact = read_stream_fact(spark, out)
+    for name in cubes.ROLLED:
+        got, want = read_stream_cube(spark, out, name), getattr(cubes, name)(fact)
+        got = got.select(want.columns)
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert not any(f"{out}/fact/" in f for f in got.inputFiles())
+
+
+def test_retried_and_unfinished_batches(spark, monkeypatch):
+    import pytest
+    from claimscope.streaming import ingest
+    out = tempfile.mkdtemp(prefix="claimscope-test-batches-", dir="/tmp") + "/out"
+    raw, lookup = fixture.spending_raw(spark, SF_SMALL).cache(), fixture.npi_lookup(spark, SF_SMALL)
+    assert read_stream_fact(spark, out).count() == 0 == read_stream_cube(spark, out, "cube_month_code").count()
+    write_batch(raw.limit(0), 0, lookup, out)
+    write_batch(raw.where("month < '1996'"), 1, lookup, out)
+    write_batch(raw.where("month < '1996'"), 1, lookup, out)        # a retry
+    before = read_stream_fact(spark, out).count()
+    assert before == raw.where("month < '1996'").count()
+    compact_cubes(spark, out)
+    monkeypatch.setattr(ingest, "mark", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        write_batch(raw.where("month >= '1996'"), 2, lookup, out)
+    monkeypatch.undo()
+    assert read_stream_fact(spark, out).count() == before           # written, but not finished
+    same_cubes(spark, out)
+    write_batch(raw.where("month >= '1996'"), 2, lookup, out)
+    assert read_stream_fact(spark, out).count() == raw.count()
+    same_cubes(spark, out)
 
 
 def test_checkpoint_is_required(spark):
