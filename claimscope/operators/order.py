@@ -105,7 +105,7 @@ def _numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def _coarse(df: DataFrame, column: str) -> Column:
+def coarse(df: DataFrame, column: str) -> Column:
     """A range number that never falls while the value rises."""
     if not _numeric(df, column):
         return F.substring(column, 1, CHARACTERS)
@@ -134,7 +134,7 @@ def _ranges(df: DataFrame, key: Key, number: Column) -> DataFrame:
 def counted(df: DataFrame, key: Key) -> DataFrame:
     """The rows of ``df`` counted per value range of ``key``: ``n, first, last``. A few
     thousand rows; one column is read, and each task counts before the shuffle."""
-    return _ranges(df, key, _coarse(df, key.column))
+    return _ranges(df, key, coarse(df, key.column))
 
 
 def _in_order(counts: DataFrame, key: Key) -> list[Range]:

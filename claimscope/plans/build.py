@@ -20,6 +20,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.functions.filters import Filter
+from claimscope.operators import provider_lists as PL
 from claimscope.operators import cubes, dashboard, leaders, order, providers, rows, search, stats
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
@@ -104,6 +105,17 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
             return cube
         return make
 
+    listed = {}
+    for role in PL.ROLES:
+        listed[f"provider_index_{role}"] = (lambda r: lambda: PL.provider_index_table(fact, r))(role)
+        for kind, of in PL.LISTS.items():
+            name = f"provider_{kind}_{role}"
+            listed[name] = (lambda r, o: lambda: PL.provider_list(fact, r, o))(role, of)
+            if kind == "month":
+                listed[f"{name}_levels"] = (lambda n, o: lambda: PL.list_levels(read(n), o))(name, of)
+            listed[f"{name}_bitmaps"] = (lambda n, r, o: lambda: PL.provider_bitmaps(
+                read(n), read(f"provider_index_{r}"), o))(name, role, of)
+
     # in this order: some read what is written before them
     tables = {
         "months": lambda: stats.distinct_values(fact, "month"),
@@ -118,6 +130,7 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
         "top_rows": lambda: rows.top_rows(fact, counts=read("order_paid")),
         "provider_totals": lambda: search.provider_totals(fact, lookup),
         "name_grams": lambda: search.name_grams(read("provider_totals")),
+        **listed,
         "sector_leaders": lambda: leaders.sector_leaders(fact, lookup, sectors),
         "provider_index": lambda: providers.provider_index(fact, lookup),
         "meta": lambda: stats.meta(fact),
@@ -131,6 +144,10 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
     }
     needs = {**{name: ("cube_dashboard",) for name in CUBES if name != "cube_dashboard"},
              "name_grams": ("provider_totals",), "top_rows": ("order_paid",)}
+    for name in listed:
+        base = name.removesuffix("_levels").removesuffix("_bitmaps")
+        if name != base:
+            needs[name] = (base, f"provider_index_{base.split('_')[-1]}") if name.endswith("_bitmaps") else (base,)
     chosen = set(tables) if only is None else {*only, *[n for t in only for n in needs.get(t, ())]}
     timings = {}
     for name, make in tables.items():

@@ -17,12 +17,13 @@ from claimscope.functions.filters import Filter
 from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
 from claimscope.operators import leaders as L
+from claimscope.operators import provider_lists as PL
 from claimscope.operators import providers as P
 from claimscope.operators import rows as R
 from claimscope.operators import stats as S
 from claimscope.plans import oracle_sql as O
 from claimscope.plans import serve as V
-from claimscope.plans.build import build_from_files
+from claimscope.plans.build import bake, build_from_files
 from claimscope.plans.inputs import Inputs
 from claimscope.session import checkpoint_dir
 from claimscope.sources import tables as T
@@ -317,20 +318,21 @@ def _json(i: Inputs, df: DataFrame, value: str) -> str:
 _BUILDS: dict[tuple[str, str], str] = {}
 
 
-def _from_files(i: Inputs) -> Inputs:
-    """A whole build from files, of the fixture's rows; one for each session and folder."""
+def _from_files(i: Inputs, *tables: str) -> Inputs:
+    """A whole build from files, of the fixture's rows, with the baked ``tables``; one
+    build for each session and folder, to which a query adds the tables it reads."""
     at = (i.spark.sparkContext.applicationId, i.sf_dir)
     if at not in _BUILDS:
         claims, root = _written(i, "claims-csv"), _written(i, "build")
         T.write_claims_csv(i.raw(), claims)
-        build_from_files(i.spark, claims, _registry_csv(i), root, _json(i, i.descs(), "name"),
-                         _json(i, i.sectors(), "sector"), with_bake=True)
+        build_from_files(i.spark, claims, _registry_csv(i), root, _json(i, i.descs(), "name"), _json(i, i.sectors(), "sector"))
         _BUILDS[at] = root
+    bake(i.spark, _BUILDS[at], only=tables)
     return Inputs.from_build(i.spark, _BUILDS[at])
 
 
-def _built(answer):
-    return lambda i: answer(_from_files(i))
+def _built(answer, *tables: str):
+    return lambda i: answer(_from_files(i, *tables))
 
 
 register("ingest_spending", _ingest_spending, O.raw_view())
@@ -339,25 +341,28 @@ register("load_code_desc", lambda i: T.read_json_map(i.spark, _json(i, i.descs()
          O.desc_view())
 register("load_sector_map",
          lambda i: T.read_json_map(i.spark, _json(i, i.sectors(), "sector"), "hcpcs", "sector"), O.sector_map())
-register("built_fact", lambda i: _fact_view(_from_files(i)), O.fact_view())
-register("built_cube_month_code",
-         lambda i: C.out(_from_files(i).cube("cube_month_code", C.cube_month_code)), O.cube("month_code"))
-register("built_dashboard_long", lambda i: _long(NO)(_from_files(i)), O.dashboard_long(NO))
-register("built_peers", lambda i: P.peers((b := _from_files(i)).fact(), b.lookup(), SUBJECT), O.peers(NO, SUBJECT))
-register("built_dash_default", _built(V.dashboard), O.dashboard_long(NO))
-register("built_dash_outliers", _built(lambda b: V.dashboard(b, EXTREME)), O.dashboard_long(EXTREME))
-register("built_sector_leaders", _built(V.sector_leaders), O.sector_leaders(NO))
+register("built_fact", _built(_fact_view), O.fact_view())
+register("built_dashboard_long", _built(_long(NO)), O.dashboard_long(NO))
+register("built_peers", _built(lambda b: P.peers(b.fact(), b.lookup(), SUBJECT)), O.peers(NO, SUBJECT))
+register("built_dash_default", _built(V.dashboard, "dash_default"), O.dashboard_long(NO))
+register("built_dash_outliers", _built(lambda b: V.dashboard(b, EXTREME), "dash_outliers"), O.dashboard_long(EXTREME))
+register("built_sector_leaders", _built(V.sector_leaders, "sector_leaders"), O.sector_leaders(NO))
 register("built_provider_index",
-         _built(lambda b: V.provider_index(b).withColumn("codes", F.concat_ws(",", "codes"))), O.provider_index())
-register("built_top_rows", _built(V.top_rows), O.top_rows())
+         _built(lambda b: V.provider_index(b).withColumn("codes", F.concat_ws(",", "codes")), "provider_index"), O.provider_index())
+register("built_top_rows", _built(V.top_rows, "top_rows"), O.top_rows())
 for _role in ("billing", "servicing"):
-    register(f"built_top_providers_state_{_role}", _built((lambda r: lambda b: V.top_providers(b, "state", r))(_role)),
-             O.top_providers_by_state(_role))
-    register(f"built_top_providers_code_{_role}", _built((lambda r: lambda b: V.top_providers(b, "code", r))(_role)),
-             O.top_providers_by_code(_role))
+    for _group, _sql in (("state", O.top_providers_by_state), ("code", O.top_providers_by_code)):
+        register(f"built_top_providers_{_group}_{_role}",
+                 _built((lambda g, r: lambda b: V.top_providers(b, g, r))(_group, _role), f"top_providers_{_group}_{_role}"),
+                 _sql(_role))
 for _n, _text in (("", "supplier#00000001"), ("_broad", " SUPPLIER# "), ("_wildcard", "S_pp%er#%7"), ("_no_gram", "s%e%7")):
-    register(f"built_find_provider{_n}", _built((lambda t: lambda b: V.find_provider(b, t))(_text)), O.find_provider(_text))
-for _k in ("code_bucket", "month_state", "state_code", "dashboard"):
-    register(f"built_cube_{_k}", _built((lambda k: lambda b: C.out(b.stored(f"cube_{k}")))(_k)), O.cube(_k))
-register("built_rows_page_deep", _built(lambda b: R.rows_page(b.fact(), NO, "paid", "desc", 700, 59500, b.stored("order_paid"))),
+    register(f"built_find_provider{_n}", _built((lambda t: lambda b: V.find_provider(b, t))(_text), "provider_totals", "name_grams"),
+             O.find_provider(_text))
+for _k in ("month_code", "code_bucket", "month_state", "state_code", "dashboard"):
+    register(f"built_cube_{_k}", _built((lambda k: lambda b: C.out(b.stored(f"cube_{k}")))(_k), f"cube_{_k}"), O.cube(_k))
+register("built_rows_page_deep",
+         _built(lambda b: R.rows_page(b.fact(), NO, "paid", "desc", 700, 59500, b.stored("order_paid")), "order_paid"),
          O.rows_page(NO, "paid", "desc", 700, 59500))
+for _n, _f in (("", Filter(**CUBE_ARGS)), ("_months", MONTHS), ("_codes", CODES), ("_all", NO)):
+    register(f"built_dash_from_cubes{_n}",
+             _built((lambda f: lambda b: V.dashboard_from_cubes(b, f))(_f), *PL.tables(_f), "cube_dashboard"), O.dashboard_long(_f))

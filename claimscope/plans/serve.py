@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.filters import DASHBOARD_SCOPE, LEADERS_SCOPE, NO_FILTER, Filter
+from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
 from claimscope.operators import leaders as L
+from claimscope.operators import provider_lists as PL
 from claimscope.operators import providers as P
 from claimscope.operators import rows as R
 from claimscope.operators import search
@@ -64,3 +66,13 @@ def find_provider(i: Inputs, name: str, k: int = 10) -> DataFrame:
     if totals is None or grams is None:
         return P.find_provider(i.fact(), i.lookup(), name, k)
     return search.find_stored(totals, grams, name, k)
+
+
+def dashboard_from_cubes(i: Inputs, flt: Filter = NO_FILTER) -> DataFrame:
+    """The whole dashboard under months and codes from the baked cube, provider lists
+    and bitmaps; the fact is not read."""
+    flt = flt.scoped("month_from", "month_to", "hcpcs")
+    given = {n: getattr(flt, n) for n in ("month_from", "month_to", "hcpcs")}
+    cube = i.stored("cube_dashboard")
+    rest = C.cubes_dashboard_long(cube, i.descs(), sectors=i.sectors(), **given)
+    return rest.unionByName(PL.provider_sections(i.stored, i.lookup(), flt))
