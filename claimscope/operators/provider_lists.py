@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money
-from claimscope.functions.filters import Filter
+from claimscope.functions.filters import Filter, parse_codes
 from claimscope.operators import order
 from claimscope.operators.topk import dense_index
 from claimscope.sources.joins import with_names
@@ -28,8 +28,8 @@ ROLES = ("billing", "servicing")
 MEASURES = ["paid", "patients", "claim_lines", "n"]
 #: How far below the k-th entry the heads first end, and how much longer they get.
 DEPTH, LONGER = 8, 8
-#: What a list is of: all rows of a month, or those of a code in it.
-LISTS = {"month": ["month"], "code": ["hcpcs", "month"]}
+#: What a list is of: all rows of a month, or those of a (normalised) code in it.
+LISTS = {"month": ["month"], "code": ["hcpcs_norm", "month"]}
 
 
 def provider_list(fact: DataFrame, role: str, of: Sequence[str] = ("month",)) -> DataFrame:
@@ -37,6 +37,8 @@ def provider_list(fact: DataFrame, role: str, of: Sequence[str] = ("month",)) ->
     list (null sums count as 0), laid out by list, best first."""
     npi = F.col(f"{role}_npi")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    if "hcpcs_norm" in of:
+        fact = fact.withColumn("hcpcs_norm", F.upper("hcpcs"))
     sums = (fact.where(npi.isNotNull()).groupBy(*of, npi.alias("npi"))
                 .agg(zero("paid").cast("decimal(28,2)").alias("paid"), zero("patients").cast("long").alias("patients"),
                      zero("claim_lines").cast("long").alias("claim_lines"), F.count(F.lit(1)).alias("n")))
@@ -126,7 +128,7 @@ def distinct_listed(bitmaps: DataFrame, flt: Filter) -> DataFrame:
 
 def kind_of(flt: Filter) -> str:
     """Which lists answer a filter: those of codes if it names any."""
-    return "code" if flt.scoped("hcpcs").clauses() else "month"
+    return "code" if parse_codes(flt.hcpcs) else "month"
 
 
 def tables(flt: Filter) -> list[str]:
