@@ -14,8 +14,12 @@ query block meets every vector block in a task of its own. Each pair gives k
 rows per query, and the final ranking cuts per task before it shuffles. Nothing
 is broadcast but the pivots, a fixed number of vectors.
 
-Defined cases: vectors that are null, or hold null, non-finite or huge components
-(beyond 2^26 once scaled), or have no id, take no part; vectors are compared with
+Integers are exact at any size: vectors with a component beyond 2^26 go into blocks
+of their own, which are computed in Python integers. A score among a query's best
+that is outside the range of long is an error, not another value.
+
+Defined cases: vectors that are null, or hold null or non-finite components, or have
+no id, take no part; vectors are compared with
 those of their own length; repeated rows are rows of their own, and a row with
 the id of the query is never returned to it; repeated query ids are one query,
 that of the smallest vector; an empty table gives an empty result.
@@ -38,27 +42,40 @@ BLOCK = 1024
 QUERY_BLOCK = 512
 #: Most candidates evaluated between two looks at the bound.
 STEP = 64
-LARGEST = float(1 << 26)
+#: Up to here inner products are exact in int64.
+LARGEST = 1 << 26
 
 
 def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """``_id, _v`` (array of long) of the vectors that take part."""
+    """``_id, _v`` (integers as an array of double, exact) of the vectors that take part."""
     # a NaN is the largest double in Spark's order
-    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= LARGEST))
+    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     ok = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite)
-    d = ok.select(F.col(key).cast("long").alias("_id"),
-                  F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
-    small = F.forall("_v", lambda x: F.abs(x) <= int(LARGEST))
-    return d.where(small)
+
+    def scaled(x: Column) -> Column:
+        y = x.cast("double") * float(scale)
+        # from 2^52 on every double is an integer
+        return (F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y)
+                 .otherwise(F.raise_error(F.lit("vector component beyond the range of double")).cast("double")))
+
+    return ok.select(F.col(key).cast("long").alias("_id"), F.transform(F.col(vector), scaled).alias("_v"))
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of the rows of ``a`` and ``b``: through doubles
-    while every sum is exact in them."""
-    most = (np.abs(a).max(initial=0)) * (np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    while every sum is exact in them, in Python integers beyond int64."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 1 << 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return a.astype(object) @ b.astype(object).T
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    return np.lexsort((ids, -scores))[:k]
 
 
 def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -92,34 +109,45 @@ def pivot_search(ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, q_
         evaluated += at
         if got:
             rows = np.concatenate(got)
-            best = np.lexsort((ids[rows], -scores))[:k]
+            best = _best(ids[rows], scores, k)
             out.append((q_ids[i], ids[rows[best]], scores[best]))
     return out, evaluated
 
 
+def _integers(stored: np.ndarray) -> np.ndarray:
+    """Stored components: int32, or doubles that need Python integers."""
+    if stored.dtype == np.int32:
+        return stored.astype(np.int64)
+    out = np.empty(stored.shape, object)
+    out.ravel()[:] = [int(x) for x in stored.ravel().tolist()]
+    return out
+
+
 def _pack(size: int, pivots):
-    """mapInArrow function: rows ``_id, _v, tag`` → blocks of a length and tag."""
+    """mapInArrow function: rows ``_id, _v, tag`` → blocks of a length and tag, with
+    4 bytes a component, or 8 where one is beyond ``LARGEST``."""
     def run(batches):
         import pyarrow as pa
 
         held: dict[tuple, list] = {}
 
         def block(to):
-            dim, tag = to
+            dim, tag, wide = to
             ids = np.array([x for x, _ in held[to]], np.int64)
-            data = np.array([v for _, v in held[to]], np.int32).reshape(len(ids), dim)
+            data = np.array([v for _, v in held[to]], np.float64).reshape(len(ids), dim)
             p = pivots.value.get(dim, np.zeros((0, dim), np.int64))
             held[to] = []
+            stored = data if wide else data.astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in (
                     (dim, pa.int32()), (tag, pa.int32()), (len(ids), pa.int32()), (ids.tobytes(), pa.binary()),
-                    (data.tobytes(), pa.binary()), (_distances(data.astype(np.int64), p).tobytes(), pa.binary()))],
+                    (stored.tobytes(), pa.binary()), (_distances(_integers(stored), p).tobytes(), pa.binary()))],
                 names=["dim", "tag", "n", "ids", "data", "table"])
 
         for b in batches:
             for i, v, tag in zip(b.column("_id").to_pylist(), b.column("_v"), b.column("tag").to_pylist()):
                 v = v.values.to_numpy(zero_copy_only=False)
-                to = len(v), tag
+                to = len(v), tag, bool(np.abs(v).max(initial=0) > LARGEST)
                 held.setdefault(to, []).append((i, v))
                 if len(held[to]) >= size:
                     yield block(to)
@@ -131,7 +159,9 @@ def _pack(size: int, pivots):
 
 BLOCKS = "dim int, tag int, n int, ids binary, data binary, table binary"
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
-                      T.StructField("score", T.LongType()), T.StructField("evaluated", T.LongType())])
+                      T.StructField("score", T.LongType()), T.StructField("beyond", T.BooleanType()),
+                      T.StructField("evaluated", T.LongType())])
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _search(pivots, k: int):
@@ -139,7 +169,8 @@ def _search(pivots, k: int):
     def unpack(r, p):
         dim, n = r["dim"], r[p + "n"]
         ids = np.frombuffer(r[p + "ids"], np.int64)
-        data = np.frombuffer(r[p + "data"], np.int32).reshape(n, dim).astype(np.int64)
+        kind = np.int32 if len(r[p + "data"]) == 4 * n * dim else np.float64
+        data = _integers(np.frombuffer(r[p + "data"], kind).reshape(n, dim))
         return ids, data, np.frombuffer(r[p + "table"], np.float64).reshape(n, -1 if n else 0)
 
     def run(batches):
@@ -153,15 +184,18 @@ def _search(pivots, k: int):
                 p = pivots.value.get(r["dim"], np.zeros((0, r["dim"]), np.int64))
                 p_ids = pivots.value.get(("ids", r["dim"]), np.zeros(0, np.int64))
                 scores = _dot(queries, p)
-                scores[q_ids[:, None] == p_ids[None, :]] = np.iinfo(np.int64).min
-                floor = (np.partition(scores, len(p) - k, axis=1)[:, len(p) - k] if len(p) >= k
-                         else np.full(len(queries), np.iinfo(np.int64).min))
+                own = q_ids[:, None] == p_ids[None, :]
+                scores[own] = scores.min(initial=0) - 1
+                floor = (np.partition(scores, len(p) - k, axis=1)[:, len(p) - k] if (~own).sum(1).min(initial=0) >= k
+                         else np.full(len(queries), -np.inf))
                 rows, evaluated = pivot_search(ids, data, table, q_ids, queries, q_table, floor, k)
                 if rows:
                     n = [len(x) for _, x, _ in rows]
+                    score = np.concatenate([s for _, _, s in rows])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat([q for q, _, _ in rows], n)), pa.array(np.concatenate([x for _, x, _ in rows])),
-                         pa.array(np.concatenate([s for _, _, s in rows])),
+                         pa.array(np.clip(score, LEAST, MOST).astype(np.int64)),
+                         pa.array(((score < LEAST) | (score > MOST)).astype(bool)),
                          pa.array(np.full(sum(n), evaluated, np.int64))], names=FOUND.fieldNames())
     return run
 
@@ -174,7 +208,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     base = integer_vectors(vectors, key, vector, scale)
     # a fixed number of pivots: the first distinct vectors in the order of the ids' hashes
     chosen: dict = {}
-    for r in base.orderBy(F.xxhash64("_id"), "_id").limit(4 * n_pivots).collect():
+    small = base.where(F.forall("_v", lambda x: F.abs(x) <= float(LARGEST)))
+    for r in small.orderBy(F.xxhash64("_id"), "_id").limit(4 * n_pivots).collect():
         rows = chosen.setdefault(len(r._v), {})
         if len(rows) < n_pivots:
             rows.setdefault(tuple(r._v), r._id)
@@ -198,5 +233,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     found = blocks.join(q_blocks, ["dim", "tag", "salt"]).mapInArrow(_search(pivots, k), FOUND)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    ranked = (found.select("query_id", "vec_id", "score", "beyond").withColumn("rank", F.row_number().over(w))
+                   .where(F.col("rank") <= k))
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("beyond"), F.raise_error(F.lit(
+        "score beyond the range of long")).cast("long")).otherwise(F.col("score")).alias("score"))

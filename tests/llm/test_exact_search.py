@@ -8,11 +8,11 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k):
-    fine = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e4 for x in v)]
+    fine = [(i, np.array([int(np.floor(1024 * float(np.float32(x)))) for x in v], object)) for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in {i: a for i, a in sorted(fine, key=lambda r: (r[0], [-int(x) for x in r[1]])) if i % 100 == 0}.items():
-        best = sorted((-int(a @ b), i) for i, b in fine if i != q and len(a) == len(b))[:k]
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(a) == len(b))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -23,7 +23,7 @@ def test_equals_brute_force(spark, n_pivots):
     rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(40)]                       # ties
     rows += [(2000, None), (2100, []), (2101, []), (2200, [1.0, None] + [0.0] * 6), (2300, [float("nan")] * 8),
-             (2400, [float("inf")] * 8), (2500, [1e30] * 8), (None, [1.0] * 8), (2600, [1.0, 2.0]), (2601, [0.5, 0.5]),
+             (2400, [float("inf")] * 8), (2501, [-1e8] + [1e5] * 7), (None, [1.0] * 8), (2600, [1.0, 2.0]), (2601, [0.5, 0.5]),
              (2700, [0.0] * 8), (5, rows[5][1])]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(5)
     got = S.top_k(df, F.col("vec_id") % 100 == 0, n_pivots=n_pivots).collect()
@@ -42,6 +42,21 @@ def test_bounds_eliminate_on_clustered_vectors():
     assert evaluated < 0.6 * 50 * 3000
 
 
+def test_large_finite_components_take_part(spark):
+    rows = [(0, [1.0, 1.0]), (1, [100000.0, 1.0]), (2, [2.0, 2.0]), (100, [70000.0, 0.0])]
+    rows += [(200 + i, [1e5 * (-1) ** i, 3.0 * i]) for i in range(0, 30)] + [(300, [-2.0, 1.0]), (400, [1e5, -7e4])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(3)
+    is_query = F.col("vec_id") % 100 == 0
+    assert sorted(map(tuple, S.top_k(df, is_query).collect())) == brute(rows, 10)
+    # a vector whose scores leave the range of long counts, as long as it is not among the best
+    far = rows[:3] + [(5 + i, [1.5 * i, 0.5]) for i in range(20)] + [(31, [-1e30, 2.0]), (32, [-3e38, -1.0]), (100, [0.5, 1e5])]
+    df = spark.createDataFrame([(*r, 0) for r in far], SCHEMA).repartition(3)
+    assert sorted(map(tuple, S.top_k(df, is_query).collect())) == brute(far, 10)
+    df = spark.createDataFrame([(*r, 0) for r in far + [(33, [1e30, 0.0])]], SCHEMA)
+    with pytest.raises(Exception, match="range of long"):
+        S.top_k(df, is_query).collect()
+
+
 def test_huge_components_stay_exact():
     a = np.array([[1 << 26, 3], [-(1 << 26), 1]], np.int64)
     assert S._dot(a, a).tolist() == [[(1 << 52) + 9, -(1 << 52) + 3], [-(1 << 52) + 3, (1 << 52) + 1]]
