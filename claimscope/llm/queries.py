@@ -56,7 +56,8 @@ def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(docs, size=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).alias("taken"))
 

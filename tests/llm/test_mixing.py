@@ -55,3 +55,33 @@ def test_mix(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.emitted(mixing.mix(df)).count() == sum(r.copies for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_own_columns_pass_and_hot_sizes_are_split(spark):
+    rows = [(i, "hot", "a b", i, -i, "x", 7) for i in range(900)] + [(i, "s", "w " * (i % 9), i, -i, "y", 8) for i in range(200)]
+    names = "_src string, text string, _class int, _cell int, _k0 string, _i int"
+    df = spark.createDataFrame(rows, f"doc_id long, {names}").repartition(6)
+    got = mixing.mix(df, source="_src", cell_rows=50).collect()
+    assert got[0].__fields__ == ["doc_id", "_src", "text", "_class", "_cell", "_k0", "_i", "size", "source_size", "target", "copies"]
+    assert sorted(tuple(r[:7]) for r in got) == sorted(rows)
+    want = targets({"hot": 1800, "s": sum(len(r[2].split()) for r in rows if r[1] == "s")})
+    for s in want:
+        taken = sum(r.size * r.copies for r in got if r._src == s)
+        assert abs(taken - want[s]) <= max(r.size for r in got if r._src == s)
+    # one offset: the copies of the hot source are those of a plain systematic sample
+    hot = [r.copies for r in got if r._src == "hot"]
+    assert abs(sum(hot) - want["hot"] / 2) < 1 + 1e-9 and max(hot) - min(hot) <= 1
+
+
+def test_many_sources_and_long_texts(spark):
+    rows = [(i, f"host{i % 3000}", "w " * (i % 7)) for i in range(6000)] + [(9999, "host1", "w " * 300_000)]
+    df = spark.createDataFrame(rows, DOC).repartition(5)
+    mixed = mixing.mix(df)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    got = mixed.select("source", "size", "target").collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = targets(sizes)
+    assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in got)
