@@ -7,12 +7,13 @@ window). All windows form one automaton; a document is scanned once, and every
 word inside an occurrence of a window is hit. Hits are mapped back to code point
 offsets of the original text.
 
-The automaton is built on the executors from the broadcast windows. Its size is
-bounded: windows are dealt into blocks of at most ``block_chars`` characters,
-each block is an automaton of its own, and the blocks scan one after the other,
-handing on the union of hits. Usual benchmarks are one block.
-
-Documents never leave their partition: there is no shuffle.
+The windows are a table: made by tasks, equal ones are one row with the ids of their
+items. The automaton is built on the executors from the broadcast windows. Its size is
+bounded: by running size the windows are dealt into blocks of at most ``block_chars``
+bytes, and the driver sees one block at a time. Usual benchmarks are one block;
+documents then never leave their partition. With more, each block is a pass of its
+own over the texts, with its automaton alone; its hits are written before the next
+block, and joined in the end to the documents that have any.
 
 Defined cases: null text has no words; items without words have no windows; a
 benchmark row without an id marks words but is not named among the items;
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.staging import utf8_buffer
+from claimscope.llm.prefix_trie import running
+from claimscope.llm.staging import staged, utf8_buffer
 
 #: Words in a window, and most characters of the windows of one automaton.
 WINDOW = 10
@@ -55,21 +57,38 @@ def item_windows(text: str | None, window: int) -> list[str]:
     return [f" {' '.join(w)} " for w in spans]
 
 
-def window_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int):
-    """Lists of ``(window, its item ids)``, each of at most ``block_chars``."""
+def _windows(window: int):
+    """mapInArrow function: ``i, t`` → ``w, i``, a row per window of an item."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()):
+                found = [w.encode("latin-1") for w in item_windows(t, window)]
+                for a in range(0, len(found), 10_000):
+                    part = found[a:a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([i] * len(part), pa.string())],
+                                                     names=["w", "i"])
+    return run
+
+
+def window_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int) -> tuple[DataFrame, int]:
+    """``(windows, blocks)``: a staged table ``w, items, block`` of the distinct windows
+    and the number of blocks, each of at most ``block_chars`` bytes (or one window)."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
-    block: dict[str, set] = {}
-    chars = 0
-    for r in rows.sort("i", "t").toLocalIterator():
-        for w in item_windows(r.t, window):
-            if w not in block:
-                if chars + len(w) > block_chars and block:
-                    yield list(block.items())
-                    block, chars = {}, 0
-                chars += len(w)
-                block[w] = set()
-            block[w] |= {r.i} - {None}
-    yield list(block.items())
+    each = rows.mapInArrow(_windows(window), "w binary, i string")
+    table = staged(each.groupBy("w").agg(F.sort_array(F.collect_set("i")).alias("items")), "windows")
+    size = F.octet_length("w") + F.octet_length(F.array_join("items", ","))
+    total = table.agg(F.sum(size)).first()[0] or 0
+    if total <= block_chars:
+        return table.withColumn("block", F.lit(0).cast("long")), 1
+    placed = running(table.withColumn("_all", F.lit(0)), "_all", [F.col("w")], {"_at": size.cast("long")}, "window-sizes")
+    dealt = staged(placed.select("w", "items", F.expr(f"_at div {block_chars}").alias("block")), "window-blocks")
+    return dealt, dealt.agg(F.max("block")).first()[0] + 1
+
+
+def _block(windows: DataFrame, n: int) -> list[tuple[str, list[str]]]:
+    return [(bytes(r.w).decode("latin-1"), r["items"]) for r in windows.where(F.col("block") == n).collect()]
 
 
 def _automaton(block):
@@ -103,46 +122,66 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = [T.StructField("_n", T.LongType()), T.StructField("_words", SPAN),
-         T.StructField("_items", T.ArrayType(T.StringType()))]
+         T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_spans", SPAN)]
 
 
-def _scan(block, text: str, first: bool, last: bool, drop: tuple):
-    """mapInArrow function: adds a block's hits to ``_words`` (runs of word
-    numbers), ``_items`` and ``_n``; the last one adds ``_spans``, the runs as
-    code point offsets of the text."""
+def _hits(automaton, norm: str) -> tuple[list[dict], list[str]]:
+    """Runs of word numbers inside occurrences of windows, and the items of these."""
+    ends = list(automaton.iter(norm)) if len(automaton) and norm != " " else []
+    if not ends:
+        return [], []
+    blanks = np.flatnonzero(np.frombuffer(norm.encode("latin-1"), np.uint8) == 32)
+    at = np.searchsorted(blanks, [e for e, _ in ends]).tolist()
+    return _merge([(k - m, k) for k, (_, (m, _)) in zip(at, ends)]), sorted({x for _, (_, xs) in ends for x in xs})
+
+
+def _scan(block, text: str, drop: tuple):
+    """mapInArrow function: adds the number of words ``_n`` and the hits of one block,
+    ``_words`` (runs of word numbers), ``_items`` and ``_spans`` (the runs as code
+    point offsets of the text). Without a block the rows bring ``_words`` and
+    ``_items`` with them."""
     def run(batches):
         import pyarrow as pa
 
-        automaton = _automaton(block.value)
+        automaton = None if block is None else _automaton(block.value)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             raw, off = utf8_buffer(batch.column(batch.schema.get_field_index(text)))
             rows = batch.num_rows
-            if first:
-                words, items = [[]] * rows, [[]] * rows
+            norm = [normalised(raw[off[i]:off[i + 1]].tobytes()) for i in range(rows)]
+            if automaton is None:
+                had = zip(batch.column("_words").to_pylist(), batch.column("_items").to_pylist())
+                found = [(_merge([(s["start"], s["end"]) for s in w or []]), sorted(set(x or []))) for w, x in had]
             else:
-                words, items = batch.column("_words").to_pylist(), batch.column("_items").to_pylist()
-            n_words = [0] * rows
-            for i in range(rows):
-                norm = normalised(raw[off[i]:off[i + 1]].tobytes())
-                n_words[i] = norm.count(" ") - 1
-                ends = list(automaton.iter(norm)) if len(automaton) and n_words[i] else []
-                if ends:
-                    blanks = np.flatnonzero(np.frombuffer(norm.encode("latin-1"), np.uint8) == 32)
-                    at = np.searchsorted(blanks, [e for e, _ in ends]).tolist()
-                    words[i] = _merge([(k - m, k) for k, (_, (m, _)) in zip(at, ends)]
-                                      + [(s["start"], s["end"]) for s in words[i]])
-                    items[i] = sorted({x for _, (_, xs) in ends for x in xs} | set(items[i]))
-            new = {"_n": pa.array(n_words, pa.int64()), "_words": pa.array(words, span),
-                   "_items": pa.array(items, pa.list_(pa.string()))}
-            if last:
-                new["_spans"] = pa.array([_located(raw[off[i]:off[i + 1]], w) for i, w in enumerate(words)], span)
+                found = [_hits(automaton, x) for x in norm]
+            new = {"_n": pa.array([x.count(" ") - 1 for x in norm], pa.int64()), "_words": pa.array([w for w, _ in found], span),
+                   "_items": pa.array([x for _, x in found], pa.list_(pa.string())),
+                   "_spans": pa.array([_located(raw[off[i]:off[i + 1]], w) for i, (w, _) in enumerate(found)], span)}
             names = [x for x in batch.schema.names if x not in new and x not in drop]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + list(new.values()),
                                              names=names + list(new))
     return run
 
 
+def _scan_block(block):
+    """mapInArrow function: ``_row, t`` → ``_row, _words, _items`` of the rows that a block hits."""
+    def run(batches):
+        import pyarrow as pa
+
+        automaton = _automaton(block.value)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            raw, off = utf8_buffer(batch.column("t"))
+            found = [(r, *_hits(automaton, normalised(raw[off[i]:off[i + 1]].tobytes())))
+                     for i, r in enumerate(batch.column("_row").to_pylist())]
+            found = [x for x in found if x[1]]
+            if found:
+                row, words, items = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(words, span), pa.array(items, pa.list_(pa.string()))],
+                                                 names=["_row", "_words", "_items"])
+    return run
+
+
 def _located(raw: np.ndarray, runs: list[dict]) -> list[dict]:
     if not runs:
         return []
@@ -150,6 +189,22 @@ def _located(raw: np.ndarray, runs: list[dict]) -> list[dict]:
     return [{"start": int(start[r["start"]]), "end": int(end[r["end"] - 1])} for r in runs]
 
 
+def _joined(spark, rows: DataFrame, at: str, windows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the hits of all blocks (``_words``, ``_items``; not yet merged): a
+    pass for each block, whose hits are written."""
+    hits = None
+    for b in range(n):
+        block = spark.sparkContext.broadcast(_block(windows, b))
+        found = staged(rows.select("_row", F.col(at).alias("t")).mapInArrow(_scan_block(block), T.StructType(
+            [T.StructField("_row", T.LongType()), FOUND[1], FOUND[2]])), "block-hits")
+        block.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    # at most a row per block and document
+    each = hits.groupBy("_row").agg(F.flatten(F.collect_list("_words")).alias("_words"),
+                                    F.flatten(F.collect_list("_items")).alias("_items"))
+    return rows.join(each, "_row", "left").drop("_row")
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
          item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS,
          keep: list[str] | None = None) -> DataFrame:
@@ -163,13 +218,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     at = f"c{rest.index(text)}"
     drop = () if text in keep else (at,)
-    plain, left = out.schema.fields, [f for f in out.schema.fields if f.name not in drop]
-    blocks = list(window_blocks(benchmark, item, item_text, window, block_chars))
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        schema = [*left, *FOUND, T.StructField("_spans", SPAN)] if last else [*plain, *FOUND]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), at, i == 0, last, drop if last else ()),
-                             T.StructType(schema))
+    left = [f for f in out.schema.fields if f.name not in drop]
+    schema = T.StructType([*left, *FOUND])
+    windows, n = window_blocks(benchmark, item, item_text, window, block_chars)
+    if n == 1:
+        block = spark.sparkContext.broadcast(_block(windows, 0))
+    else:
+        block, out = None, _joined(spark, staged(out.withColumn("_row", F.monotonically_increasing_id()), "scanned"), at, windows, n)
+    out = out.mapInArrow(_scan(block, at, drop), schema)
     n_hit = F.aggregate("_words", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest) if c in keep], F.struct(
         F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"),

@@ -77,3 +77,21 @@ def test_empty_tables(spark):
     assert D.mark(docs.limit(0), bench).count() == 0
     assert {r.doc_id for r in D.decontaminated(docs, bench).collect()} == {3, 4, 5, 9}
     assert D.mark(docs, bench, keep=["doc_id"]).columns == ["doc_id", "hits"]
+
+
+def test_many_blocks_are_passes_of_their_own(spark):
+    items = [(i, " ".join(f"q{i}w{k}" for k in range(14))) for i in range(40)]
+    texts = [items[i][1] + " and " + items[-i - 1][1][:60] for i in range(40)] + ["clean", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows, n = D.window_blocks(bench, "item_id", "text", 10, 1200)
+    assert n >= 10 and windows.count() == 200
+    size = windows.selectExpr("block", "octet_length(w) + octet_length(array_join(items, ',')) as n").groupBy("block").sum("n").collect()
+    assert len(size) == n and all(r[1] < 1200 + 100 for r in size)
+    got = D.mark(docs, bench, block_chars=1200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for r in got.collect():
+        assert (r.hits.n_words, r.hits.n_hit, r.hits["items"]) == brute(r.text, items)[:3]
+    one = D.mark(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert one.count("MapInArrow") == 1 and "Exchange" not in one.split("MapInArrow")[0]
