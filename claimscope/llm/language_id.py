@@ -13,10 +13,13 @@ tree, each byte finds its node by two table lookups, and its cost in every
 language by one more. Costs are integers (1/256 bit), so sums do not depend on
 how a text is cut up.
 
-Training counts byte windows on the executors and adds them up in Spark; the
-driver sees a bounded number of windows per language. It is fitted on a sample
-of at most about ``sample_docs`` labelled documents a language, chosen by the
-hash of key and text. Prediction covers whole texts and reads nothing but them.
+Training counts byte windows on the executors and adds them up in Spark. It is
+fitted on a sample of about ``sample_docs`` labelled documents a language at the most,
+chosen by the hash of key and text, and uses all windows of these: the driver sees
+their distinct ones. A context of two or three bytes is kept from a stated count and
+a stated share of its language's bytes on; the shares bound the trees. Prediction
+covers whole texts and reads nothing but them. :func:`readable` tells texts that are
+coded far worse than the training texts.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0;
 ties go to the smaller language name; without training rows every text is
@@ -28,19 +31,21 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.llm.staging import row_chunks, utf8_buffer
 
 UNKNOWN = "und"
-#: Bounds of the model: documents per language it is fitted on (expected),
-#: windows per language it keeps, least count of a context, contexts in all.
+#: Documents per language that the model is fitted on (expected); the least count of
+#: a context, and its least share of a language's bytes.
 SAMPLE_DOCS = 3000
-MOST_WINDOWS = 200_000
 LEAST_CONTEXT = 24
-MOST_CONTEXTS = 16_000
+LEAST_SHARE = 1 / 30_000
+#: A text is unreadable if it takes this many times the usual bits per byte, and
+#: this many bits more: short texts are always readable.
+WORSE, SLACK_BITS = 2.0, 256
 #: Costs are in this part of a bit.
 UNIT = 256
 CHUNK_BYTES = 1 << 18
@@ -96,6 +101,7 @@ class Model:
     second: np.ndarray      # symbol, symbol before → node
     third: np.ndarray       # node, symbol before → node
     costs: np.ndarray       # language, node * size + symbol → cost
+    usual: float = 0.0      # median bits per byte of the training texts
 
     def bits(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code lengths (rows × languages) in units, of the rows of a buffer."""
@@ -146,7 +152,7 @@ def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 
 def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = LEAST_CONTEXT,
-          most_contexts: int = MOST_CONTEXTS) -> Model:
+          least_share: float = LEAST_SHARE) -> Model:
     """Model of ``(language, windows, counts)``."""
     rows = sorted(rows, key=lambda r: r[0])
     langs = [r[0] for r in rows]
@@ -160,19 +166,16 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = L
         s = [symbol[(w >> (8 * k)) & 255].astype(np.int64) for k in range(ORDER + 1)]
         per.append((s, n.astype(np.float64)))
     # kept contexts: of two and three bytes, frequent in some language
-    def kept(depth: int, known: set | None):
-        most: dict[int, float] = {}
+    def kept(depth: int):
+        found = [np.zeros(0, np.int64)]
         for s, n in per:
             key = s[1] * size + s[2] if depth == 2 else (s[1] * size + s[2]) * size + s[3]
             ids, at = np.unique(key, return_inverse=True)
-            for i, v in zip(ids.tolist(), np.bincount(at, n).tolist()):
-                most[i] = max(most.get(i, 0), v)
-        ok = sorted((i for i, v in most.items() if v >= least_context
-                     and (known is None or i // size in known)), key=lambda i: (-most[i], i))
-        return np.array(sorted(ok[:most_contexts]), np.int64)
-
-    two = kept(2, None)
-    three = kept(3, set(two.tolist()))
+            found.append(ids[np.bincount(at, n, len(ids)) >= max(least_context, least_share * n.sum())])
+        return np.unique(np.concatenate(found))
+
+    two, three = kept(2), kept(3)
+    three = three[np.isin(three // size, two)]
     second = np.repeat(np.arange(size), size).astype(np.int32)
     second[two] = size + np.arange(len(two))
     third = np.repeat(np.arange(size + len(two)), size).astype(np.int32)
@@ -218,11 +221,20 @@ def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
     drawn = F.pmod(F.col("draw"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)
     counts = (rows.where(drawn).select("lang", "text").mapInArrow(_count, "lang string, win long, n long")
               .groupBy("lang", "win").agg(F.sum("n").alias("n")))
-    best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "win")
-    top = (counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= MOST_WINDOWS)
-           .select("lang", "win", "n").toPandas())
-    parts = [(name, t["win"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for name, t in top.groupby("lang")]
-    return build(parts) if parts else None
+    parts = [(name, t["win"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for name, t in counts.toPandas().groupby("lang")]
+    if not parts:
+        return None
+    model = build(parts)
+    rates = predict(rows.where(drawn), model, "text", [])
+    model.usual = rates.where("bits_per_byte > 0").agg(F.percentile_approx("bits_per_byte", 0.5)).first()[0] or 0.0
+    return model
+
+
+def readable(model: Model, text: str = "text", worse: float = WORSE, slack: float = SLACK_BITS) -> Column:
+    """Whether rows of :func:`predict` are texts as a model knows them: their code
+    length is at most ``worse`` times the usual one, and ``slack`` bits."""
+    n = F.octet_length(F.col(text))
+    return F.col("bits_per_byte") * n <= F.lit(model.usual * worse) * n + F.lit(float(slack))
 
 
 def _predict(model, text: str, keep: list[str]):
@@ -233,30 +245,31 @@ def _predict(model, text: str, keep: list[str]):
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             raw, off = utf8_buffer(b.column(text))
             letters = np.array(b.column("_letters").to_pylist(), bool)
-            preds, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            preds, scores, rate = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
             if m is not None and b.num_rows:
                 bits = m.bits(raw, off)
                 best = bits.argmin(1)
                 gap = (bits - bits.min(1, keepdims=True)) / UNIT
                 scores = np.where(letters, 1 / np.exp2(-np.minimum(gap, 1000)).sum(1), 0.0)
+                rate = bits.min(1) / UNIT / np.maximum(np.diff(off), 1)
                 preds = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(preds, pa.string()),
-                                              pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
+                                              pa.array(rate, pa.float64())], names=[*keep, "lang_pred", "score", "bits_per_byte"])
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text",
             keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with ``lang_pred`` and ``score``,
-    the share of the language's likelihood among all. Columns of these names
-    are replaced."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    """The columns ``keep`` (all by default) with ``lang_pred``, ``score``, the share of
+    the language's likelihood among all, and ``bits_per_byte``, the text's code length in
+    that language per byte. Columns of these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "bits_per_byte")]
     parts = None if model is None else tuple(getattr(model, f.name) for f in fields(model))
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("_text"),
                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     out = rows.mapInArrow(_predict(shared, "_text", names), schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "bits_per_byte")

@@ -169,17 +169,20 @@ def drop_lines(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text: str
     """``docs`` with ``text`` without the lines of ``keys``, and ``n_lines``
     (before) and ``n_dropped``."""
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    d = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    own = [f"c{i}" for i in range(len(rest))]  # no own column clashes with the names used here
+    d = docs.select(*[col(c).alias(n) for c, n in zip(rest, own)], col(key).alias("_key"),
+                    F.coalesce(col(text), F.lit("")).alias("_text"))
     d = d.withColumn("_h", F.xxhash64("_text"))
-    lines = d.select(F.col(key).alias("id"), F.col("_h").alias("h"), F.col("_text").alias("text"))
+    lines = d.select(F.col("_key").alias("id"), F.col("_h").alias("h"), F.col("_text").alias("text"))
     id_type = docs.schema[key].dataType.simpleString()
     lines = lines.mapInArrow(_numbered_keys(least_chars), f"id {id_type}, h long, i int, k binary")
     gone = lines.join(keys, "k", "left_semi")
     # sorted line numbers of a document's dropped lines; equal rows have equal ones
     dropped = gone.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h2")).agg(
         F.array_sort(F.collect_set("i")).alias("_drop"))
-    joined = d.join(dropped, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
-    return joined.select(*rest, *kept_text(F.col("_text"), F.col("_drop"), text))
+    joined = d.join(dropped, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
+    return joined.select(*[F.col(n).alias(c) for c, n in zip(rest, own)], *kept_text(F.col("_text"), F.col("_drop"), text))
 
 
 def kept_text(text: Column, drop: Column, name: str) -> list[Column]:

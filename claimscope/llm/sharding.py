@@ -75,9 +75,10 @@ def directory(cells: DataFrame, width: int, limit: int) -> DataFrame:
 
 
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
-           limit: int = SHARD_BYTES) -> DataFrame:
+           limit: int = SHARD_BYTES, carry: tuple = ()) -> DataFrame:
     """``docs`` columns ``key`` → ``key, n_bytes, shard, depth, shard_bytes,
-    oversize``: the shard is the bit string of the row's bucket.
+    oversize``: the shard is the bit string of the row's bucket. The columns in
+    ``carry`` come along.
 
     Fixed rounds of the driver: each looks only at the sums of prefixes, and a
     further one runs only while some prefix is above the limit.
@@ -87,7 +88,7 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(key).alias("_key"),
                        F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_n"),
-                       _bits(digest).alias("_h"))
+                       _bits(digest).alias("_h"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     rows = staged(rows.withColumn("_r", _bits(F.md5(
         F.monotonically_increasing_id().cast("string").cast("binary")))), "shard-rows")
     total = rows.agg(F.sum("_n")).first()[0] or 0
@@ -108,7 +109,7 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
         out.append(done.select(
             F.col("_key").alias(key), F.col("_n").alias("n_bytes"), F.col("_shard").alias("shard"),
             F.length("_shard").alias("depth"), F.col("_sum").alias("shard_bytes"),
-            (F.col("_sum") > limit).alias("oversize")))
+            (F.col("_sum") > limit).alias("oversize"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]))
         if last or not found.where("_over").limit(1).count():
             break
         left = named.where("_over").select(*rows.columns, F.col("_shard").alias("_base"))
@@ -120,7 +121,12 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return result
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``docs`` with one folder per shard. ``key`` must identify a row."""
-    (docs.join(assigned.select(key, "shard"), key)
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
+    """Write ``docs`` with one folder ``shard=...`` per shard, every row once, whatever
+    their keys. Rows are numbered first, and meet their shard by that number; an own
+    column called ``shard`` is left out."""
+    kept = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "shard"])
+    rows = staged(kept.withColumn("_number", F.monotonically_increasing_id()), "shard-docs")
+    assigned = shards(rows, key, text, limit, carry=("_number",)).select("_number", "shard")
+    (rows.join(assigned, "_number").drop("_number")
          .repartition("shard").write.partitionBy("shard").parquet(path))

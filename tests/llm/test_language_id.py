@@ -94,7 +94,7 @@ def test_predicts_held_out_texts(spark):
     held = F.col("doc_id") % 4 == 2
     model = L.train(df, ~held)
     out = L.predict(df, model)
-    assert out.columns == ["doc_id", "text", "lang", "source", "lang_pred", "score"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "lang_pred", "score", "bits_per_byte"]
     got = out.collect()
     assert len(got) == len(rows)
     for r in got:

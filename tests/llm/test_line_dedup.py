@@ -65,3 +65,12 @@ def test_runs_are_levelled_and_count_once(spark):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_own_columns_with_inner_names_pass(spark):
+    names = ["_text", "_h", "_drop", "_key", "id", "k", "c0"]
+    rows = [(i, f"same line\nown {i}", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = L.dedup_lines(df).collect()
+    assert got[0].__fields__ == ["doc_id", *names, "text", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got)) == sorted((i, *[f"{n}{i}" for n in names], f"own {i}", 2, 1) for i in range(12))

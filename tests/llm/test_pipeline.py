@@ -95,3 +95,18 @@ def test_without_labels_no_text_with_a_letter_goes(spark):
     rows = [(1, "some words", None), (2, "é", None), (3, "12 !", None), (4, None, None), (5, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in P.language(spark, docs, SF).collect()} == {1, 2}
+
+
+def test_language_rejects_what_no_language_codes(spark):
+    import random
+    r = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(300)), "".join(chr(r.randint(33, 126)) for _ in range(500)),
+            "qx", "0123456789" * 50]
+    fields = [f.name for f in docs.schema.fields]
+    rows = [tuple({"doc_id": 10 ** 7 + i, "text": t}.get(n) for n in fields) for i, t in enumerate(junk)]
+    kept = P.language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    ids = {x.doc_id for x in kept.select("doc_id").collect()}
+    assert {i - 10 ** 7 for i in ids if i >= 10 ** 7} == {2}           # too short to tell
+    clean = {x.doc_id for x in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert clean <= ids

@@ -53,8 +53,13 @@ def test_empty_and_wrong_limit(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, "z" * 50) for i in range(40)], DOC)
-    assigned = sharding.shards(df, limit=500)
-    sharding.write_shards(df, assigned, str(tmp_path / "out"))
-    back = spark.read.schema("doc_id long, text string, shard string").parquet(str(tmp_path / "out"))
-    assert back.count() == 40 and back.select("shard").distinct().count() == assigned.select("shard").distinct().count()
+    rows = [(i, "z" * 50, i) for i in range(40)] + [(7, "y" * 40, 100 + i) for i in range(30)] + [(None, None, 200), (None, "x" * 900, 201)]
+    df = spark.createDataFrame(rows, DOC + ", _key int").repartition(3)
+    sharding.write_shards(df, str(tmp_path / "out"), limit=500)
+    back = spark.read.schema(DOC + ", _key int, shard string").parquet(str(tmp_path / "out"))
+    got = back.collect()
+    assert sorted((tuple(r[:3]) for r in got), key=str) == sorted(rows, key=str)
+    size = {}
+    for r in got:
+        size.setdefault(r.shard, []).append(len(r.text or ""))
+    assert all(sum(n) <= 500 or len([x for x in n if x]) == 1 for n in size.values())
