@@ -34,7 +34,7 @@ def parse_codes(text: str | None) -> list[str]:
     return list(filter(None, map(str.strip, (text or "").upper().split(","))))
 
 
-def _amount_literal(text, rounding: str) -> Column:
+def amount_bound(text, rounding: str) -> Column:
     """An amount bound as a literal that is exact and pushable.
 
     ``paid`` has two decimals, so a bound may be rounded to two decimals inwards
@@ -78,8 +78,8 @@ CLAUSES = {
     "billing_npi": _equals("billing_npi"),
     "servicing_npi": _equals("servicing_npi"),
     "state": _equals("billing_state", lambda v: v.strip().upper()),
-    "paid_min": lambda v, _: F.col("paid") >= _amount_literal(v, ROUND_CEILING),
-    "paid_max": lambda v, _: F.col("paid") <= _amount_literal(v, ROUND_FLOOR),
+    "paid_min": lambda v, _: F.col("paid") >= amount_bound(v, ROUND_CEILING),
+    "paid_max": lambda v, _: F.col("paid") <= amount_bound(v, ROUND_FLOOR),
 }
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions.expressions import money
@@ -28,8 +28,9 @@ ROLES = ("billing", "servicing")
 MEASURES = ["paid", "patients", "claim_lines", "n"]
 #: How far below the k-th entry the heads first end, and how much longer they get.
 DEPTH, LONGER = 8, 8
-#: What a list is of: all rows of a month, or those of a (normalised) code in it.
-LISTS = {"month": ["month"], "code": ["hcpcs_norm", "month"]}
+#: What a list is of: all rows of a month, or those of a (normalised) code or of a part
+#: of the amounts (see ``paid_range``) in it.
+LISTS = {"month": ["month"], "code": ["hcpcs_norm", "month"], "paid": ["month", "part"]}
 
 
 def provider_list(fact: DataFrame, role: str, of: Sequence[str] = ("month",)) -> DataFrame:
@@ -54,6 +55,15 @@ def list_levels(lists: DataFrame, of: Sequence[str] = ("month",)) -> DataFrame:
                  .drop("_level"))
 
 
+def near_heads(levels: DataFrame, of: Sequence[str], depth: int) -> DataFrame:
+    """Of each list the ranges that its first ``depth`` entries lie in and the next one:
+    what :func:`heads` looks at, so that no more reaches the driver."""
+    down = Window.partitionBy(*of).orderBy(F.col("least").desc())
+    before = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (levels.withColumn("_in", before < depth).withColumn("_last_in", F.lag("_in", 1, True).over(down))
+                  .where("_in or _last_in").drop("_in", "_last_in"))
+
+
 def in_lists(table: DataFrame, flt: Filter) -> DataFrame:
     """The rows of a list or bitmap table under the filter's months and codes."""
     return flt.scoped("month_from", "month_to", "hcpcs").apply(table)
@@ -85,16 +95,17 @@ def top_listed(lists: DataFrame, levels: DataFrame, flt: Filter, k: int = 12, of
     lists under the filter, ties to smaller npis. Eager: the rounds end with ``k`` rows."""
     spark, of = lists.sparkSession, list(of)
     entries = in_lists(lists, flt)
-    counted = [(tuple(r[c] for c in of), r.n, r.least) for r in in_lists(levels, flt).select(*of, "n", "least").collect()]
-    depth = DEPTH * k
+    levels, depth = in_lists(levels, flt).select(*of, "n", "least"), DEPTH * k
+    types = [f"_{c} {entries.schema[c].dataType.simpleString()}" for c in of]
     ranked = [F.col("paid").desc(), F.col("npi").asc()]
     schema = "rank long, key string, paid decimal(38,2), patients long, claim_lines long, n long"
     while True:
+        counted = [(tuple(r[c] for c in of), r.n, r.least) for r in near_heads(levels, of, depth).collect()]
         ends, most, whole = heads(counted, depth)
         if not ends:
             return spark.createDataFrame([], schema)
-        bounds = spark.createDataFrame([(*key, least) for key, least in ends], ", ".join(
-            [f"_{c} string" for c in of] + ["_least decimal(28,2)"]))  # a row per list
+        # a row per list
+        bounds = spark.createDataFrame([(*key, least) for key, least in ends], ", ".join([*types, "_least decimal(28,2)"]))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of]
         met = entries.where(F.col("paid") >= min(least for _, least in ends)).join(
             F.broadcast(bounds), [*same, F.col("paid") >= F.col("_least")]).select("npi").distinct()
@@ -147,13 +158,20 @@ def provider_sections(stored, lookup: DataFrame, flt: Filter, k: int = 12) -> Da
     for at, role in enumerate(ROLES):
         lists = stored(f"provider_{kind}_{role}")
         levels = list_levels(in_lists(lists, flt), of) if kind == "code" else stored(f"provider_{kind}_{role}_levels")
-        top = with_names(top_listed(lists, levels, flt, k, of), lookup, key="key", bounded=True, materialise=False)
-        top = top.select(F.lit(f"top_{role}").alias("section"), "rank", "key", "name", money("paid").alias("paid"),
-                         "patients", "claim_lines", "n")
-        n = distinct_listed(stored(f"provider_{kind}_{role}_bitmaps"), flt)
-        n = n.select(F.lit("distinct").alias("section"), F.lit(at + 2).cast("long").alias("rank"), F.lit(role).alias("key"),
-                     F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("paid"),
-                     F.lit(None).cast("long").alias("patients"), F.lit(None).cast("long").alias("claim_lines"), "n")
-        both = top.unionByName(n)
+        both = provider_section(role, at, lists, levels, stored(f"provider_{kind}_{role}_bitmaps"), lookup, flt, k, of)
         out = both if out is None else out.unionByName(both)
     return out
+
+
+def provider_section(role: str, at: int, lists: DataFrame, levels: DataFrame, bitmaps: DataFrame, lookup: DataFrame,
+                     flt: Filter, k: int, of: Sequence[str]) -> DataFrame:
+    """The ranking of a role (the ``at``-th of ``ROLES``) and its count of distinct
+    providers over the lists under the filter."""
+    top = with_names(top_listed(lists, levels, flt, k, of), lookup, key="key", bounded=True, materialise=False)
+    top = top.select(F.lit(f"top_{role}").alias("section"), "rank", "key", "name", money("paid").alias("paid"),
+                     "patients", "claim_lines", "n")
+    n = distinct_listed(bitmaps, flt)
+    n = n.select(F.lit("distinct").alias("section"), F.lit(at + 2).cast("long").alias("rank"), F.lit(role).alias("key"),
+                 F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("paid"),
+                 F.lit(None).cast("long").alias("patients"), F.lit(None).cast("long").alias("claim_lines"), "n")
+    return top.unionByName(n)

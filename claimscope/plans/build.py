@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.functions.filters import Filter
 from claimscope.operators import provider_lists as PL
-from claimscope.operators import cubes, dashboard, leaders, order, providers, rows, search, stats
+from claimscope.operators import cubes, dashboard, leaders, order, paid_range, providers, rows, search, stats
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
 from claimscope.sources.tables import (BAKED, complete_build, dedupe_lookup, fact_at, finish_table, latest_build, mark,
@@ -110,8 +110,9 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
         listed[f"provider_index_{role}"] = (lambda r: lambda: PL.provider_index_table(fact, r))(role)
         for kind, of in PL.LISTS.items():
             name = f"provider_{kind}_{role}"
-            listed[name] = (lambda r, o: lambda: PL.provider_list(fact, r, o))(role, of)
-            if kind == "month":
+            of_rows = fact.withColumn("part", paid_range.part()) if kind == "paid" else fact
+            listed[name] = (lambda rows, r, o: lambda: PL.provider_list(rows, r, o))(of_rows, role, of)
+            if kind != "code":
                 listed[f"{name}_levels"] = (lambda n, o: lambda: PL.list_levels(read(n), o))(name, of)
             listed[f"{name}_bitmaps"] = (lambda n, r, o: lambda: PL.provider_bitmaps(
                 read(n), read(f"provider_index_{r}"), o))(name, role, of)
@@ -122,6 +123,7 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
         "states": lambda: stats.distinct_values(fact, "billing_state"),
         "cube_dashboard": lambda: cubes.cube_dashboard(fact),
         **{name: rolled(name) for name in CUBES if name != "cube_dashboard"},
+        "cube_paid": lambda: paid_range.cube_paid(fact),
         "top_providers_state_billing": lambda: leaders.top_providers_by_state(fact, lookup, "billing"),
         "top_providers_state_servicing": lambda: leaders.top_providers_by_state(fact, lookup, "servicing"),
         "top_providers_code_billing": lambda: leaders.top_providers_by_code(fact, lookup, "billing"),

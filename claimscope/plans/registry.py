@@ -17,6 +17,7 @@ from claimscope.functions.filters import Filter
 from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
 from claimscope.operators import leaders as L
+from claimscope.operators import paid_range
 from claimscope.operators import provider_lists as PL
 from claimscope.operators import providers as P
 from claimscope.operators import rows as R
@@ -366,3 +367,12 @@ register("built_rows_page_deep",
 for _n, _f in (("", Filter(**CUBE_ARGS)), ("_months", MONTHS), ("_codes", CODES), ("_all", NO)):
     register(f"built_dash_from_cubes{_n}",
              _built((lambda f: lambda b: V.dashboard_from_cubes(b, f))(_f), *PL.tables(_f), "cube_dashboard"), O.dashboard_long(_f))
+
+
+def _of_amounts(flt):
+    return lambda b: paid_range.dashboard_long(b.stored, b.fact(), b.lookup(), b.descs(), flt, sectors=b.sectors())
+
+
+for _n, _f in (("paid_range", PAID), ("paid_extreme", EXTREME),
+               ("paid_months", Filter(month_from="1997-01", month_to="1998-12", paid_min="-1500", paid_max="61000.505"))):
+    register(f"built_dash_{_n}", _built(_of_amounts(_f), *paid_range.tables()), O.dashboard_long(_f))

@@ -14,6 +14,7 @@ from claimscope.functions.filters import DASHBOARD_SCOPE, LEADERS_SCOPE, NO_FILT
 from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
 from claimscope.operators import leaders as L
+from claimscope.operators import paid_range
 from claimscope.operators import provider_lists as PL
 from claimscope.operators import providers as P
 from claimscope.operators import rows as R
@@ -22,13 +23,16 @@ from claimscope.plans.inputs import Inputs
 
 
 def dashboard(i: Inputs, flt: Filter = NO_FILTER) -> DataFrame:
-    """The landing page and the preset without extreme rows are stored."""
+    """The landing page and the preset without extreme rows are stored; a range of
+    amounts (and months) is answered from cells and lists where these are."""
     flt = flt.scoped(*DASHBOARD_SCOPE)
     name = {NO_FILTER: "dash_default", Filter.exclude_extreme(): "dash_outliers"}.get(flt)
     baked = i.stored(name) if name else None
-    if baked is None:
-        return dash.dashboard_long(i.fact(), i.lookup(), i.descs(), flt, sectors=i.sectors())
-    return baked
+    if baked is not None:
+        return baked
+    if paid_range.answers(flt) and all(i.stored(t) is not None for t in paid_range.tables()):
+        return paid_range.dashboard_long(i.stored, i.fact(), i.lookup(), i.descs(), flt, sectors=i.sectors())
+    return dash.dashboard_long(i.fact(), i.lookup(), i.descs(), flt, sectors=i.sectors())
 
 
 def sector_leaders(i: Inputs, flt: Filter = NO_FILTER) -> DataFrame:
