@@ -24,6 +24,7 @@ from claimscope.operators import provider_lists as PL
 from claimscope.operators import cubes, dashboard, leaders, order, paid_range, providers, rows, search, stats
 from claimscope.sources import fixture
 from claimscope.sources.joins import add_billing_state
+from claimscope.sources.quarantine import accepted_claims, land_claims
 from claimscope.sources.tables import (BAKED, complete_build, dedupe_lookup, fact_at, finish_table, latest_build, mark,
                                        new_build, read_claims_csv, read_json_map, read_registry_csv, table_exists,
                                        write_fact, write_table)
@@ -62,10 +63,17 @@ def build_fact(spark: SparkSession, raw: DataFrame, lookup: DataFrame, root: str
 
 def build_from_files(spark: SparkSession, claims: str, registry: str, root: str,
                      descriptions: str | None = None, sectors: str | None = None,
-                     rounding: str = "fail", with_bake: bool = False) -> dict:
+                     rounding: str = "fail", with_bake: bool = False, quarantine: str | None = None) -> dict:
     """A build from the raw files: claims CSV, registry CSV, and optional
-    JSON objects of code descriptions and code sectors."""
-    return build_fact(spark, read_claims_csv(spark, claims, rounding), read_registry_csv(spark, registry), root,
+    JSON objects of code descriptions and code sectors. A bad claims row fails the
+    build; with ``quarantine``, a folder, it is set apart there, and the build has the
+    good rows."""
+    if quarantine:
+        land_claims(spark, claims, quarantine, rounding)
+        raw = accepted_claims(spark, quarantine)
+    else:
+        raw = read_claims_csv(spark, claims, rounding)
+    return build_fact(spark, raw, read_registry_csv(spark, registry), root,
                       read_json_map(spark, descriptions, "hcpcs", "name") if descriptions else None,
                       read_json_map(spark, sectors, "hcpcs", "sector") if sectors else None, with_bake)
 

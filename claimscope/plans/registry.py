@@ -17,7 +17,7 @@ from claimscope.functions.filters import Filter
 from claimscope.operators import cubes as C
 from claimscope.operators import dashboard as dash
 from claimscope.operators import leaders as L
-from claimscope.operators import paid_range
+from claimscope.operators import dictionary, paid_range
 from claimscope.operators import provider_lists as PL
 from claimscope.operators import providers as P
 from claimscope.operators import rows as R
@@ -26,7 +26,9 @@ from claimscope.plans import oracle_sql as O
 from claimscope.plans import serve as V
 from claimscope.plans.build import bake, build_from_files
 from claimscope.plans.inputs import Inputs
+from claimscope.schema import SOURCE_COLUMNS
 from claimscope.session import checkpoint_dir
+from claimscope.sources import quarantine as QR
 from claimscope.sources import tables as T
 
 # --- Fixed test parameters ---
@@ -342,6 +344,40 @@ register("load_code_desc", lambda i: T.read_json_map(i.spark, _json(i, i.descs()
          O.desc_view())
 register("load_sector_map",
          lambda i: T.read_json_map(i.spark, _json(i, i.sectors(), "sector"), "hcpcs", "sector"), O.sector_map())
+
+
+def _quarantined(i: Inputs) -> DataFrame:
+    """The claims CSV with short rows, bad numbers and a third decimal, landed: all its
+    rows, good and rejected."""
+    text = {dst: F.col(dst).cast("string") for _, dst in SOURCE_COLUMNS}
+    p = F.col("patients")
+    text["patients"] = F.when(p == 17, F.lit("x17")).otherwise(text["patients"])
+    text["claim_lines"] = F.when(p == 23, F.lit("1.5")).otherwise(text["claim_lines"])
+    text["paid"] = F.when(p == 19, F.concat(text["paid"], F.lit("5"))).otherwise(text["paid"])
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in text.values()])
+    line = F.when(p == 13, F.substring_index(line, ",", 3)).otherwise(line)
+    path, out = _written(i, "claims-dirty"), _written(i, "claims-landed")
+    (i.raw().select(line.alias(",".join(src for src, _ in SOURCE_COLUMNS))).write.option("header", True)
+        .option("sep", "\u0001").option("quote", "").csv(path))
+    QR.land_claims(i.spark, path, out)
+    return _money_out(QR.accepted_claims(i.spark, out)).unionByName(QR.rejected_claims(i.spark, out).drop("file"), allowMissingColumns=True)
+
+
+register("ingest_quarantine", _quarantined, O.quarantined())
+
+
+def _grown_index(i: Inputs) -> DataFrame:
+    """The codes' index after the months arrive in three batches."""
+    path, known = _written(i, "code-index"), None
+    month, ends = F.coalesce("month", F.lit("9")), ("", "1994-01", "1997-01", "~")
+    for n, (first, end) in enumerate(zip(ends, ends[1:])):
+        rows = i.fact().where((month >= first) & (month < end))
+        T.write_table(dictionary.new_keys(known, rows, "hcpcs"), f"{path}/batch={n}")
+        known = i.spark.read.option("basePath", path).parquet(*[f"{path}/batch={m}" for m in range(n + 1)]).drop("batch")
+    return dictionary.sorted_view(known, "hcpcs")
+
+
+register("codes_grown_index", _grown_index, O.grown_index())
 register("built_fact", _built(_fact_view), O.fact_view())
 register("built_dashboard_long", _built(_long(NO)), O.dashboard_long(NO))
 register("built_peers", _built(lambda b: P.peers(b.fact(), b.lookup(), SUBJECT)), O.peers(NO, SUBJECT))

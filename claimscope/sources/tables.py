@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,12 +226,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-def finish_table(df: DataFrame, path: str) -> bool:
-    """Write a table unless it is finished; what a writer that died has left is
-    overwritten. Returns whether it was written."""
+def finish_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> bool:
+    """Write a table (partitioned ``by`` columns) unless it is finished; what a writer
+    that died has left is overwritten. Returns whether it was written."""
     if table_exists(df.sparkSession, path):
         return False
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
     return True
 
 

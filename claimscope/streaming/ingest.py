@@ -16,6 +16,8 @@ folder, so new files are picked up without rebuilding the table:
   (``cubes/<name>/batch=<id>``), computed from the batch's rows alone. Readers add
   the parts up by key; :func:`compact_cubes` writes them as one. The fact is never
   scanned again;
+* the dense indexes of codes, months and states only grow: a batch adds its new keys
+  (``indexes/<key>/batch=<id>``) after those of all batches before it;
 * a batch counts once its marker ``done/<id>`` is there, which is written after its
   last table and taken away before a retry rewrites them;
 * progress lives in the streaming checkpoint, which the caller names, so a
@@ -26,7 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.operators import cubes
+from claimscope.functions.expressions import valid_state
+from claimscope.operators import cubes, dictionary
 from claimscope.schema import SPENDING
 from claimscope.sources.joins import add_billing_state
 from claimscope.sources.tables import (FACT_SCHEMA_DDL, clustered, dedupe_lookup, mark, names_in, read_csv_by_name,
@@ -34,6 +37,8 @@ from claimscope.sources.tables import (FACT_SCHEMA_DDL, clustered, dedupe_lookup
 
 #: ``cubes/upto=<id>``: one set of all cubes that stands for the batches up to that id.
 UPTO = "upto="
+#: The keys that have an index.
+INDEXED = ("hcpcs", "month", "billing_state")
 
 
 def claims_stream(spark: SparkSession, landing: str, max_files: int = 100) -> DataFrame:
@@ -47,7 +52,8 @@ def claims_stream(spark: SparkSession, landing: str, max_files: int = 100) -> Da
 
 
 def write_batch(batch: DataFrame, batch_id: int, lookup: DataFrame, out: str) -> None:
-    """A batch of fact rows (without the state) and its part of every cube."""
+    """A batch of fact rows (without the state), its part of every cube and its new keys.
+    Batches are written one after the other."""
     spark = batch.sparkSession
     unmark(spark, f"{out}/done/{batch_id}")
     path = f"{out}/fact/batch={batch_id}"
@@ -58,6 +64,10 @@ def write_batch(batch: DataFrame, batch_id: int, lookup: DataFrame, out: str) ->
     for name in cubes.ROLLED:
         if name != "cube_dashboard":
             _write(cubes.rolled(name, spark.read.parquet(part)), f"{out}/cubes/{name}/batch={batch_id}")
+    for key in INDEXED:
+        known, cells = read_stream_index(spark, out, key, before=batch_id), spark.read.parquet(part)
+        cells = cells.where(valid_state(key)) if key == "billing_state" else cells
+        _write(dictionary.new_keys(known, cells, key), f"{out}/indexes/{key}/batch={batch_id}")
     mark(spark, f"{out}/done/{batch_id}")
 
 
@@ -99,6 +109,14 @@ def read_stream_fact(spark: SparkSession, out: str) -> DataFrame:
                  .select(*columns))
 
 
+def read_stream_index(spark: SparkSession, out: str, key: str, before: int | None = None) -> DataFrame:
+    """``key, idx`` over all finished batches (or those before one). The index that a
+    key once has never changes."""
+    paths = [f"{out}/indexes/{key}/batch={b}" for b in finished_batches(spark, out) if before is None or b < before]
+    schema = f"{key} string, idx long"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def _compacted(spark: SparkSession, out: str) -> int | None:
     """The last batch that the newest finished compaction stands for."""
     found = [int(n[len(UPTO):]) for n in names_in(spark, f"{out}/done") if n.startswith(UPTO)]

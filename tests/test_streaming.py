@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from claimscope.schema import SOURCE_COLUMNS
 from claimscope.sources import fixture
 from claimscope.sources.tables import dedupe_lookup, write_table
-from claimscope.operators import cubes
-from claimscope.streaming import (compact_cubes, finished_batches, read_stream_cube, read_stream_fact, start_ingest,
-                                  write_batch)
+from claimscope.operators import cubes, dictionary, stats
+from claimscope.streaming import (compact_cubes, finished_batches, read_stream_cube, read_stream_fact, read_stream_index,
+                                  start_ingest, write_batch)
 from conftest import SF_SMALL
 
 
@@ -29,6 +29,7 @@ def test_two_drops_then_restart(spark):
     first = read_stream_fact(spark, out).count()
     assert first == early.count() > 0
     same_cubes(spark, out)
+    indexes = {key: dict(read_stream_index(spark, out, key).collect()) for key in ("hcpcs", "month", "billing_state")}
 
     late.coalesce(2).write.option("header", True).csv(f"{landing}/drop2")
     q = start_ingest(spark, f"{landing}/*", f"{base}/lookup", out, ckpt)  # resumes
@@ -38,6 +39,14 @@ def test_two_drops_then_restart(spark):
     assert got.count() == want.count()
     assert got.exceptAll(want.select(got.columns)).count() == 0
     same_cubes(spark, out)
+    for key, first in indexes.items():
+        # no index changed, new keys follow, the sorted view is that of the whole table
+        index = read_stream_index(spark, out, key)
+        grown = dict(index.collect())
+        assert first.items() <= grown.items() and sorted(grown.values()) == list(range(len(grown)))
+        assert first and sorted(set(grown) - set(first)) == sorted(set(grown) - set(first), key=grown.get)
+        view = dictionary.sorted_view(index, key).select(key, F.col("position").alias("idx"))
+        assert sorted(map(tuple, view.collect())) == sorted(map(tuple, stats.distinct_values(got, key).select(key, "idx").collect()))
     assert compact_cubes(spark, out) == finished_batches(spark, out)[-1]
     same_cubes(spark, out)
 
