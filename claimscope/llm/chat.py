@@ -14,15 +14,19 @@ token spans never straddle a turn. A token bears loss if its span meets the text
 span of an assistant turn; both span lists are sorted and are intersected by
 binary search.
 
-Turns are dealt by conversation and sorted, then streamed: a task holds one
-piece of a conversation at a time. A conversation longer than ``piece_chars`` is
-cut between turns into numbered pieces, which is exact because tokens do not
-cross the marks; pieces of a conversation leave a task one after the other.
+Turns are dealt in order, by ranges of (conversation, turn, role, start of the text), so
+a hot conversation is spread over many tasks, and streamed: a task holds one piece of a
+conversation at a time. A conversation is cut between turns where a range ends and
+where a piece would be longer than ``piece_chars``, which is exact because tokens do
+not cross the marks. Pieces are numbered upwards in the order of the conversation, with
+gaps. A piece known to be its whole conversation says so; the others are put together
+again by (conversation, piece), for which only their bytes to be hashed are sent.
 
 Defined cases: null text or role is empty; a null conversation id is a
 conversation of its own; turns with the same number follow by role and text,
 null turns come first; repeated rows are turns of their own; an empty table
-gives an empty result.
+gives an empty result. Conversation ids are integers (or texts of such); rows equal in
+conversation, turn, role and the first 64 characters of the text go to one task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ from pyspark.sql import types as T
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 ASSISTANT = "assistant"
 PIECE_CHARS = 4 << 20
+#: Characters of a text that ranges of turns are told apart by; bytes to be hashed that
+#: one row sends on.
+KEY_CHARS, SENT = 64, 16 << 10
 
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
@@ -98,7 +105,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-PIECE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("piece", T.IntegerType()),
+PIECE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("piece", T.LongType()),
+                      T.StructField("whole", T.BooleanType()),
                       T.StructField("n_turns", T.LongType()), T.StructField("formatted", T.StringType()),
                       T.StructField("token_ids", T.ArrayType(T.IntegerType())),
                       T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -107,20 +115,21 @@ PIECE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("pie
 
 
 def _pieces(batches, piece_chars: int) -> Iterator[tuple]:
-    """``(conv_id, piece, turns)`` from sorted rows; holds one piece at a time."""
-    conv, piece, turns, chars = None, 0, [], 0
+    """``(conv_id, piece, whole, turns)`` from the sorted rows of a range; holds one piece
+    at a time. ``whole``: the conversation begins and ends inside the range, in one piece."""
+    conv, piece, inner, turns, chars = None, 0, False, [], 0
     for batch in batches:
         for c, r, t in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
             r, t = r or "", t or ""
             same = bool(turns) and c == conv
             if turns and (not same or chars + len(t) > piece_chars):
-                yield conv, piece, turns
-                turns, chars, piece = [], 0, piece + 1 if same else 0
+                yield conv, piece, inner and not same and piece == 0, turns
+                turns, chars, piece, inner = [], 0, piece + 1 if same else 0, inner or not same
             conv = c
             turns.append((r, t))
             chars += len(t)
     if turns:
-        yield conv, piece, turns
+        yield conv, piece, False, turns
 
 
 def _formatter(vocabulary, piece_chars: int):
@@ -128,8 +137,10 @@ def _formatter(vocabulary, piece_chars: int):
         import os
 
         import pyarrow as pa
+        from pyspark import TaskContext
         from tokenizers import Tokenizer
 
+        first = TaskContext.get().partitionId() << 32  # ranges are numbered in their order
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(vocabulary.value)
         tokenizer.add_special_tokens([START, SEP, END])
@@ -137,17 +148,17 @@ def _formatter(vocabulary, piece_chars: int):
 
         def batch():
             cols = list(zip(*out))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3,
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3,
                      pa.list_(pa.bool_())]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
                                               names=PIECE.fieldNames())
 
-        for conv, piece, turns in _pieces(batches, piece_chars):
+        for conv, piece, whole, turns in _pieces(batches, piece_chars):
             text, spans = render(turns)
             enc = tokenizer.encode(text, add_special_tokens=False)
             offsets = np.array(enc.offsets, np.int32).reshape(-1, 2)
             starts, ends = offsets[:, 0], offsets[:, 1]
-            out.append((conv, piece, len(turns), text, np.array(enc.ids, np.int32), starts, ends,
+            out.append((conv, first + piece, whole, len(turns), text, np.array(enc.ids, np.int32), starts, ends,
                         loss_mask(starts, ends, spans)))
             held += len(text)
             if held >= 1 << 20:
@@ -161,7 +172,7 @@ def _formatter(vocabulary, piece_chars: int):
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None,
                          piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``conv_id, turn, role, text`` → a row per conversation piece:
-    ``conv_id, piece, n_turns, formatted, token_ids, starts, ends, mask``.
+    ``conv_id, piece, whole, n_turns, formatted, token_ids, starts, ends, mask``.
 
     ``starts`` and ``ends`` are code point offsets of the tokens in
     ``formatted``. ``vocabulary`` is the path of a ``tokenizers`` file on the
@@ -170,7 +181,9 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # the start of the text, since samples of the ranges' keys go to the driver
+    dealt = (rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, KEY_CHARS))
+                 .sortWithinPartitions("conv_id", "turn", "role", "text"))
     return dealt.mapInArrow(_formatter(content, piece_chars), PIECE)
 
 
@@ -181,50 +194,80 @@ DIGEST = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_
                        T.StructField("n_tokens", T.LongType()), T.StructField("n_loss_tokens", T.LongType())])
 
 
-def _digests(batches):
-    import hashlib
+#: A whole conversation's digest, or a bit of one: its counts are in the first bit of a
+#: piece, ``turns`` and ``said`` are the next bytes to be hashed.
+BIT = T.StructType([*DIGEST.fields, T.StructField("piece", T.LongType()), T.StructField("bit", T.LongType()),
+                    T.StructField("turns", T.BinaryType()), T.StructField("said", T.BinaryType())])
+
 
+def _arrow(rows: list[tuple], schema: T.StructType):
     import pyarrow as pa
 
-    state = None
+    kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[f.dataType]) for c, f in zip(zip(*rows), schema.fields)],
+                                      names=schema.fieldNames())
 
-    def row(s):
-        return (s["conv"], s["turns"], s["all"].hexdigest(), s["loss"], s["sha"].hexdigest(), s["chars"],
-                s["tokens"], s["on"])
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.string() if n.endswith("sha256") else pa.int64())
-             for c, n in zip(zip(*rows), DIGEST.fieldNames())], names=DIGEST.fieldNames())
+def _read_back(batches):
+    """The digest of each whole conversation; the bytes to be hashed of other pieces."""
+    import hashlib
 
+    rows, held = [], 0
     for b in batches:
-        rows = []
         for i in range(b.num_rows):
-            conv, piece = b.column("conv_id")[i].as_py(), b.column("piece")[i].as_py()
-            if piece == 0:
-                if state:
-                    rows.append(row(state))
-                state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "loss": 0,
-                         "sha": hashlib.sha256(), "chars": 0, "tokens": 0, "on": 0}
-            text = b.column("formatted")[i].as_py()
-            for role, said in parse(text):
-                state["turns"] += 1
-                state["all"].update(f"{role}\n{said}\n".encode())
-            starts, ends, mask = (b.column(x)[i].values.to_numpy(zero_copy_only=False)
-                                  for x in ("starts", "ends", "mask"))
-            for said in masked_texts(text, starts, ends, mask):
-                state["loss"] += len(said)
-                state["sha"].update(said.encode())
-            state["chars"] += len(text)
-            state["tokens"] += len(mask)
-            state["on"] += int(mask.sum())
+            conv, piece, whole, text = (b.column(x)[i].as_py() for x in ("conv_id", "piece", "whole", "formatted"))
+            spoken = parse(text)
+            turns = "".join(f"{role}\n{said}\n" for role, said in spoken).encode()
+            starts, ends, mask = (b.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("starts", "ends", "mask"))
+            loss = "".join(masked_texts(text, starts, ends, mask))
+            said, counts = loss.encode(), (len(text), len(mask), int(mask.sum()))
+            if whole:
+                rows.append((conv, len(spoken), hashlib.sha256(turns).hexdigest(), len(loss), hashlib.sha256(said).hexdigest(),
+                             *counts, piece, 0, None, None))
+            else:
+                for n, at in enumerate(range(0, max(len(turns), len(said), 1), SENT)):
+                    first = (len(spoken), None, len(loss), None, *counts) if n == 0 else (0, None, 0, None, 0, 0, 0)
+                    rows.append((conv, *first, piece, n, turns[at:at + SENT], said[at:at + SENT]))
+                held += len(turns) + len(said)
+            if held >= 1 << 20 or len(rows) >= 1000:
+                yield _arrow(rows, BIT)
+                rows, held = [], 0
+    if rows:
+        yield _arrow(rows, BIT)
+
+
+def _joined(batches):
+    """Digests from the bits of conversations in order; whole ones as they are."""
+    import hashlib
+
+    conv = sums = every = loss = None
+
+    def row():
+        return (conv, sums[0], every.hexdigest(), sums[1], loss.hexdigest(), *sums[2:])
+
+    for b in batches:
+        rows = []
+        for r in zip(*(b.column(f.name).to_pylist() for f in BIT.fields)):
+            c, n_turns, turns_sha, chars, said_sha, *counts, _, _, turns, said = r
+            if turns is None:
+                rows.append((c, n_turns, turns_sha, chars, said_sha, *counts))
+                continue
+            if sums is None or c != conv:
+                if sums is not None:
+                    rows.append(row())
+                conv, sums, every, loss = c, [0] * 5, hashlib.sha256(), hashlib.sha256()
+            every.update(turns)
+            loss.update(said)
+            sums = [x + y for x, y in zip(sums, (n_turns, chars, *counts))]
         if rows:
-            yield batch(rows)
-    if state:
-        yield batch([row(state)])
+            yield _arrow(rows, DIGEST)
+    if sums is not None:
+        yield _arrow([row()], DIGEST)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the rows of :func:`format_conversations` say, read back: counts and
-    hashes per conversation. Pieces are hashed as they stream by."""
-    return formatted.mapInArrow(_digests, DIGEST)
+    """What the rows of :func:`format_conversations` say, in any order, read back: counts
+    and hashes per conversation. Pieces are parsed where they are; those of a conversation
+    in several pieces send their bytes to one task, which hashes them one after the other."""
+    bits = formatted.mapInArrow(_read_back, BIT).repartition("conv_id").sortWithinPartitions("conv_id", "piece", "bit")
+    return bits.mapInArrow(_joined, DIGEST)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from claimscope.llm import chat
 
@@ -64,6 +65,33 @@ def test_digests_against_plain_version(spark, piece_chars):
     assert got == expected(rows)
 
 
+def test_hot_conversation_is_spread_and_pieces_may_move(spark):
+    """A third of the rows, and all rows without an id or turn, in one conversation each."""
+    rows = [(7, t, "assistant" if t % 2 else "user", ODD[t % len(ODD)] + f" {t}") for t in range(400)]
+    rows += [(None, None, "assistant", f"{t:03d} " + ODD[t % len(ODD)]) for t in range(300)] + [(c, 0, "user", "hi") for c in range(100, 400)]
+    rows += [(7, 5, "user", "again")] * 3 + [(8, t, "assistant", "x" * 40_000) for t in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        formatted = chat.format_conversations(df).cache()
+        tasks = {c: {r.piece >> 32 for r in formatted.where(F.col("conv_id").eqNullSafe(F.lit(c))).collect()} for c in (7, None)}
+        assert all(len(t) > 1 for t in tasks.values())
+        assert formatted.where("whole").count() > 200 and formatted.where("whole and conv_id = 7").count() == 0
+        for moved in (formatted, formatted.repartition(3), formatted.orderBy(F.rand(1))):
+            got = chat.digests(moved).collect()
+            assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == expected(rows)
+            assert len(got) == len(expected(rows))
+        chars = {r.conv_id: r.formatted_chars for r in got}
+        whole = chat.render([(r, t) for _, _, r, t in sorted(r for r in rows if r[0] == 8)])[0]
+        assert chars[8] == len(whole)
+        n = chat.digests(chat.format_conversations(df.coalesce(1).where("conv_id = 7"))).first()
+        assert n.n_tokens == next(r for r in got if r.conv_id == 7).n_tokens
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_offsets_are_code_points_and_cover_the_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "漢字😀 é"), (1, 1, "assistant", "ok 😀")], SCHEMA)
     r = chat.format_conversations(df).first()
