@@ -9,9 +9,10 @@ coalesces neighbours and reads each coalesced range once.
 
 Of records with the same payload the one with the smallest id is a response and
 the others are revisits without payload. They are found by the smallest id per
-digest, aggregated before the shuffle; only digests with several pages are kept,
-and they are joined by broadcast when their written size is under Spark's
-threshold and by a shuffle beyond. Otherwise no payload is shuffled.
+digest, aggregated before the shuffle; only digests with several pages are kept. Up to
+``BROADCAST_COPIES`` of these are joined by broadcast. Beyond, their hashes set bits in a
+table of bounded size, which is broadcast instead: pages whose bit is not set are no
+copies and stay where they are, only the others go through a shuffle.
 
 Archives are written and read through ``pyarrow.fs``, in the shared folder.
 
@@ -40,6 +41,10 @@ READ_BYTES = 4 << 20
 GAP_BYTES = 16 << 10
 #: Fast compression; payloads are read once.
 LEVEL = 1
+#: Repeated digests that are broadcast themselves (some 80 bytes each); of more, 16 bits
+#: each are, up to so many.
+BROADCAST_COPIES = 200_000
+BITS_EACH, MOST_BITS = 16, 1 << 30
 
 INDEX = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()),
                       T.StructField("length", T.LongType()), T.StructField("page_id", T.LongType()),
@@ -47,8 +52,26 @@ INDEX = T.StructType([T.StructField("file", T.StringType()), T.StructField("offs
                       T.StructField("payload_bytes", T.LongType()), T.StructField("type", T.StringType())])
 
 
+def _bit(bits: int):
+    """The position of a digest (hex SHA-1) in a table of ``bits`` bits."""
+    return F.pmod(F.conv(F.substring("sha1", 1, 15), 16, 10).cast("long"), F.lit(bits))
+
+
+def likely_copies(pages: DataFrame, copies: DataFrame, bits: int) -> DataFrame:
+    """``pages`` with ``likely``: true for every page whose digest is among ``copies``,
+    and for few others. Joined by broadcast: the table has ``bits`` bits."""
+    at = _bit(bits)
+    table = (copies.groupBy(F.bitmap_bucket_number(at).alias("_bucket"))
+                   .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+    place = F.bitmap_bit_position(at)
+    found = pages.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(table), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
+    return found.withColumn("likely", F.coalesce(set_, F.lit(False))).drop("_bucket", "_bits")
+
+
 def typed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-          least_bytes: int = 0) -> DataFrame:
+          least_bytes: int = 0, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
     """A row per page: ``id, url, html, sha1`` (hex) and ``refers``, the id that a
     revisit refers to."""
     p = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"),
@@ -57,7 +80,14 @@ def typed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     large = F.octet_length("html") >= least_bytes
     first = staged(p.where(large).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("sha1", "first"), "warc-copies")
-    p = p.join(first, "sha1", "left")
+    n = first.count()
+    if n <= broadcast_copies:
+        p = p.join(F.broadcast(first), "sha1", "left")
+    else:
+        bits = min(1 << (BITS_EACH * n).bit_length(), MOST_BITS)
+        marked = likely_copies(p, first, bits)
+        single = marked.where(~F.col("likely")).withColumn("first", F.lit(None).cast("long"))
+        p = marked.where("likely").join(first, "sha1", "left").unionByName(single)
     other = large & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return p.select("id", "url", "html", "sha1", F.when(other, F.col("first")).alias("refers"))
 

@@ -52,6 +52,31 @@ def test_round_trip(spark, least, archive_bytes):
     assert total == len(rows)
 
 
+@pytest.mark.parametrize("bits", [None, 64])
+def test_only_likely_copies_are_shuffled(spark, monkeypatch, bits):
+    """Beyond the digests that are broadcast, and with a bit table that is nearly full."""
+    if bits:
+        monkeypatch.setattr(warc, "MOST_BITS", bits)
+    rows = ROWS + [(i, "u", f"page {i if i < 1000 else i % 90}", None) for i in range(100, 1300)]
+    df = spark.createDataFrame(rows, PAGE).repartition(3)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = warc.typed(df, least_bytes=3, broadcast_copies=0)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, warc.typed(df, least_bytes=3).collect()), key=str)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [sha1" in plan and "Union" in plan
+        copies = df.selectExpr("sha1(cast(html as binary)) as sha1").groupBy("sha1").count().where("count > 1")
+        marked = warc.likely_copies(df.selectExpr("page_id", "sha1(cast(html as binary)) as sha1"), copies, bits or 1 << 16)
+        repeated = {r.sha1 for r in copies.collect()}
+        found = marked.collect()
+        assert len(found) == len(rows) and all(r.likely for r in found if r.sha1 in repeated)
+        assert bits or sum(r.likely for r in found) <= sum(r.sha1 in repeated for r in found) + 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_selected_records_read_in_few_ranges(spark):
     df = spark.createDataFrame([(i, "u", f"{i} " * 200, None) for i in range(300)], PAGE).coalesce(1)
     path = stage_path(spark, "warc-test")
