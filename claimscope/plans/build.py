@@ -23,9 +23,10 @@ from claimscope.functions.filters import Filter
 from claimscope.operators import provider_lists as PL
 from claimscope.operators import cubes, dashboard, leaders, order, paid_range, providers, rows, search, stats
 from claimscope.sources import fixture
+from claimscope.sources.interleaved import interleaved
 from claimscope.sources.joins import add_billing_state
 from claimscope.sources.quarantine import accepted_claims, land_claims
-from claimscope.sources.tables import (BAKED, complete_build, dedupe_lookup, fact_at, finish_table, latest_build, mark,
+from claimscope.sources.tables import (BAKED, FACT_OPTIONS, complete_build, dedupe_lookup, fact_at, finish_table, latest_build, mark,
                                        new_build, read_claims_csv, read_json_map, read_registry_csv, table_exists,
                                        write_fact, write_table)
 
@@ -81,11 +82,14 @@ def build_from_files(spark: SparkSession, claims: str, registry: str, root: str,
 CUBES = ("cube_dashboard", "cube_month_code", "cube_code_bucket", "cube_month_state", "cube_state_code")
 #: What searches and pages read instead of the fact.
 SEARCH = ("provider_totals", "name_grams", "order_paid")
+#: Tables of a build that are written only when named: as large as the fact.
+OPTIONAL = ("fact_interleaved",)
 
 
 def bake(spark: SparkSession, root: str, only=None) -> dict:
     """Step 4: the materialised aggregates, from the built fact table
-    (``only``: a subset of table names), of the latest build.
+    (``only``: a subset of table names), of the latest build. ``OPTIONAL`` ones are
+    written only if they are named.
 
     Can be repeated: a finished table stays as it is (the fact of a build never
     changes), one that a failed run has left is written again, and the marker of a
@@ -141,6 +145,8 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
         "provider_totals": lambda: search.provider_totals(fact, lookup),
         "name_grams": lambda: search.name_grams(read("provider_totals")),
         **listed,
+        "fact_interleaved": lambda: interleaved(fact, read("provider_index_billing"), read("provider_index_servicing"),
+                                                read("states")),
         "sector_leaders": lambda: leaders.sector_leaders(fact, lookup, sectors),
         "provider_index": lambda: providers.provider_index(fact, lookup),
         "meta": lambda: stats.meta(fact),
@@ -153,17 +159,21 @@ def bake_at(spark: SparkSession, build: str, only=None) -> dict:
         "cube_state_code_indexed": indexed("cube_state_code", billing_state="states", hcpcs="codes"),
     }
     needs = {**{name: ("cube_dashboard",) for name in CUBES if name != "cube_dashboard"},
-             "name_grams": ("provider_totals",), "top_rows": ("order_paid",)}
+             "name_grams": ("provider_totals",), "top_rows": ("order_paid",),
+             "fact_interleaved": ("provider_index_billing", "provider_index_servicing", "states")}
     for name in listed:
         base = name.removesuffix("_levels").removesuffix("_bitmaps")
         if name != base:
             needs[name] = (base, f"provider_index_{base.split('_')[-1]}") if name.endswith("_bitmaps") else (base,)
-    chosen = set(tables) if only is None else {*only, *[n for t in only for n in needs.get(t, ())]}
+    chosen = set(tables) - set(OPTIONAL) if only is None else {*only, *[n for t in only for n in needs.get(t, ())]}
     timings = {}
     for name, make in tables.items():
         if name in chosen and not table_exists(spark, f"{build}/{name}"):
             t0 = time.time()
-            finish_table(make(), f"{build}/{name}")
+            if name in OPTIONAL:
+                finish_table(make(), f"{build}/{name}", ["month"], **FACT_OPTIONS)
+            else:
+                finish_table(make(), f"{build}/{name}")
             timings[name] = time.time() - t0
     if only is None:
         mark(spark, f"{build}/{BAKED}")

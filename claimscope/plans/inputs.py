@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimscope.functions.filters import Filter
 from claimscope.sources import fixture
+from claimscope.sources.interleaved import helps
 
 
 @dataclass
@@ -42,6 +44,16 @@ class Inputs:
             return self._get("fact", lambda: fact_at(self.spark, self.built))
         return self._get("fact", lambda: fixture.spending(self.spark, self.sf_dir))
 
+    def fact_for(self, flt: Filter) -> DataFrame:
+        """The fact in the layout that prunes best under a filter: the interleaved copy
+        where a build has it and the filter names no code."""
+        if not self.built or not helps(flt):
+            return self.fact()
+        from claimscope.sources.tables import fact_at, table_exists
+        if not table_exists(self.spark, f"{self.built}/fact_interleaved"):
+            return self.fact()
+        return self._get("fact_interleaved", lambda: fact_at(self.spark, self.built, "fact_interleaved"))
+
     def raw(self) -> DataFrame:
         return self._get("raw", lambda: fixture.spending_raw(self.spark, self.sf_dir))
 

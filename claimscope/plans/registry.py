@@ -412,3 +412,13 @@ def _of_amounts(flt):
 for _n, _f in (("paid_range", PAID), ("paid_extreme", EXTREME),
                ("paid_months", Filter(month_from="1997-01", month_to="1998-12", paid_min="-1500", paid_max="61000.505"))):
     register(f"built_dash_{_n}", _built(_of_amounts(_f), *paid_range.tables()), O.dashboard_long(_f))
+
+
+def _from_interleaved(flt):
+    return lambda b: dash.dashboard_long(b.fact_for(flt), b.lookup(), b.descs(), flt, sectors=b.sectors())
+
+
+register("built_fact_interleaved", _built(lambda b: _money_out(b.fact_for(STATE).drop("hcpcs_norm")), "fact_interleaved"), O.fact_view())
+for _n, _f in (("billing_npi", BILLING), ("servicing_npi", SERVICING), ("state", STATE), ("paid_range", PAID),
+               ("months_paid", Filter(month_from="1997-01", month_to="1998-12", state="ny", paid_min="61000.505"))):
+    register(f"built_dash_interleaved_{_n}", _built(_from_interleaved(_f), "fact_interleaved"), O.dashboard_long(_f))

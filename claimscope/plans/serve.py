@@ -32,13 +32,13 @@ def dashboard(i: Inputs, flt: Filter = NO_FILTER) -> DataFrame:
         return baked
     if paid_range.answers(flt) and all(i.stored(t) is not None for t in paid_range.tables()):
         return paid_range.dashboard_long(i.stored, i.fact(), i.lookup(), i.descs(), flt, sectors=i.sectors())
-    return dash.dashboard_long(i.fact(), i.lookup(), i.descs(), flt, sectors=i.sectors())
+    return dash.dashboard_long(i.fact_for(flt), i.lookup(), i.descs(), flt, sectors=i.sectors())
 
 
 def sector_leaders(i: Inputs, flt: Filter = NO_FILTER) -> DataFrame:
     baked = i.stored("sector_leaders") if flt.scoped(*LEADERS_SCOPE).is_empty() else None
     if baked is None:
-        return L.sector_leaders(i.fact(), i.lookup(), i.sectors(), flt)
+        return L.sector_leaders(i.fact_for(flt.scoped(*LEADERS_SCOPE)), i.lookup(), i.sectors(), flt)
     return baked.orderBy("sector", F.col("paid").desc_nulls_last(), "rk")
 
 

@@ -106,7 +106,12 @@ def clustered(fact: DataFrame) -> DataFrame:
     return fact.repartitionByRange(*key).sortWithinPartitions(*key)
 
 
-def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
+#: How a fact table is written besides its folders.
+FACT_OPTIONS = {"maxRecordsPerFile": 5_000_000, "parquet.bloom.filter.enabled#billing_npi": "true",
+                "parquet.bloom.filter.enabled#servicing_npi": "true"}
+
+
+def write_fact(fact: DataFrame, path: str, max_records_per_file: int = FACT_OPTIONS["maxRecordsPerFile"]) -> None:
     """Write the clustered fact table. Provider columns are not clustered, so
     they get Parquet bloom filters: an equality filter on a billing or
     servicing NPI (peers, provider filters) skips the row groups that cannot
@@ -116,9 +121,7 @@ def write_fact(fact: DataFrame, path: str, max_records_per_file: int = 5_000_000
     (clustered(fact).write.mode("errorifexists")
         .partitionBy("month")
         .option("compression", "zstd")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .option("parquet.bloom.filter.enabled#billing_npi", "true")
-        .option("parquet.bloom.filter.enabled#servicing_npi", "true")
+        .options(**FACT_OPTIONS | {"maxRecordsPerFile": max_records_per_file})
         .parquet(path))
 
 
@@ -127,10 +130,10 @@ def read_fact(spark: SparkSession, root: str) -> DataFrame:
     return fact_at(spark, latest_build(spark, root))
 
 
-def fact_at(spark: SparkSession, build: str) -> DataFrame:
-    """The fact table of one build (explicit schema, so the month directories
-    are read back as text)."""
-    path = f"{build}/fact"
+def fact_at(spark: SparkSession, build: str, name: str = "fact") -> DataFrame:
+    """The fact table of one build, or a copy of it in another layout (explicit schema,
+    so the month directories are read back as text)."""
+    path = f"{build}/{name}"
     return (spark.read.schema(FACT_SCHEMA_DDL)
                  .option("basePath", path).parquet(path)
                  .select(*[f.name for f in SPENDING.fields], "hcpcs_norm"))
@@ -226,12 +229,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-def finish_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> bool:
+def finish_table(df: DataFrame, path: str, by: Sequence[str] = (), **options) -> bool:
     """Write a table (partitioned ``by`` columns) unless it is finished; what a writer
     that died has left is overwritten. Returns whether it was written."""
     if table_exists(df.sparkSession, path):
         return False
-    df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").options(**options).parquet(path)
     return True
 
 
