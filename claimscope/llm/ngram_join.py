@@ -19,8 +19,8 @@ within the first ``n - ceil(t n) + 1`` of both.
    its shortest and longest sets can no longer reach the threshold with what is
    left. Sets already connected are not looked at again: the output is links that
    connect, not all pairs.
-5. A home or cluster with more members than a task may hold is cut into blocks.
-   First its smallest member alone probes the blocks; what it links is connected.
+5. A home or cluster with more members, or larger ones, than a task may hold is cut into
+   blocks, by number and by bytes. First its smallest member alone probes the blocks; what it links is connected.
    Only members that it does not link then probe all blocks, block by block. So a
    family of near copies takes work in proportion, and no task holds more than two
    blocks.
@@ -56,6 +56,9 @@ SKETCH = 1 << 17
 TABLE_BITS = 1 << 25
 BLOCK = 256
 MAP_BLOCK = 1024
+#: Bytes of sets or bitmaps in a block, and what a shingle takes in either at most.
+BLOCK_BYTES = 16 << 20
+SET_BYTES, MAP_BYTES = 8.0, 0.5
 #: Bytes of text, rows of an Arrow batch that are looked at together.
 CHUNK_BYTES = 1 << 19
 ROWS = 256
@@ -162,6 +165,10 @@ def _signature(s: np.ndarray) -> int:
     return int(_mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def _signature2(s: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(_mix(s ^ _MULT), initial=np.uint64(0)).astype(np.int64))
+
+
 def parity_bits(s: np.ndarray) -> np.ndarray:
     """Parities of the shingles per slot, packed: two to four slots a shingle,
     a power of two, at least 64. Halves folded by XOR are the next smaller map."""
@@ -184,7 +191,7 @@ def _signatures(words: int):
                 n.append(len(s))
                 sig.append(_signature(s))
                 bits.append(parity_bits(s).tobytes() if len(s) else None)
-                sig2.append(int(np.bitwise_xor.reduce(_mix(s ^ _MULT), initial=np.uint64(0)).astype(np.int64)))
+                sig2.append(_signature2(s))
                 held.append(s)
                 if len(held) >= 128:
                     sketch += np.bincount(_slot(np.concatenate(held)), minlength=SKETCH)
@@ -238,12 +245,13 @@ def _prefixes(classes, words: int, similarity):
             for s in shingle_sets(raw, off, words):
                 if not len(s):
                     continue
+                # different sets of one signature both send their prefix, under one node
                 node = _signature(s)
-                if node in seen:
+                if (both := (node, _signature2(s))) in seen:
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
-                seen.add(node)
+                seen.add(both)
                 head = ordered(s, classes.value)[:prefix_size(len(s), similarity)]
                 tokens.append(head)
                 nodes.append(np.full(len(head), node, np.int64))
@@ -532,9 +540,16 @@ def _join_groups(kernel, classes, similarity):
     return run
 
 
-def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, similarity=SIMILARITY) -> DataFrame:
-    """Links that ``kernel`` finds among the classes that ``meet`` (``home,
-    doc_id, sig``), given their ``payload`` (``doc_id, sig, n, payload``)."""
+def _blocks(block: int, each: float, block_bytes: int):
+    """Blocks that the members of a group take, by number and by bytes."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * each / block_bytes)).cast("int")
+
+
+def links(meet: DataFrame, payload: DataFrame, kernel, block: int, each: float, classes, similarity=SIMILARITY,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links that ``kernel`` finds among the classes that ``meet`` (``home, doc_id,
+    sig, size``), given their ``payload`` (``doc_id, sig, n, payload``), of ``each``
+    bytes a shingle."""
     zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
     part = lambda n: F.pmod(F.xxhash64("doc_id", "sig"), n).cast("int")
 
@@ -544,8 +559,8 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
                     .sortWithinPartitions("home", "i", "j").mapInArrow(_join_groups(kernel, classes, similarity), LINK))
 
     # homes above a block: a small table that a skewed home cannot unbalance
-    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
-    heavy = staged(size.select("home", F.ceil(F.col("k") / block).cast("int").alias("g")), "ngram-heavy")
+    blocks = _blocks(block, each, block_bytes)
+    heavy = staged(meet.groupBy("home").agg(blocks.alias("g")).where(F.col("g") > 1), "ngram-heavy")
     meet = meet.join(heavy, "home", "left")
     small = meet.where(F.col("g").isNull()).select(
         "home", zero.alias("i"), zero.alias("j"), "doc_id", "sig", F.col("doc_id").alias("connected"),
@@ -563,8 +578,7 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
     linked = first.select(F.col("a").alias("home"), F.col("b").alias("doc_id")).distinct().withColumn("l", yes)
     state = staged(big.where(~home).join(linked, ["home", "doc_id"], "left")
                    .withColumn("l", F.coalesce("l", no)), "ngram-state")
-    loose = staged(state.where(~F.col("l")).groupBy("home").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("h")), "ngram-loose")
+    loose = staged(state.where(~F.col("l")).groupBy("home").agg(blocks.alias("h")), "ngram-loose")
     state = state.join(loose, "home")
     other = F.pmod(F.xxhash64("sig", "doc_id"), F.col("h")).cast("int")
     rest = (state.select("home", F.explode(F.sequence(zero, F.col("h") - 1)).alias("i"), part(F.col("g")).alias("j"),
@@ -576,11 +590,12 @@ def links(meet: DataFrame, payload: DataFrame, kernel, block: int, classes, simi
     return run(small).unionByName(first).unionByName(run(rest))
 
 
-def every_link(meet: DataFrame, payload: DataFrame, block: int, classes, similarity=SIMILARITY) -> DataFrame:
+def every_link(meet: DataFrame, payload: DataFrame, block: int, classes, similarity=SIMILARITY,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All links within the groups of ``meet``: blocks of a group meet pairwise,
     each pair of blocks in a task of its own."""
-    size = meet.groupBy("home").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
-    heavy = staged(size.select("home", F.ceil(F.col("k") / block).cast("int").alias("g")), "ngram-heavy")
+    blocks = _blocks(block, SET_BYTES, block_bytes)
+    heavy = staged(meet.groupBy("home").agg(blocks.alias("g")).where(F.col("g") > 1), "ngram-heavy")
     parts = meet.join(heavy, "home", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     parts = parts.withColumn("p", F.pmod(F.xxhash64("doc_id", "sig"), F.col("g")).cast("int"))
     parts = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -598,12 +613,12 @@ class Prepared:
 
     rows: DataFrame      # doc_id, n, sig, sig2 of every row
     group: DataFrame     # sig, sig2, n, rep: classes of equal sets
-    clusters: DataFrame  # home, doc_id, sig: classes that may be linked
+    clusters: DataFrame  # home, doc_id, sig, size: classes that may be linked
     sets: DataFrame      # doc_id, sig, n, payload of (at least) those
     classes: object      # broadcast order classes
 
 
-def _prepare(docs: DataFrame, key: str, text: str, words: int, similarity, block: int) -> Prepared:
+def _prepare(docs: DataFrame, key: str, text: str, words: int, similarity, block: int, block_bytes: int) -> Prepared:
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = staged(texts.mapInArrow(_signatures(words), DOC), "ngram-docs")
@@ -620,21 +635,21 @@ def _prepare(docs: DataFrame, key: str, text: str, words: int, similarity, block
                    .where("home <> far").select("token", "home"))
     homes = staged(homes, "ngram-tokens")
     met = staged(prefix.join(homes, "token").select("home", "node").distinct(), "ngram-meet")
-    reps = group.select(F.col("sig").alias("node"), "rep")
+    reps = group.select(F.col("sig").alias("node"), "rep", F.col("n").alias("size"))
     discard(homes)
-    meet = (met.join(reps, "node").select("home", F.col("node").alias("sig"), F.col("rep").alias("doc_id"))
+    meet = (met.join(reps, "node").select("home", F.col("node").alias("sig"), F.col("rep").alias("doc_id"), "size")
                .join(reps.select(F.col("node").alias("home"), F.col("rep").alias("home_id")), "home")
-               .select(F.col("home_id").alias("home"), "doc_id", "sig"))
+               .select(F.col("home_id").alias("home"), "doc_id", "sig", "size"))
     maps = (first.where(F.col("bits").isNotNull() & F.col("doc_id").isNotNull())
                  .select("doc_id", "sig", "n", F.col("bits").alias("payload")))
     meet = staged(meet, "ngram-homes")
     discard(met)
     near = components(links(meet, maps, bitmap_links, MAP_BLOCK if block == BLOCK else block,
-                            classes, similarity))
+                            MAP_BYTES, classes, similarity, block_bytes))
     clusters = near.select(F.col("b").alias("home"), F.col("a").alias("doc_id")).unionByName(
         near.select(F.col("b").alias("home"), F.col("b").alias("doc_id")).distinct())
     discard(meet)
-    clusters = staged(clusters.join(reps.select(F.col("node").alias("sig"), F.col("rep").alias("doc_id")), "doc_id"),
+    clusters = staged(clusters.join(reps.select(F.col("node").alias("sig"), F.col("rep").alias("doc_id"), "size"), "doc_id"),
                       "ngram-clusters")
     bits = spark.sparkContext.broadcast(_bit_table(clusters.select("doc_id")))
     sets = staged(known.mapInArrow(_sets(bits, words), "doc_id long, sig long, n long, payload binary"), "ngram-sets")
@@ -643,11 +658,12 @@ def _prepare(docs: DataFrame, key: str, text: str, words: int, similarity, block
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                    similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
+                    similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``key, n_shingles, component_id`` of every row: rows are in a component if
     links of at least the similarity connect them; its id is its smallest key."""
-    p = _prepare(docs, key, text, words, similarity, block)
-    joined = components(links(p.clusters, p.sets, trie_links, block, p.classes, similarity))
+    p = _prepare(docs, key, text, words, similarity, block, block_bytes)
+    joined = components(links(p.clusters, p.sets, trie_links, block, SET_BYTES, p.classes, similarity, block_bytes))
     discard(p.sets, p.clusters)
     label = (p.group.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("top")), "rep", "left")
                   .select("sig", "sig2", "n", F.coalesce("top", "rep").alias("component")))
@@ -657,13 +673,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                  similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                  similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK,
+                  block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """The join itself: ``a, b`` (a < b), every pair of classes of equal sets that
     reaches the similarity, by their smallest keys; and the members, ``key,
     class_id`` of every row with words and a key. Equal sets are not expanded into
     pairs. The pairs of a family grow with the square of its classes."""
-    p = _prepare(docs, key, text, words, similarity, block)
-    found = every_link(p.clusters, p.sets, block, p.classes, similarity)
+    p = _prepare(docs, key, text, words, similarity, block, block_bytes)
+    found = every_link(p.clusters, p.sets, block, p.classes, similarity, block_bytes)
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     members = (p.rows.where(F.col("doc_id").isNotNull()).join(p.group, ["sig", "sig2", "n"])
                      .select(F.col("doc_id").alias(key), F.col("rep").alias("class_id")))

@@ -142,3 +142,31 @@ def test_components_of_chains_and_hubs(spark):
     want = {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1, 4000, 1 << 24])
+def test_blocks_by_bytes_equal_brute_force(spark, block_bytes):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    base = [r.choice(words) for _ in range(400)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(r.randint(0, 12)):
+            text[r.randrange(400)] = r.choice(words)
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(r.choice(words) for _ in range(r.choice((3, 30, 300))))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, N.near_duplicates(df, block_bytes=block_bytes).collect())) == sorted(brute(rows))
+
+
+def test_sets_of_one_signature_both_send_their_prefix(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    texts = ["a b c d e", "f g h i j", "a b c d e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    monkeypatch.setattr(N, "_signature", lambda s: 1)
+    order = SimpleNamespace(value=np.zeros(N.SKETCH, np.uint16))
+    out = list(N._prefixes(order, 5, N.SIMILARITY)([batch]))
+    assert sum(b.num_rows for b in out) == 2 and len({t for b in out for t in b["token"].to_pylist()}) == 2
