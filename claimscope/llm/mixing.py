@@ -86,7 +86,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keys: tuple
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     d = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(rest)], col(source).alias("_src"),
                     *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                    (word_count(col(text)) if size is None else size).alias("_size"))
+                    (word_count(col(text)) if size is None else F.coalesce(size, F.lit(0))).alias("_size"))
     d = staged(d, "mix-rows")
     names = [f"_k{i}" for i in range(len(keys))]
     per_size = staged(d.groupBy("_src", "_size").agg(F.count(F.lit(1)).alias("_n")), "mix-sizes")
@@ -103,13 +103,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keys: tuple
     before = Window.partitionBy("_src").orderBy("_size", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     start = F.pmod(F.xxhash64(F.col("_src"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # keys that are never null: rows are ranked and joined in one and the same partitioning
+    apart = {"_named": F.coalesce(F.col("_src").cast("string"), F.lit("")), "_none": F.col("_src").isNull()}
+    place = [*apart, "_size", "_cell"]
     # a row per source, size and cell
     cells = (counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                    .join(targets, F.col("_src").eqNullSafe(F.col("source")))
-                    .select(*[F.col(x).alias("_at" + x) for x in cell], "_before", "source_size", "target",
-                            rate.alias("_rate"), start.alias("_offset")))
-    ranked = d.withColumn("_i", F.row_number().over(Window.partitionBy(*cell).orderBy(*[F.col(k).asc_nulls_last() for k in names])))
-    placed = ranked.join(cells, [F.col(x).eqNullSafe(F.col("_at" + x)) for x in cell])
+                    .join(targets, F.col("_src").eqNullSafe(F.col("source"))).withColumns(apart)
+                    .select(*place, "_before", "source_size", "target", rate.alias("_rate"), start.alias("_offset")))
+    by = Window.partitionBy(*place).orderBy(*[F.col(k).asc_nulls_last() for k in names])
+    placed = d.withColumns(apart).withColumn("_i", F.row_number().over(by)).join(cells, place)
     crossed = lambda i: F.floor(i * F.col("_rate") + F.col("_offset"))
     at = F.col("_before") + F.col("_i")
     return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("_size").alias("size"), "source_size",

@@ -85,3 +85,17 @@ def test_many_sources_and_long_texts(spark):
         sizes[r.source] = sizes.get(r.source, 0) + r.size
     want = targets(sizes)
     assert all(r.target == pytest.approx(want[r.source], abs=1e-6) for r in got)
+
+
+def test_rows_are_shuffled_once(spark, capsys):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (i % 5)) for i in range(90)], "doc_id long, source string, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        mixing.mix(docs).explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    above = plan[plan.index("SortMergeJoin"):]
+    window = above[:above.index("Window [row_number()")]
+    assert "Exchange" not in window and "SortMergeJoin" in window
