@@ -219,25 +219,61 @@ def write_ordered(df: DataFrame, keys: list[Key], path: str, rows_per_range: int
     placed = df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
     (placed.sortWithinPartitions("range", *order).write.mode("overwrite").option("compression", "zstd")
            .partitionBy("range").parquet(f"{path}/rows"))
-    rows = df.sparkSession.read.parquet(f"{path}/rows").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.sparkSession.read.schema("range int").parquet(f"{path}/rows").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     (rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
          .write.mode("overwrite").parquet(f"{path}/ranges"))
 
 
-def ordered_page(spark: SparkSession, path: str, schema: T.StructType, keys: list[Key], offset: int, limit: int) -> DataFrame:
-    """A page of a table stored by :func:`write_ordered`: only the ranges it lies in
-    are read, those of ``limit`` rows."""
-    inside = spark.read.parquet(f"{path}/ranges").where(
-        (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).orderBy("range").collect()
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("range", T.IntegerType())])).parquet(f"{path}/rows")
-    rows = stored.where(F.col("range").isin([r["range"] for r in inside])).drop("range")
+def ordered_ranges(spark: SparkSession, path: str) -> list:
+    """The ranges of a table stored by :func:`write_ordered`, in order: a row per
+    range, for callers that read many pages."""
+    return spark.read.parquet(f"{path}/ranges").orderBy("range").collect()
+
+
+def _ranges_at(spark: SparkSession, path: str, schema: T.StructType, first: int, end: int,
+               ranges: list | None) -> tuple[DataFrame, int]:
+    """The rows of the ranges that hold the positions from ``first`` to before ``end``,
+    and the position of the first of these rows. Only their folders are listed."""
+    inside = [r for r in (ordered_ranges(spark, path) if ranges is None else ranges)
+              if r.before < end and r.before + r.n > first]
     if not inside:
-        return rows.limit(0)
-    skip = offset - inside[0].before
+        return spark.createDataFrame([], schema), first
+    stored = T.StructType([*schema.fields, T.StructField("range", T.IntegerType())])
+    rows = spark.read.schema(stored).option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/range={r['range']}" for r in inside])
+    return rows.where(F.col("range").isin([r["range"] for r in inside])).drop("range"), inside[0].before
+
+
+def ordered_page(spark: SparkSession, path: str, schema: T.StructType, keys: list[Key], offset: int, limit: int,
+                 ranges: list | None = None) -> DataFrame:
+    """A page of a table stored by :func:`write_ordered`: only the ranges it lies in
+    are read, those of ``limit`` rows. ``ranges`` are its :func:`ordered_ranges`, if they
+    are known."""
+    rows, before = _ranges_at(spark, path, schema, offset, offset + limit, ranges)
+    skip = offset - before
     return rows.orderBy(*[k.order() for k in keys]).limit(skip + limit).offset(skip)
 
 
+def ordered_after(spark: SparkSession, path: str, schema: T.StructType, keys: list[Key], last: dict, seen: int,
+                  listed: int, limit: int, ranges: list | None = None) -> DataFrame:
+    """:func:`after` on a table stored by :func:`write_ordered`, of which ``listed`` rows
+    precede the page, ``seen`` of them equal to ``last``: only the ranges from the first
+    row equal to ``last`` to the end of the page are read. Equal rows share a range."""
+    rows, _ = _ranges_at(spark, path, schema, listed - seen, listed + limit, ranges)
+    later = beyond([(k, last[k.column]) for k in keys], Key.later, True)
+    return rows.where(later).orderBy(*[k.order() for k in keys]).limit(seen + limit).offset(seen)
+
+
+def ordered_place(spark: SparkSession, path: str, schema: T.StructType, keys: list[Key], position: int,
+                  ranges: list | None = None) -> tuple[dict, int]:
+    """The row at ``position`` (below the number of rows) of a table stored by
+    :func:`write_ordered`, and how many rows up to it are equal to it."""
+    row = ordered_page(spark, path, schema, keys, position, 1, ranges).first().asDict()
+    rows, before = _ranges_at(spark, path, schema, position, position + 1, ranges)
+    earlier = rows.where(beyond([(k, row[k.column]) for k in keys], Key.earlier, False)).count()
+    return row, position + 1 - before - earlier
+
+
 def typed(values: dict, schema: T.StructType) -> dict:
     """Row values as a caller holds them (amounts as doubles) in the types of the table."""
     out = {}

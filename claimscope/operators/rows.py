@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import operator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,9 @@ from claimscope.operators.order import Key
 from claimscope.schema import ROW_COLUMNS, SPENDING
 
 DEFAULT_SORT = "paid"
+#: Walkers that list pages at the same time.
+WALKERS = 8
+STORED = type(SPENDING)([SPENDING[c] for c in ROW_COLUMNS])
 
 
 def sort_keys(sort: str = DEFAULT_SORT, direction: str | None = "desc") -> list[Key]:
@@ -68,11 +70,12 @@ def next_place(page: DataFrame, sort: str = DEFAULT_SORT, direction: str = "desc
     """``last`` and ``seen`` for the page after ``page`` (one that is stored or
     cached); ``last`` and ``seen`` are those ``page`` was asked with. None if it
     has no rows."""
-    end = page.orderBy(*[k.reverse() for k in sort_keys(sort, direction)]).first()
+    rows = page.groupBy(*page.columns).agg(F.count(F.lit(1)).alias("_n"))
+    end = rows.orderBy(*[k.reverse() for k in sort_keys(sort, direction)]).first()
     if end is None:
         return None
     end = end.asDict()
-    equal = page.where(functools.reduce(operator.and_, [F.col(c).eqNullSafe(v) for c, v in end.items()])).count()
+    equal = end.pop("_n")
     return end, equal + (seen if last == end else 0)
 
 
@@ -83,12 +86,51 @@ def write_ordered_rows(fact: DataFrame, path: str, sort: str = DEFAULT_SORT, dir
 
 
 def ordered_rows_page(spark: SparkSession, path: str, sort: str = DEFAULT_SORT, direction: str = "desc",
-                      limit=50, offset=0) -> DataFrame:
+                      limit=50, offset=0, ranges: list | None = None) -> DataFrame:
     """An unfiltered page from the table written by :func:`write_ordered_rows` with
-    the same order: the one or two ranges it lies in are read."""
-    schema = type(SPENDING)([SPENDING[c] for c in ROW_COLUMNS])
-    return _out(order.ordered_page(spark, path, schema, sort_keys(sort, direction), _count("offset", offset),
-                                   _count("limit", limit)))
+    the same order: the one or two ranges it lies in are read. ``ranges`` are those of
+    the table (:func:`claimscope.operators.order.ordered_ranges`), if they are known."""
+    return _out(order.ordered_page(spark, path, STORED, sort_keys(sort, direction), _count("offset", offset),
+                                   _count("limit", limit), ranges))
+
+
+def ordered_rows_after(spark: SparkSession, path: str, last: dict, seen: int, listed: int, sort: str = DEFAULT_SORT,
+                       direction: str = "desc", limit=50, ranges: list | None = None) -> DataFrame:
+    """:func:`rows_after` from the table written by :func:`write_ordered_rows` with the
+    same order; ``listed`` is how many rows precede the page. The ranges it lies in are
+    read, and no row before the first one equal to ``last`` is sorted."""
+    return _out(order.ordered_after(spark, path, STORED, sort_keys(sort, direction), order.typed(last, STORED),
+                                    _count("seen", seen), _count("listed", listed), _count("limit", limit), ranges))
+
+
+def walk(spark: SparkSession, path: str, out: str, sort: str = DEFAULT_SORT, direction: str = "desc", limit: int = 50,
+         walkers: int = WALKERS) -> int:
+    """All pages of the table written by :func:`write_ordered_rows`, each from where the
+    last one ended, to ``out/page=n``; returns how many. The pages are dealt to
+    ``walkers`` in runs that follow each other: a walker looks up the row before its
+    first page and goes on from there, so the walkers need not wait for each other."""
+    ranges = order.ordered_ranges(spark, path)
+    pages = max(1, -(-sum(r.n for r in ranges) // _count("limit", limit)))
+
+    def run(first: int, end: int) -> None:
+        last, seen = None, 0
+        if first:
+            last, seen = order.ordered_place(spark, path, STORED, sort_keys(sort, direction), first * limit - 1, ranges)
+            last["paid"] = None if last["paid"] is None else float(last["paid"])  # as pages have it
+        for n in range(first, end):
+            page = (ordered_rows_after(spark, path, last, seen, n * limit, sort, direction, limit, ranges) if n
+                    else ordered_rows_page(spark, path, sort, direction, limit, 0, ranges))
+            page.write.parquet(f"{out}/page={n}")
+            if n + 1 < end:
+                stored = spark.read.schema(page.schema).parquet(f"{out}/page={n}")
+                last, seen = next_place(stored, sort, direction, last, seen)
+
+    each = -(-pages // walkers)
+    starts = range(0, pages, each)
+    with ThreadPoolExecutor(walkers) as pool:
+        for done in [pool.submit(run, first, min(first + each, pages)) for first in starts]:
+            done.result()
+    return pages
 
 
 def top_rows(fact: DataFrame, k: int = 2000, counts: DataFrame | None = None) -> DataFrame:

@@ -130,3 +130,32 @@ def test_stored_counts_and_ordered_table(spark, built):
     assert re.search(r"PartitionFilters: \[[^]]*range", read)
     assert rows.rows_page(fact, Filter(state="ny"), limit=10, counts=counts).collect() == rows.rows_page(
         fact, Filter(state="ny"), limit=10).collect()
+
+
+@pytest.mark.parametrize("walkers", [1, 3])
+def test_a_walk_lists_every_row_once_and_reads_its_own_ranges(spark, monkeypatch, walkers):
+    rows_of = [("B%d" % (i % 3), "S", "T%d" % (i % 2), "2018-01", 1, 1, Decimal(i % 5) if i % 7 else None, None) for i in range(230)]
+    rows_of += [("B", "S", "T", "2018-02", 1, 1, Decimal("2.00"), "NY")] * 60  # pages and walkers begin among equal rows
+    fact = spark.createDataFrame(rows_of, SPENDING)
+    path = tempfile.mkdtemp(prefix="claimscope-test-walk-", dir="/tmp")
+    rows.write_ordered_rows(fact, f"{path}/table", rows_per_range=40)
+    read, inner = [], order._ranges_at
+
+    def counted(spark, table, schema, first, end, ranges):
+        read.append(end - first)
+        return inner(spark, table, schema, first, end, ranges)
+    monkeypatch.setattr(order, "_ranges_at", counted)
+    assert rows.walk(spark, f"{path}/table", f"{path}/out", limit=20, walkers=walkers) == 15
+    want = rows.rows_page(fact, limit=1000).collect()
+    got = spark.read.parquet(f"{path}/out").orderBy("page").collect()
+    key = lambda r: tuple(str(v) for v in r[:8])
+    for n in range(15):
+        assert sorted(key(r) for r in got if r.page == n) == sorted(key(r) for r in want[n * 20:n * 20 + 20])
+    assert max(read) <= 20 + 60  # a page and the rows equal to the last one, never the table
+
+
+def test_a_walk_of_no_rows(spark):
+    path = tempfile.mkdtemp(prefix="claimscope-test-walk-", dir="/tmp")
+    rows.write_ordered_rows(spark.createDataFrame([], SPENDING), f"{path}/table")
+    assert rows.walk(spark, f"{path}/table", f"{path}/out") == 1
+    assert spark.read.parquet(f"{path}/out").count() == 0
