@@ -13,13 +13,13 @@ tree, each byte finds its node by two table lookups, and its cost in every
 language by one more. Costs are integers (1/256 bit), so sums do not depend on
 how a text is cut up.
 
-Training counts byte windows on the executors and adds them up in Spark. It is
-fitted on a sample of about ``sample_docs`` labelled documents a language at the most,
-chosen by the hash of key and text, and uses all windows of these: the driver sees
-their distinct ones. A context of two or three bytes is kept from a stated count and
-a stated share of its language's bytes on; the shares bound the trees. Prediction
-covers whole texts and reads nothing but them. :func:`readable` tells texts that are
-coded far worse than the training texts.
+Training counts the byte windows of all training texts on the executors and adds them
+up in Spark. A context of two or three bytes is kept from a stated count and a stated
+share of its language's bytes on; the shares bound the trees. Which ones are kept is
+found in Spark too, and windows are cut to their longest kept context and added up
+again, so what the driver sees is bounded as the trees are. Prediction covers whole
+texts and reads nothing but them. :func:`readable` tells texts that are coded far
+worse than the training texts, by the median of all of them.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0;
 ties go to the smaller language name; without training rows every text is
@@ -35,12 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.staging import row_chunks, utf8_buffer
+from claimscope.llm.staging import discard, row_chunks, staged, utf8_buffer
 
 UNKNOWN = "und"
-#: Documents per language that the model is fitted on (expected); the least count of
-#: a context, and its least share of a language's bytes.
-SAMPLE_DOCS = 3000
+#: The least count of a context, and its least share of a language's bytes.
 LEAST_CONTEXT = 24
 LEAST_SHARE = 1 / 30_000
 #: A text is unreadable if it takes this many times the usual bits per byte, and
@@ -49,8 +47,12 @@ WORSE, SLACK_BITS = 2.0, 256
 #: Costs are in this part of a bit.
 UNIT = 256
 CHUNK_BYTES = 1 << 18
+#: Distinct windows that a training task holds before it passes them on.
+HELD_WINDOWS = 1 << 20
 ROWS = 1000
 ORDER = 3
+#: Above all windows.
+CUT = 1 << 32
 
 # A-Z count as a-z
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -74,21 +76,35 @@ def _windows(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _count(batches):
     import pyarrow as pa
 
+    held: dict[str, list] = {}
+
+    def out(lang):
+        windows, n = _added(held.pop(lang))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), pa.array(windows.astype(np.int64)),
+             pa.array(n.astype(np.int64))], names=["lang", "win", "n"])
+
     for b in batches:
         raw, off = utf8_buffer(b.column("text"))
         langs = np.array(b.column("lang").to_pylist(), object)
-        for lang in sorted(set(langs)):
-            parts = []
-            for i, j in row_chunks(off, CHUNK_BYTES):
-                rows = np.flatnonzero(langs[i:j] == lang) + i
-                if len(rows):
-                    text = np.concatenate([raw[off[r]:off[r + 1]] for r in rows])
-                    ends = np.concatenate(([0], np.cumsum(off[rows + 1] - off[rows])))
-                    parts.append(_windows(text, ends))
-            windows, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array(windows.astype(np.int64)),
-                 pa.array(n.astype(np.int64))], names=["lang", "win", "n"])
+        for i, j in row_chunks(off, CHUNK_BYTES):
+            windows = _windows(raw[off[i]:off[j]], off[i:j + 1] - off[i])
+            of_row = np.repeat(np.arange(i, j), np.diff(off[i:j + 1]))
+            for lang in sorted(set(langs[i:j])):
+                own = windows if (langs[i:j] == lang).all() else windows[langs[of_row] == lang]
+                held.setdefault(lang, []).append(np.unique(own, return_counts=True))
+            for lang in [k for k, parts in held.items() if sum(len(w) for w, _ in parts) > HELD_WINDOWS]:
+                held[lang] = [_added(held[lang])]
+                if len(held[lang][0][0]) > HELD_WINDOWS // 2:
+                    yield out(lang)
+    for lang in sorted(held):
+        yield out(lang)
+
+
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows and counts of several such pairs."""
+    windows, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return windows, np.bincount(at, np.concatenate([n for _, n in parts]), len(windows)).astype(np.int64)
 
 
 @dataclass
@@ -153,7 +169,8 @@ def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = LEAST_CONTEXT,
           least_share: float = LEAST_SHARE) -> Model:
-    """Model of ``(language, windows, counts)``."""
+    """Model of ``(language, windows, counts)``. A window plus ``CUT`` is without its
+    third byte before, one plus twice ``CUT`` also without the second."""
     rows = sorted(rows, key=lambda r: r[0])
     langs = [r[0] for r in rows]
     used = np.unique(np.concatenate([[0], *[w & 255 for _, w, _ in rows]])).astype(int)
@@ -164,14 +181,14 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = L
     per = []
     for _, w, n in rows:
         s = [symbol[(w >> (8 * k)) & 255].astype(np.int64) for k in range(ORDER + 1)]
-        per.append((s, n.astype(np.float64)))
+        per.append((s, n.astype(np.float64), ORDER - w // CUT))
     # kept contexts: of two and three bytes, frequent in some language
     def kept(depth: int):
         found = [np.zeros(0, np.int64)]
-        for s, n in per:
+        for s, n, deep in per:
             key = s[1] * size + s[2] if depth == 2 else (s[1] * size + s[2]) * size + s[3]
-            ids, at = np.unique(key, return_inverse=True)
-            found.append(ids[np.bincount(at, n, len(ids)) >= max(least_context, least_share * n.sum())])
+            ids, at = np.unique(key[deep >= depth], return_inverse=True)
+            found.append(ids[np.bincount(at, n[deep >= depth], len(ids)) >= max(least_context, least_share * n.sum())])
         return np.unique(np.concatenate(found))
 
     two, three = kept(2), kept(3)
@@ -182,50 +199,61 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]], least_context: int = L
     parent = np.searchsorted(two, three // size)
     third[(size + parent) * size + three % size] = size + len(two) + np.arange(len(three))
     costs = []
-    for s, n in per:
+    for s, n, deep in per:
         def table(ctx, m):
             at = ctx * size + s[0]
             fine = ctx >= 0
             return np.bincount(at[fine], n[fine], m * size).reshape(m, size)
 
-        def number(keys, full):
+        def number(keys, full, depth):
             if not len(keys):
                 return np.full(len(full), -1)
             at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
-            return np.where(keys[at] == full, at, -1)
+            return np.where((keys[at] == full) & (deep >= depth), at, -1)
 
         zero = np.bincount(s[0], n, size)
         q = (zero > 0).sum()
         p0 = np.where(zero > 0, zero / (n.sum() + q), q / (n.sum() + q) / (256 - q))
         p1 = _blend(table(s[1], size), np.broadcast_to(p0, (size, size)))
-        p2 = _blend(table(number(two, s[1] * size + s[2]), len(two)), p1[two // size])
-        p3 = _blend(table(number(three, (s[1] * size + s[2]) * size + s[3]), len(three)), p2[parent])
+        p2 = _blend(table(number(two, s[1] * size + s[2], 2), len(two)), p1[two // size])
+        p3 = _blend(table(number(three, (s[1] * size + s[2]) * size + s[3], 3), len(three)), p2[parent])
         p = np.concatenate((p1, p2, p3))
         costs.append(np.minimum(np.round(-np.log2(np.maximum(p, 1e-30)) * UNIT), 32767).astype(np.int16).ravel())
     return Model(langs, symbol, size, second, third, np.array(costs))
 
 
-def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model of the rows where ``training`` holds; None if there are none.
+def _cut(counts: DataFrame) -> DataFrame:
+    """``lang, win, n``, the windows cut to their longest kept context (see
+    :func:`build`) and added up: what the trees of the kept contexts need."""
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("_all"))
+    least = F.greatest(F.lit(float(LEAST_CONTEXT)), F.lit(LEAST_SHARE) * F.col("_all"))
+
+    def kept(context: Column) -> DataFrame:
+        of = counts.groupBy("lang", context.alias("c")).agg(F.sum("n").alias("n"))
+        return of.join(F.broadcast(totals), "lang").where(F.col("n") >= least).select("c").distinct()
 
-    ``key`` only serves to draw the sample, so that copies of a text are drawn
-    one by one and a text that a third of all rows share cannot swell it."""
+    two = kept(F.shiftright("win", 8).bitwiseAND(0xFFFF)).select(F.col("c").alias("_two"))
+    three = kept(F.shiftright("win", 8)).select(F.col("c").alias("_three"))
+    w = F.col("win")
+    marked = (counts.join(F.broadcast(two), F.shiftright(w, 8).bitwiseAND(0xFFFF) == F.col("_two"), "left")
+                    .join(F.broadcast(three), F.shiftright(w, 8) == F.col("_three"), "left"))
+    cut = (F.when(F.col("_two").isNull(), w.bitwiseAND(0xFFFF) + 2 * CUT)
+            .when(F.col("_three").isNull(), w.bitwiseAND(0xFFFFFF) + CUT).otherwise(w))
+    return marked.groupBy("lang", cut.alias("win")).agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang") -> Model | None:
+    """A model of all rows where ``training`` holds; None if there are none."""
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("draw"))
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals:
-        return None
-    part = F.create_map(*[F.lit(x) for k, v in sorted(totals.items())
-                          for x in (k, min(1.0, sample_docs / v))])
-    drawn = F.pmod(F.col("draw"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)
-    counts = (rows.where(drawn).select("lang", "text").mapInArrow(_count, "lang string, win long, n long")
-              .groupBy("lang", "win").agg(F.sum("n").alias("n")))
-    parts = [(name, t["win"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for name, t in counts.toPandas().groupby("lang")]
+        F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = staged(rows.mapInArrow(_count, "lang string, win long, n long")
+                        .groupBy("lang", "win").agg(F.sum("n").alias("n")), "language-windows")
+    parts = [(name, t["win"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for name, t in _cut(counts).toPandas().groupby("lang")]
+    discard(counts)
     if not parts:
         return None
     model = build(parts)
-    rates = predict(rows.where(drawn), model, "text", [])
+    rates = predict(rows, model, "text", [])
     model.usual = rates.where("bits_per_byte > 0").agg(F.percentile_approx("bits_per_byte", 0.5)).first()[0] or 0.0
     return model
 

@@ -120,3 +120,24 @@ def test_empty_and_unlabelled(spark):
     assert L.predict(df, None).first().lang_pred == "und"
     assert L.train(df.limit(0), F.lit(True)) is None
     assert L.predict(df.limit(0), None).count() == 0
+
+
+def test_training_uses_every_row(spark, monkeypatch):
+    # more rows than any sample had, in small batches of windows
+    monkeypatch.setattr(L, "HELD_WINDOWS", 50)
+    texts = [(i, " ".join(np.random.default_rng(i).choice(TEXT[l].split(), 6)) + chr(97 + i % 26) * 3, l)
+             for i in range(3400) for l in sorted(TEXT)[:2]]
+    texts += [(i, "ﬁzz ﬁzz", sorted(TEXT)[0]) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = L.train(df, F.lit(True))
+    parts = []
+    for l in sorted(TEXT)[:2]:
+        own = [t.encode() for _, t, x in texts if x == l]
+        raw, off = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0] + [len(t) for t in own])
+        w, n = np.unique(L._windows(raw, off), return_counts=True)
+        parts.append((l, w.astype(np.int64), n))
+    whole = L.build(parts)
+    for f in ("symbol", "second", "third", "costs"):
+        assert (getattr(model, f) == getattr(whole, f)).all()
+    rates = L.predict(df, whole, keep=[]).selectExpr("percentile_approx(bits_per_byte, 0.5)").first()[0]
+    assert model.usual == rates
