@@ -8,7 +8,9 @@ values at which the heads end. Once the k-th total is above that, the top k is
 known; else the heads get longer.
 
 Distinct providers are counted from bitmaps over their dense index, one set per
-month (or code and month), joined by OR.
+month (or code and month), joined by OR. A bitmap is kept as words of 64 providers,
+those without any left out: a list has no more words than entries, however few of all
+providers it holds.
 """
 
 from __future__ import annotations
@@ -123,18 +125,18 @@ def provider_index_table(fact: DataFrame, role: str) -> DataFrame:
 
 
 def provider_bitmaps(lists: DataFrame, index: DataFrame, of: Sequence[str] = ("month",)) -> DataFrame:
-    """``*of, bucket, bits``: the providers of each list as bitmaps of their index."""
-    idx = F.col("idx")
+    """``*of, bucket, bits``: the providers of each list as bitmaps of their index, in
+    words of 64."""
     return (lists.select(*of, "npi").join(index, "npi")
-                 .groupBy(*of, F.bitmap_bucket_number(idx).alias("bucket"))
-                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position(idx)).alias("bits"))
+                 .groupBy(*of, F.shiftright("idx", 6).alias("bucket"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(idx & 63 as int))")).alias("bits"))
                  .repartitionByRange(*of, "bucket").sortWithinPartitions(*of, "bucket"))
 
 
 def distinct_listed(bitmaps: DataFrame, flt: Filter) -> DataFrame:
     """One row ``n``: the distinct providers of the lists under the filter."""
-    every = in_lists(bitmaps, flt).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return every.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("n"))
+    every = in_lists(bitmaps, flt).groupBy("bucket").agg(F.bit_or("bits").alias("bits"))
+    return every.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("n"))
 
 
 def kind_of(flt: Filter) -> str:

@@ -60,3 +60,14 @@ def test_few_entries_are_read(spark):
     levels = [(r.month, r.n, r.least) for r in L.list_levels(lists).collect()]
     ends, most, whole = L.heads(levels, L.DEPTH * 12)
     assert not whole and most < 3 * (100000 // 12) and len(ends) == 3
+
+
+def test_a_list_has_no_more_words_than_entries(spark):
+    lists = spark.createDataFrame([("C1", "2018-01", f"p{i:04}") for i in (0, 63, 64, 700)] + [("C2", "2018-01", "p0063"), (None, None, "p0001")],
+                                  "hcpcs_norm string, month string, npi string")
+    index = spark.createDataFrame([(f"p{i:04}", i) for i in range(701)], "npi string, idx long")
+    bits = L.provider_bitmaps(lists, index, L.LISTS["code"])
+    assert dict(bits.dtypes)["bits"] == "bigint" and bits.count() == 5
+    assert L.distinct_listed(bits, Filter()).first().n == 5
+    assert L.distinct_listed(bits, Filter(hcpcs="C1")).first().n == 4
+    assert L.distinct_listed(bits.limit(0), Filter()).first().n == 0
