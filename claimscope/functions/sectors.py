@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.session import checkpoint_dir
+
 DENTAL = "Dental"
 HOSPICE = "Hospice"
 HOME = "Home health & personal care"
@@ -145,6 +147,10 @@ def classify(df: DataFrame, code: str = "hcpcs", out: str = "sector") -> DataFra
 def code_sectors(codes: DataFrame, code: str = "hcpcs") -> DataFrame:
     """``code → sector`` for every distinct classified code of ``codes``
     (raw code as key; unclassified codes left out). One row per distinct
-    code – small next to the fact, which is joined with it on the raw code."""
-    c = codes.select(code).where(F.col(code).isNotNull()).distinct()
+    code – small next to the fact, which is joined with it on the raw code.
+
+    Eager: the distinct codes are checkpointed. Else the filter on the sector
+    sends the rules' patterns below ``distinct``, to every row."""
+    checkpoint_dir(codes.sparkSession)
+    c = codes.select(code).where(F.col(code).isNotNull()).distinct().checkpoint(eager=True)
     return classify(c, code, "sector").where(F.col("sector").isNotNull())

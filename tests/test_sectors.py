@@ -64,3 +64,11 @@ def test_oracle_patterns_equal_range_join_on_every_code(all_codes, by_join):
     con.register("c", pd.DataFrame({"hcpcs": codes}))
     got = dict(con.execute(f"select hcpcs, {sector_sql('hcpcs')} as s from c").fetchall())
     assert {c: s for c, s in got.items() if s != by_join.get(c)} == {}
+
+
+def test_code_sectors_classify_each_distinct_code_once(spark):
+    from claimscope.functions.sectors import code_sectors
+    rows = spark.range(3000).selectExpr("concat('D', lpad(cast(id % 7 as string), 4, '0')) as hcpcs")
+    out = code_sectors(rows.unionByName(spark.createDataFrame([("zz",), (None,)], "hcpcs string")))
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()  # no pattern goes down to the rows
+    assert sorted(r.hcpcs for r in out.collect()) == [f"D000{i}" for i in range(7)]
