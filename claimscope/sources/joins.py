@@ -8,10 +8,34 @@ import operator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.session import checkpoint_dir
 
-def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
+
+#: A registry of more rows than the first is cut to the providers that bill; a cut one
+#: of at most the second is broadcast, about 50 bytes a row.
+SMALL_REGISTRY, MOST_BROADCAST = 200_000, 1_000_000
+
+
+def _billing(lookup: DataFrame, billed: DataFrame) -> tuple[DataFrame, bool]:
+    """The registry rows (``_rk, _rstate``) that may match, and whether these are few
+    enough to be broadcast though the registry is not."""
+    right = lookup.select(F.col("npi").alias("_rk"), F.col("state").alias("_rstate"))
+    if right.count() <= SMALL_REGISTRY:
+        return right, False
+    named = billed.select(F.col("billing_npi").alias("_rk")).where(F.col("_rk").isNotNull()).distinct()
+    checkpoint_dir(lookup.sparkSession)
+    right = right.join(named, "_rk", "left_semi").checkpoint(eager=True)
+    return right, right.count() <= MOST_BROADCAST
+
+
+def add_billing_state(fact: DataFrame, lookup: DataFrame, billed: DataFrame | None = None) -> DataFrame:
     """Left-join the billing provider's registered state onto every row.
 
+    Most of a large registry bills nothing. It is first cut to the providers named in
+    ``billed`` (the fact itself by default; any table that has at least its
+    ``billing_npi``), and if these are few they are broadcast, so that the rows of the
+    fact need not be shuffled. That is eager for a large registry.
+
     Rows whose ``billing_npi`` is null can never match, but in a shuffled join
     they would all hash to one reducer. They get a join key spread by a hash of
     a few other columns of the row instead, and the join condition still requires a non-null npi, so
@@ -27,8 +51,8 @@ def add_billing_state(fact: DataFrame, lookup: DataFrame) -> DataFrame:
     spread_by = [c for c in ("servicing_npi", "month", "claim_lines") if c in cols] or cols
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in spread_by]).cast("string"))
     left = fact.withColumn("_jk", F.coalesce(F.col("billing_npi"), spread))
-    right = lookup.select(F.col("npi").alias("_rk"), F.col("state").alias("_rstate"))
-    joined = left.join(right, (F.col("_jk") == F.col("_rk")) & F.col("billing_npi").isNotNull(),
+    right, few = _billing(lookup, fact if billed is None else billed)
+    joined = left.join(F.broadcast(right) if few else right, (F.col("_jk") == F.col("_rk")) & F.col("billing_npi").isNotNull(),
                        "left")
     return joined.select(*cols, F.col("_rstate").alias("billing_state"))
 
@@ -53,13 +77,16 @@ def attach(small: DataFrame, dim: DataFrame, on: list[tuple[str, str]], cols: li
     already reads a materialised input.
     """
     if materialise:
-        from claimscope.session import checkpoint_dir
         checkpoint_dir(small.sparkSession)
         small = small.checkpoint(eager=True)
     kcols = [f"_ak{i}" for i in range(len(on))]
     dcols = [f"_ad{i}" for i in range(len(on))]
     vcols = [f"_av{i}" for i in range(len(cols))]
     keys = small.select(*[F.col(s).alias(k) for (s, _), k in zip(on, kcols)]).distinct()
+    # as literals as well, which go below the dimension's own aggregates and joins
+    named = keys.collect()
+    for i, (_, dc) in enumerate(on):
+        dim = dim.where(F.col(dc).isin(sorted({r[i] for r in named if r[i] is not None})))
     d = dim.select(*[F.col(dc).alias(a) for (_, dc), a in zip(on, dcols)],
                    *[F.col(c).alias(v) for c, v in zip(cols, vcols)])
     cond = functools.reduce(operator.and_, [F.col(a) == F.col(k) for a, k in zip(dcols, kcols)])

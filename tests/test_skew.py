@@ -73,3 +73,23 @@ def test_rankings_same_under_skew(spark):
 
     for make in (make_leaders, make_index):
         assert _with_conf(spark, {}, make) == _with_conf(spark, FORCE_SHUFFLE, make)
+
+
+def test_a_large_registry_is_cut_to_the_providers_that_bill(spark, monkeypatch):
+    from claimscope.sources import joins
+    raw, lookup = _hot_raw(spark), spark.createDataFrame(
+        [(f"X{i}", "n", "TX") for i in range(50)] + [("B1", "n", "NY"), ("B1", "m", "CA"), (None, "n", "ZZ")],
+        "npi string, name string, state string")
+    raw = raw.where("rand(1) < 0.01").unionByName(raw.limit(3).withColumn("billing_npi", F.lit("B1")))
+    raw = raw.localCheckpoint()
+    want = sorted(add_billing_state(raw, lookup).collect(), key=str)
+    assert {r.billing_state for r in want} >= {"NY", "CA"}
+    monkeypatch.setattr(joins, "SMALL_REGISTRY", 10)
+    for most in (0, 10):
+        monkeypatch.setattr(joins, "MOST_BROADCAST", most)
+        named, few = joins._billing(lookup, raw)
+        assert sorted(r._rstate for r in named.collect()) == ["CA", "NY"] and few == (most > 0)
+        joined = add_billing_state(raw, lookup)
+        assert sorted(joined.collect(), key=str) == want
+        if few:
+            assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
