@@ -65,6 +65,13 @@ ROLLED = {
 SUM_TYPE = "decimal(28,2)"
 
 
+def cells(fact: DataFrame, name: str) -> DataFrame:
+    """The sums that :func:`rolled` makes the cube ``name`` of, by its own keys only, null
+    groups included: they have every value of the keys that the fact has."""
+    keys, _, paid_only = ROLLED[name]
+    return fact.groupBy(*[paid_bucket("paid").alias(k) if k == "bucket" else F.col(k) for k in keys]).agg(*_sums(paid_only))
+
+
 def rolled(name: str, dashboard: DataFrame) -> DataFrame:
     """The cube ``name`` from :func:`cube_dashboard`, or from parts of it (one per
     batch of rows, in any split): cells with the same keys are added up. The result
