@@ -170,3 +170,25 @@ def test_sets_of_one_signature_both_send_their_prefix(monkeypatch):
     order = SimpleNamespace(value=np.zeros(N.SKETCH, np.uint16))
     out = list(N._prefixes(order, 5, N.SIMILARITY)([batch]))
     assert sum(b.num_rows for b in out) == 2 and len({t for b in out for t in b["token"].to_pylist()}) == 2
+
+
+def test_components_contract_links_before_rounds(spark, monkeypatch):
+    """Chains, stars and repeats that tasks hold whole need no round; cut up, the rounds
+    give the same."""
+    from claimscope.llm import components as C
+
+    r = random.Random(7)
+    chain = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(2001, 2000)] * 3 + [(5, 5)]
+    r.shuffle(chain)
+    want = {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1100)} | {2001: 2000}
+    rounds = []
+    large = C._large_star
+    monkeypatch.setattr(C, "_large_star", lambda e: rounds.append(1) or large(e))
+    whole = spark.createDataFrame(chain, "a long, b long").coalesce(1)
+    rows = C.components(whole).collect()
+    assert {x.a: x.b for x in rows} == want and len(rows) == len(want)
+    assert not rounds
+    monkeypatch.setattr(C, "contracted", lambda links, f=C.contracted: f(links, held=3))
+    rows = C.components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()
+    assert {x.a: x.b for x in rows} == want and len(rows) == len(want)
+    assert rounds
