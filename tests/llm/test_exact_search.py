@@ -80,3 +80,20 @@ def test_tight_negative_bounds_are_kept():
     found, _ = E.pivot_search(ids, rows, E._distances(rows, rows), np.array([-1]), q, E._distances(q, rows),
                               np.array([scores.min()]), 10)
     assert found[0][1].tolist() == ids[::-1].tolist() and found[0][2].tolist() == scores[::-1].tolist()
+
+
+def test_nothing_is_broadcast_and_tiles_give_the_same(spark, monkeypatch):
+    # queries were copied once per shuffle partition and the copies broadcast, through the driver
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).astype(np.float32).tolist()) for i in range(3000)]
+    rows += [(2400, rows[7][1]), (3001, rows[100][1]), (3002, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(3)
+    got = S.top_k(df, F.col("vec_id") % 100 == 0)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = brute(rows, 10)
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(S, "QUERY_BYTES", 4000)
+    monkeypatch.setattr(S, "TILE_BYTES", 200_000)
+    monkeypatch.setattr(S, "BLOCK", 100)
+    assert sorted(map(tuple, S.top_k(df, F.col("vec_id") % 100 == 0).collect())) == want
