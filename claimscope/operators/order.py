@@ -9,7 +9,8 @@ the Parquet scan, so only about as many rows as the page has are sorted.
 
 The counts of the first column can be stored with a build (:func:`counted`), and
 a whole table can be stored in the order itself (:func:`write_ordered`): then a
-page at any offset reads the one or two ranges it lies in.
+page at any offset reads the one or two ranges it lies in, and a run of many pages is
+listed in one pass over its ranges (:func:`ordered_pages`).
 """
 
 from __future__ import annotations
@@ -212,12 +213,14 @@ def after(df: DataFrame, keys: list[Key], last: dict, seen: int, limit: int, eno
 
 def write_ordered(df: DataFrame, keys: list[Key], path: str, rows_per_range: int = 1_000_000) -> None:
     """Store ``df`` in the order of ``keys``: ``path/rows`` in folders ``range=i`` of
-    about ``rows_per_range`` rows, ``path/ranges`` with ``range, n, before``. The
-    second is written last."""
+    about ``rows_per_range`` rows, each with the rows before it in its range (``at``);
+    ``path/ranges`` with ``range, n, before``. The second is written last."""
     n = max(1, -(-df.count() // rows_per_range))
     order = [k.order() for k in keys]
     placed = df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
-    (placed.sortWithinPartitions("range", *order).write.mode("overwrite").option("compression", "zstd")
+    # a partition is a range; the lower bits of this id count the rows of a partition
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    (placed.sortWithinPartitions("range", *order).withColumn("at", at).write.mode("overwrite").option("compression", "zstd")
            .partitionBy("range").parquet(f"{path}/rows"))
     rows = df.sparkSession.read.schema("range int").parquet(f"{path}/rows").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -274,6 +277,25 @@ def ordered_place(spark: SparkSession, path: str, schema: T.StructType, keys: li
     return row, position + 1 - before - earlier
 
 
+def ordered_pages(spark: SparkSession, path: str, schema: T.StructType, keys: list[Key], last: dict, listed: int,
+                  end: int, limit: int, ranges: list) -> DataFrame:
+    """The rows that follow ``last`` in a table stored by :func:`write_ordered`, of which
+    ``listed`` rows precede them, to the one before position ``end``: with the page of
+    ``limit`` rows that each is on (``page``) and its position (``place``). A page begins
+    with the row after the last one's end; the rows before a range say on which page its
+    first rows go on, so each task reads its own ranges, and a row per range is sent to it."""
+    inside = [r["range"] for r in ranges if r.before < end and r.before + r.n > listed]
+    stored = T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("range", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(f"{path}/rows").where(F.col("range").between(inside[0], inside[-1]))
+    later = beyond([(k, last[k.column]) for k in keys], Key.later, True)
+    at = F.coalesce("at", F.raise_error(F.lit("stored without places, write the table again")).cast("long"))
+    before = spark.read.parquet(f"{path}/ranges").select("range", "before")
+    placed = rows.where(later).join(F.broadcast(before), "range").withColumn("place", F.col("before") + at)
+    # of the rows equal to the last one those that were listed are left out
+    placed = placed.where((F.col("place") >= listed) & (F.col("place") < end))
+    return placed.select(*schema.fieldNames(), F.expr(f"place div {limit}").alias("page"), "place")
+
+
 def typed(values: dict, schema: T.StructType) -> dict:
     """Row values as a caller holds them (amounts as doubles) in the types of the table."""
     out = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,28 +109,35 @@ def walk(spark: SparkSession, path: str, out: str, sort: str = DEFAULT_SORT, dir
     """All pages of the table written by :func:`write_ordered_rows`, each from where the
     last one ended, to ``out/page=n``; returns how many. The pages are dealt to
     ``walkers`` in runs that follow each other: a walker looks up the row before its
-    first page and goes on from there, so the walkers need not wait for each other."""
-    ranges = order.ordered_ranges(spark, path)
+    first page and goes on from there, so the walkers need not wait for each other.
+    The pages after its first one are listed by tasks, each on its own ranges, from where
+    that one ended: the number of jobs grows with the walkers, not with the pages."""
+    ranges, keys = order.ordered_ranges(spark, path), sort_keys(sort, direction)
     pages = max(1, -(-sum(r.n for r in ranges) // _count("limit", limit)))
 
-    def run(first: int, end: int) -> None:
+    def run(first: int, end: int) -> DataFrame | None:
         last, seen = None, 0
         if first:
-            last, seen = order.ordered_place(spark, path, STORED, sort_keys(sort, direction), first * limit - 1, ranges)
+            last, seen = order.ordered_place(spark, path, STORED, keys, first * limit - 1, ranges)
             last["paid"] = None if last["paid"] is None else float(last["paid"])  # as pages have it
-        for n in range(first, end):
-            page = (ordered_rows_after(spark, path, last, seen, n * limit, sort, direction, limit, ranges) if n
-                    else ordered_rows_page(spark, path, sort, direction, limit, 0, ranges))
-            page.write.parquet(f"{out}/page={n}")
-            if n + 1 < end:
-                stored = spark.read.schema(page.schema).parquet(f"{out}/page={n}")
-                last, seen = next_place(stored, sort, direction, last, seen)
+        page = (ordered_rows_after(spark, path, last, seen, first * limit, sort, direction, limit, ranges) if first
+                else ordered_rows_page(spark, path, sort, direction, limit, 0, ranges))
+        page.write.parquet(f"{out}/page={first}")
+        if first + 1 == end:
+            return None
+        stored = spark.read.schema(page.schema).parquet(f"{out}/page={first}")
+        last, _ = next_place(stored, sort, direction, last, seen)
+        return order.ordered_pages(spark, path, STORED, keys, order.typed(last, STORED), (first + 1) * limit,
+                                   end * limit, limit, ranges)
 
     each = -(-pages // walkers)
     starts = range(0, pages, each)
     with ThreadPoolExecutor(walkers) as pool:
-        for done in [pool.submit(run, first, min(first + each, pages)) for first in starts]:
-            done.result()
+        runs = [pool.submit(run, first, min(first + each, pages)) for first in starts]
+        rest = [df for df in (done.result() for done in runs) if df is not None]
+    if rest:
+        listed = functools.reduce(DataFrame.unionByName, rest).sortWithinPartitions("page", "place").drop("place")
+        _out(listed).write.mode("append").partitionBy("page").parquet(out)
     return pages
 
 

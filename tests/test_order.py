@@ -159,3 +159,35 @@ def test_a_walk_of_no_rows(spark):
     rows.write_ordered_rows(spark.createDataFrame([], SPENDING), f"{path}/table")
     assert rows.walk(spark, f"{path}/table", f"{path}/out") == 1
     assert spark.read.parquet(f"{path}/out").count() == 0
+
+
+def test_more_pages_of_a_walk_make_no_more_jobs_and_begin_where_the_last_ended(spark):
+    rows_of = [("B%d" % (i % 3), "S", "T%d" % (i % 2), "2018-01", i % 4, 1, Decimal(i % 9) if i % 7 else None, None) for i in range(200)]
+    rows_of += [("B", "S", "T", "2018-02", 1, 1, Decimal("2.00"), "NY")] * 50
+    path = tempfile.mkdtemp(prefix="claimscope-test-walk-", dir="/tmp")
+    rows.write_ordered_rows(spark.createDataFrame(rows_of, SPENDING), f"{path}/table", rows_per_range=30)
+    started = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    jobs = []
+    for limit in (50, 7):
+        before = started()
+        assert rows.walk(spark, f"{path}/table", f"{path}/out{limit}", limit=limit, walkers=2) == -(-250 // limit)
+        jobs.append(started() - before)
+    assert jobs[1] <= jobs[0] + 4
+    got = spark.read.parquet(f"{path}/out7").collect()
+    ranges = order.ordered_ranges(spark, f"{path}/table")
+    for n in (1, 12, 35):
+        last, seen = order.ordered_place(spark, f"{path}/table", rows.STORED, rows.sort_keys(), n * 7 - 1, ranges)
+        last["paid"] = None if last["paid"] is None else float(last["paid"])  # as pages have it
+        want = rows.ordered_rows_after(spark, f"{path}/table", last, seen, n * 7, limit=7, ranges=ranges).collect()
+        assert sorted(map(str, want)) == sorted(str(type(r)(**{c: r[c] for c in want[0].__fields__})) for r in got if r.page == n)
+
+
+def test_a_walk_of_a_table_without_places_is_an_error(spark):
+    path = tempfile.mkdtemp(prefix="claimscope-test-walk-", dir="/tmp")
+    fact = spark.createDataFrame([("B", "S", "T", "2018-02", 1, 1, Decimal("2.00"), "NY")] * 9, SPENDING)
+    rows.write_ordered_rows(fact, f"{path}/table")
+    stored = spark.read.parquet(f"{path}/table/rows").drop("at").cache()
+    stored.count()
+    stored.write.mode("overwrite").partitionBy("range").parquet(f"{path}/table/rows")
+    with pytest.raises(Exception, match="without places"):
+        rows.walk(spark, f"{path}/table", f"{path}/out", limit=2, walkers=1)
