@@ -5,9 +5,9 @@ among them. For every vector the distances to all pivots are computed once; for
 a query q and a vector x each pivot p bounds their distance from below by
 |d(q,p) - d(x,p)|, and the largest of these bounds d(q,x). Since
 ``2 q.x = |q|^2 + |x|^2 - d(q,x)^2``, that bounds the score from above. Candidates
-are evaluated in the order of this bound until the k-th best score found is
-above the next bound; the rest are eliminated. The pivots themselves are rows, so
-a query's scores with them start it off with a k-th best score.
+are evaluated in the order of this bound, some at a time, until the k-th best score
+found is above the next bound; the rest are eliminated. The pivots themselves are rows,
+so a query's scores with them start it off with a k-th best score.
 
 Vectors are packed into blocks of bounded size, and the blocks are dealt over tiles;
 queries are packed into blocks likewise. A query block meets the vector blocks of a
@@ -46,10 +46,10 @@ BLOCK = 1024
 QUERY_BYTES, TILE_BYTES = 16 << 20, 32 << 20
 #: Bytes of query copies that more tiles for more tasks may make, or a quarter of the vectors'.
 COPIES = 64 << 20
-#: Candidates evaluated first, before the bounds are looked at again.
+#: Candidates evaluated before the first look at the bound; four times as many before each next one.
 STEP = 64
-#: Queries whose bounds are computed at once; the share of candidates left from which
-#: all rows of a block are multiplied at once instead of one by one.
+#: Queries whose bounds are computed at once; the share of candidates from which all rows
+#: of a block are multiplied at once instead of one by one.
 CHUNK, DENSE = 64, 0.1
 #: Up to here inner products are exact in int64.
 LARGEST = 1 << 26
@@ -157,18 +157,22 @@ def _search_block(ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, n
     candidates no bound eliminated."""
     upper = _bounds(to_pivots, q_to_pivots, norm, _norms(queries))
     upper[ids[None, :] == q_ids[:, None]] = -np.inf
-    left, evaluated = (upper >= found.floor()[:, None]) & (upper > -np.inf), 0
-    if not len(found.q) and len(ids) > STEP:
-        # those with the largest bounds first, for a better k-th best score
-        first = np.zeros_like(left)
-        np.put_along_axis(first, np.argpartition(-upper, STEP, axis=1)[:, :STEP], True, axis=1)
-        i, j = np.nonzero(first & left)
-        found.add(i, ids[j], _pairs(queries, vectors, i, j))
+    left, evaluated, size, dense = (upper >= found.floor()[:, None]) & (upper > -np.inf), 0, STEP, None
+    while left.any():
+        take = left
+        if size < len(ids):  # those with the largest bounds
+            take = np.zeros_like(left)
+            first = np.argpartition(np.where(left, -upper, np.inf), size, axis=1)[:, :size]
+            np.put_along_axis(take, first, True, axis=1)
+            take &= left
+        i, j = np.nonzero(take)
+        if dense is None and len(i) > DENSE * left.size:
+            dense = _dot(queries, vectors)
+        found.add(i, ids[j], _pairs(queries, vectors, i, j) if dense is None else dense[i, j])
         evaluated += len(i)
-        left &= ~first & (upper >= found.floor()[:, None])
-    i, j = np.nonzero(left)
-    found.add(i, ids[j], _dot(queries, vectors)[i, j] if len(i) > DENSE * left.size else _pairs(queries, vectors, i, j))
-    return evaluated + len(i)
+        left = left & ~take & (upper >= found.floor()[:, None])
+        size *= 4
+    return evaluated
 
 
 def _search_blocks(blocks: list, q_ids: np.ndarray, queries: np.ndarray, q_to_pivots: np.ndarray, floor: np.ndarray, k: int):
